@@ -1,0 +1,17 @@
+"""Broadcast only what is known to be small."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def small_side(df: DataFrame, limit: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast if the optimizer's size estimate is within the limit.
+
+    Beyond the limit the plan is left alone: a shuffle join with adaptive skew handling.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return F.broadcast(df) if size <= limit else df
