@@ -26,7 +26,7 @@ def base_name(path: Column) -> Column:
 
 def suffix(path: Column) -> Column:
     """Lower-case extension of the last path component, empty if there is none."""
-    return F.lower(F.regexp_extract(base_name(path), r"^.+\.([^.]+)$", 1))
+    return F.lower(F.regexp_extract(path, r"[^/]\.([^./]+)/*$", 1))
 
 
 def suffixes(paths: Column) -> Column:
@@ -36,24 +36,23 @@ def suffixes(paths: Column) -> Column:
 
 def target(paths: Column, fallback: Column) -> Column:
     """``*.ext`` of the first suffixed path, else its name, else masked text."""
-    exts = F.filter(F.transform(paths, suffix), lambda s: s != "")
+    ext = F.get(F.filter(F.transform(paths, suffix), lambda s: s != ""), 0)
     masked = F.lower(strip(F.coalesce(fallback, F.lit(""))))
     masked = F.regexp_replace(masked, r"['\"][^'\"]{1,120}['\"]", "<quoted>")
     masked = squeeze(F.regexp_replace(masked, r"(?U)\b\d+\b", "<num>"))
-    return (
-        F.when(F.size(exts) > 0, F.concat(F.lit("*."), F.get(exts, 0)))
-        .when(F.size(paths) > 0, F.substring(F.lower(base_name(F.get(paths, 0))), 1, 80))
-        .otherwise(non_empty(F.substring(masked, 1, 80)))
-    )
+    return F.coalesce(
+        F.concat(F.lit("*."), ext),
+        F.substring(F.lower(base_name(F.get(paths, 0))), 1, 80),
+        non_empty(F.substring(masked, 1, 80)))
 
 
-def bash_action(command: Column) -> Column:
-    """Action family of a shell command, first matching rule wins."""
+def bash_action(command: Column, written: Column) -> Column:
+    """Action family of a shell command, first matching rule wins. ``written``: P5 of it."""
     cmd = strip(F.coalesce(command, F.lit("")))
     low = F.lower(cmd)
     first = F.regexp_extract(low, r"(?U)^\s*(\S+)", 1)
     start = r"(?U)(^|[;&|]\s*)"
-    writes = F.size(written_paths(cmd)) > 0
+    writes = F.size(written) > 0
     sheet = low.rlike(r"(?U)\b(openpyxl|xlrd|xlwt|xlwings|xlsxwriter)\b")
     return first_match([
         ("search_text", low.rlike(start + r"(rg|grep|find)\b")),
@@ -80,23 +79,10 @@ def bash_action(command: Column) -> Column:
     ], "other_command")
 
 
-def bash_target(command: Column, description: Column, action: Column) -> Column:
-    """Target of a shell command; writers look at the written paths first."""
-    cmd = strip(F.coalesce(command, F.lit("")))
-    low = F.lower(cmd)
-    paths = file_paths(cmd)
-    return (
-        F.when(action.isin("write_spreadsheet", "write_file"), target(written_paths(cmd), low))
-        .when((action == "other_command") & (F.size(paths) == 0), F.lit(None).cast("string"))
-        .when(action == "other_command", target(paths, F.coalesce(non_empty(description), low)))
-        .otherwise(target(paths, low))
-    )
-
-
-def tool_action(tool: Column, command: Column) -> Column:
+def tool_action(tool: Column, command: Column, written: Column) -> Column:
     """P10: action before the failure remap."""
     return (
-        F.when(tool == "Bash", bash_action(command))
+        F.when(tool == "Bash", bash_action(command, written))
         .when(tool.isin("Read", "NotebookRead"), "read_file")
         .when(tool == "Edit", "edit_file")
         .when(tool.isin("Write", "NotebookEdit"), "write_file")
@@ -105,14 +91,26 @@ def tool_action(tool: Column, command: Column) -> Column:
     )
 
 
-def tool_target(tool: Column, command: Column, description: Column,
-                inputs: Column, outputs: Column, action: Column) -> Column:
-    written_first = F.when(F.size(outputs) > 0, outputs).otherwise(inputs)
+def target_paths(tool: Column, paths: Column, written: Column, inputs: Column, outputs: Column,
+                 action: Column) -> Column:
+    """The files a call is about; writers look at what they wrote first."""
+    return (
+        F.when(tool == "Bash", F.when(action.isin("write_spreadsheet", "write_file"), written).otherwise(paths))
+        .when(tool.isin("Edit", "Write", "NotebookEdit"), F.when(F.size(outputs) > 0, outputs).otherwise(inputs))
+        .when(tool.isin("Read", "NotebookRead", "Grep", "Glob"), inputs)
+        .otherwise(F.concat(inputs, outputs))
+    )
+
+
+def target_fallback(tool: Column, command: Column, description: Column, paths: Column, action: Column) -> Column:
+    """Text used without files; null where no target is wanted."""
+    unknown = action == "other_command"
+    text = F.lower(strip(F.coalesce(command, F.lit(""))))
     return (
-        F.when(tool == "Bash", bash_target(command, description, action))
-        .when(tool.isin("Edit", "Write", "NotebookEdit"), target(written_first, description))
-        .when(tool.isin("Read", "NotebookRead", "Grep", "Glob"), target(inputs, description))
-        .otherwise(target(F.concat(inputs, outputs), description))
+        F.when(tool != "Bash", description)
+        .when(unknown & (F.size(paths) == 0), F.lit(None).cast("string"))
+        .when(unknown, F.coalesce(non_empty(description), text))
+        .otherwise(text)
     )
 
 

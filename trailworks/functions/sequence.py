@@ -79,6 +79,22 @@ def neighbour(df: DataFrame, keys: list[str], order: str, value: Column, out: st
     )
 
 
+def following_within(df: DataFrame, keys: list[str], order: str, value: Column, out: str, gap: int,
+                     size: int = STEP_CHUNK) -> DataFrame:
+    """The next row of the same key if it is at most ``gap`` further along ``order``.
+
+    The first ``gap`` positions of a chunk are also sent to the chunk before, so one window
+    per chunk sees every neighbour and no join is needed.
+    """
+    at = F.col(order)
+    chunk = F.floor(at / size)
+    homes = F.when(at % size <= gap, F.array(chunk, chunk - 1)).otherwise(F.array(chunk))
+    d = df.withColumn("_v", value).withColumn("_own", chunk).withColumn("_chunk", F.explode(homes))
+    w = Window.partitionBy(*keys, "_chunk").orderBy(order)
+    d = d.withColumn(out, F.lead("_v").over(w)).withColumn("_to", F.lead(order).over(w))
+    return d.filter((F.col("_chunk") == F.col("_own")) & (F.col("_to") - at <= gap)).drop("_v", "_own", "_chunk", "_to")
+
+
 def first_rows(df: DataFrame, keys: list[str], order: list, n: int = 1) -> DataFrame:
     """First ``n`` rows per key. Spark cuts each input partition to ``n`` rows per key
     before the shuffle (window group limit), so a hot key stays small."""

@@ -15,7 +15,8 @@ from ..functions import commands as C
 from ..functions import errors as E
 from ..functions import fixed as X
 from ..functions.lists import contains_any, non_empty, strip
-from ..functions.sequence import first_rows, neighbour, running_sum, step_chunk
+from ..functions.staging import staged
+from ..functions.sequence import first_rows, following_within, running_sum, step_chunk
 
 ATTEMPT = ["task_family", "task_name", "attempt_number"]
 
@@ -27,13 +28,13 @@ def tool_calls(steps: DataFrame) -> DataFrame:
     path = arg("file_path")
     one = F.when(F.length(path) > 0, F.array(path)).otherwise(F.array().cast("array<string>"))
     none = F.array().cast("array<string>")
-    bash_paths = C.file_paths(arg("command"))
-    written = C.written_paths(arg("command"))
+    bash_paths, written = F.col("_paths"), F.col("_written")
     other = F.coalesce(F.col("args")["file_path"], F.col("args")["path"], F.lit(""))
     failed = E.is_error(F.col("is_error"), F.lit(None).cast("boolean"), F.col("result_text"))
     return (
-        steps.filter(F.length(tool) > 0)
-        .withColumn("failed", failed)
+        staged(steps.filter(F.length(tool) > 0), failed=failed,
+               _paths=F.when(tool == "Bash", C.file_paths(arg("command"))),
+               _written=F.when(tool == "Bash", C.written_paths(arg("command"))))
         .select(
             *ATTEMPT, "step_idx", "tool_name",
             F.when(tool == "Bash", arg("command")).when(tool == "Write", arg("content"))
@@ -64,11 +65,16 @@ def error_events(calls: DataFrame) -> DataFrame:
 
 def normalized_events(calls: DataFrame) -> DataFrame:
     """P10: stable action token, target, signature, error label and cost per call."""
-    d = calls.withColumn("_action", C.tool_action(F.col("tool_name"), F.col("command")))
-    d = d.withColumn("target", C.tool_target(
-        F.col("tool_name"), F.col("command"), F.col("description"),
-        F.col("input_files"), F.col("output_files"), F.col("_action")))
-    d = d.withColumn("action", C.action_after_failure(F.col("_action"), F.col("success")))
+    tool, cmd = F.col("tool_name"), F.col("command")
+    none = F.array().cast("array<string>")
+    d = staged(calls, _paths=F.when(tool == "Bash", C.file_paths(cmd)).otherwise(none),
+               _written=F.when(tool == "Bash", C.written_paths(cmd)).otherwise(none))
+    d = staged(d, _action=C.tool_action(tool, cmd, F.col("_written")))
+    d = staged(
+        d, action=C.action_after_failure(F.col("_action"), F.col("success")),
+        target=C.target(
+            C.target_paths(tool, F.col("_paths"), F.col("_written"), F.col("input_files"), F.col("output_files"), F.col("_action")),
+            C.target_fallback(tool, cmd, F.col("description"), F.col("_paths"), F.col("_action"))))
     return d.select(
         *ATTEMPT, "step_idx", "tool_name", "command", "description", "input_files", "output_files",
         "success", "error_message",
@@ -293,21 +299,23 @@ def span_candidates(calls: DataFrame, attempts: DataFrame, min_cost: int = 2) ->
 
 def atomic_substeps(events: DataFrame) -> DataFrame:
     """Successful calls with a known action, with their signature."""
-    ins, outs = C.suffixes(F.col("input_files")), C.suffixes(F.col("output_files"))
-    return events.filter(F.col("success") & ~F.col("action").isin("other_command", "other_tool")).select(
+    ins, outs = F.col("input_formats"), F.col("output_formats")
+    d = staged(events.filter(F.col("success") & ~F.col("action").isin("other_command", "other_tool")),
+               input_formats=C.suffixes(F.col("input_files")), output_formats=C.suffixes(F.col("output_files")))
+    return d.select(
         *ATTEMPT, "step_idx", "action", "tool_name", "target",
         F.concat(F.col("action"), F.lit(":"), F.coalesce("target", F.lit("any")), F.lit(":"),
                  F.array_join(ins, ","), F.lit("->"), F.array_join(outs, ",")).alias("signature"),
         C.command_shape(F.coalesce(non_empty(F.col("command")), F.col("description"))).alias("command_shape"),
-        ins.alias("input_formats"), outs.alias("output_formats"))
+        ins, outs)
 
 
 def workflow_bigrams(atoms: DataFrame, max_gap: int = 4) -> DataFrame:
     """Neighbouring atoms with different actions and a small step gap."""
     cols = ["step_idx", "action", "tool_name", "target", "signature", "command_shape",
             "input_formats", "output_formats"]
-    d = neighbour(atoms, ATTEMPT, "step_idx", F.struct(*cols), "r", following=True)
-    d = d.filter((F.col("r.step_idx") - F.col("step_idx") <= max_gap) & (F.col("r.action") != F.col("action")))
+    d = following_within(atoms, ATTEMPT, "step_idx", F.struct(*cols), "r", max_gap)
+    d = d.filter(F.col("r.action") != F.col("action"))
     merged = lambda c: F.array_sort(F.array_distinct(F.concat(c, F.col(f"r.{c}"))))
     return d.select(
         *ATTEMPT, F.col("step_idx").alias("first_step"), F.col("r.step_idx").alias("last_step"),
