@@ -13,5 +13,5 @@ def small_side(df: DataFrame, limit: int = MAX_BROADCAST_BYTES) -> DataFrame:
 
     Beyond the limit the plan is left alone: a shuffle join with adaptive skew handling.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return F.broadcast(df) if size <= limit else df

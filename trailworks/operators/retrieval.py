@@ -63,9 +63,16 @@ def similar_pairs(queries: DataFrame, records: DataFrame, floor: float, query_bl
     return q.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInPandas(product, schema)
 
 
-def search(records: DataFrame, queries: DataFrame, limit: int = 10,
-           query_count: int | None = None, record_count: int | None = None) -> DataFrame:
-    """Top matches per query.
+def search(records: DataFrame, queries: DataFrame, limit: int = 10, **counts) -> DataFrame:
+    """Top matches per query, scores with six places; see ``scored_matches``."""
+    return scored_matches(records, queries, limit, **counts).select(
+        "query_id", "record_id", "rank", *[F.bround(c, 6).alias(c) for c in (
+            "score", "semantic_score", "lexical_score", "lexical_coverage")], "match_mode")
+
+
+def scored_matches(records: DataFrame, queries: DataFrame, limit: int = 10,
+                   query_count: int | None = None, record_count: int | None = None) -> DataFrame:
+    """Top matches per query with full scores.
 
     ``records`` (already filtered by outcome, because the filter changes the statistics):
     record_id, text, r_vec (nullable array). ``queries``: query_id, query, q_vec (nullable).
@@ -125,9 +132,8 @@ def search(records: DataFrame, queries: DataFrame, limit: int = 10,
         "mode", F.when(semantic_pass, "hybrid").otherwise("lexical_exact"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "record_id")
     return d.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select(
-        "query_id", "record_id", "rank", F.bround("score", 6).alias("score"),
-        F.bround("semantic", 6).alias("semantic_score"), F.bround("lexical", 6).alias("lexical_score"),
-        F.bround("coverage", 6).alias("lexical_coverage"), F.col("mode").alias("match_mode"))
+        "query_id", "record_id", "rank", "score", F.col("semantic").alias("semantic_score"),
+        F.col("lexical").alias("lexical_score"), F.col("coverage").alias("lexical_coverage"), F.col("mode").alias("match_mode"))
 
 
 # --- sections -----------------------------------------------------------------------------

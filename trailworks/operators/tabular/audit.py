@@ -103,13 +103,15 @@ def plan_audit(plan: DataFrame, latest: DataFrame, keys: list[str], rules: list[
 
 def summary(flagged: DataFrame, keys: list[str]) -> DataFrame:
     """Groups with errors and a grand total that includes clean groups, in one pass."""
-    d = flagged.rollup(F.struct(*keys).alias("g")).agg(
-        F.grouping("g").alias("_total"), F.sum("error_1").alias("error_1"), F.sum("error_2").alias("error_2"),
+    cols = [F.col(k) for k in keys]
+    d = flagged.groupingSets([cols, []], *cols).agg(
+        F.grouping(keys[0]).alias("_total"), F.sum("error_1").alias("error_1"), F.sum("error_2").alias("error_2"),
         F.sum("total_errors").alias("total_errors"))
+    total = F.col("_total") == 1
     first, *rest = keys
-    return d.filter((F.col("_total") == 1) | (F.col("total_errors") > 0)).select(
-        F.when(F.col("_total") == 1, "Grand Total").otherwise(F.col(f"g.{first}").cast("string")).alias(first),
-        *[F.when(F.col("_total") == 1, "-").otherwise(F.col(f"g.{k}").cast("string")).alias(k) for k in rest],
+    return d.filter(total | (F.col("total_errors") > 0)).select(
+        F.when(total, "Grand Total").otherwise(F.col(first).cast("string")).alias(first),
+        *[F.when(total, "-").otherwise(F.col(k).cast("string")).alias(k) for k in rest],
         "error_1", "error_2", "total_errors")
 
 

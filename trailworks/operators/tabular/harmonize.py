@@ -41,7 +41,7 @@ def harmonize(df: DataFrame, units: dict[str, Unit]) -> DataFrame:
     complete = reduce(lambda a, b: a & b, [is_filled(c) for c in units])
     d = df.filter(complete)
     for c, u in units.items():
-        d = d.withColumn(c, F.format_string("%.2f", F.bround(convert(decimal_comma(F.col(c)), u).cast("decimal(38,15)"), 2)))
+        d = d.withColumn(c, F.bround(convert(decimal_comma(F.col(c)), u), 2).cast("decimal(38,2)").cast("string"))
     return d
 
 

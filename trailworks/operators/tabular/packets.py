@@ -168,7 +168,8 @@ def line_items(pages: DataFrame, keys: list[str]) -> DataFrame:
     price = F.element_at(prices, -1)
     # Everything before the last occurrence of the price.
     before = F.replace(F.expr("substring(line, 1, length(line) - length(price) - length(tail))"), F.lit("$"), F.lit(" "))
-    d = d.filter(F.size(prices) > 0).withColumn("price", price).withColumn("tail", F.substring_index(line, price, -1))
+    d = d.filter(F.size(prices) > 0).withColumn("price", price).withColumn(
+        "tail", F.expr("substring_index(line, price, -1)"))
     d = d.withColumn("prefix", before)
     qty = F.element_at(extract_all(F.col("prefix"), r"\b\d+(?:\.\d+)?\b"), -1)
     d = d.filter(F.size(extract_all(F.col("prefix"), r"\b\d+(?:\.\d+)?\b")) > 0).withColumn("qty", qty)
@@ -177,7 +178,7 @@ def line_items(pages: DataFrame, keys: list[str]) -> DataFrame:
     d = d.withColumn("_desc", head_of).withColumn("item_description", desc).filter(F.length("item_description") > 0)
     plain = F.regexp_replace(F.regexp_replace("qty", r"(\.\d*?)0+$", "$1"), r"\.$", "")
     d = d.select(*keys, "pos", "item_description", F.when(F.col("qty").contains("."), plain).otherwise(F.col("qty")).alias("quantity"),
-                 F.format_string("%.2f", F.col("price").cast("decimal(18,2)")).alias("unit_price"))
+                 F.col("price").cast("decimal(18,2)").cast("string").alias("unit_price"))
     return first_rows(d.withColumn("_k", F.lower("item_description")), [*keys, "_k", "quantity", "unit_price"], ["pos"]).drop("_k")
 
 

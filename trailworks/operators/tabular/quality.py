@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ...functions.sequence import neighbour, numbered
 
@@ -65,17 +66,17 @@ def _t_quantile(p: float, df: float) -> float:
     return (lo + hi) / 2.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def f_p_value(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return pd.Series([_f_tail(x, a, b) if pd.notna(x) and a > 0 and b > 0 else np.nan for x, a, b in zip(f, d1, d2)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([_t_tail(x, d) if pd.notna(x) and d > 0 else np.nan for x, d in zip(t, df)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_quantile_95(df: pd.Series) -> pd.Series:
     cache: dict[float, float] = {}
     return pd.Series([cache.setdefault(d, _t_quantile(0.05, d)) if pd.notna(d) and d > 0 else np.nan for d in df])

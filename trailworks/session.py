@@ -36,3 +36,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="trailworks-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder next to the checkpoints, for tables a job writes and reads again."""
+    import uuid
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="trailworks-")
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
