@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..functions.lists import strip
 from ..functions.sequence import first_rows
 from ..functions.sizes import small_side
+from ..session import cut_lineage
 from .overlap import candidate_pairs
 
 BLOCK = 512
@@ -63,6 +64,13 @@ def similar_pairs(queries: DataFrame, records: DataFrame, floor: float, query_bl
     return q.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInPandas(product, schema)
 
 
+def index_records(records: DataFrame) -> DataFrame:
+    """Term counts per record: record_id, token, tf, dl. One row with an empty token per record."""
+    docs = records.select("record_id", T.retrieval_tokens(F.col("text")).alias("tokens"))
+    terms = docs.select("record_id", F.size("tokens").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("token"))
+    return terms.groupBy("record_id", "token").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+
+
 def search(records: DataFrame, queries: DataFrame, limit: int = 10, **counts) -> DataFrame:
     """Top matches per query, scores with six places; see ``scored_matches``."""
     return scored_matches(records, queries, limit, **counts).select(
@@ -71,20 +79,23 @@ def search(records: DataFrame, queries: DataFrame, limit: int = 10, **counts) ->
 
 
 def scored_matches(records: DataFrame, queries: DataFrame, limit: int = 10,
-                   query_count: int | None = None, record_count: int | None = None) -> DataFrame:
+                   query_count: int | None = None, record_count: int | None = None,
+                   index: DataFrame | None = None) -> DataFrame:
     """Top matches per query with full scores.
 
+    ``index`` is a stored result of ``index_records``; without one it is built and written once.
+
     ``records`` (already filtered by outcome, because the filter changes the statistics):
     record_id, text, r_vec (nullable array). ``queries``: query_id, query, q_vec (nullable).
     Lexical candidates share enough of the query's rarest tokens, semantic candidates reach
     the similarity floor; scores are computed for those pairs only, and no pair outside
     them can pass the gates.
     """
-    docs = records.select("record_id", T.retrieval_tokens(F.col("text")).alias("tokens"))
+    postings = index if index is not None else cut_lineage(index_records(records))
     qs = queries.select("query_id", T.retrieval_tokens(F.col("query")).alias("q_tokens")).filter(F.size("q_tokens") > 0)
-    postings = docs.select("record_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("token")) \
-        .groupBy("record_id", "token").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
+    # Every record keeps one row with an empty token, so texts without tokens still count.
+    stats = postings.filter(F.col("token") == "").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    postings = postings.filter(F.col("token") != "")
     df = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
     unique = qs.select("query_id", F.array_distinct("q_tokens").alias("tokens"))
@@ -130,7 +141,8 @@ def scored_matches(records: DataFrame, queries: DataFrame, limit: int = 10,
     semantic_pass = F.coalesce((F.col("semantic") >= X.MIN_SEMANTIC) & (F.col("score") >= X.MIN_HYBRID), F.lit(False))
     d = d.filter(semantic_pass | lexical_pass).withColumn(
         "mode", F.when(semantic_pass, "hybrid").otherwise("lexical_exact"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "record_id")
+    # Equal texts must tie: sums of the same terms may differ in the last digits.
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "record_id")
     return d.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select(
         "query_id", "record_id", "rank", "score", F.col("semantic").alias("semantic_score"),
         F.col("lexical").alias("lexical_score"), F.col("coverage").alias("lexical_coverage"), F.col("mode").alias("match_mode"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ...functions.lists import extract_all, matches_any, non_empty, squeeze, strip
 from ...functions.sequence import first_rows
 from ...functions.sizes import small_side
+from ...functions.staging import staged
 
 # --- Fixed values: patterns of the packet families ----------------------------------------
 MONEY = r"(?iU)(?:[$€£]|RM|MYR)?\s*(\d{1,3}(?:[,\s]\d{3})*\.\d{2}|\d+\.\d{2})"
@@ -72,9 +73,13 @@ def _numbers(line: Column) -> Column:
     return F.transform(extract_all(line, MONEY, 1), lambda m: F.regexp_replace(m, r"[,\s]", "").try_cast("decimal(18,2)"))
 
 
-def amount_by_keywords(text: Column, keywords, excludes=()) -> Column:
+def with_lines(pages: DataFrame) -> DataFrame:
+    """Pages with their lines as a column, cut once and shared by every field."""
+    return staged(pages, lines=lines_of(F.col("text")))
+
+
+def amount_by_keywords(lines: Column, keywords, excludes=()) -> Column:
     """Amount next to the best keyword, on its line or the line below; else the largest amount."""
-    lines = lines_of(text)
     skip = "(?iU)" + "|".join(excludes) if excludes else None
     open_ = lambda l: ~l.rlike(skip) if skip else F.lit(True)
     n = len(keywords)
@@ -127,9 +132,9 @@ def reference_code(text: Column, patterns, year_part: bool = False) -> Column:
 def claim_fields(pages: DataFrame) -> DataFrame:
     """Code, date and amount of each claim page. ``pages``: path, text."""
     t = F.col("text")
-    return pages.select("path", reference_code(t, CLAIM_CODES, year_part=True).alias("claim_code"),
+    return with_lines(pages).select("path", reference_code(t, CLAIM_CODES, year_part=True).alias("claim_code"),
                         best_date(t, CLAIM_DATES).alias("claim_date"),
-                        amount_by_keywords(t, CLAIM_AMOUNTS, CLAIM_EXCLUDES).alias("amount"))
+                        amount_by_keywords(F.col("lines"), CLAIM_AMOUNTS, CLAIM_EXCLUDES).alias("amount"))
 
 
 def settlement_events(pages: DataFrame) -> DataFrame:
@@ -140,13 +145,15 @@ def settlement_events(pages: DataFrame) -> DataFrame:
     t = F.col("text")
     kind = F.when(matches_any(t, CREDIT_WORDS), "credit").when(matches_any(t, PURCHASE_WORDS), "purchase")
     code = reference_code(t, SETTLEMENT_CODES)
-    d = pages.withColumn("document_type", kind).filter(F.col("document_type").isNotNull()).select(
-        "case_id", "path", "document_type", F.when(F.length(code) >= 4, code).alias("document_ref"),
-        best_date(t, SETTLEMENT_DATES).alias("event_date"),
-        F.when(F.col("document_type") == "purchase", amount_by_keywords(t, PURCHASE_AMOUNTS, SETTLEMENT_EXCLUDES))
-        .otherwise(amount_by_keywords(t, CREDIT_AMOUNTS, SETTLEMENT_EXCLUDES)).alias("amount"))
-    named = first_rows(d.filter(F.col("document_ref").isNotNull()), ["document_ref"], ["path"])
-    return named.unionByName(d.filter(F.col("document_ref").isNull()))
+    lines = F.col("lines")
+    d = staged(pages, document_type=kind).filter(F.col("document_type").isNotNull())
+    d = staged(with_lines(d), _code=code, event_date=best_date(t, SETTLEMENT_DATES), amount=F.when(
+        F.col("document_type") == "purchase", amount_by_keywords(lines, PURCHASE_AMOUNTS, SETTLEMENT_EXCLUDES))
+        .otherwise(amount_by_keywords(lines, CREDIT_AMOUNTS, SETTLEMENT_EXCLUDES))).select(
+        "case_id", "path", "document_type", F.when(F.length("_code") >= 4, F.col("_code")).alias("document_ref"), "event_date", "amount")
+    # A page without a reference is its own group.
+    key = F.coalesce(F.concat(F.lit("ref:"), F.col("document_ref")), F.concat(F.lit("page:"), F.col("path")))
+    return first_rows(d.withColumn("_key", key), ["_key"], ["path"]).drop("_key")
 
 
 def settlement_summary(events: DataFrame) -> DataFrame:
@@ -182,9 +189,8 @@ def line_items(pages: DataFrame, keys: list[str]) -> DataFrame:
     return first_rows(d.withColumn("_k", F.lower("item_description")), [*keys, "_k", "quantity", "unit_price"], ["pos"]).drop("_k")
 
 
-def page_total(text: Column) -> Column:
+def page_total(lines: Column) -> Column:
     """Total of a page: project total first, then any total, then the line below one."""
-    lines = lines_of(text)
     empty = F.array().cast("array<struct<p:int,i:int,v:decimal(18,2)>>")
 
     def candidates(line, i):
@@ -201,8 +207,8 @@ def page_total(text: Column) -> Column:
 
 def project_summary(pages: DataFrame) -> DataFrame:
     """The first page of each project gives its date and total. ``pages``: path, project_code, text."""
-    d = pages.filter(F.length("project_code") > 0).select(
-        "project_code", "path", best_date(F.col("text"), SETTLEMENT_DATES).alias("project_date"), page_total(F.col("text")).alias("total_amount"))
+    d = with_lines(pages.filter(F.length("project_code") > 0)).select(
+        "project_code", "path", best_date(F.col("text"), SETTLEMENT_DATES).alias("project_date"), page_total(F.col("lines")).alias("total_amount"))
     return first_rows(d, ["project_code"], ["path"])
 
 

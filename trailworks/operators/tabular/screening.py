@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ...functions.lists import squeeze, strip
 from ...functions.sequence import first_rows
 from ...functions.sizes import small_side
+from ...functions.staging import staged
 
 # Words shortened before names are compared.
 NAME_WORDS = (
@@ -28,20 +29,15 @@ def sorted_words(text: Column) -> Column:
     return F.array_join(F.array_sort(F.split(text, " ")), " ")
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Edit similarity in percent of the longer text."""
-    longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest == 0, 100.0).otherwise((1 - F.levenshtein(a, b) / longest) * 100.0)
-
-
-def _grams(text: Column) -> Column:
+def _with_grams(df: DataFrame, column: str, out: str) -> DataFrame:
     """Blocking keys: letter triples of each padded word, copies numbered, any word order."""
-    words = F.transform(F.split(text, " "), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+    words = F.transform(F.split(column, " "), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
     grams = F.flatten(F.transform(words, lambda w: F.transform(
         F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3)))))
+    d = staged(df, _grams=F.array_sort(grams))
     # The copy number makes the list a set, so that shared counts are multiset counts.
-    ordered = F.array_sort(grams)
-    return F.transform(ordered, lambda g, i: F.concat(g, (i - F.array_position(ordered, g)).cast("string")))
+    return d.withColumn(out, F.transform("_grams", lambda g, i: F.concat(
+        g, (i - F.array_position(F.col("_grams"), g)).cast("string")))).drop("_grams")
 
 
 def alias_index(labels: DataFrame) -> DataFrame:
@@ -63,13 +59,21 @@ def match_names(names: DataFrame, index: DataFrame, cutoff: float = CUTOFF) -> D
     d = names.select("name").distinct().withColumn("norm", normal_name(F.col("name"))).filter(F.length("norm") > 0)
     exact = d.join(index, "norm").select("name", "key", F.lit("exact").alias("method"), F.lit(100.0).alias("score"))
     open_ = d.join(index.select("norm"), "norm", "left_anti")
-    asked = open_.select("norm").distinct().select("norm", _grams(F.col("norm")).alias("tokens"))
-    known = index.select(F.col("norm").alias("candidate"), F.explode(_grams(F.col("norm"))).alias("token"))
+    asked = _with_grams(open_.select("norm").distinct(), "norm", "tokens")
+    known = _with_grams(index, "norm", "tokens").select(F.col("norm").alias("candidate"), F.explode("tokens").alias("token"))
     edits = F.floor(F.length("norm") * ((100.0 - cutoff) / cutoff) + 1e-9)
     need = F.greatest(F.lit(1), F.size("tokens") - 3 * edits).cast("int")
     pairs = candidate_pairs(asked, ["norm"], need, known, ["candidate"])
-    scored = pairs.select("norm", "candidate", similarity(F.col("norm"), F.col("candidate")).alias("plain"),
-                          similarity(sorted_words(F.col("norm")), sorted_words(F.col("candidate"))).alias("sorted"))
+    # Both sides bring their sorted words along; distances stop counting beyond the allowed edits.
+    left = staged(open_.select("norm").distinct(), s_norm=sorted_words(F.col("norm")))
+    right = staged(index.select(F.col("norm").alias("candidate")), s_candidate=sorted_words(F.col("candidate")))
+    longest = F.greatest(F.length("norm"), F.length("candidate"))
+    near = F.abs(F.length("norm") - F.length("candidate")) <= F.col("_max")
+    d2 = pairs.join(small_side(left), "norm").join(small_side(right), "candidate").withColumn(
+        "_max", F.floor(longest * (100.0 - cutoff) / 100.0 + 1e-9).cast("int")).filter(near)
+    percent = lambda n: F.when(n >= 0, (1 - n / longest) * 100.0).otherwise(0.0)
+    d2 = staged(d2, _plain=F.expr("levenshtein(norm, candidate, _max)"), _sorted=F.expr("levenshtein(s_norm, s_candidate, _max)"))
+    scored = d2.select("norm", "candidate", percent(F.col("_plain")).alias("plain"), percent(F.col("_sorted")).alias("sorted"))
     step = F.when(F.col("plain") >= cutoff, 1).when(F.col("sorted") >= cutoff, 2)
     ranked = scored.withColumn("step", step).filter(F.col("step").isNotNull()).withColumn(
         "score", F.when(F.col("step") == 1, F.col("plain")).otherwise(F.col("sorted")))

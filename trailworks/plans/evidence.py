@@ -13,6 +13,7 @@ from ..operators import memory as M
 from ..operators import retrieval as RT
 from ..operators import retry as R
 from ..operators import trajectory as TR
+from ..session import cut_lineage
 
 
 @dataclass
@@ -43,9 +44,10 @@ def extract(steps: DataFrame, attempts: DataFrame, min_cost: int = 2) -> Evidenc
 def cluster(candidates: DataFrame, vectorizer=None, threshold: float = 0.75, min_occurrences: int = 3,
             assessments: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Publishable clusters and the members of every cluster."""
-    texts = candidates.withColumn("_text", T.embedding_text(F.col("intent"), F.col("obstacle")))
+    # Candidates are read by the weighting pass, the clustering and the gate: write them once.
+    texts = cut_lineage(candidates).withColumn("_text", T.embedding_text(F.col("intent"), F.col("obstacle")))
     vectors = RT.hashed_vectors(texts, "_text", vectorizer=vectorizer).drop("_text")
-    clusters, members = CL.group_candidates(vectors, threshold)
+    clusters, members = CL.group_candidates(cut_lineage(vectors), threshold)
     gate = CL.cluster_support(members, min_occurrences).filter("publishable")
     return CL.quality_gate(clusters.join(gate, "capability_id"), assessments), members
 

@@ -363,18 +363,18 @@ def pivot_order_counts(spark, sf):
 
 @query("budget_variance", """WITH b AS (SELECT c_nationkey, c_mktsegment, sum(CAST(c_acctbal AS DECIMAL(18,2))) AS bal, count(*) AS n FROM customer GROUP BY ALL),
   e AS (SELECT o_orderkey, c_nationkey, c_mktsegment, 'Q' || quarter(o_orderdate) AS q, o_totalprice AS amount FROM orders JOIN customer ON o_custkey = c_custkey),
-  j AS (SELECT e.*, CASE WHEN q = 'Q1' THEN bal::DOUBLE WHEN q = 'Q2' THEN n * 1000.0 WHEN q = 'Q3' THEN 0.0 END AS budget_amount FROM e LEFT JOIN b USING (c_nationkey, c_mktsegment))
+  j AS (SELECT e.*, CASE WHEN q = 'Q1' THEN bal::DOUBLE WHEN q = 'Q2' THEN n * 777.0 WHEN q = 'Q3' THEN 0.0 END AS budget_amount FROM e LEFT JOIN b USING (c_nationkey, c_mktsegment))
   SELECT o_orderkey, q AS fiscal_quarter, round(budget_amount, 2) AS budget_amount, round(amount - budget_amount, 2) AS variance,
-    CASE WHEN budget_amount <> 0 THEN round(amount / budget_amount, 6) END AS utilization_pct FROM j""")
+    CASE WHEN budget_amount <> 0 THEN round(amount / budget_amount, 8) END AS utilization_pct FROM j""")
 def budget_variance(spark, sf):
     c = table(spark, sf, "customer")
     wide = c.groupBy("c_nationkey", "c_mktsegment").agg(
-        F.sum(F.col("c_acctbal").cast(MONEY)).cast("double").alias("Q1_BUDGET"), (F.count(F.lit(1)) * 1000.0).alias("Q2_BUDGET"), F.lit(0.0).alias("Q3_BUDGET"))
+        F.sum(F.col("c_acctbal").cast(MONEY)).cast("double").alias("Q1_BUDGET"), (F.count(F.lit(1)) * 777.0).alias("Q2_BUDGET"), F.lit(0.0).alias("Q3_BUDGET"))
     long = pivot.budget_long(wide, ["c_nationkey", "c_mktsegment"], ["Q1_BUDGET", "Q2_BUDGET", "Q3_BUDGET"])
     o = table(spark, sf, "orders")
     e = o.join(c, o["o_custkey"] == c["c_custkey"]).select("o_orderkey", "c_nationkey", "c_mktsegment", F.concat(F.lit("Q"), F.quarter("o_orderdate").cast("string")).alias("fiscal_quarter"), F.col("o_totalprice").alias("amount"))
     return pivot.budget_variance(e, long, ["c_nationkey", "c_mktsegment", "fiscal_quarter"]).select(
-        "o_orderkey", "fiscal_quarter", F.round("budget_amount", 2).alias("budget_amount"), F.round("variance", 2).alias("variance"), F.round("utilization_pct", 6).alias("utilization_pct"))
+        "o_orderkey", "fiscal_quarter", F.round("budget_amount", 2).alias("budget_amount"), F.round("variance", 2).alias("variance"), F.round("utilization_pct", 8).alias("utilization_pct"))
 
 
 @query("derived_measures", """WITH d AS (SELECT p_brand, l_quantity, p_retailprice, l_extendedprice, l_discount, l_tax, l_shipdate, o_orderdate FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey)
@@ -739,9 +739,9 @@ COMP_SQL = """r AS (SELECT c_custkey AS emp_id, year, abs(c_acctbal) * 10 * rais
   q AS (SELECT *, CASE WHEN t >= 20 THEN 25000 WHEN t >= 16 THEN 16000 WHEN t >= 11 THEN 10000 WHEN t >= 6 THEN 6000 WHEN t >= 3 THEN 2500 ELSE 0 END / 4.0 AS loyalty FROM r)"""
 
 
-@query("compensation_rows", f"WITH {COMP_SQL} SELECT emp_id, year, round(base_salary, 3) AS base_salary, flight_pay, per_diem::DOUBLE AS per_diem, loyalty::DOUBLE AS loyalty, round(base_salary + flight_pay + per_diem + 200 + 100 + loyalty, 3)::DOUBLE AS total FROM q")
+@query("compensation_rows", f"WITH {COMP_SQL} SELECT emp_id, year, round(base_salary, 6) AS base_salary, flight_pay, per_diem::DOUBLE AS per_diem, loyalty::DOUBLE AS loyalty, round(base_salary + flight_pay + per_diem + 200 + 100 + loyalty, 6)::DOUBLE AS total FROM q")
 def compensation_rows(spark, sf):
-    return _compensation(spark, sf).select("emp_id", "year", F.round("base_salary", 3).alias("base_salary"), "flight_pay", "per_diem", "loyalty", F.round("total", 3).alias("total"))
+    return _compensation(spark, sf).select("emp_id", "year", F.round("base_salary", 6).alias("base_salary"), "flight_pay", "per_diem", "loyalty", F.round("total", 6).alias("total"))
 
 
 @query("compensation_totals", f"""WITH {COMP_SQL}, t AS (SELECT year, sum(base_salary + flight_pay + per_diem + 300 + loyalty) AS total FROM q GROUP BY 1)

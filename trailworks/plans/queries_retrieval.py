@@ -27,7 +27,7 @@ BM25_SQL = f"""dt AS (SELECT doc_id, {sql_tokens("text")} AS toks FROM docs),
  qk AS (SELECT item_id, token, count(*) AS qtf FROM (SELECT item_id, unnest(toks) AS token FROM qt) GROUP BY ALL),
  sc AS (SELECT item_id, doc_id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / greatest(1.0, avgdl)))) AS raw, count(*) AS matched
    FROM qk JOIN po USING (token) JOIN dfs USING (token) CROSS JOIN st GROUP BY item_id, doc_id)"""
-RANK = """QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sc_ DESC, record_id) <= 10"""
+RANK = """QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(sc_, 9) DESC, record_id) <= 10"""
 
 
 def _queries(spark, sf, vectors: bool):
@@ -49,7 +49,7 @@ def _records(spark, sf, vectors: bool):
 @query("lexical_search", f"""WITH docs AS (SELECT * FROM documents), {BM25_SQL},
  f AS (SELECT item_id AS query_id, doc_id AS record_id, raw / (raw + 2.0) AS lex, matched / n_terms::DOUBLE AS cov, 0.25 * raw / (raw + 2.0) AS sc_ FROM sc JOIN qs USING (item_id)
    WHERE raw / (raw + 2.0) >= 0.2 AND matched / n_terms::DOUBLE >= 0.5 AND matched >= CASE WHEN n_terms <= 2 THEN 1 ELSE 2 END)
- SELECT query_id, record_id, row_number() OVER (PARTITION BY query_id ORDER BY sc_ DESC, record_id)::INTEGER AS rank, round(sc_, 5) AS score, round(cov, 6) AS lexical_coverage, 'lexical_exact' AS match_mode
+ SELECT query_id, record_id, row_number() OVER (PARTITION BY query_id ORDER BY round(sc_, 9) DESC, record_id)::INTEGER AS rank, round(sc_, 5) AS score, round(cov, 6) AS lexical_coverage, 'lexical_exact' AS match_mode
  FROM f {RANK}""")
 def lexical_search(spark, sf):
     d = RT.scored_matches(_records(spark, sf, False), _queries(spark, sf, False), 10)

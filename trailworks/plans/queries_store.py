@@ -12,7 +12,7 @@ from ..operators import policies as P
 from ..operators import retry as R
 from ..operators import splits as SP
 from ..operators import trajectory as TR
-from ..session import shared_folder
+from ..session import cut_lineage, shared_folder
 from ..streaming import jobs as ST
 from . import evidence as EV
 from . import views as V
@@ -145,7 +145,7 @@ def store_migration(spark, sf):
 
 def _lineage(spark, sf):
     """Published lineage: every candidate of a passing attempt, its resolution kept only for odd weeks."""
-    c = TR.span_candidates(V.calls(spark, sf), V.attempts(spark, sf))
+    c = cut_lineage(TR.span_candidates(V.calls(spark, sf), V.attempts(spark, sf)))
     rec = M.policy_candidate_records(c)
     ev = c.filter("evidence_label = 'verified_success'").select(
         T.task_fingerprint(F.col("task_name")).alias("task_fingerprint"), F.col("evidence_source").alias("source"), F.col("evidence_label").alias("label"), "retry_outcome",
@@ -165,7 +165,13 @@ def lineage_matches(spark, sf):
     return M.lineage_matches(rec.withColumnRenamed("evidence_source", "source"), ev)
 
 
-@query("store_backfill", f"""WITH {LINEAGE_SQL} SELECT (SELECT count(*) FROM lm WHERE mode = 'exact_resolution') AS exact_resolution_candidates, (SELECT count(*) FROM lm WHERE mode <> 'exact_resolution') AS trajectory_provenance_candidates,
+BACKFILL_SQL = V.merge_ctes(LINEAGE_SQL.split("\nlm AS (")[0].rstrip().rstrip(","), """
+last AS (SELECT * FROM pc QUALIFY row_number() OVER (PARTITION BY memory_id ORDER BY candidate_id DESC) = 1),
+lm AS (SELECT memory_id, CASE WHEN EXISTS (SELECT 1 FROM lin l WHERE l.task_name = last.task_name AND l.resolution = last.resolution) THEN 'exact_resolution' ELSE 'trajectory_provenance' END AS mode
+  FROM last WHERE evidence_label = 'verified_success' AND task_name IN (SELECT task_name FROM lin))""")
+
+
+@query("store_backfill", f"""WITH {BACKFILL_SQL} SELECT (SELECT count(*) FROM lm WHERE mode = 'exact_resolution') AS exact_resolution_candidates, (SELECT count(*) FROM lm WHERE mode <> 'exact_resolution') AS trajectory_provenance_candidates,
  (SELECT count(DISTINCT memory_id) FROM pc) AS policy_candidates""")
 def store_backfill(spark, sf):
     rec, ev = _lineage(spark, sf)
