@@ -40,6 +40,11 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack(vectors.map(lambda v: np.asarray(v, dtype=np.float32)).to_list())
 
 
+def _plain_text(frame: pd.DataFrame) -> pd.DataFrame:
+    """Text columns as objects: Arrow-backed text in several chunks is not accepted back."""
+    return frame.astype({c: object for c in (*POOL, "fingerprint")})
+
+
 def _full_matches(batch: DataFrame, placed: DataFrame, threshold: float) -> DataFrame:
     """Clusters all of whose placed members are close to a point of the batch.
 
@@ -68,7 +73,7 @@ def _full_matches(batch: DataFrame, placed: DataFrame, threshold: float) -> Data
         frame = pd.DataFrame(out)
         frame.insert(0, POOL[1], key[1])
         frame.insert(0, POOL[0], key[0])
-        return frame
+        return _plain_text(frame)
 
     schema = "task_family string, candidate_kind string, fingerprint string, cluster long, passed long"
     partial = spread.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInPandas(compare, schema)
@@ -100,7 +105,7 @@ def _place(threshold: float, first_cluster: int):
                 fresh.append(chosen)
             grown.setdefault(chosen, []).append(i)
             result[i] = chosen
-        return pdf.drop(columns=["open"]).assign(cluster=result)
+        return _plain_text(pdf.drop(columns=["open"]).assign(cluster=result))
     return run
 
 

@@ -149,7 +149,8 @@ def _choose(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([{
         "family": s["row"].family, "policy_id": s["row"].policy_id, "pos": s["row"].pos,
         "trigger": s["row"].trigger, "active": s["row"].active, "support": s["row"].support,
-        "tokens": list(s["row"].tokens), "slot": s["no"]} for s in slots])
+        "tokens": list(s["row"].tokens), "slot": s["no"]} for s in slots]).astype(
+        {c: object for c in ("family", "policy_id", "trigger")})
 
 
 SLOT_SCHEMA = ("family string, policy_id string, pos long, trigger string, active boolean, "

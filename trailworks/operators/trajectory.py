@@ -19,6 +19,8 @@ from ..functions.staging import staged
 from ..functions.sequence import first_rows, following_within, running_sum, step_chunk
 
 ATTEMPT = ["task_family", "task_name", "attempt_number"]
+CALL = [*ATTEMPT, "step_idx", "tool_name", "command", "description", "input_files", "output_files",
+        "success", "error_message"]
 
 
 def tool_calls(steps: DataFrame) -> DataFrame:

@@ -27,10 +27,10 @@ class Evidence:
 def extract(steps: DataFrame, attempts: DataFrame, min_cost: int = 2) -> Evidence:
     """K4: candidates of one batch from spans, reflections, passing substeps and rejections.
 
-    The tool calls feed five consumers; a job writes them to a table first or persists them.
+    Tool calls feed five consumers and their normalized form two, so the latter is written once.
     """
-    calls = TR.tool_calls(steps)
-    events = TR.normalized_events(calls)
+    events = cut_lineage(TR.normalized_events(TR.tool_calls(steps)))
+    calls = events.select(*TR.CALL)
     links = R.retry_links(attempts)
     unique = TR.distinct_substeps(TR.substeps(events), attempts)
     candidates = (

@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..operators import retry as R
 from ..operators import sampling as S
 from ..operators import trajectory as TR
+from . import evidence as EV
 from . import views as V
 from .catalog import query
 
@@ -404,14 +405,7 @@ def reflection_candidates(spark, sf):
 
 def all_candidates(spark, sf):
     """K4: spans, reflections, substeps of passing attempts and final rejections."""
-    calls, att = V.calls(spark, sf), V.attempts(spark, sf)
-    subs = TR.distinct_substeps(TR.substeps(TR.normalized_events(calls)), att)
-    parts = [TR.span_candidates(calls, att), R.reflection_candidates(calls, R.retry_links(att)),
-             TR.substep_candidates(subs), TR.rejection_candidates(calls, att)]
-    d = parts[0]
-    for p in parts[1:]:
-        d = d.unionByName(p)
-    return d
+    return EV.extract(V.steps(spark, sf), V.attempts(spark, sf)).candidates
 
 
 KINDS_SQL = V.merge_ctes(CANDIDATES_SQL, UNIQUE_SQL, LINKS_SQL, f"""
