@@ -46,10 +46,16 @@ def target(paths: Column, fallback: Column) -> Column:
         non_empty(F.substring(masked, 1, 80)))
 
 
-def bash_action(command: Column, written: Column) -> Column:
-    """Action family of a shell command, first matching rule wins. ``written``: P5 of it."""
-    cmd = strip(F.coalesce(command, F.lit("")))
-    low = F.lower(cmd)
+def plain_command(command: Column) -> Column:
+    """Lower-case command without outer white space; stage it, every rule below reads it."""
+    return F.lower(strip(F.coalesce(command, F.lit(""))))
+
+
+def bash_action(low: Column, written: Column) -> Column:
+    """Action family of a shell command, first matching rule wins.
+
+    ``low``: ``plain_command`` of it, ``written``: P5 of it.
+    """
     first = F.regexp_extract(low, r"(?U)^\s*(\S+)", 1)
     start = r"(?U)(^|[;&|]\s*)"
     writes = F.size(written) > 0
@@ -79,10 +85,10 @@ def bash_action(command: Column, written: Column) -> Column:
     ], "other_command")
 
 
-def tool_action(tool: Column, command: Column, written: Column) -> Column:
+def tool_action(tool: Column, low: Column, written: Column) -> Column:
     """P10: action before the failure remap."""
     return (
-        F.when(tool == "Bash", bash_action(command, written))
+        F.when(tool == "Bash", bash_action(low, written))
         .when(tool.isin("Read", "NotebookRead"), "read_file")
         .when(tool == "Edit", "edit_file")
         .when(tool.isin("Write", "NotebookEdit"), "write_file")
@@ -102,10 +108,10 @@ def target_paths(tool: Column, paths: Column, written: Column, inputs: Column, o
     )
 
 
-def target_fallback(tool: Column, command: Column, description: Column, paths: Column, action: Column) -> Column:
+def target_fallback(tool: Column, low: Column, description: Column, paths: Column, action: Column) -> Column:
     """Text used without files; null where no target is wanted."""
     unknown = action == "other_command"
-    text = F.lower(strip(F.coalesce(command, F.lit(""))))
+    text = low
     return (
         F.when(tool != "Bash", description)
         .when(unknown & (F.size(paths) == 0), F.lit(None).cast("string"))

@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _quote(word: str) -> str:
+    return "".join(c if c.isalnum() or c in " _" else "\\" + c for c in word)
+
+
 def contains_any(text: Column, words) -> Column:
-    """True where the text contains at least one of the words."""
-    return reduce(or_, [text.contains(w) for w in words])
+    """True where the text contains at least one of the words: one scan, one pattern."""
+    return text.rlike("|".join(_quote(w) for w in words))
 
 
 def matches_any(text: Column, patterns) -> Column:
-    return reduce(or_, [text.rlike(p) for p in patterns])
+    return text.rlike("|".join(f"(?:{p})" for p in patterns))
 
 
 def extract_all(text: Column, pattern: str, group: int = 0) -> Column:

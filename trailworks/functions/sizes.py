@@ -15,3 +15,13 @@ def small_side(df: DataFrame, limit: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return F.broadcast(df) if size <= limit else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use every core on a small input.
+
+    An input with fewer partitions than cores (one file, one row group) would be worked on by
+    few tasks. Large inputs have many more partitions than cores and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

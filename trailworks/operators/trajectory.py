@@ -70,13 +70,14 @@ def normalized_events(calls: DataFrame) -> DataFrame:
     tool, cmd = F.col("tool_name"), F.col("command")
     none = F.array().cast("array<string>")
     d = staged(calls, _paths=F.when(tool == "Bash", C.file_paths(cmd)).otherwise(none),
-               _written=F.when(tool == "Bash", C.written_paths(cmd)).otherwise(none))
-    d = staged(d, _action=C.tool_action(tool, cmd, F.col("_written")))
+               _written=F.when(tool == "Bash", C.written_paths(cmd)).otherwise(none),
+               _low=C.plain_command(cmd))
+    d = staged(d, _action=C.tool_action(tool, F.col("_low"), F.col("_written")))
     d = staged(
         d, action=C.action_after_failure(F.col("_action"), F.col("success")),
         target=C.target(
             C.target_paths(tool, F.col("_paths"), F.col("_written"), F.col("input_files"), F.col("output_files"), F.col("_action")),
-            C.target_fallback(tool, cmd, F.col("description"), F.col("_paths"), F.col("_action"))))
+            C.target_fallback(tool, F.col("_low"), F.col("description"), F.col("_paths"), F.col("_action"))))
     return d.select(
         *ATTEMPT, "step_idx", "tool_name", "command", "description", "input_files", "output_files",
         "success", "error_message",

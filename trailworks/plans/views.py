@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequence import numbered  # noqa: F401
+from ..functions.sizes import spread
 from ..operators import trajectory as TR
 
 # --- Fixed values: texts of the step view ---------------------------------------------------
@@ -50,8 +51,12 @@ MESSAGES = (
 FILES = ("input.csv", "report.xlsx", "cfg.json", "notes.md", "scan.pdf")
 
 
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    d = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(d, TEXT_TABLES[name]) if name in TEXT_TABLES else d
 
 
 def _pick(values: tuple[str, ...], k: Column) -> Column:
