@@ -185,3 +185,11 @@ def test_streams_merge_and_join(spark, tmp_path):
     ST.ingest_calls(ST.read_log_stream(spark, str(tmp_path / "logs")), str(tmp_path / "calls"), str(tmp_path / "ck3")).awaitTermination()
     row = spark.read.parquet(str(tmp_path / "calls")).first()
     assert (row.tool_name, row.result_text, row.is_error) == ("Bash", "out", False)
+
+
+def test_workflow_estimate_counts_versions_without_file_changes(spark):
+    files = spark.createDataFrame([("v1", "a.md", "x"), ("v2", "a.md", "x"), ("v3", "a.md", "y")], "version string, path string, sha string")
+    versions = spark.createDataFrame([("v0", None), ("v1", "v0"), ("v2", "v1"), ("v3", "v2")], "version string, parent_version string")
+    updates = spark.createDataFrame([("v2",), ("v2",), ("v3",)], "version string")
+    row = P.workflow_estimate(updates, versions, files).first()
+    assert (row.workflow_update_records, row.workflow_only_version_estimate) == (3, 1)

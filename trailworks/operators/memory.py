@@ -118,15 +118,15 @@ def mark_compiled(memories: DataFrame, candidates: DataFrame, compiled: DataFram
 
 
 def store_counts(memories: DataFrame, candidates: DataFrame) -> DataFrame:
-    """A4"""
-    r = F.col("representation")
-    n = F.count(F.lit(1))
-    m = memories.agg(n.alias("total"), F.count_if(r == "memory").alias("unpromoted"),
-                     F.count_if(r == MEMORY_PROMOTED).alias("skill_factored"))
-    c = candidates.agg(n.alias("policy_candidates"), F.count_if(r == "candidate").alias("pending_policy_candidates"),
-                       F.count_if(r == CANDIDATE_PROMOTED).alias("compiled_policy_candidates"))
-    # Both sides are single rows.
-    return m.crossJoin(c)
+    """A4: both tables in one aggregate."""
+    both = memories.select(F.lit(True).alias("mem"), "representation").unionByName(
+        candidates.select(F.lit(False).alias("mem"), "representation"))
+    m, c, r = F.col("mem"), ~F.col("mem"), F.col("representation")
+    return both.agg(
+        F.count_if(m).alias("total"), F.count_if(m & (r == "memory")).alias("unpromoted"),
+        F.count_if(m & (r == MEMORY_PROMOTED)).alias("skill_factored"), F.count_if(c).alias("policy_candidates"),
+        F.count_if(c & (r == "candidate")).alias("pending_policy_candidates"),
+        F.count_if(c & (r == CANDIDATE_PROMOTED)).alias("compiled_policy_candidates"))
 
 
 def pending_candidates(candidates: DataFrame) -> DataFrame:
@@ -215,10 +215,11 @@ def backfill(records: DataFrame, memories: DataFrame, evidence: DataFrame) -> tu
     matches = lineage_matches(
         records.withColumnRenamed("evidence_source", "source"), evidence)
     mem, cand = mark_compiled(memories, records, matches.select(F.col("memory_id").alias("id")))
-    counts = matches.agg(
-        F.count_if(F.col("mode") == "exact_resolution").alias("exact_resolution_candidates"),
-        F.count_if(F.col("mode") == "trajectory_provenance").alias("trajectory_provenance_candidates"))
-    sizes = mem.agg(F.count(F.lit(1)).alias("retrieval_memories")).crossJoin(
-        cand.agg(F.count(F.lit(1)).alias("policy_candidates"))).crossJoin(
-        evidence.agg(F.count(F.lit(1)).alias("lineage_evidence")))
-    return mem, cand, counts.crossJoin(sizes)   # single rows
+    tag = lambda d, name: d.select(name.alias("what"))
+    rows = tag(matches, F.col("mode")).unionByName(tag(mem, F.lit("memory"))).unionByName(
+        tag(cand, F.lit("candidate"))).unionByName(tag(evidence, F.lit("evidence")))
+    n = lambda what: F.count_if(F.col("what") == what)
+    return mem, cand, rows.agg(
+        n("exact_resolution").alias("exact_resolution_candidates"),
+        n("trajectory_provenance").alias("trajectory_provenance_candidates"),
+        n("memory").alias("retrieval_memories"), n("candidate").alias("policy_candidates"), n("evidence").alias("lineage_evidence"))

@@ -287,5 +287,6 @@ def rank_policies(policies: DataFrame, limit: int) -> DataFrame:
 def workflow_estimate(updates: DataFrame, versions: DataFrame, files: DataFrame) -> DataFrame:
     """Audit counters: workflow update records and versions that changed nothing else."""
     same = unchanged_versions(files, versions.join(updates.select("version").distinct(), "version", "left_semi"))
-    return updates.agg(F.count(F.lit(1)).alias("workflow_update_records")).crossJoin(
-        same.agg(F.count_if("workflow_only").alias("workflow_only_version_estimate")))   # single rows
+    rows = updates.select(F.lit("update").alias("what")).unionByName(same.filter("workflow_only").select(F.lit("same").alias("what")))
+    return rows.agg(F.count_if(F.col("what") == "update").alias("workflow_update_records"),
+                    F.count_if(F.col("what") == "same").alias("workflow_only_version_estimate"))

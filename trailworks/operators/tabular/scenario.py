@@ -13,6 +13,12 @@ LOYALTY_TIERS = ((20, "Diamond", 25000.0), (16, "Platinum", 16000.0), (11, "Gold
 PER_DIEM_RATE, PER_DIEM_DAYS, MIN_ATTENDANCE = 75.0, 200, 0.85
 
 
+def _with_parameters(df: DataFrame, rows: list[tuple], names: list[str]) -> DataFrame:
+    """Each row once per parameter set; the sets are literals of the plan, not a second table."""
+    sets = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r)]) for r in rows])
+    return df.select("*", F.inline(sets))
+
+
 def open_campaigns(campaigns: DataFrame, holds: DataFrame, flag: str = "review") -> DataFrame:
     """Campaigns under review that are not on hold."""
     held = holds.filter(F.col("suspension_status") == "hold").select("campaign_id")
@@ -32,13 +38,13 @@ def clinic_overrides(overrides: DataFrame) -> DataFrame:
     return overrides.filter(ok).groupBy("campaign_id").agg(F.max_by("active_clinics", "revision").alias("override_clinics"))
 
 
-def margins(campaigns: DataFrame, scenarios: DataFrame) -> DataFrame:
+def margins(campaigns: DataFrame, scenarios: list[tuple[str, int, int]]) -> DataFrame:
     """Yearly cost, revenue and margin per campaign and scenario.
 
     ``campaigns``: campaign_id, clinics, payment, unit_cost, doses_per_day, crate_cost.
-    ``scenarios``: scenario, days, dispatches - a handful of named cadences.
+    ``scenarios``: (name, days, dispatches), a handful of cadences.
     """
-    d = campaigns.join(small_side(scenarios))
+    d = _with_parameters(campaigns, scenarios, ["scenario", "days", "dispatches"])
     size = F.col("clinics") * F.col("dispatches")
     drug = F.col("unit_cost") * F.col("doses_per_day") * F.col("days") * size / 1000.0
     crate, revenue = F.col("crate_cost") * size, F.col("payment") * size
@@ -56,13 +62,13 @@ def margin_decision(rows: DataFrame, base: str, other: str, threshold: float) ->
                     F.when(F.abs(diff) < threshold, f"move_to_{other}").otherwise(f"keep_{base}").alias("decision"))
 
 
-def compensation(roster: DataFrame, years: DataFrame) -> DataFrame:
+def compensation(roster: DataFrame, years: list[tuple[int, float, float]]) -> DataFrame:
     """Quarterly components per employee and year.
 
     ``roster``: emp_id, base_salary, block_hours, hotel, uniform, attendance, years_of_service.
-    ``years``: year (0, 1, 2), raise, fpp_rate - the model years. Tenure grows with the year.
+    ``years``: (year from 0, raise, flight pay rate) of the model years. Tenure grows with the year.
     """
-    d = roster.join(small_side(years))
+    d = _with_parameters(roster, years, ["year", "raise", "fpp_rate"])
     tenure = F.col("years_of_service") + F.col("year")
     bonus = F.lit(0.0)
     for least, _, amount in reversed(LOYALTY_TIERS):

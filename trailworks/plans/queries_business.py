@@ -702,8 +702,7 @@ def _campaigns(spark, sf):
         F.col("l_partkey").alias("campaign_id"), F.struct("l_linenumber", "l_suppkey").alias("revision"), F.when(F.col("l_returnflag") == "A", "approved").otherwise("draft").alias("state"), (F.col("l_suppkey") % 9 + 1).cast("int").alias("active_clinics")))
     d = open_.join(pay, "campaign_id").join(over, "campaign_id", "left").select(
         "campaign_id", F.coalesce("override_clinics", "p_size").alias("clinics"), "payment", F.col("p_retailprice").alias("unit_cost"), F.lit(2.0).alias("doses_per_day"), F.lit(5.0).alias("crate_cost"))
-    cadences = spark.createDataFrame([("6_day", 6, 60), ("12_day", 12, 30)], "scenario string, days int, dispatches int")
-    return scenario.margins(d, cadences)
+    return scenario.margins(d, [("6_day", 6, 60), ("12_day", 12, 30)])
 
 
 MARGIN_SQL = """o AS (SELECT * FROM part WHERE p_type <> 'PROMO' AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity * l_linenumber >= 343)),
@@ -730,8 +729,7 @@ def _compensation(spark, sf):
     c = table(spark, sf, "customer")
     roster = c.select(F.col("c_custkey").alias("emp_id"), (F.abs("c_acctbal") * 10).alias("base_salary"), (F.col("c_nationkey") * 40.0).alias("block_hours"), F.lit(800.0).alias("hotel"), F.lit(400.0).alias("uniform"),
                       F.when(F.col("c_mktsegment") == "BUILDING", 0.8).otherwise(0.9).alias("attendance"), F.col("c_nationkey").alias("years_of_service"))
-    years = spark.createDataFrame([(0, 1.0, 20.0), (1, 1.25, 21.0), (2, 1.5, 22.0)], "year int, raise double, fpp_rate double")
-    return scenario.compensation(roster, years)
+    return scenario.compensation(roster, [(0, 1.0, 20.0), (1, 1.25, 21.0), (2, 1.5, 22.0)])
 
 
 COMP_SQL = """r AS (SELECT c_custkey AS emp_id, year, abs(c_acctbal) * 10 * raise / 4 AS base_salary, c_nationkey * 40.0::DOUBLE * fpp / 4 AS flight_pay, CASE WHEN c_mktsegment = 'BUILDING' THEN 0.0 ELSE 75.0 * 200 / 4 END AS per_diem, c_nationkey + year AS t
