@@ -16,6 +16,7 @@ from ..functions import errors as E
 from ..functions import fixed as X
 from ..functions.lists import contains_any, non_empty, strip
 from ..functions.staging import staged
+from ..functions.text import usage
 from ..functions.sequence import first_rows, following_within, running_sum, step_chunk
 
 ATTEMPT = ["task_family", "task_name", "attempt_number"]
@@ -58,6 +59,29 @@ def tool_calls(steps: DataFrame) -> DataFrame:
     )
 
 
+def attempt_usage(steps: DataFrame, text: Column | None = None) -> DataFrame:
+    """P23 per attempt, long form: what an attempt used, with the step that first named it.
+
+    ``text``: what is searched; by default message, arguments and result of a step as JSON.
+    """
+    body = F.to_json(F.struct("message", "args", "result_text")) if text is None else text
+    d = staged(steps, _u=usage(body))
+    kinds = ("skills", "policies", "implementations", "scripts", "memories")
+
+    def tagged(kind: str) -> Column:
+        return F.transform(F.col(f"_u.{kind}"), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("used_id")))
+
+    named = F.flatten(F.array(*[tagged(k) for k in kinds]))
+    return d.select(*ATTEMPT, "step_idx", F.inline(named)).groupBy(*ATTEMPT, "kind", "used_id").agg(
+        F.min("step_idx").alias("first_step"))
+
+
+def memory_queries(steps: DataFrame, text: Column | None = None) -> DataFrame:
+    """Number of memory look-ups per attempt."""
+    body = F.to_json(F.struct("message", "args", "result_text")) if text is None else text
+    return steps.groupBy(*ATTEMPT).agg(F.sum(usage(body)["memory_queries"]).alias("memory_query_count"))
+
+
 def error_events(calls: DataFrame) -> DataFrame:
     """Failed calls with the trace error label."""
     return calls.filter(~F.col("success")).select(

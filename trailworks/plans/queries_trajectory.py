@@ -484,3 +484,21 @@ def step_usage(spark, sf):
     d = V.steps(spark, sf).withColumn("u", T.usage(text))
     return d.select(*TR.ATTEMPT, "step_idx", F.get("u.scripts", 0).alias("script"), F.get("u.policies", 0).alias("policy"),
                     F.col("u.memory_queries").cast("long").alias("memory_queries"))
+
+
+def _usage_text():
+    k = F.col("k")
+    return (F.when(k < 20, F.concat(F.lit("python scripts/capabilities/fix_"), k.cast("string"), F.lit(".py")))
+            .when(k < 50, F.concat(F.lit("read references/policies/rule-"), (k % 5).cast("string"), F.lit(".md")))
+            .when(k < 60, "mcp__experience_memory__search_memories").otherwise("x"))
+
+
+@query("attempt_usage", f"""WITH {V.STEPS_SQL}, u AS (SELECT *, CASE WHEN k < 20 THEN 'scripts' ELSE 'policies' END AS kind, CASE WHEN k < 20 THEN 'fix_' || k || '.py' ELSE 'rule-' || (k % 5) END AS used_id FROM steps WHERE k < 50)
+SELECT {A}, kind, used_id, min(step_idx) AS first_step FROM u GROUP BY ALL""")
+def attempt_usage(spark, sf):
+    return TR.attempt_usage(V.steps(spark, sf), _usage_text())
+
+
+@query("memory_query_counts", f"""WITH {V.STEPS_SQL} SELECT {A}, count(*) FILTER (k >= 50 AND k < 60) AS memory_query_count FROM steps GROUP BY {A}""")
+def memory_query_counts(spark, sf):
+    return TR.memory_queries(V.steps(spark, sf), _usage_text())
