@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import contaminated
 from .near_dedup import near_duplicates
+from .quality import quality_scores
+from .secrets import secret_report
+from .substring_dedup import substring_dedup
 from .tables import documents
+from .token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -40,3 +46,66 @@ SELECT r.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.c) AS component_id, r.doc
 FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id, n.n""")
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), size=4, percent=80)
+
+
+@query("op1_token_counts")
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op3_decontamination")
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query("op4_quality")
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query("op5_substring_dedup", f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORD}) AS w FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS s, w FROM w WHERE len(w) >= 20),
+t AS (SELECT doc_id, s, row_number() OVER (PARTITION BY array_to_string(w[s:s + 19], ' ') ORDER BY doc_id, s) AS turn FROM s),
+g AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS k FROM t WHERE turn > 1),
+x AS (SELECT doc_id, list(k) AS gone FROM g GROUP BY doc_id)
+SELECT w.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: list_contains(gone, i) = false),
+    lambda i: w[i]) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN x ON x.doc_id = w.doc_id""")
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(documents(spark, sf_dir), with_text=False)
+
+
+def _either_case(words: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in words)
+
+
+def _secret_sql() -> str:
+    names = _either_case("password|passwd|secret|token|api_?key")
+    kinds = [
+        ("assign", rf"({names})[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 2, 6), ("access", "AKIA[A-Z0-9]+", 0, 20),
+        ("hex", "[0-9a-f]+", 0, 24), ("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+        ("forge_token", "gh[pousr]_[A-Za-z0-9]{{36}}".replace("{{", "{").replace("}}", "}"), 0, 1),
+        ("chat_token", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1), ("cloud_key", "AIza[A-Za-z0-9_-]{35}", 0, 1)]
+    parts = []
+    for k, (kind, pattern, group, least) in enumerate(kinds):
+        parts.append(f"""SELECT doc_id, {k} AS k, '{kind}' AS kind, unnest(range(1, len(m) + 1)) AS i, m, g, p, {least} AS least FROM (
+  SELECT doc_id, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {group}) AS g,
+    string_split_regex(t, '{pattern}') AS p FROM d) WHERE len(m) > 0""")
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+a AS ({" UNION ALL ".join(parts)}),
+b AS (SELECT doc_id, k, kind, length(g[i]) AS n, least,
+  coalesce(list_sum(list_transform(p[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS s,
+  length(m[i]) AS size FROM a),
+c AS (SELECT doc_id, k, s, kind || ':' || s::BIGINT || ':' || (s + size)::BIGINT AS span FROM b WHERE n >= least),
+e AS (SELECT doc_id, count(*) FILTER (k = 0) AS n0, count(*) FILTER (k = 1) AS n1, count(*) FILTER (k = 2) AS n2,
+  string_agg(span, ',' ORDER BY s, k) FILTER (k < 3) AS base, string_agg(span, ',' ORDER BY s, k) AS every FROM c GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans FROM d LEFT JOIN e ON e.doc_id = d.doc_id"""
+
+
+@query("op10_secrets", _secret_sql())
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(documents(spark, sf_dir))
