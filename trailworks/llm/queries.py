@@ -9,11 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import contaminated
 from .near_dedup import near_duplicates
+from .personal_data import personal_data
+from .pieces_bpe import round_trip
 from .quality import quality_scores
 from .secrets import secret_report
+from .sharding import shard_report
 from .substring_dedup import substring_dedup
 from .tables import documents
 from .token_counts import token_counts
+from .topk import exact_top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -109,3 +113,30 @@ SELECT d.doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coale
 @query("op10_secrets", _secret_sql())
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(documents(spark, sf_dir))
+
+
+@query("op2_encode_decode")
+def op2_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op6_sharding")
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_report(documents(spark, sf_dir))
+
+
+@query("op8_personal_data")
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(documents(spark, sf_dir))
+
+
+@query("op9_top_k", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 10""")
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
