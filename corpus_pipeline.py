@@ -1,23 +1,58 @@
-"""A corpus pipeline in stages; each is written as Parquet and reread as the next one's documents."""
+"""A corpus pipeline in stages; each is written as Parquet and reread as the next one's documents.
+
+Counted as part of the subpackage ``trailworks.llm``. Rows without a doc_id go through every stage; the
+near-duplicate stage neither compares nor drops them.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailworks.llm.decontaminate import without_items
 from trailworks.llm.near_dedup import near_duplicates
+from trailworks.llm.personal_data import redacted
+from trailworks.llm.pieces_bpe import round_trip
+from trailworks.llm.quality import accepted
 from trailworks.llm.tables import documents, stored
 
 
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest doc_id."""
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score is below 0.7 go."""
+    return accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five words, 0.8) stays: the one with the smallest doc_id."""
     gone = near_duplicates(docs, size=5, percent=80).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return without_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in texts gives way to its kind in brackets; n_chars follows the text."""
+    return redacted(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Number of tokens and digests of ids, decoded text and source spans of each document."""
+    return round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
-STAGES = [("near_duplicates", drop_near_duplicates)]
+STAGES = [
+    ("quality", keep_good),
+    ("near_duplicates", keep_one_of_each),
+    ("decontamination", drop_contaminated),
+    ("personal_data", hide_personal_data),
+    ("encoding", encode),
+]
 
-#: No stage list with a model and loopy inference has a SQL form; tests hold the stages against brute force.
+#: A learned model, loopy inference and byte-pair encoding have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -207,17 +207,44 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK
     does not hold it. Rows without a doc_id are searched and returned with a null; rows that repeat a
     doc_id are searched each and give one row for each item. Further columns are ignored.
     """
-    rows = benchmark.where("item_id is not null and length(trim(text)) > 0").select(F.col("item_id").cast("long"), "text")
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = 1 + int(total) // block_bytes
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     kinds = "doc_id long, item_id long, edits int, first_word long, n_words int"
+    found = [_one_block(docs, rows, kinds) for rows in _blocks(benchmark, block_bytes)]
+    if len(found) == 1:
+        return found[0]
     out = docs.sparkSession.createDataFrame([], kinds)
+    for some in found:
+        out = out.union(some)
+    best = F.min(F.struct("edits", "first_word", "n_words"))
+    return out.groupBy("doc_id", "item_id").agg(best.alias("t")).select("doc_id", "item_id", "t.*")
+
+
+def without_items(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no item. Nothing is shuffled."""
+    kinds = docs.schema
+    for rows in _blocks(benchmark, block_bytes):
+        spread = docs.sparkSession.sparkContext.broadcast(rows)
+
+        def work(batches: Iterator[pa.RecordBatch], spread=spread) -> Iterator[pa.RecordBatch]:
+            items = Items(spread.value)
+            for batch in batches:
+                for part in pieces(batch):
+                    keep = np.ones(part.num_rows, bool)
+                    keep[[row for row, _ in items.find(part)]] = False
+                    yield part.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(work, kinds)
+    return docs
+
+
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of about ``block_bytes``, split by hash."""
+    rows = benchmark.where("item_id is not null and length(trim(text)) > 0").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = -(-int(total) // block_bytes)
     for block in range(blocks):
         some = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        out = out.union(_one_block(docs, sorted((r[0], r[1]) for r in some.collect()), kinds))
-    best = F.min(F.struct("edits", "first_word", "n_words"))
-    return out if blocks == 1 else out.groupBy("doc_id", "item_id").agg(best.alias("t")).select("doc_id", "item_id", "t.*")
+        yield sorted((r[0], r[1]) for r in some.collect())
 
 
 def _one_block(docs: DataFrame, rows: list[tuple[int, str]], kinds: str) -> DataFrame:

@@ -150,6 +150,11 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAINING_ROWS, ep
     return np.frombuffer(found.w, np.float32) if found else np.zeros(DIM + 1, np.float32)
 
 
+def _scores(part: pa.RecordBatch, w: np.ndarray) -> np.ndarray:
+    rows, index, value = features(words_of(part))
+    return _sigmoid(np.bincount(rows, w[index] * value, minlength=part.num_rows) + w[-1])
+
+
 def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """Rows (doc_id, score), one for each row of ``docs``; texts without words have the bias alone."""
     spread = docs.sparkSession.sparkContext.broadcast(weights)
@@ -158,10 +163,7 @@ def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
         w = spread.value.astype(np.float64)
         for batch in batches:
             for part in pieces(batch):
-                words = words_of(part)
-                rows, index, value = features(words)
-                total = np.bincount(rows, w[index] * value, minlength=part.num_rows) + w[-1]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_sigmoid(total))], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_scores(part, w))], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, score double")
 
@@ -174,3 +176,16 @@ def quality_scores(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAINING
     """
     return scored(docs, train(docs, labels, limit)).select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= accept).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAINING_ROWS, accept: float = ACCEPT) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score reaches ``accept``. Nothing is shuffled."""
+    spread = docs.sparkSession.sparkContext.broadcast(train(docs, labels, limit))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = spread.value.astype(np.float64)
+        for batch in batches:
+            for part in pieces(batch):
+                yield part.filter(pa.array(_scores(part, w) >= accept))
+
+    return docs.mapInArrow(work, docs.schema)
