@@ -159,13 +159,14 @@ def _written(found: Column, rules: tuple[Rule, ...]) -> Column:
 
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -> DataFrame:
-    """``docs`` with ``found``: array<struct<start, number, end>> sorted by start, then rule.
+    """Rows (doc_id, text, found), found an array<struct<start, number, end>> sorted by start, then rule.
 
     Matches of a rule are leftmost and do not overlap; starts and ends count code points, the end is
     exclusive. Null and empty texts have none. Documents without a doc_id are not indexed and matched
-    by every rule; rows that repeat a doc_id are candidates together and matched each. Other columns
-    are kept as they are.
+    by every rule; rows that repeat a doc_id are candidates together and matched each. Further columns
+    are ignored.
     """
+    docs = docs.select("doc_id", "text")
     meets = candidates(docs, rules).withColumnRenamed("rules", "_rules").withColumnRenamed("doc_id", "_id")
     joined = docs.join(meets, docs["doc_id"] == meets["_id"], "left").drop("_id")
     none = F.array().cast("array<struct<start:int,number:int,end:int>>")
@@ -180,7 +181,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RU
 
 def secret_report(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -> DataFrame:
     """Rows (doc_id, n_assign, n_access, n_hex, base_sha256, spans), one for each row of ``docs``."""
-    found = find_secrets(docs.select("doc_id", "text"), rules)
+    found = find_secrets(docs, rules)
     base = F.filter("found", lambda s: s["number"].isin([k for k, r in enumerate(rules) if r.base]))
     count = lambda k: F.size(F.filter("found", lambda s: s["number"] == k)).cast("long")
     counts = [count(k).alias(f"n_{r.kind}") for k, r in enumerate(rules) if r.base]

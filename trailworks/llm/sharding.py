@@ -35,32 +35,34 @@ def shuffled(rows: DataFrame, keys: list[str], shards: int = SHARDS, seed: int =
     ``keys`` name the columns that scatter and order the rows; rows equal in all of them are
     interchangeable and share a bucket, so the keys should tell rows apart. Nulls are values like
     others. Shards hold floor or ceil of rows / shards; with fewer rows than shards some are empty.
-    Slots count from 0 in each shard.
+    Slots count from 0 in each shard. Input columns named shard or slot give way to the new ones.
     """
-    if own := {"_bucket", "_order", "_before", "_place", "shard", "slot"} & set(rows.columns):
-        raise ValueError(f"columns {sorted(own)} are made here")
     total = rows.count()
     buckets = max(1, -(-total // (bucket_rows or BUCKET_ROWS)))
-    dealt = rows.withColumn("_order", F.xxhash64(*keys, F.lit(seed))).withColumn(
-        "_bucket", F.pmod(F.xxhash64("_order"), F.lit(buckets)).cast("int"))
+    order = [f"_key{k}" for k in range(len(keys))]
+    dealt = (
+        rows.select(F.struct("*").alias("_row"), *(F.col(c).alias(k) for c, k in zip(keys, order)))
+        .withColumn("_order", F.xxhash64(*order, F.lit(seed)))
+        .withColumn("_bucket", F.pmod(F.xxhash64("_order"), F.lit(buckets)).cast("int"))
+    )
     counts = dealt.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     up_to = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     before = counts.select("_bucket", (F.sum("_n").over(up_to) - F.col("_n")).alias("_before"))
 
     def work(table: pa.Table) -> pa.Table:
         bucket = table.column("_bucket")[0].as_py() if len(table) else 0
-        table = table.sort_by([(c, "ascending") for c in ("_order", *keys)])
-        table = table.take(pa.array(fisher_yates(len(table), [seed, bucket])))
+        table = table.sort_by([(c, "ascending") for c in ("_order", *order)])
+        table = table.take(pa.array(fisher_yates(len(table), [seed, bucket]))).select(["_row", "_bucket"])
         return table.append_column("_place", pa.array(np.arange(len(table))))
 
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema)
-    mixed = dealt.groupBy("_bucket").applyInArrow(work, f"{names}, _place long")
+    made = dealt.select("_row", "_bucket").schema.add("_place", "long")
+    mixed = dealt.groupBy("_bucket").applyInArrow(work, made)
     placed = mixed.join(before, "_bucket").withColumn("_place", F.col("_place") + F.col("_before"))
     # shard s holds the places from floor(s * total / shards) on
     return (
         placed.withColumn("shard", F.expr(f"int(((_place + 1) * {shards}L - 1) div {max(total, 1)}L)"))
         .withColumn("slot", F.expr(f"_place - (shard * {total}L) div {shards}L"))
-        .select(*rows.columns, "shard", "slot")
+        .select(*(F.col("_row")[c].alias(c) for c in rows.columns if c not in ("shard", "slot")), "shard", "slot")
     )
 
 
