@@ -137,7 +137,7 @@ class PieceModel:
         self.segments = None if reaching or fixed else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
         self.plain = not self.map.units and not self.squeeze and self.escape and not self.suffix and not fixed
         self.joined = [p.replace(SPACE, " ").encode() if k in (NORMAL, USER, UNUSED) else bytes([self.byte_of[i]]) if k == BYTE
-                       else self.unknown_text.encode() if k == UNKNOWN else b"" for i, (p, k) in enumerate(zip(self.piece, self.kind))]
+                       else self.unknown_text.encode() if k == UNKNOWN else b"\xff" for i, (p, k) in enumerate(zip(self.piece, self.kind))]
         self.known: dict[str, tuple[bytes, bytes]] = {}
 
     # -- normalisation --------------------------------------------------------------------------
@@ -328,17 +328,20 @@ class PieceModel:
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of ids, in UTF-8; begin and end ids give nothing."""
         every = ids.tolist()
-        first = next((i for i in every if self.kind[i] != CONTROL), None)
-        if first is None:
+        while every and self.kind[every[-1]] == CONTROL:
+            every.pop()
+        lead = next((k for k, i in enumerate(every) if self.kind[i] != CONTROL), None)
+        if lead is None:
             return b""
+        every = every[lead:]
+        first = every[0]
         strips = self.prefix or self.squeeze
         if not (self.squeeze or self.kind[first] != NORMAL or (strips and not self.piece[first].startswith(SPACE))):
             joined = b"".join(map(self.joined.__getitem__, every))
             joined = joined[1:] if strips else joined
-            if not self.byte_of or joined.isascii():
-                return joined
+            # bytes that make no text, or a begin or end id between them (0xff), are sorted out below
             try:
-                joined.decode()
+                joined.isascii() or joined.decode()
                 return joined
             except UnicodeDecodeError:
                 pass
