@@ -1,16 +1,23 @@
+import os
 import sys
 from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+ROOT = str(Path(__file__).resolve().parents[1])
+sys.path.insert(0, ROOT)
+# Python workers import the package by name, wherever the tests are started from.
+os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, [os.environ.get("PYTHONPATH")])])
 
 from trailworks.session import build  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    s = build("local[*]", "tests", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"})
+def spark(tmp_path_factory):
+    shared = tmp_path_factory.mktemp("shared")
+    s = build("local[*]", "tests", **{
+        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
+        "spark.checkpoint.dir": f"{shared}/checkpoints", "spark.sql.warehouse.dir": f"{shared}/warehouse"})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

@@ -67,15 +67,16 @@ def test_name_matching_finds_every_close_name(spark):
     lab = spark.createDataFrame([(x, i, i) for i, x in enumerate(labels)], "label string, key int, pos int")
     got = {x.name: x for x in screening.match_names(spark.createDataFrame([(n,) for n in names], "name string"), screening.alias_index(lab)).collect()}
 
-    def dist(a, b):
-        row = list(range(len(b) + 1))
-        for i, ca in enumerate(a, 1):
-            prev, row[0] = row[0], i
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for ca in a:
+            now = [0]
             for j, cb in enumerate(b, 1):
-                prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (ca != cb))
+                now.append(max(row[j], now[-1], row[j - 1] + (ca == cb)))
+            row = now
         return row[-1]
 
-    ratio = lambda a, b: (1 - dist(a, b) / max(len(a), len(b))) * 100
+    ratio = lambda a, b: 200 * common(a, b) / (len(a) + len(b))
     order = lambda a: " ".join(sorted(a.split()))
     for n in set(names):
         n2 = " ".join(n.split())

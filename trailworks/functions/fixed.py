@@ -196,6 +196,10 @@ MIN_LEXICAL = 0.2
 BM25_K1 = 1.2
 BM25_B = 0.75
 
+# --- Fixed values: list items that may be compacted --------------------------------------
+LIST_ITEM = r"^(\s*(?:[-*+]\s+|\d+[.)]\s+|[-*+]\s+\[[ xX]\]\s+))(.*\S)\s*$"
+COMPACTION_MIN_CHARS = 24
+
 # --- Fixed values: other thresholds -----------------------------------------------------
 CLUSTER_SIMILARITY = 0.75
 NEAR_DUPLICATE_OVERLAP = 0.72

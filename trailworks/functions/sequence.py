@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 STEP_CHUNK = 4096
 
 
@@ -57,6 +59,23 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], out: str, chunk:
     )
 
 
+def ordered_numbers(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+    """Row number per key along any order, without a chunk column.
+
+    A range partitioning by key and order gives even pieces whatever the values look like; the piece
+    is the chunk. Rows that tie in the order are numbered in any order, as by a window.
+    """
+    ranged = df.repartitionByRange(*keys, *order).withColumn("_piece", F.spark_partition_id())
+    inside = Window.partitionBy("_piece", *keys).orderBy(*order)
+    run = cut_lineage(ranged.withColumn("_run", F.row_number().over(inside)))
+    before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    base = (
+        run.groupBy(*keys, "_piece").agg(F.count(F.lit(1)).alias("_total"))
+        .withColumn("_base", F.coalesce(F.sum("_total").over(before), F.lit(0))).drop("_total")
+    )
+    return run.join(base, [*keys, "_piece"]).withColumn(out, F.col("_run") + F.col("_base")).drop("_piece", "_run", "_base")
+
+
 def neighbour(df: DataFrame, keys: list[str], order: str, value: Column, out: str,
               chunk: Column | None = None, following: bool = False) -> DataFrame:
     """Value of the previous (or following) row of the same key, across chunk borders."""

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..functions import text as T
-from ..functions.sizes import small_side
 from .overlap import candidate_pairs
 
 
@@ -21,7 +20,7 @@ def occurrences(policies: DataFrame, commands: DataFrame, attempts: DataFrame, u
     names = policies.select("policy_id", F.explode(F.array_distinct(F.array(
         F.lower("policy_id"), F.lower("slug")))).alias("name"))
     explicit = used.select("attempt_id", F.lower("name").alias("name")).distinct().join(
-        small_side(names), "name").select("policy_id", "attempt_id", F.lit("explicit_policy_use").alias("signal"),
+        names, "name").select("policy_id", "attempt_id", F.lit("explicit_policy_use").alias("signal"),
                                           F.lit(0).alias("rank"))
     wanted = commands.select("policy_id", "pos", T.distinctive_tokens(F.col("command_shape")).alias("tokens"))
     wanted = wanted.filter(F.size("tokens") >= X.AUDIT_MIN_SHARED)
@@ -29,7 +28,7 @@ def occurrences(policies: DataFrame, commands: DataFrame, attempts: DataFrame, u
     seen = attempts.select("attempt_id", T.audit_tokens(F.col("text")).alias("words"))
     tokens = seen.select("attempt_id", F.explode("words").alias("token"))
     pairs = candidate_pairs(wanted, ["policy_id", "pos"], need, tokens, ["attempt_id"])
-    checked = pairs.join(small_side(wanted), ["policy_id", "pos"]).join(seen, "attempt_id").withColumn(
+    checked = pairs.join(wanted, ["policy_id", "pos"]).join(seen, "attempt_id").withColumn(
         "shared", F.size(F.array_intersect("tokens", "words"))).withColumn(
         "overlap", F.col("shared") / F.size("tokens"))
     hits = checked.filter((F.col("shared") >= X.AUDIT_MIN_SHARED) & (F.col("overlap") >= X.AUDIT_MIN_OVERLAP))
@@ -50,9 +49,9 @@ def audit_rows(policies: DataFrame, origins: DataFrame, attempts: DataFrame, hit
     """
     a = attempts.withColumn("task_fingerprint", T.task_fingerprint(F.col("task_name")))
     o = origins.select("policy_id", "task_fingerprint").distinct().join(
-        small_side(policies.select("policy_id", "first_number")), "policy_id")
+        policies.select("policy_id", "first_number"), "policy_id")
     before = F.col("first_number").isNull() | (F.col("snapshot_number") < F.col("first_number"))
-    rows = a.join(small_side(o), "task_fingerprint").filter(before).join(
+    rows = a.join(o, "task_fingerprint").filter(before).join(
         hits, ["policy_id", "attempt_id"], "left").withColumn("occurs", F.col("signal").isNotNull())
     later = (F.col("attempt_number") > 1) & F.col("occurs") & F.col("success")
     per_task = rows.groupBy("policy_id", "task_name").agg(
@@ -92,7 +91,7 @@ def audit_rows(policies: DataFrame, origins: DataFrame, attempts: DataFrame, hit
     ).select("first_number", F.col("n").alias("subsequent_tasks"), F.col("ok").alias("subsequent_final_successes"),
              F.try_divide("retries", "n").alias("_sub_mean"))
     hit_rows = hits.join(a.drop("task_fingerprint"), "attempt_id").join(
-        small_side(policies.select("policy_id", "first_number")), "policy_id")
+        policies.select("policy_id", "first_number"), "policy_id")
     adopted = (F.col("attempt_number") == 1) & (F.col("snapshot_number") >= F.col("first_number"))
     seen = hit_rows.groupBy("policy_id").agg(
         F.count_distinct("task_name").alias("observed_tasks"),
@@ -110,7 +109,7 @@ def audit_rows(policies: DataFrame, origins: DataFrame, attempts: DataFrame, hit
         spontaneous, "spontaneous").otherwise("ambiguous")
     confidence = F.when(unknown, "low").when(induced, "high").when(spontaneous, "medium").otherwise("low")
     d = policies.join(origin, "policy_id", "left").join(seen, "policy_id", "left").join(
-        has_origin, "policy_id", "left").join(small_side(subsequent), "first_number", "left")
+        has_origin, "policy_id", "left").join(subsequent, "first_number", "left")
     return d.select(
         "policy_id", F.col("status").alias("policy_status"), "first_number", n("observed_tasks").alias("observed_tasks"),
         n("subsequent_tasks").alias("subsequent_tasks"), n("adopted_tasks").alias("adopted_tasks"),

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sizes import small_side
 
 
 def rarest_tokens(sets: DataFrame, key: list[str], need: Column, frequency: DataFrame) -> DataFrame:
@@ -36,4 +35,4 @@ def candidate_pairs(left: DataFrame, left_key: list[str], need: Column,
     """Pairs that may share ``need`` tokens. ``right_tokens``: right_key, token (distinct)."""
     frequency = right_tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     prefix = rarest_tokens(left, left_key, need, frequency)
-    return small_side(prefix).join(right_tokens, "token").select(*left_key, *right_key).distinct()
+    return prefix.join(right_tokens, "token").select(*left_key, *right_key).distinct()

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import fixed as X
 from ..functions import text as T
 from ..functions.sequence import first_rows
-from ..functions.sizes import small_side
 from ..session import cut_lineage
 from .overlap import rarest_tokens
 
@@ -77,7 +76,7 @@ def promotions(policies: DataFrame, observations: DataFrame, attempts: DataFrame
         "attempt_id", T.task_fingerprint(F.col("task_name")).alias("task_fingerprint"))
     if require_policy_use:
         names = owned.select("policy_id", F.explode(F.array_distinct(F.array("policy_id", "slug"))).alias("name"))
-        hits = used.distinct().join(small_side(names), "name").select("attempt_id", "policy_id").distinct().join(
+        hits = used.distinct().join(names, "name").select("attempt_id", "policy_id").distinct().join(
             passing, "attempt_id")
         if strict_cross_task:
             hits = hits.join(origins, ["policy_id", "task_fingerprint"], "left_anti")
@@ -107,7 +106,7 @@ def implementation_promotions(implementations: DataFrame, observations: DataFram
     passing = attempts.filter("verifier_passed").select(
         "attempt_id", T.task_fingerprint(F.col("task_name")).alias("task_fingerprint"))
     direct = used_implementations.distinct().join(
-        small_side(owned), F.col("name") == F.col("implementation_id")).drop("name")
+        owned, F.col("name") == F.col("implementation_id")).drop("name")
     names = F.array_distinct(F.array("policy_id", "slug"))
     named = direct.withColumn("name", F.explode(names)).join(used.distinct(), ["attempt_id", "name"], "left_semi")
     scripts = used_scripts.distinct().withColumnRenamed("name", "script_name")

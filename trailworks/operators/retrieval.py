@@ -11,7 +11,6 @@ from ..functions import fixed as X
 from ..functions import text as T
 from ..functions.lists import strip
 from ..functions.sequence import first_rows
-from ..functions.sizes import small_side
 from ..session import cut_lineage
 from .overlap import candidate_pairs
 
@@ -114,8 +113,8 @@ def scored_matches(records: DataFrame, queries: DataFrame, limit: int = 10,
         F.count(F.lit(1)).alias("qtf"))
     sizes = unique.select("query_id", F.size("tokens").alias("n_terms"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = small_side(terms.join(df, "token").join(F.broadcast(stats)).select(
-        "query_id", "token", "qtf", idf.alias("idf"), "avgdl"))
+    weights = terms.join(df, "token").join(F.broadcast(stats)).select(
+        "query_id", "token", "qtf", idf.alias("idf"), "avgdl")
     length = X.BM25_K1 * ((1 - X.BM25_B) + X.BM25_B * F.col("dl") / F.greatest(F.lit(1.0), F.col("avgdl")))
     gain = F.col("qtf") * F.col("idf") * F.col("tf") * (X.BM25_K1 + 1) / (F.col("tf") + length)
     scored = (
@@ -123,13 +122,13 @@ def scored_matches(records: DataFrame, queries: DataFrame, limit: int = 10,
         pairs.join(weights, "query_id").join(postings, ["record_id", "token"])
         .groupBy("query_id", "record_id").agg(F.sum(gain).alias("raw"), F.count(F.lit(1)).alias("matched"))
     )
-    d = pairs.join(scored, ["query_id", "record_id"], "left").join(small_side(sizes), "query_id")
+    d = pairs.join(scored, ["query_id", "record_id"], "left").join(sizes, "query_id")
     raw = F.coalesce("raw", F.lit(0.0))
     d = d.withColumn("lexical", F.when(raw > 0, raw / (raw + 2.0)).otherwise(0.0)).withColumn(
         "matched", F.coalesce("matched", F.lit(0))).withColumn("coverage", F.col("matched") / F.col("n_terms"))
     if "r_vec" in records.columns and "q_vec" in queries.columns:
         d = d.join(records.select("record_id", "r_vec"), "record_id").join(
-            small_side(queries.select("query_id", "q_vec")), "query_id").withColumn(
+            queries.select("query_id", "q_vec"), "query_id").withColumn(
             "semantic", cosine(F.col("q_vec"), F.col("r_vec")))
     else:
         d = d.withColumn("semantic", F.lit(None).cast("double"))

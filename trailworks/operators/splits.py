@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..functions.commands import is_public_action
-from ..functions.sequence import numbered
+from ..functions.sequence import numbered, ordered_numbers
 
 
 def missing_names(split: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -19,12 +19,8 @@ def ranked_tasks(tasks: DataFrame, ranking: DataFrame) -> DataFrame:
     """K6: ranking first, then name. ``ranking``: family, task_name, rank (first mention counts)."""
     first = ranking.filter(F.length(F.trim("task_name")) > 0).groupBy("family", F.trim("task_name").alias("task_name")).agg(
         F.min("rank").alias("rank"))
-    d = tasks.join(first, ["family", "task_name"], "left").withColumn(
-        "_key", F.struct(F.coalesce("rank", F.lit(2**31 - 1)).alias("r"), F.col("task_name").alias("t")))
-    # Even ranges along the order: ranked tasks by thousand, the rest by first character.
-    chunk = F.struct(F.least(F.floor(F.col("_key.r") / 1000), F.lit(2**31 - 1)).alias("a"),
-                     F.when(F.col("rank").isNull(), F.substring("task_name", 1, 2)).otherwise("").alias("b"))
-    return numbered(d, ["family"], ["_key"], "position", chunk).select("family", "task_name", "position")
+    d = tasks.join(first, ["family", "task_name"], "left").withColumn("_order", F.coalesce("rank", F.lit(2**31 - 1)))
+    return ordered_numbers(d, ["family"], ["_order", "task_name"], "position").select("family", "task_name", "position")
 
 
 def split_report(instances: DataFrame, split: DataFrame, train_ratio: float = 0.8) -> DataFrame:

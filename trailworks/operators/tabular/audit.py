@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ...functions.cleaning import key
 from ...functions.sequence import first_rows
-from ...functions.sizes import small_side
 
 Rule = tuple[str, Column]
 
@@ -66,7 +65,7 @@ def disposition_rules(planned: str) -> list[Rule]:
 
 def with_rule_table(rows: DataFrame, rules: DataFrame, on: list[str]) -> DataFrame:
     """Limits per tier or role; the rule table is broadcast while it is small."""
-    return rows.join(small_side(rules), on)
+    return rows.join(rules, on)
 
 
 def apply_rules(rows: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -92,7 +91,7 @@ def latest_event(events: DataFrame, keys: list[str], qualifies: Column, value: C
 def alias_values(events: DataFrame, column: str, aliases: DataFrame) -> DataFrame:
     """Normalize event values through an alias table (alias, name)."""
     a = aliases.select(key(F.col("alias")).alias("_alias"), key(F.col("name")).alias("_name"))
-    d = events.withColumn("_alias", key(F.col(column))).join(small_side(a), "_alias", "left")
+    d = events.withColumn("_alias", key(F.col(column))).join(a, "_alias", "left")
     return d.withColumn(column, F.coalesce("_name", "_alias")).drop("_alias", "_name")
 
 

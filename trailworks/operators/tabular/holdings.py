@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.sequence import first_rows
-from ...functions.sizes import small_side
 
 # Class titles that count as stock.
 STOCK_CLASSES = (
@@ -90,6 +89,6 @@ def value_grid(holdings: DataFrame, requests: DataFrame) -> DataFrame:
     grid grows with the request and not with managers times securities.
     """
     wanted = requests.distinct()
-    sums = holdings.join(small_side(wanted), ["filing", "security"], "left_semi").groupBy("filing", "security").agg(
+    sums = holdings.join(wanted, ["filing", "security"], "left_semi").groupBy("filing", "security").agg(
         F.sum("value").alias("value"))
     return wanted.join(sums, ["filing", "security"], "left").withColumn("value", F.coalesce("value", F.lit(0)))

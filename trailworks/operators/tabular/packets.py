@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ...functions.lists import extract_all, matches_any, non_empty, squeeze, strip
 from ...functions.sequence import first_rows
-from ...functions.sizes import small_side
 from ...functions.staging import staged
 
 # --- Fixed values: patterns of the packet families ----------------------------------------
@@ -220,7 +219,7 @@ def validated_references(rows: DataFrame, known: DataFrame, code: str, pos: str,
     repeats in a third of all rows is no problem.
     """
     k = known.select(F.upper(F.trim("code")).alias(code), F.lit(True).alias("_known")).distinct()
-    d = rows.join(small_side(k), code, "left").withColumn("_code", F.when(F.col("_known"), F.col(code)))
+    d = rows.join(k, code, "left").withColumn("_code", F.when(F.col("_known"), F.col(code)))
     firsts = d.filter(F.col("_code").isNotNull()).groupBy("_code").agg(F.min(pos).alias("_first"))
     d = d.join(firsts, "_code", "left")
     copy = F.coalesce(F.col(pos) != F.col("_first"), F.lit(False))

@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ...functions.sizes import small_side
 
 AGGREGATES = {"sum": F.sum, "average": F.avg, "count": F.count, "min": F.min, "max": F.max}
 
@@ -23,7 +22,7 @@ def pivot(df: DataFrame, rows: list[str], value: str, how: str, columns: str | N
 
 def lookup(df: DataFrame, dimension: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Dimension lookup; first row per key, broadcast while the dimension is small."""
-    return df.join(small_side(dimension.dropDuplicates(on)), on, how)
+    return df.join(dimension.dropDuplicates(on), on, how)
 
 
 def budget_long(budget: DataFrame, ids: list[str], periods: list[str], name: str = "fiscal_quarter") -> DataFrame:

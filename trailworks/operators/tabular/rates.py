@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ...functions.cleaning import alnum
 from ...functions.lists import contains_any
-from ...functions.sizes import small_side
 
 # Markers and instruction pattern.
 IGNORE_MARKERS = ("archive", "archived", "superseded", "draft", "obsolete")
@@ -30,7 +29,7 @@ def resolve_labels(updates: DataFrame, aliases: DataFrame) -> DataFrame:
     a = aliases.select(alnum(F.col("note_token")).alias("_t"), "label")
     d = updates
     for c in ("from_token", "to_token"):
-        d = d.withColumn("_t", alnum(F.col(c))).join(small_side(a), "_t", "left").withColumn(c, F.coalesce("label", c)).drop("_t", "label")
+        d = d.withColumn("_t", alnum(F.col(c))).join(a, "_t", "left").withColumn(c, F.coalesce("label", c)).drop("_t", "label")
     return d
 
 

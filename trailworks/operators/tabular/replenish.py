@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.cleaning import key
-from ...functions.sizes import small_side
 
 EPS = 1e-9
 
@@ -28,7 +27,7 @@ def latest_shipments(feed: DataFrame, ref: str, revision: str, states: tuple[str
     if aliases is None:
         return d
     a = aliases.select(key(F.col("alias")).alias("_alias"), F.col("location")).filter(F.length("_alias") > 0)
-    return d.withColumn("_alias", key(F.col(alias))).join(small_side(a), "_alias").drop("_alias")
+    return d.withColumn("_alias", key(F.col(alias))).join(a, "_alias").drop("_alias")
 
 
 def coverage(stock: DataFrame, inbound: DataFrame, keys: list[str], as_of: Column, horizon: Column, pack: Column) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ...functions.cleaning import money
-from ...functions.sizes import small_side
 
 # Loyalty tiers (minimum years of service, yearly bonus) and per diem terms.
 LOYALTY_TIERS = ((20, "Diamond", 25000.0), (16, "Platinum", 16000.0), (11, "Gold", 10000.0), (6, "Silver", 6000.0), (3, "Bronze", 2500.0))
@@ -29,7 +28,7 @@ def latest_payments(billing: DataFrame, labels: DataFrame) -> DataFrame:
     """Latest active payment per campaign, labels matched caselessly. ``labels``: label, campaign_id."""
     names = labels.select(F.lower("label").alias("_l"), "campaign_id").distinct()
     return billing.filter(F.col("status") == "active").withColumn("_l", F.lower("campaign_label")).join(
-        small_side(names), "_l").groupBy("campaign_id").agg(F.max_by("payment", "cycle_tag").alias("payment"))
+        names, "_l").groupBy("campaign_id").agg(F.max_by("payment", "cycle_tag").alias("payment"))
 
 
 def clinic_overrides(overrides: DataFrame) -> DataFrame:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from ...functions.lists import squeeze, strip
 from ...functions.sequence import first_rows
-from ...functions.sizes import small_side
 from ...functions.staging import staged
+from ...session import cut_lineage
+from .holdings import is_stock
 
 # Words shortened before names are compared.
 NAME_WORDS = (
@@ -16,6 +20,9 @@ NAME_WORDS = (
     ("mechanical", "mechanic"), ("operations", "ops"), ("electrics", "electric"),
 )
 CUTOFF = 85.0
+#: Names of a block when all are compared; the other side has four times as many.
+NAME_BLOCK = 512
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
 
 
 def normal_name(text: Column) -> Column:
@@ -29,11 +36,33 @@ def sorted_words(text: Column) -> Column:
     return F.array_join(F.array_sort(F.split(text, " ")), " ")
 
 
+def _lcs(a: str, b: str) -> int:
+    """Length of the longest common subsequence, one row of the table per letter as bits of a number."""
+    where: dict[str, int] = {}
+    for k, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << k
+    full = (1 << len(a)) - 1
+    row = full
+    for c in b:
+        hit = row & where.get(c, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
+
+
+@F.pandas_udf(IntegerType())
+def common_letters(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([_lcs(x, y) for x, y in zip(a, b)], dtype="int32")
+
+
+def _ratio(common: Column, a: str, b: str) -> Column:
+    return 200.0 * common / (F.length(a) + F.length(b))
+
+
 def _with_grams(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Blocking keys: letter triples of each padded word, copies numbered, any word order."""
+    """Blocking keys: letter pairs of each padded word, copies numbered, any word order."""
     words = F.transform(F.split(column, " "), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
     grams = F.flatten(F.transform(words, lambda w: F.transform(
-        F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3)))))
+        F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2)))))
     d = staged(df, _grams=F.array_sort(grams))
     # The copy number makes the list a set, so that shared counts are multiset counts.
     return d.withColumn(out, F.transform("_grams", lambda g, i: F.concat(
@@ -46,56 +75,148 @@ def alias_index(labels: DataFrame) -> DataFrame:
     return d.groupBy("norm").agg(F.min_by("key", "pos").alias("key"))
 
 
-def match_names(names: DataFrame, index: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """Key per distinct name: exact, else best edit similarity, else with sorted words.
+def lost_pairs(cutoff: float) -> float:
+    """Most letter pairs a name of n letters can lose to a partner at the cutoff, divided by n.
+
+    With L common letters, n - L are deleted and lose two pairs each, and m - L are inserted and lose
+    one. L is at least c (n + m) / 2. Above two thirds the shortest partner is the worst case.
+    """
+    c = cutoff / 100.0
+    other = c / (2 - c) if c > 2 / 3 else (2 - c) / max(c, 1e-9)
+    return (2 - 1.5 * c) + (1 - 1.5 * c) * other
+
 
-    ``names``: name. At a similarity of c, at most (1 - c) / c edits per letter are possible,
-    and one edit destroys at most three letter triples. So n triples leave n - 3k shared ones,
-    and candidates come from a join on the rarest triples (see ``overlap``). Very low cutoffs
-    leave no guaranteed triple; then one shared triple is asked for.
+def near_names(asked: DataFrame, index: DataFrame, cutoff: float) -> DataFrame:
+    """norm, candidate, plain, sorted: all pairs with either similarity at the cutoff or above.
+
+    Exact by a join on the rarest letter pairs (see ``overlap``); the cutoff must leave a common one.
     """
     from ..overlap import candidate_pairs
 
+    if lost_pairs(cutoff) >= 1:
+        raise ValueError("no letter pair is sure to be shared at this cutoff; use nearest_names")
+    left, right = asked.select("norm").distinct(), index.select(F.col("norm").alias("candidate")).distinct()
+    need = F.length("norm") + 1 - F.floor(F.length("norm") * lost_pairs(cutoff) + 1e-9)
+    known = _with_grams(right, "candidate", "tokens").select("candidate", F.explode("tokens").alias("token"))
+    pairs = candidate_pairs(_with_grams(left, "norm", "tokens"), ["norm"], need.cast("int"), known, ["candidate"])
+    # Letters are deleted or inserted only. That bounds the lengths, and replacing as well can not take
+    # more edits, so the built-in distance, which stops beyond the bound, leaves few pairs to Python.
+    most = F.floor((F.length("norm") + F.length("candidate")) * (100.0 - cutoff) / 100.0 + 1e-9).cast("int")
+    d = pairs.withColumn("_max", most).filter(F.abs(F.length("norm") - F.length("candidate")) <= F.col("_max"))
+    d = staged(d, s_norm=sorted_words(F.col("norm")), s_candidate=sorted_words(F.col("candidate")))
+    d = d.filter(F.expr("levenshtein(norm, candidate, _max) >= 0 or levenshtein(s_norm, s_candidate, _max) >= 0"))
+    d = d.withColumn("plain", _ratio(common_letters("norm", "candidate"), "norm", "candidate")).withColumn(
+        "sorted", _ratio(common_letters("s_norm", "s_candidate"), "norm", "candidate")).select("norm", "candidate", "plain", "sorted")
+    return d.filter((F.col("plain") >= cutoff) | (F.col("sorted") >= cutoff))
+
+
+def nearest_names(asked: DataFrame, index: DataFrame) -> DataFrame:
+    """norm, candidate, plain, sorted: per name its best partner by each similarity, at any similarity.
+
+    Distinct names meet distinct names in blocks. Inside a block the common letters bound the
+    similarity from above, so partners are tried from the highest bound down until it falls below
+    the best one found. Ties go to the smaller candidate.
+    """
+    left = asked.select("norm").distinct()
+    right = index.select(F.col("norm").alias("candidate")).distinct()
+    nl, nr = max(1, -(-left.count() // NAME_BLOCK)), max(1, -(-right.count() // (4 * NAME_BLOCK)))
+    number = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = left.select("norm", number("norm", nl).alias("l"), every(nr).alias("r"))
+    right = right.select("candidate", every(nl).alias("l"), number("candidate", nr).alias("r"))
+
+    def letters(names: pd.Series) -> np.ndarray:
+        return np.array([[x.count(c) for c in LETTERS] for x in names], np.int16).reshape(len(names), len(LETTERS))
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("candidate")
+        names, turned = b["candidate"].tolist(), [" ".join(sorted(x.split())) for x in b["candidate"]]
+        size, count = np.array([len(x) for x in names]), letters(b["candidate"])
+        rows = []
+        for norm, own in zip(a["norm"], letters(a["norm"])):
+            bound = 200.0 * np.minimum(own, count).sum(1) / np.maximum(1, size + len(norm))
+            order = np.argsort(-bound, kind="stable")
+            for kind, text, other in ((0, norm, names), (1, " ".join(sorted(norm.split())), turned)):
+                best, at = -1.0, None
+                for k in order:
+                    if bound[k] < best:
+                        break
+                    score = 200.0 * _lcs(text, other[k]) / max(1, len(text) + len(other[k]))
+                    if score > best or score == best and names[k] < names[at]:
+                        best, at = score, k
+                if at is not None:
+                    rows.append((norm, names[at], kind, best))
+        return pd.DataFrame(rows, columns=["norm", "candidate", "kind", "score"])
+
+    found = left.groupBy("l", "r").cogroup(right.groupBy("l", "r")).applyInPandas(
+        compare, "norm string, candidate string, kind int, score double")
+    best = found.groupBy("norm", "kind").agg(F.min(F.struct(-F.col("score"), "candidate")).alias("b"))
+    score = -F.col("b.col1")
+    return best.select("norm", F.col("b.candidate").alias("candidate"), F.when(F.col("kind") == 0, score).alias("plain"),
+                       F.when(F.col("kind") == 1, score).alias("sorted"))
+
+
+def match_names(names: DataFrame, index: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+    """Key per distinct name: exact, else the best common-letter ratio, else with sorted words.
+
+    ``names``: name. The ratio is twice the longest common subsequence over both lengths, in percent.
+    No pair at the cutoff is missed, whatever the cutoff. Ties go to the smaller label.
+    """
     d = names.select("name").distinct().withColumn("norm", normal_name(F.col("name"))).filter(F.length("norm") > 0)
     exact = d.join(index, "norm").select("name", "key", F.lit("exact").alias("method"), F.lit(100.0).alias("score"))
     open_ = d.join(index.select("norm"), "norm", "left_anti")
-    asked = _with_grams(open_.select("norm").distinct(), "norm", "tokens")
-    known = _with_grams(index, "norm", "tokens").select(F.col("norm").alias("candidate"), F.explode("tokens").alias("token"))
-    edits = F.floor(F.length("norm") * ((100.0 - cutoff) / cutoff) + 1e-9)
-    need = F.greatest(F.lit(1), F.size("tokens") - 3 * edits).cast("int")
-    pairs = candidate_pairs(asked, ["norm"], need, known, ["candidate"])
-    # Both sides bring their sorted words along; distances stop counting beyond the allowed edits.
-    left = staged(open_.select("norm").distinct(), s_norm=sorted_words(F.col("norm")))
-    right = staged(index.select(F.col("norm").alias("candidate")), s_candidate=sorted_words(F.col("candidate")))
-    longest = F.greatest(F.length("norm"), F.length("candidate"))
-    near = F.abs(F.length("norm") - F.length("candidate")) <= F.col("_max")
-    d2 = pairs.join(small_side(left), "norm").join(small_side(right), "candidate").withColumn(
-        "_max", F.floor(longest * (100.0 - cutoff) / 100.0 + 1e-9).cast("int")).filter(near)
-    percent = lambda n: F.when(n >= 0, (1 - n / longest) * 100.0).otherwise(0.0)
-    d2 = staged(d2, _plain=F.expr("levenshtein(norm, candidate, _max)"), _sorted=F.expr("levenshtein(s_norm, s_candidate, _max)"))
-    scored = d2.select("norm", "candidate", percent(F.col("_plain")).alias("plain"), percent(F.col("_sorted")).alias("sorted"))
+    scored = near_names(open_, index, cutoff) if lost_pairs(cutoff) < 1 else nearest_names(open_, index)
     step = F.when(F.col("plain") >= cutoff, 1).when(F.col("sorted") >= cutoff, 2)
     ranked = scored.withColumn("step", step).filter(F.col("step").isNotNull()).withColumn(
         "score", F.when(F.col("step") == 1, F.col("plain")).otherwise(F.col("sorted")))
-    best = ranked.groupBy("norm").agg(F.min_by(F.struct("candidate", "step", "score"), F.struct(
-        F.col("step"), -F.col("score"), F.col("candidate"))).alias("b"))
+    best = ranked.groupBy("norm").agg(F.min(F.struct("step", -F.col("score"), "candidate")).alias("b"))
     fuzzy = open_.join(best, "norm").join(index.select(F.col("norm").alias("candidate"), "key"),
                                           F.col("b.candidate") == F.col("candidate")).select(
-        "name", "key", F.when(F.col("b.step") == 1, "ratio").otherwise("sorted").alias("method"), F.col("b.score").alias("score"))
+        "name", "key", F.when(F.col("b.step") == 1, "ratio").otherwise("sorted").alias("method"), (-F.col("b.col2")).alias("score"))
     return exact.unionByName(fuzzy)
 
 
+def best_names(names: DataFrame, index: DataFrame) -> DataFrame:
+    """T4: name, key, score: the best label for every distinct name, however far off.
+
+    The score is the larger of the two ratios. Names with a partner at the cutoff are settled by the
+    join; only those left over meet the labels in blocks.
+    """
+    d = names.select("name").distinct().withColumn("norm", normal_name(F.col("name")))
+    exact = d.join(index, "norm").select("name", "norm", F.col("norm").alias("candidate"), F.lit(100.0).alias("score"))
+    open_ = cut_lineage(d.join(index.select("norm"), "norm", "left_anti"))
+    close = near_names(open_.filter(F.length("norm") > 0), index, CUTOFF)
+    far = nearest_names(open_.join(close.select("norm"), "norm", "left_anti"), index)
+    scored = close.unionByName(far).withColumn("score", F.greatest("plain", "sorted"))
+    best = scored.groupBy("norm").agg(F.min(F.struct(-F.col("score"), "candidate")).alias("b"))
+    rest = open_.join(best, "norm").select("name", "norm", F.col("b.candidate").alias("candidate"), (-F.col("b.col1")).alias("score"))
+    return exact.unionByName(rest).join(index.select(F.col("norm").alias("candidate"), "key"), "candidate").select("name", "key", "score")
+
+
 def resolve_entity(queries: DataFrame, filings: DataFrame) -> DataFrame:
     """T4: best matching filer name per query, rows that are no amendment first.
 
     ``queries``: query. ``filings``: filing, manager, is_amendment, pos.
     """
     idx = filings.select(F.col("manager").alias("label"), F.col("manager").alias("key"), "pos")
-    best = match_names(queries.select(F.col("query").alias("name")), alias_index(idx), 60.0)
+    best = best_names(queries.select(F.col("query").alias("name")), alias_index(idx))
     rows = first_rows(filings, ["manager"], [F.coalesce("is_amendment", F.lit("N")) != "N", "pos"])
     return best.join(rows, best["key"] == rows["manager"]).select(F.col("name").alias("query"), "manager", "filing", "score")
 
 
+def resolve_issuer(queries: DataFrame, holdings: DataFrame) -> DataFrame:
+    """T4: best matching issuer per query among stock classes, one row per security (the first).
+
+    ``queries``: query. ``holdings``: security, issuer, class, pos.
+    """
+    stocks = holdings.filter(is_stock("class"))
+    stocks = first_rows(stocks, ["security"], ["pos"]).withColumn("issuer", F.lower(F.coalesce("issuer", F.lit(""))))
+    first = first_rows(stocks, ["issuer"], ["pos"])
+    idx = first.select(F.col("issuer").alias("label"), F.col("issuer").alias("key"), "pos")
+    best = best_names(queries.select(F.col("query").alias("name")), alias_index(idx))
+    return best.join(first, best["key"] == first["issuer"]).select(F.col("name").alias("query"), "security", "issuer", "class", "score")
+
+
 def screen(claims: DataFrame, parties: DataFrame, references: DataFrame, tolerance: float = 0.01,
            party="Party", reference="Reference", owner="Owner") -> DataFrame:
     """The first failing rule of each claim; clean claims are dropped.
@@ -137,4 +258,4 @@ def latest_packets(packets: DataFrame, ref: str, revision: str, page: str) -> Da
 
 def crosswalk(rows: DataFrame, mapping: DataFrame, details: DataFrame, code: str, internal: str) -> DataFrame:
     """External code to internal code to details; unknown codes stay with nulls."""
-    return rows.join(small_side(mapping), code, "left").join(details, internal, "left")
+    return rows.join(mapping, code, "left").join(details, internal, "left")

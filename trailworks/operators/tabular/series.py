@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ...functions.cleaning import alnum
 from ...functions.sequence import first_rows
-from ...functions.sizes import small_side
 
 LAMBDA = 100.0
 MIN_YEARS = 8
@@ -44,7 +43,7 @@ def by_priority(rows: DataFrame, aliases: DataFrame, keys: list[str]) -> DataFra
     ``rows``: alias, record_type, keys, priority, amount. ``aliases``: series, alias.
     """
     a = aliases.select("series", alnum(F.col("alias")).alias("_a")).distinct()
-    d = rows.filter(F.lower("record_type") == "official").withColumn("_a", alnum(F.col("alias"))).join(small_side(a), "_a")
+    d = rows.filter(F.lower("record_type") == "official").withColumn("_a", alnum(F.col("alias"))).join(a, "_a")
     d = d.withColumn("priority", F.col("priority").try_cast("double")).withColumn("amount", F.col("amount").try_cast("double"))
     return d.filter(F.col("priority").isNotNull() & F.col("amount").isNotNull()).groupBy("series", *keys).agg(
         F.min_by("amount", "priority").alias("amount"))
@@ -56,7 +55,7 @@ def from_register(history: DataFrame, updates: DataFrame, register: DataFrame, c
     ``register``: series, history_code, history_status, current_code, version. ``history``:
     code, status, year, value. ``updates``: code, version, year, value.
     """
-    r = small_side(register)
+    r = register
     past = history.join(r, (F.col("code") == F.col("history_code"))
                         & (F.lower("status") == F.lower("history_status"))).filter(F.col("year") < current_year).select(
         "series", "year", F.col("value").try_cast("double").alias("value")).filter("value is not null")

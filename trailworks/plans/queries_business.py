@@ -303,31 +303,81 @@ def _name_queries(spark, sf):
     return d.select(F.when(F.col("key") % 3 == 0, F.col("label")).when(F.col("key") % 3 == 1, F.replace("label", F.lit("i"), F.lit(""))).otherwise(turned).alias("name"))
 
 
-@query("alias_match", f"""WITH {NAMES_SQL},
-  fuzzy AS (SELECT q.name, i.key, i.norm AS cand, (1 - levenshtein(q.norm, i.norm) / greatest(length(q.norm), length(i.norm))::DOUBLE) * 100 AS plain,
-     (1 - levenshtein(a.sorted, b.sorted) / greatest(length(q.norm), length(i.norm))::DOUBLE) * 100 AS srt
-     FROM q JOIN words a ON q.norm = a.norm CROSS JOIN idx i JOIN words b ON i.norm = b.norm WHERE q.norm NOT IN (SELECT norm FROM idx)
-     AND abs(length(q.norm) - length(i.norm)) <= 0.16 * greatest(length(q.norm), length(i.norm))),
+def _lcs_sql(pairs: str) -> str:
+    """Length n of the longest common subsequence of all pairs (x, y), row by row of the table."""
+    return f"""p_ AS ({pairs}), dp(x, y, i, r) AS (SELECT x, y, 0, list_transform(range(length(y) + 1), lambda k: 0::BIGINT) FROM p_
+   UNION ALL SELECT x, y, i + 1, list_transform(range(0, length(y) + 1), lambda j: list_max(list_transform(range(0, j + 1),
+     lambda k: CASE WHEN k = 0 THEN r[j + 1] ELSE greatest(r[j + 1], r[k] + (y[k] = x[i + 1])::BIGINT) END))) FROM dp WHERE i < length(x)),
+  lcs AS (SELECT x, y, r[length(y) + 1] AS n FROM dp WHERE i = length(x))"""
+
+
+@query("alias_match", f"""WITH RECURSIVE {NAMES_SQL},
+  near AS (SELECT q.norm, i.norm AS cand, a.sorted AS s_norm, b.sorted AS s_cand
+     FROM (SELECT DISTINCT norm FROM q WHERE norm NOT IN (SELECT norm FROM idx)) q JOIN words a ON q.norm = a.norm CROSS JOIN idx i JOIN words b ON i.norm = b.norm
+     WHERE least(levenshtein(q.norm, i.norm), levenshtein(a.sorted, b.sorted)) <= 0.15 * (length(q.norm) + length(i.norm)) + 0.001),
+  {_lcs_sql("SELECT norm AS x, cand AS y FROM near UNION SELECT s_norm, s_cand FROM near")},
+  fuzzy AS (SELECT norm, cand, 200.0::DOUBLE * l.n / (length(norm) + length(cand)) AS plain, 200.0::DOUBLE * m.n / (length(norm) + length(cand)) AS srt
+     FROM near JOIN lcs l ON l.x = norm AND l.y = cand JOIN lcs m ON m.x = s_norm AND m.y = s_cand),
   best AS (SELECT *, CASE WHEN plain >= 85 THEN 1 ELSE 2 END AS step, CASE WHEN plain >= 85 THEN plain ELSE srt END AS score FROM fuzzy WHERE plain >= 85 OR srt >= 85
-     QUALIFY row_number() OVER (PARTITION BY name ORDER BY CASE WHEN plain >= 85 THEN 1 ELSE 2 END, CASE WHEN plain >= 85 THEN plain ELSE srt END DESC, cand) = 1)
+     QUALIFY row_number() OVER (PARTITION BY norm ORDER BY CASE WHEN plain >= 85 THEN 1 ELSE 2 END, CASE WHEN plain >= 85 THEN plain ELSE srt END DESC, cand) = 1)
   SELECT name, key, 'exact' AS method, 100.0::DOUBLE AS score FROM q JOIN idx USING (norm)
-  UNION ALL SELECT name, key, CASE step WHEN 1 THEN 'ratio' ELSE 'sorted' END, round(score, 4) FROM best""")
+  UNION ALL SELECT name, key, CASE step WHEN 1 THEN 'ratio' ELSE 'sorted' END, round(score, 4) FROM best JOIN q USING (norm) JOIN idx ON idx.norm = cand""")
 def alias_match(spark, sf):
     d = screening.match_names(_name_queries(spark, sf), screening.alias_index(_labels(spark, sf)))
     return d.withColumn("score", F.round("score", 4))
 
 
-@query("entity_resolution", """WITH f AS (SELECT n_name || ' holdings' AS manager, s_suppkey AS filing, CASE WHEN s_acctbal < 0 THEN 'Y' ELSE 'N' END AS amend FROM supplier JOIN nation ON s_nationkey = n_nationkey),
-  rows_ AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY manager ORDER BY amend <> 'N', filing) = 1)
-  SELECT n_name || ' holdings' AS query, manager, filing, 100.0::DOUBLE AS score FROM nation JOIN rows_ ON manager = n_name || ' holdings'""")
+def _best_name_sql(queries: str, labels: str) -> str:
+    """Best label of every query, all pairs: CTEs ending in best(name, label, score). queries: name; labels: label, pos."""
+    norm = lambda c: f"trim(regexp_replace(replace(replace(lower({c}), 'company', 'co'), 'corporation', 'corp'), '[^a-z0-9]+', ' ', 'g'))"
+    turned = lambda c: f"array_to_string(list_sort(string_split({c}, ' ')), ' ')"
+    return f"""q_ AS (SELECT name, {norm("name")} AS norm FROM (SELECT DISTINCT name FROM ({queries}))),
+  i_ AS (SELECT {norm("label")} AS cand, arg_min(label, pos) AS label FROM ({labels}) GROUP BY 1 HAVING cand <> ''),
+  near AS (SELECT DISTINCT norm, cand, {turned("norm")} AS s_norm, {turned("cand")} AS s_cand FROM q_ CROSS JOIN i_),
+  {_lcs_sql("SELECT norm AS x, cand AS y FROM near UNION SELECT s_norm, s_cand FROM near")},
+  best AS (SELECT name, label, 200.0::DOUBLE * greatest(l.n, m.n) / (length(norm) + length(cand)) AS score, cand
+     FROM q_ JOIN near USING (norm) JOIN i_ USING (cand) JOIN lcs l ON l.x = norm AND l.y = cand JOIN lcs m ON m.x = s_norm AND m.y = s_cand
+     QUALIFY row_number() OVER (PARTITION BY name ORDER BY score DESC, cand) = 1)"""
+
+
+def _misspelt(name):
+    """Per name: as it is, without vowels, turned around, only its start, and nothing like it."""
+    part = lambda i: F.split_part(name, F.lit(" "), F.lit(i))
+    return F.explode(F.array(name, F.translate(name, "aeiouAEIOU", ""), F.concat_ws(" ", part(2), part(1)),
+                             F.substring(name, 1, 4), F.concat(F.lit("zq "), F.sha2(name, 256).substr(1, 6))))
+
+
+def _misspelt_sql(table_: str, name: str) -> str:
+    return f"""SELECT unnest([{name}, translate({name}, 'aeiouAEIOU', ''), concat_ws(' ', split_part({name}, ' ', 2), split_part({name}, ' ', 1)),
+     substring({name}, 1, 4), 'zq ' || substring(sha256({name}), 1, 6)]) AS name FROM {table_}"""
+
+
+@query("entity_resolution", f"""WITH RECURSIVE f AS (SELECT n_name || ' holdings' AS manager, s_suppkey AS filing, CASE WHEN s_acctbal < 0 THEN 'Y' ELSE 'N' END AS amend FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+  rows_ AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY manager ORDER BY amend <> 'N', filing) = 1),
+  {_best_name_sql(_misspelt_sql("f", "manager"), "SELECT manager AS label, filing AS pos FROM f")}
+  SELECT name AS query, manager, filing, round(score, 6) AS score FROM best JOIN rows_ ON manager = label""")
 def entity_resolution(spark, sf):
     n = table(spark, sf, "nation").select("n_nationkey", "n_name")
     s = table(spark, sf, "supplier")
     f = s.join(n, s["s_nationkey"] == n["n_nationkey"]).select(
         F.col("s_suppkey").alias("filing"), F.concat("n_name", F.lit(" holdings")).alias("manager"),
         F.when(F.col("s_acctbal") < 0, "Y").otherwise("N").alias("is_amendment"), F.col("s_suppkey").alias("pos"))
-    q = f.select(F.col("manager").alias("query")).distinct()
-    return screening.resolve_entity(q, f)
+    q = f.select("manager").distinct().select(_misspelt(F.col("manager")).alias("query"))
+    return screening.resolve_entity(q, f).withColumn("score", F.round("score", 6))
+
+
+@query("issuer_resolution", f"""WITH RECURSIVE h AS (SELECT 'S' || (p_partkey // 2) AS security, p_type AS issuer, ['COM', 'Cl A', 'PUT', 'Note', 'adr'][p_partkey % 5 + 1] AS class, p_partkey AS pos FROM part),
+  s AS (SELECT security, lower(issuer) AS issuer, class, pos FROM h WHERE lower(class) IN ('com', 'cl a', 'adr') QUALIFY row_number() OVER (PARTITION BY security ORDER BY pos) = 1),
+  first_ AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY issuer ORDER BY pos) = 1),
+  {_best_name_sql(_misspelt_sql("part", "p_type"), "SELECT issuer AS label, pos FROM first_")}
+  SELECT name AS query, security, issuer, class, round(score, 6) AS score FROM best JOIN first_ ON issuer = label""")
+def issuer_resolution(spark, sf):
+    p = table(spark, sf, "part")
+    classes = F.array(*map(F.lit, ("COM", "Cl A", "PUT", "Note", "adr")))
+    h = p.select(F.concat(F.lit("S"), F.expr("p_partkey div 2").cast("string")).alias("security"), F.col("p_type").alias("issuer"),
+                 F.get(classes, (F.col("p_partkey") % 5).cast("int")).alias("class"), F.col("p_partkey").alias("pos"))
+    q = p.select("p_type").distinct().select(_misspelt(F.col("p_type")).alias("query"))
+    return screening.resolve_issuer(q, h).withColumn("score", F.round("score", 6))
 
 
 @query("code_crosswalk", """SELECT l_orderkey, l_linenumber, l_partkey, s_nationkey AS internal, n_name AS detail FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN nation ON s_nationkey = n_nationkey""")

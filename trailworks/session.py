@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # checkpoint files go when nothing refers to them any more
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -24,22 +26,27 @@ def build(master: str | None = None, app: str = "trailworks", **conf) -> SparkSe
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder named by ``spark.checkpoint.dir``.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors must share.
 
-    Only where neither the session nor its context names a folder (tests on one
-    machine) is a temporary one used.
+    On one machine it may be left out; then a folder inside the warehouse is used.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="trailworks-checkpoint-"))
+        sc.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder next to the checkpoints, for tables a job writes and reads again."""
-    import uuid
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="trailworks-")
-    return f"{folder}/{name}-{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
