@@ -36,7 +36,7 @@ WALKS, SAMPLES = 24, 2
 #: Most bytes of items handed to the tasks at once; larger benchmarks take several passes.
 BLOCK_BYTES = 16 << 20
 #: Windows embedded at once.
-_WINDOWS = 1 << 15
+_WINDOWS = 1 << 11
 _PAD = np.uint64(0x7F4A7C15F39CC060)
 
 
@@ -52,22 +52,30 @@ def shingle_rule(n: int) -> tuple[int, int]:
     return 1, 1
 
 
-def walk(windows: np.ndarray, number: int) -> np.ndarray:
-    """Keys of one walk over windows of equal size (rows x n words)."""
+def walks(windows: np.ndarray) -> np.ndarray:
+    """Bucket keys (WALKS x rows) of windows of equal size (rows x n words)."""
     rows, n = windows.shape
-    rng = np.random.default_rng([number, n])
-    steps = np.sort(rng.choice(3 * n, min(SAMPLES, 3 * n), replace=False))
+    rng = np.random.default_rng(n)
+    samples = min(SAMPLES, 3 * n)
+    steps = np.stack([np.sort(rng.choice(3 * n, samples, replace=False)) for _ in range(WALKS)])
     wide = np.concatenate([windows, np.full((rows, 1), _PAD)], axis=1)
-    at, every, key = np.zeros(rows, np.int64), np.arange(rows), np.full(rows, number, np.uint64)
+    line = (np.arange(WALKS)[:, None] * rows + np.arange(rows)) * (n + 1)
+    at, seen = line.copy(), np.empty((WALKS, samples, rows), np.int64)
     bits = None
-    for step in range(int(steps[-1]) + 1):
-        if step % 64 == 0:
-            bits = mix(wide ^ mix(np.array([number * 4096 + step], np.uint64)))
-        here = np.minimum(at, n)
-        if step in steps:
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + wide[every, here])
-        at += ((bits[every, here] >> np.uint64(step % 64)) & np.uint64(1)).astype(np.int64)
-    return key
+    for step in range(int(steps.max()) + 1):
+        if step % 64 == 0:      # a new random bit of each word for each of the next steps; the padding stays
+            seed = mix(np.arange(WALKS, dtype=np.uint64) * np.uint64(4096) + np.uint64(step))
+            bits = mix(wide[None] ^ seed[:, None, None])
+            bits[:, :, n] = 0
+            bits = bits.ravel()
+        for r, k in np.argwhere(steps == step):
+            seen[r, k] = at[r]
+        at += ((bits[at] >> np.uint64(step % 64)) & np.uint64(1)).view(np.int64)
+    words = wide[np.arange(rows), seen - line[:, None, :]]
+    keys = np.broadcast_to(np.arange(WALKS, dtype=np.uint64)[:, None], (WALKS, rows))
+    for k in range(samples):
+        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + words[:, k])
+    return keys
 
 
 def edit_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -100,8 +108,7 @@ class Size:
         for lo in range(0, len(windows), _WINDOWS):
             some = windows[lo:lo + _WINDOWS]
             left, right = [], []
-            for number, (keys, order) in enumerate(self.buckets):
-                mine = walk(some, number)
+            for mine, (keys, order) in zip(walks(some), self.buckets):
                 a, b = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
                 hit = np.flatnonzero(b > a)
                 count = (b - a)[hit]
@@ -130,10 +137,12 @@ class Items:
         for n, members in sorted(by_size.items()):
             q, need = shingle_rule(n)
             words = np.stack([x for _, x in members])
-            made = np.unique(np.concatenate([shingles(x, q) for x in words]))
+            own = [np.unique(shingles(x, q)) for x in words]
+            made = np.unique(np.concatenate(own))
+            # distinct shingles are counted; an item that repeats some may share fewer
+            need = max(1, need - max(n - q + 1 - len(x) for x in own))
             buckets = []
-            for number in range(WALKS):
-                keys = walk(words, number)
+            for keys in walks(words):
                 order = np.argsort(keys, kind="stable")
                 buckets.append((keys[order], order))
             self.sizes.append(Size(n, q, need, words, np.array([i for i, _ in members], np.int64), made, buckets))
@@ -153,8 +162,9 @@ class Items:
         w = words_of(batch, lower=True)
         h = w.hashes()
         hits: dict[int, np.ndarray] = {}
+        self.grams: dict[int, np.ndarray] = {}
         for q, (key, of, known) in self.tables.items():
-            grams = shingles(h, q)
+            grams = self.grams[q] = shingles(h, q)
             at = np.flatnonzero(known[grams >> np.uint64(44)])
             at = at[w.doc[at] == w.doc[at + q - 1]]
             a, b = np.searchsorted(key, grams[at], "left"), np.searchsorted(key, grams[at], "right")
@@ -166,7 +176,7 @@ class Items:
         found: dict[tuple[int, int], tuple[int, int, int]] = {}
         for k, pos in hits.items():
             s = self.sizes[k]
-            start = self._starts(w, np.sort(pos), s)
+            start = self._starts(w, pos, s) if len(pos) >= s.need else pos[:0]
             if not len(start):
                 continue
             windows = h[start[:, None] + np.arange(s.n)]
@@ -177,28 +187,38 @@ class Items:
                     found[row, item] = best
         return found
 
-    @staticmethod
-    def _starts(w, pos: np.ndarray, s: Size) -> np.ndarray:
-        """Starts of windows of s.n words in one document that hold at least s.need of the hits."""
-        reach = s.n - s.q
-        # the hits are sorted; a window with enough of them holds hit i and hit i + need - 1
-        if len(pos) < s.need:
-            return pos[:0]
-        lo, hi = pos[:len(pos) - s.need + 1], pos[s.need - 1:]
-        near = hi - lo <= reach
-        lo, hi = lo[near], hi[near]
-        if not len(lo):
-            return pos[:0]
-        first, last = hi - reach, lo             # starts from which both are inside
-        n_words = len(w.start)
-        steps = np.zeros(n_words + 1, np.int64)
-        np.add.at(steps, np.maximum(first, 0), 1)
-        np.add.at(steps, last + 1, -1)
-        start = np.flatnonzero(np.cumsum(steps[:-1]) > 0)
-        start = start[start + s.n <= n_words]
+    def _starts(self, w, pos: np.ndarray, s: Size) -> np.ndarray:
+        """Starts of windows of s.n words of one document that hold s.need distinct shingles of items of their size."""
+        pos = np.sort(pos)
+        gram = self.grams[s.q][pos]
+        order = np.lexsort((pos, gram))
+        last = np.full(len(pos), -1)
+        same = gram[order][1:] == gram[order][:-1]
+        last[order[1:][same]] = pos[order[:-1][same]]
+        # a hit is the first of its kind in the windows that start after the one before it
+        begin = np.maximum(np.maximum(last + 1, pos - (s.n - s.q)), 0)
+        edge = np.concatenate([begin, pos + 1])
+        step = np.concatenate([np.ones(len(pos), np.int64), np.full(len(pos), -1)])
+        order = np.argsort(edge, kind="stable")
+        edge, held = edge[order], np.cumsum(step[order])
+        enough = np.flatnonzero((held[:-1] >= s.need) & (edge[1:] > edge[:-1]))
+        n = edge[enough + 1] - edge[enough]
+        start = np.repeat(edge[enough], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        start = start[start + s.n <= len(w.start)]
         return start[w.doc[start] == w.doc[start + s.n - 1]]
 
 
+_LAST: list = []
+
+
+def _items(spread) -> Items:
+    """The items of a broadcast, made once in a worker process."""
+    rows = spread.value
+    if not _LAST or _LAST[0] != rows:
+        _LAST[:] = [rows, Items(rows)]
+    return _LAST[1]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Rows (doc_id, item_id, edits, first_word, n_words): the best window of each item in each document.
 
@@ -226,7 +246,7 @@ def without_items(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
         spread = docs.sparkSession.sparkContext.broadcast(rows)
 
         def work(batches: Iterator[pa.RecordBatch], spread=spread) -> Iterator[pa.RecordBatch]:
-            items = Items(spread.value)
+            items = _items(spread)
             for batch in batches:
                 for part in pieces(batch):
                     keep = np.ones(part.num_rows, bool)
@@ -251,7 +271,7 @@ def _one_block(docs: DataFrame, rows: list[tuple[int, str]], kinds: str) -> Data
     spread = docs.sparkSession.sparkContext.broadcast(rows)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(spread.value)
+        items = _items(spread)
         for batch in batches:
             for part in pieces(batch):
                 found = sorted(items.find(part).items())
