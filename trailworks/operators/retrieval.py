@@ -158,20 +158,22 @@ def sections(documents: DataFrame) -> DataFrame:
     # Cut in front of every heading line; the piece before the first one is no section.
     pieces = F.split("text", r"(?m)(?=^#{1,6}\s+\S)")
     head = r"^(#{1,6})\s+(.+?)[^\S\n]*(?:\n|$)"
-    d = documents.select("doc_id", F.posexplode(pieces).alias("pos", "piece")).filter(F.col("piece").rlike(head))
-    d = d.withColumn("level", F.length(F.regexp_extract("piece", head, 1))).withColumn(
-        "heading", strip(F.regexp_extract("piece", head, 2)))
-    w = Window.partitionBy("doc_id").orderBy("pos")   # bounded by one document
-    after = w.rowsBetween(1, Window.unboundedFollowing)
-    rest = F.collect_list(F.struct("pos", "level", "piece")).over(after)
-    stop = F.coalesce(F.array_min(F.transform(
-        F.filter(rest, lambda r: r["level"] <= F.col("level")), lambda r: r["pos"])), F.lit(2**31 - 1))
-    d = d.withColumn("_rest", rest).withColumn("_stop", stop)
-    body = F.filter("_rest", lambda r: r["pos"] < F.col("_stop"))
+    headed = F.filter(F.transform(pieces, lambda p, i: F.struct(p.alias("piece"), i.alias("pos"))), lambda p: p["piece"].rlike(head))
+    levels = F.transform("headed", lambda p: F.length(F.regexp_extract(p["piece"], head, 1)))
+    texts = F.transform("headed", lambda p: p["piece"])
+    d = documents.select("doc_id", headed.alias("headed")).select("doc_id", "headed", levels.alias("levels"), texts.alias("texts"))
+
+    def section(p: Column, i: Column) -> Column:
+        level = F.get("levels", i)
+        # the section ends before the next one of its level or above, else with the text
+        later = F.slice("levels", i + 2, F.greatest(F.size("levels") - i - 1, F.lit(0)))
+        stop = F.coalesce(F.array_min(F.filter(F.transform(later, lambda n, k: F.when(n <= level, k)), lambda k: k.isNotNull())), F.size(later))
+        return F.struct(p["pos"].alias("pos"), level.alias("level"), strip(F.regexp_extract(p["piece"], head, 2)).alias("heading"),
+                        F.array_join(F.slice("texts", i + 1, stop + 1), "").alias("content"), (stop == 0).alias("is_leaf"))
+
+    d = d.select("doc_id", F.inline(F.transform("headed", section))).withColumn("_slug", T.slug(F.col("heading")))
     twin = Window.partitionBy("doc_id", "_slug").orderBy("pos")
-    d = d.withColumn("content", F.concat(F.col("piece"), F.array_join(F.transform(body, lambda r: r["piece"]), ""))) \
-        .withColumn("is_leaf", F.size(body) == 0).withColumn("_slug", T.slug(F.col("heading"))) \
-        .withColumn("_copy", F.row_number().over(twin))
+    d = d.withColumn("_copy", F.row_number().over(twin))
     return d.select("doc_id", "pos", F.when(F.col("_copy") == 1, F.col("_slug")).otherwise(
         F.concat_ws("-", "_slug", F.col("_copy").cast("string"))).alias("section_id"),
         "heading", "level", "content", "is_leaf")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from decimal import ROUND_HALF_EVEN, Decimal
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 WORK_DAYS = (4, 5, 6)
 
@@ -13,30 +17,45 @@ def plan_days(weeks: DataFrame, keys: list[str], rate: float, quiet_demand: floa
     """Working days per week from the signed carry-over and the demand.
 
     ``weeks``: keys, week, demand, initial (backlog total including the first week). A plan has
-    one row per week after the sum below, so the folded list is as long as the calendar.
+    one row per week after the sum below, so a list is as long as the calendar; it is folded in one pass.
     """
     r = (lambda c: F.bround(c, 2)) if rounded else (lambda c: c)
     d = weeks.groupBy(*keys, "week").agg(F.sum("demand").alias("demand"), F.max("initial").alias("initial"))
     d = d.withColumn("demand", r(F.col("demand")))
     items = d.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("week", "demand"))).alias("w"), F.max("initial").alias("initial"))
-    shape = ("array<struct<week:%s,days:int,demand:double,capacity:double,start_queue:double,end_queue:double,overtime:double>>"
-             % d.schema["week"].dataType.simpleString())
-
-    def days(start: Column, demand: Column) -> Column:
-        backlog = F.greatest(F.lit(0.0), start) > 0.01
-        low, mid, high = WORK_DAYS
-        return (F.when(backlog, F.when(start + demand - rate * mid <= 0.0, mid).otherwise(high))
-                .when(demand <= quiet_demand, low).otherwise(mid))
-
-    def step(acc: Column, x: Column) -> Column:
-        start, n = acc["start"], days(acc["start"], x["demand"])
-        capacity = r(F.lit(rate) * n)
-        end = r(start + x["demand"] - capacity)
-        row = F.struct(x["week"].alias("week"), n.cast("int").alias("days"), x["demand"].alias("demand"), capacity.alias("capacity"),
-                       r(F.greatest(F.lit(0.0), start)).alias("start_queue"), end.alias("end_queue"),
-                       r(overtime_per_day * F.greatest(F.lit(0), n - WORK_DAYS[0])).cast("double").alias("overtime"))
-        return F.struct(end.alias("start"), F.concat(acc["rows"], F.array(row)).cast(shape).alias("rows"))
-
-    first = r(F.col("initial") - F.get("w", 0)["demand"])
-    zero = F.struct(first.cast("double").alias("start"), F.array().cast(shape).alias("rows"))
-    return items.select(*keys, F.aggregate("w", zero, step)["rows"].alias("rows")).select(*keys, F.inline("rows"))
+    made = _fold(rate, quiet_demand, overtime_per_day, rounded)
+    first = r(F.col("initial") - F.get("w", 0)["demand"]).cast("double")
+    d = items.select(*keys, "w", made(F.transform("w", lambda x: x["demand"].cast("double")), first).alias("s"))
+    row = F.transform(F.arrays_zip("w", "s"), lambda x: F.struct(
+        x["w"]["week"].alias("week"), x["s"]["days"].alias("days"), x["w"]["demand"].cast("double").alias("demand"), x["s"]["capacity"].alias("capacity"),
+        r(F.greatest(F.lit(0.0), x["s"]["start"])).alias("start_queue"), x["s"]["end"].alias("end_queue"),
+        r(overtime_per_day * F.greatest(F.lit(0), x["s"]["days"] - WORK_DAYS[0])).cast("double").alias("overtime")))
+    return d.select(*keys, F.inline(row))
+
+
+def _fold(rate: float, quiet_demand: float, overtime_per_day: float, rounded: bool):
+    """The queue of one plan, week after week: a list per plan in, a list of the same length out."""
+    low, mid, high = WORK_DAYS
+
+    def r(x: float) -> float:
+        return float(Decimal(repr(x)).quantize(Decimal("0.01"), ROUND_HALF_EVEN)) if rounded else x
+
+    def plan(demands, start: float) -> list[dict]:
+        out = []
+        for demand in demands:
+            if start > 0.01:
+                days = mid if start + demand - rate * mid <= 0.0 else high
+            else:
+                days = low if demand <= quiet_demand else mid
+            capacity = r(rate * days)
+            end = r(start + demand - capacity)
+            out.append({"days": days, "capacity": capacity, "start": start, "end": end})
+            start = end
+        return out
+
+    @F.pandas_udf(ArrayType(StructType([StructField("days", IntegerType()), StructField("capacity", DoubleType()),
+                                        StructField("start", DoubleType()), StructField("end", DoubleType())])))
+    def fold(demands: pd.Series, start: pd.Series) -> pd.Series:
+        return pd.Series([plan(d.tolist(), s) for d, s in zip(demands, start)])
+
+    return fold

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ...functions.sequence import ordered_numbers
+
 
 def scenario_lookup(requests: DataFrame, table: DataFrame, label: str, scenarios: list[str]) -> DataFrame:
     """Value by (row label, scenario header), 0 where absent. ``requests``: label, scenario."""
@@ -20,10 +22,26 @@ def ratio(top: Column, middle: Column, base: Column) -> Column:
 def risk_statistics(df: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
     """Spread, linear quartiles and weighted mean per group.
 
-    ``percentile`` is exact: it counts distinct values per group, with partial aggregation.
+    Quartiles are exact and come from row numbers along ranges of (keys, value), so a group that holds
+    most of the rows is spread over many tasks and no task keeps its values in a buffer.
     """
     w = F.sum(weight)
-    return df.groupBy(*keys).agg(
-        F.min(value).alias("min_value"), F.max(value).alias("max_value"), F.median(value).alias("median_value"),
-        F.avg(value).alias("mean_value"), F.percentile(value, 0.25).alias("p25"), F.percentile(value, 0.75).alias("p75"),
+    plain = df.groupBy(*keys).agg(
+        F.min(value).alias("min_value"), F.max(value).alias("max_value"), F.avg(value).alias("mean_value"), F.count(value).alias("_n"),
         F.coalesce(F.try_divide(F.sum(F.col(value) * F.col(weight)), w), F.lit(0.0)).alias("weighted_mean"))
+    names = {"p25": 0.25, "median_value": 0.5, "p75": 0.75}
+    known = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_value"))
+    placed = ordered_numbers(known, keys, ["_value"], "_place").join(plain.select(*keys, "_n"), keys)
+    spot = lambda q: F.lit(q) * (F.col("_n") - 1)
+    near = [(F.col("_place") == F.floor(spot(q)) + 1) | (F.col("_place") == F.ceil(spot(q)) + 1) for q in names.values()]
+    picked = placed.filter(near[0] | near[1] | near[2])
+
+    def quartile(q: float) -> Column:
+        low = F.max(F.when(F.col("_place") == F.floor(spot(q)) + 1, F.col("_value")))
+        high = F.max(F.when(F.col("_place") == F.ceil(spot(q)) + 1, F.col("_value")))
+        share = F.max(spot(q) - F.floor(spot(q)))
+        return low + (high - low) * share
+
+    parts = picked.groupBy(*keys).agg(*[quartile(q).alias(n) for n, q in names.items()])
+    return plain.join(parts, keys, "left").select(
+        *keys, "min_value", "max_value", "median_value", "mean_value", "p25", "p75", "weighted_mean")

@@ -54,10 +54,12 @@ def totals(rolled: DataFrame, account: str, gl: DataFrame) -> DataFrame:
 
     ``rolled``: account, month, opening, adds, releases, ending_balance. ``gl``: account, gl_balance.
     """
-    last = rolled.agg(F.max("month").alias("_last"))
-    d = rolled.join(F.broadcast(last)).groupBy(account).agg(
-        F.sum("adds").alias("adds"), F.sum("releases").alias("releases"),
-        F.sum(F.when(F.col("month") == F.col("_last"), F.col("ending_balance"))).alias("ending_balance"))
+    monthly = rolled.groupBy(account, "month").agg(*[F.sum(c).alias(c) for c in ("adds", "releases", "ending_balance")])
+    d = monthly.groupBy(account).agg(F.sum("adds").alias("adds"), F.sum("releases").alias("releases"), F.max("month").alias("_month"),
+                                     F.max_by("ending_balance", "month").alias("ending_balance"))
+    # one row per account from here on; the balance counts only where the account has the last month of all
+    last = F.max("_month").over(Window.partitionBy())
+    d = d.withColumn("ending_balance", F.when(F.col("_month") == last, F.col("ending_balance"))).drop("_month")
     d = d.join(gl, account, "left").withColumn("difference", F.col("gl_balance") - F.col("ending_balance"))
     return d.rollup(account).agg(*[F.sum(c).alias(c) for c in ("adds", "releases", "ending_balance", "gl_balance", "difference")]) \
         .withColumn(account, F.coalesce(F.col(account).cast("string"), F.lit("Total")))

@@ -536,14 +536,21 @@ def evidence_filters(spark, sf):
 
 # --- streaming (ST2) ------------------------------------------------------------------------
 
+STREAM_FILES = 4
+
+
 @query("streamed_store", """SELECT 'm-' || left(sha256('task-' || user_id), 20) AS memory_id, arg_max(value, event_id) AS value, max(event_id) AS pos FROM events GROUP BY 1""")
 def streamed_store(spark, sf):
-    """The event table as a stream, merged into a store by content id."""
-    static = spark.read.parquet(f"{sf}/events.parquet")
-    src = spark.readStream.schema(static.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    """The event table as a stream of several files, one per micro-batch, merged into a store by content id."""
+    static = table(spark, sf, "events")
+    top = static.agg(F.max("event_id")).first()[0] or 0
+    folder = shared_folder(spark, "store")
+    for k in range(STREAM_FILES):      # one after the other: a stream takes files by their age
+        part = static.filter(F.least(F.lit(STREAM_FILES - 1), F.floor(F.col("event_id") * STREAM_FILES / (top + 1))) == k)
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/events")
+    src = spark.readStream.schema(static.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/events")
     rec = src.select(F.concat(F.lit("m-"), F.substring(F.sha2(F.concat(F.lit("task-"), F.col("user_id").cast("string")), 256), 1, 20)).alias("memory_id"), "value",
                      F.col("event_id").alias("pos"), F.lit("memory").alias("representation"))
-    folder = shared_folder(spark, "store")
     q = ST.merge_stream(rec, f"{folder}/table", f"{folder}/offsets", M.MEMORY_PROMOTED)
     q.awaitTermination()
     last = q.lastProgress["batchId"] if q.lastProgress else 0
