@@ -130,9 +130,9 @@ def cluster_points(candidates: DataFrame, threshold: float = X.CLUSTER_SIMILARIT
                   f"vector {points.schema['vector'].dataType.simpleString()}, block long, cluster long")
         done = joined.select(*POOL, "fingerprint", "copies", "vector", "block", "open").groupBy(*POOL).applyInPandas(
             _place(threshold, block * BLOCK_ROWS), schema)
+        # each round writes its own block only; what was placed before is read, not written again
+        done = cut_lineage(done) if int(last) > 0 else done
         placed = done if placed is None else placed.unionByName(done)
-        if int(last) > 0:
-            placed = cut_lineage(placed)
     if placed is None:
         return points.withColumn("cluster", F.lit(0).cast("long"))
     return placed

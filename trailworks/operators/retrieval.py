@@ -11,6 +11,7 @@ from ..functions import fixed as X
 from ..functions import text as T
 from ..functions.lists import strip
 from ..functions.sequence import first_rows
+from ..functions.staging import staged
 from ..session import cut_lineage
 from .overlap import candidate_pairs
 
@@ -194,15 +195,17 @@ def rank_sections(secs: DataFrame, queries: DataFrame, limit: int = 4) -> DataFr
 
 
 def hashed_vectors(texts: DataFrame, text_column: str, dims: int = 1024, vectorizer=None) -> DataFrame:
-    """Unit vectors of text, from a user-supplied ``pandas_udf`` or hashed TF-IDF."""
+    """Unit vectors of text, from a user-supplied ``pandas_udf`` or hashed TF-IDF (weights above zero)."""
     if vectorizer is not None:
         return texts.withColumn("vector", vectorizer(F.col(text_column)))
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer
+    from pyspark.ml.feature import IDF, HashingTF
     from pyspark.ml.functions import vector_to_array
 
     d = texts.withColumn("_tokens", T.retrieval_tokens(F.col(text_column)))
-    stages = [HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=dims),
-              IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="_unit")]
-    return Pipeline(stages=stages).fit(d).transform(d).withColumn(
-        "vector", vector_to_array("_unit", "float32")).drop("_tokens", "_tf", "_idf", "_unit")
+    d = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=dims).transform(d)
+    d = IDF(inputCol="_tf", outputCol="_idf").fit(d).transform(d)
+    # Counts are added to the weighted counts: a token that every text has still counts a little.
+    d = staged(d, _sum=F.zip_with(vector_to_array("_tf"), vector_to_array("_idf"), lambda x, y: x + y))
+    d = staged(d, _size=F.greatest(F.sqrt(F.aggregate("_sum", F.lit(0.0), lambda s, x: s + x * x)), F.lit(1e-12)))
+    return d.withColumn("vector", F.transform("_sum", lambda x: (x / F.col("_size")).cast("float"))).drop(
+        "_tokens", "_tf", "_idf", "_sum", "_size")

@@ -35,9 +35,10 @@ def tool_calls(steps: DataFrame) -> DataFrame:
     other = F.coalesce(F.col("args")["file_path"], F.col("args")["path"], F.lit(""))
     failed = E.is_error(F.col("is_error"), F.lit(None).cast("boolean"), F.col("result_text"))
     return (
-        staged(steps.filter(F.length(tool) > 0), failed=failed,
-               _paths=F.when(tool == "Bash", C.file_paths(arg("command"))),
-               _written=F.when(tool == "Bash", C.written_paths(arg("command"))))
+        # the path patterns are plain columns, so that plans which do not ask for files leave them out
+        staged(steps.filter(F.length(tool) > 0), failed=failed)
+        .withColumn("_paths", F.when(tool == "Bash", C.file_paths(arg("command"))))
+        .withColumn("_written", F.when(tool == "Bash", C.written_paths(arg("command"))))
         .select(
             *ATTEMPT, "step_idx", "tool_name",
             F.when(tool == "Bash", arg("command")).when(tool == "Write", arg("content"))

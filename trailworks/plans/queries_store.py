@@ -199,17 +199,23 @@ def _policies(spark, sf):
         F.when(F.col("p_size") % 10 != 0, (F.col("p_size") % 5).cast("int")).alias("first_number"), (F.col("p_size") % 2 == 0).alias("has_substeps"), k.alias("p_partkey"), F.col("p_size").cast("long").alias("support"))
 
 
+def _next_key(spark, sf, name, column):
+    """One more than the largest key of a table: fixtures spread over the whole key range at any scale."""
+    return (table(spark, sf, name).agg(F.max(column)).first()[0] or 0) + 1
+
+
 def _observations(spark, sf):
     k = F.col("p_partkey")
-    task = lambda n: T.task_fingerprint(F.concat(F.lit("task-"), ((k * n + 3) % 97).cast("string")))
+    users = _next_key(spark, sf, "events", "user_id")
+    task = lambda n: T.task_fingerprint(F.concat(F.lit("task-"), ((k * n + 3) % users).cast("string")))
     d = table(spark, sf, "part").select(F.concat(F.lit("policy-"), k.cast("string")).alias("policy_id"), F.explode(F.array(task(1), task(5))).alias("task_fingerprint"))
     return d
 
 
 def _used(spark, sf):
     """What each step names: a policy by slug or, for errors, by id."""
-    number = ((F.col("user_id") * 7 + F.col("k")) % 200).cast("string")
-    return V._event_base(spark, sf).filter(F.col("event_type").isin("click", "error")).select(
+    number = ((F.col("user_id") * 7 + F.col("k") * 13) % _next_key(spark, sf, "part", "p_partkey")).cast("string")
+    return V._event_base(spark, sf).select(
         F.concat_ws(":", "task_name", F.col("attempt_number").cast("string")).alias("attempt_id"),
         F.concat(F.when(F.col("event_type") == "error", "policy-").otherwise("rule-"), number).alias("name"))
 
@@ -217,8 +223,8 @@ def _used(spark, sf):
 POL_SQL = V.merge_ctes(V.ATTEMPTS_SQL, """
 pol AS (SELECT 'policy-' || p_partkey AS policy_id, 'rule-' || p_partkey AS slug, p_brand AS family, CASE WHEN p_size > 40 THEN 'active' ELSE 'experimental' END AS status,
   CASE WHEN p_size % 10 <> 0 THEN p_size % 5 END AS first_number, p_size % 2 = 0 AS has_substeps, p_partkey FROM part),
-obs AS (SELECT DISTINCT 'policy-' || p_partkey AS policy_id, 'task-' || unnest([(p_partkey + 3) % 97, (p_partkey * 5 + 3) % 97]) AS task_name FROM part),
-used AS (SELECT DISTINCT task_name || ':' || attempt_number AS attempt_id, 'policy-' || ((user_id * 7 + k) % 200) AS policy_id FROM ev WHERE event_type IN ('click', 'error')),
+obs AS (SELECT DISTINCT 'policy-' || p_partkey AS policy_id, 'task-' || unnest([(p_partkey + 3) % (SELECT max(user_id) + 1 FROM events), (p_partkey * 5 + 3) % (SELECT max(user_id) + 1 FROM events)]) AS task_name FROM part),
+used AS (SELECT DISTINCT task_name || ':' || attempt_number AS attempt_id, 'policy-' || ((user_id * 7 + k * 13) % (SELECT max(p_partkey) + 1 FROM part)) AS policy_id FROM ev),
 hits AS (SELECT u.policy_id, a.* FROM used u JOIN pol USING (policy_id) JOIN attempts a USING (attempt_id))""")
 
 
@@ -445,7 +451,7 @@ def _reuse(spark, sf):
     return ME.reuse_metrics(a, used, known, induced, ["task_family"])
 
 
-@query("reuse_metrics", f"""WITH {POL_SQL}, us AS (SELECT DISTINCT task_name || ':' || attempt_number AS attempt_id, CASE event_type WHEN 'error' THEN 'policy-' ELSE 'rule-' END || ((user_id * 7 + k) % 200) AS slug FROM ev WHERE event_type IN ('click', 'error')),
+@query("reuse_metrics", f"""WITH {POL_SQL}, us AS (SELECT DISTINCT task_name || ':' || attempt_number AS attempt_id, CASE event_type WHEN 'error' THEN 'policy-' ELSE 'rule-' END || ((user_id * 7 + k * 13) % (SELECT max(p_partkey) + 1 FROM part)) AS slug FROM ev),
  b AS (SELECT DISTINCT task_family, attempt_number AS batch FROM attempts), fp AS (SELECT slug, first_number, status = 'active' AS active, 'family-' || (p_partkey % 7) AS task_family FROM pol WHERE first_number IS NOT NULL),
  known AS (SELECT task_family, batch, slug, active FROM b JOIN fp USING (task_family) WHERE first_number < batch), induced AS (SELECT task_family, batch, slug FROM b JOIN fp USING (task_family) WHERE first_number = batch),
  uses AS (SELECT a.task_family, attempt_number AS batch, verifier_passed AS passed, slug FROM us JOIN attempts a USING (attempt_id)),
