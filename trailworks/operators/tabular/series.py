@@ -70,10 +70,31 @@ def real_log(nominal: Column, deflator: Column) -> Column:
 
 
 def hp_cycle(values: np.ndarray, lam: float = LAMBDA) -> np.ndarray:
-    """Deviation from the smooth trend that solves ``(I + lam D'D) trend = values``."""
+    """Deviation from the smooth trend that solves ``(I + lam D'D) trend = values``, D the second differences.
+
+    The matrix has two bands on each side of the diagonal, so it is split into a unit lower band, a
+    diagonal and its transpose in one pass over the series, and solved in another one backwards.
+    """
     n = len(values)
-    d = np.diff(np.eye(n), n=2, axis=0)
-    return values - np.linalg.solve(np.eye(n) + lam * (d.T @ d), values)
+    if n < 3:
+        return np.zeros(n)
+    main, near, far = np.ones(n), np.zeros(n), np.zeros(n)
+    for k in range(n - 2):          # one second difference touches three neighbours
+        main[k:k + 3] += lam * np.array([1.0, 4.0, 1.0])
+        near[k:k + 2] -= 2.0 * lam
+        far[k] += lam
+    pivot, one, two, part = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
+    for k in range(n):
+        a = (pivot[k - 1], one[k - 1], two[k - 1], part[k - 1]) if k > 0 else (0.0,) * 4
+        b = (pivot[k - 2], two[k - 2], part[k - 2]) if k > 1 else (0.0,) * 3
+        pivot[k] = main[k] - a[0] * a[1] ** 2 - b[0] * b[1] ** 2
+        one[k] = (near[k] - a[0] * a[1] * a[2]) / pivot[k]
+        two[k] = far[k] / pivot[k]
+        part[k] = values[k] - a[1] * a[3] - b[1] * b[2]
+    trend = part / pivot
+    for k in range(n - 2, -1, -1):
+        trend[k] -= one[k] * trend[k + 1] + (two[k] * trend[k + 2] if k + 2 < n else 0.0)
+    return values - trend
 
 
 def cycle_correlation(aligned: DataFrame, keys: list[str], lam: float = LAMBDA, min_years: int = MIN_YEARS) -> DataFrame:

@@ -503,7 +503,22 @@ def _quarterly(spark, sf):
         F.sum("l_quantity").alias("qty"), F.sum("l_extendedprice").alias("rev"), F.count(F.lit(1)).alias("n"))
 
 
-@query("cycle_correlation")
+CYCLE_SQL = """WITH RECURSIVE q AS (SELECT s_nationkey, year(l_shipdate) * 4 + quarter(l_shipdate) AS year, sum(l_quantity) AS qty, sum(l_extendedprice) AS rev, count(*) AS n
+    FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
+  s AS (SELECT s_nationkey, row_number() OVER w AS i, count(*) OVER (PARTITION BY s_nationkey) AS m, ln(rev / n) AS a, ln(qty / n) AS b FROM q WINDOW w AS (PARTITION BY s_nationkey ORDER BY year)),
+  c AS (SELECT *, 1 + 100.0::DOUBLE * CASE WHEN i IN (1, m) THEN 1 WHEN i IN (2, m - 1) THEN 5 ELSE 6 END AS main,
+    100.0::DOUBLE * CASE WHEN i = m THEN 0 WHEN i IN (1, m - 1) THEN -2 ELSE -4 END AS near, CASE WHEN i > m - 2 THEN 0 ELSE 100.0::DOUBLE END AS far FROM s),
+  f(s_nationkey, i, p1, o1, t1, za1, zb1, p0, t0, za0, zb0) AS (
+    SELECT s_nationkey, 0::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM (SELECT DISTINCT s_nationkey FROM c)
+    UNION ALL SELECT c.s_nationkey, c.i, main - p1 * o1 * o1 - p0 * t0 * t0, (near - p1 * o1 * t1) / (main - p1 * o1 * o1 - p0 * t0 * t0), far / (main - p1 * o1 * o1 - p0 * t0 * t0),
+      a - o1 * za1 - t0 * za0, b - o1 * zb1 - t0 * zb0, p1, t1, za1, zb1 FROM f JOIN c ON c.s_nationkey = f.s_nationkey AND c.i = f.i + 1),
+  g(s_nationkey, i, xa1, xb1, xa2, xb2) AS (
+    SELECT s_nationkey, max(i) + 1, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM f GROUP BY 1
+    UNION ALL SELECT f.s_nationkey, f.i, f.za1 / f.p1 - f.o1 * g.xa1 - f.t1 * g.xa2, f.zb1 / f.p1 - f.o1 * g.xb1 - f.t1 * g.xb2, g.xa1, g.xb1 FROM g JOIN f ON f.s_nationkey = g.s_nationkey AND f.i = g.i - 1 AND f.i > 0)
+  SELECT s_nationkey, count(*) AS n_years, CASE WHEN count(*) >= 8 THEN round(corr(a - xa1, b - xb1), 5) END AS correlation FROM s JOIN g USING (s_nationkey, i) GROUP BY 1"""
+
+
+@query("cycle_correlation", CYCLE_SQL)
 def cycle_correlation(spark, sf):
     d = _quarterly(spark, sf).select("s_nationkey", "year", series.real_log(F.col("rev"), F.col("n")).alias("a"), series.real_log(F.col("qty"), F.col("n")).alias("b"))
     return series.cycle_correlation(d, ["s_nationkey"]).withColumn("correlation", F.round("correlation", 5))
@@ -558,7 +573,14 @@ def weekday_anova(spark, sf):
     return quality.anova(d, ["event_type"], "wd", "v").select("event_type", "groups", "n", F.round("f_stat", 6).alias("f_stat"), "highest_mean_group", "lowest_mean_group")
 
 
-@query("weekday_anova_p_values")
+# The tail of F is a regularized incomplete beta function; its integral by Simpson's rule.
+@query("weekday_anova_p_values", f"""WITH {DAY_SQL}, g AS (SELECT event_type, dayofweek(day) AS wd, count(*) AS n, avg(v) AS m, var_pop(v) * count(*) AS ss FROM x GROUP BY ALL),
+  t AS (SELECT event_type, count(*) - 1 AS d1, sum(n)::DOUBLE - count(*) AS d2, ((sum(n * m * m) - sum(n * m) * sum(n * m) / sum(n)) / (count(*) - 1)) / (sum(ss) / (sum(n) - count(*))) AS f FROM g GROUP BY 1),
+  u AS (SELECT *, d2 / 2 AS a, d1 / 2 AS b, d2 / (d2 + d1 * f) AS top FROM t),
+  s AS (SELECT event_type, f, sum(CASE WHEN k IN (0, 20000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END *
+    CASE WHEN k = 0 THEN 0 ELSE exp((a - 1) * ln(top * k / 20000.0) + (b - 1) * ln(1 - top * k / 20000.0) + lgamma(a + b) - lgamma(a) - lgamma(b)) END) * top / 60000 AS p
+    FROM u CROSS JOIN range(20001) r(k) GROUP BY event_type, f, top)
+  SELECT event_type, round(f, 6) AS f_stat, round(p, 6) AS p_value FROM s""")
 def weekday_anova_p_values(spark, sf):
     d = _daily(spark, sf).withColumn("wd", F.dayofweek("day"))
     return quality.anova(d, ["event_type"], "wd", "v").select("event_type", F.round("f_stat", 6).alias("f_stat"), F.round("p_value", 6).alias("p_value"))
@@ -587,7 +609,16 @@ def mean_against_target(spark, sf):
     return d.select("event_type", "n", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), F.round("t_stat", 5).alias("t_stat"), F.round("cpk_lower", 6).alias("cpk_lower"))
 
 
-@query("mean_test_p_values")
+# The density of t is summed on a fine grid; the quantile is where the two-sided tail falls to 0.05.
+@query("mean_test_p_values", f"""WITH {DAY_SQL}, m AS (SELECT event_type, count(v) AS n, avg(v) AS mean, stddev_samp(v) / sqrt(count(v)) AS se, count(v) - 1.0::DOUBLE AS df FROM x GROUP BY 1),
+  u AS (SELECT *, abs(mean - 500) / se AS t, lgamma((df + 1) / 2) - lgamma(df / 2) - 0.5 * ln(df * pi()) AS c FROM m),
+  p AS (SELECT event_type, 1 - 2 * sum(CASE WHEN k IN (0, 20000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * exp(c - (df + 1) / 2 * ln(1 + (least(t, 60) * k / 20000) ** 2 / df))) * least(t, 60) / 60000 AS p
+    FROM u CROSS JOIN range(20001) r(k) GROUP BY event_type, t),
+  y AS (SELECT event_type, k * 0.0002 AS pos, exp(c - (df + 1) / 2 * ln(1 + (k * 0.0002) ** 2 / df)) AS y FROM u CROSS JOIN range(60001) r(k)),
+  z AS (SELECT event_type, pos, 1 - 2 * sum((y + before) / 2 * 0.0002) OVER (PARTITION BY event_type ORDER BY pos) AS tail FROM (SELECT *, lag(y, 1, y) OVER (PARTITION BY event_type ORDER BY pos) AS before FROM y) WHERE pos > 0),
+  q AS (SELECT event_type, max(pos) FILTER (tail > 0.05) AS lo, min(tail) FILTER (tail > 0.05) AS t0, max(tail) FILTER (tail <= 0.05) AS t1 FROM z GROUP BY 1)
+  SELECT event_type, round(greatest(p, 0), 6) AS p_value, round(mean - (lo + 0.0002 * (t0 - 0.05) / (t0 - t1)) * se, 4) AS ci_low, round(mean + (lo + 0.0002 * (t0 - 0.05) / (t0 - t1)) * se, 4) AS ci_high,
+    CASE WHEN p < 0.05 THEN 'reject_h0' ELSE 'fail_to_reject_h0' END AS decision FROM m JOIN p USING (event_type) JOIN q USING (event_type)""")
 def mean_test_p_values(spark, sf):
     d = quality.one_sample_t(_daily(spark, sf), ["event_type"], "v", 500.0)
     return d.select("event_type", F.round("p_value", 6).alias("p_value"), F.round("ci_low", 4).alias("ci_low"), F.round("ci_high", 4).alias("ci_high"), "decision")
