@@ -115,7 +115,20 @@ def _vectors(spark, sf):
         F.sha2(F.col("vec_id").cast("string"), 256).alias("fingerprint"), F.transform(v, lambda x: (x / norm).cast("float")).alias("vector"), "vec_id")
 
 
-@query("vector_clusters")
+# First fit in fingerprint order, one point per step: clusters with a distant member are ruled out, the lowest other number is taken.
+@query("vector_clusters", """WITH RECURSIVE e AS (SELECT vec_id, label % 3 AS pool, sha256(vec_id::VARCHAR) AS fingerprint, embedding AS e,
+    sqrt(list_reduce(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE), lambda a, b: a + b)) AS size FROM embeddings),
+  v AS MATERIALIZED (SELECT pool, fingerprint, row_number() OVER (PARTITION BY pool ORDER BY fingerprint) AS i, list_transform(e, lambda x: (x::DOUBLE / size)::FLOAT)::DOUBLE[] AS v FROM e),
+  near AS MATERIALIZED (SELECT a.pool, a.i, list(list_dot_product(a.v, b.v) >= 0.75 ORDER BY b.i) FILTER (b.i IS NOT NULL) AS near FROM v a LEFT JOIN v b ON a.pool = b.pool AND b.i < a.i GROUP BY 1, 2),
+  r(pool, i, placed) AS (SELECT DISTINCT pool, 0::BIGINT, []::BIGINT[] FROM v UNION ALL
+    SELECT r.pool, n.i, list_append(placed, list_min(list_filter(range(1, coalesce(list_max(placed), 0) + 2),
+      lambda c: list_contains(list_transform(range(1, r.i + 1), lambda j: CASE WHEN NOT n.near[j] THEN placed[j] END), c) IS NOT TRUE))) FROM r JOIN near n ON n.pool = r.pool AND n.i = r.i + 1),
+  last AS (SELECT pool, placed FROM r QUALIFY row_number() OVER (PARTITION BY pool ORDER BY i DESC) = 1),
+  m AS MATERIALIZED (SELECT v.pool, fingerprint, v.v, placed[v.i] AS cluster FROM v JOIN last USING (pool)),
+  s AS (SELECT a.pool, a.cluster, a.fingerprint, count(*) AS members, round(coalesce(sum(list_dot_product(a.v, b.v)) FILTER (a.fingerprint <> b.fingerprint) / nullif(count(*) - 1, 0), 0), 6) AS mean
+    FROM m a JOIN m b USING (pool, cluster) GROUP BY 1, 2, 3)
+  SELECT 'family-' || pool AS task_family, ['recovery_candidate', 'atomic_substep', 'workflow'][pool + 1] AS candidate_kind, cluster - 1 AS cluster, members, fingerprint AS representative
+  FROM s QUALIFY row_number() OVER (PARTITION BY pool, cluster ORDER BY mean DESC, fingerprint) = 1""")
 def vector_clusters(spark, sf):
     placed = CL.cluster_points(_vectors(spark, sf))
     return CL.representatives(placed).select("task_family", "candidate_kind", "cluster", "members", "representative")

@@ -273,7 +273,21 @@ def implementation_slots(spark, sf):
     return P.upsert_implementations(keyed(d.filter("p_size > 10")), keyed(new)).select(F.col("policy_id").cast("long").alias("policy_id"), F.get("procedure", 0).alias("step"), "status")
 
 
-@query("compact_registry")
+# One policy per step: the first slot whose holder it repeats is kept or taken over, else a slot is added.
+@query("compact_registry", """WITH RECURSIVE p AS (SELECT p_brand AS family, 'policy-' || p_partkey AS policy_id, lower('handle ' || p_name || ' of ' || p_type) AS trigger,
+    (p_size > 40)::INTEGER * 100000 + p_size AS strength, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i,
+    list_distinct(regexp_extract_all(lower(p_name || ' rule keep ' || lower(p_type) || ' sizes near ' || (p_size % 7) || ' handle ' || p_name || ' of ' || p_type), '[a-z][a-z0-9_-]{2,}')) AS tokens FROM part),
+  near AS MATERIALIZED (SELECT a.family, a.i, a.strength, list(a.trigger = b.trigger OR len(list_intersect(a.tokens, b.tokens)) / least(len(a.tokens), len(b.tokens))::DOUBLE >= 0.72 ORDER BY b.i) FILTER (b.i IS NOT NULL) AS near
+    FROM p a LEFT JOIN p b ON a.family = b.family AND b.i < a.i GROUP BY ALL),
+  f AS MATERIALIZED (SELECT family, list(strength ORDER BY i) AS strengths FROM p GROUP BY 1),
+  r(family, i, held) AS (SELECT family, 0::BIGINT, []::BIGINT[] FROM f UNION ALL
+    SELECT family, n.i, CASE WHEN coalesce(list_position(list_transform(held, lambda h: n.near[h]), true), 0) = 0 THEN list_append(held, n.i)
+      WHEN n.strength > strengths[held[list_position(list_transform(held, lambda h: n.near[h]), true)]] THEN
+        list_transform(range(1, len(held) + 1), lambda k: CASE WHEN k = list_position(list_transform(held, lambda h: n.near[h]), true) THEN n.i ELSE held[k] END)
+      ELSE held END FROM r JOIN f USING (family) JOIN near n USING (family) WHERE n.i = r.i + 1),
+  last AS (SELECT family, held FROM r QUALIFY row_number() OVER (PARTITION BY family ORDER BY i DESC) = 1),
+  s AS (SELECT family, unnest(held) AS i, unnest(range(0, len(held))) AS slot FROM last)
+  SELECT family, policy_id, slot FROM s JOIN p USING (family, i)""")
 def compact_registry(spark, sf):
     d = _policies(spark, sf)
     d = d.withColumn("tokens", T.policy_tokens(F.col("name"), F.col("purpose"), F.col("trigger")))

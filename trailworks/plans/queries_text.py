@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cleaning as CLN
 from ..functions import feedback as FB
+from ..functions import fixed as X
 from ..functions import text as T
 from ..operators import compaction as CP
 from ..operators import policies as P
@@ -114,11 +115,57 @@ def failed_checks(spark, sf):
     return d.select("o_orderkey", F.array_join(FB.failed_names(FB.feedback(FB.merge_sidecar(F.when(side.isNull(), F.col("payload")), side))), "|").alias("failed"))
 
 
-@query("compacted_lists")
+# Lines in front of every document: kinds, a fence, a table cell, a short item, fuller and poorer wordings.
+LIST_LINES = (
+    "- Verify every total in {source} before the final report", "```", "- Verify every total in {source} before the final report", "```",
+    "* verify EVERY total in {source} before the final report is signed off", "1. Plan the inventory of all {lang} sources and tables",
+    "2. plan the inventory of all sources", "- Verify totals in {source} | before the final report", "+ Verify {source}",
+    "3) Checklist: compare the {lang} ledger with the bank statement of doc {doc_id}", "4) checklist: compare the {lang} ledger with the bank statement",
+    "- [ ] Plan the delivery of crates to {source} and the way back",
+)
+
+
+def _listed(text: str, column, join) -> str:
+    """The lines with column values put in; ``column`` and ``join`` say how."""
+    out = []
+    for piece in "\n".join(LIST_LINES).split("{"):
+        name, brace, rest = piece.partition("}")
+        out += [column(name), rest] if brace else [piece]
+    return join([*out, "\n", column(text)])
+
+
+def _lists_sql() -> str:
+    text = _listed("text", lambda c: f"d.{c}::VARCHAR", lambda parts: " || ".join(
+        x if x.startswith("d.") else "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for x in parts))
+    has = lambda words: "(" + " OR ".join(f"contains(low, '{w}')" for w in words) + ")"
+    stop = ", ".join(f"'{w}'" for w in X.COMPACTION_STOP_WORDS)
+    return f"""WITH RECURSIVE d0 AS (SELECT doc_id, string_split({text}, chr(10)) AS l FROM documents d),
+  l AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS n FROM d0),
+  m AS (SELECT *, regexp_matches(line, '^\\s*```') AS fence, regexp_extract(line, '{X.LIST_ITEM}', 1) AS mark, regexp_extract(line, '{X.LIST_ITEM}', 2) AS body FROM l),
+  o AS (SELECT *, count(*) FILTER (fence) OVER (PARTITION BY doc_id ORDER BY n) AS fences, lower(body) AS low FROM m),
+  k AS (SELECT *, CASE WHEN {has(X.VALIDATION_TERMS)} THEN 'validation' WHEN {has(X.PLANNING_TERMS)} THEN 'planning' WHEN {has(X.CHECKING_TERMS)} THEN 'checking' END AS kind,
+    list_filter(list_distinct(regexp_extract_all(regexp_replace(regexp_replace(low, '[`*_~]', ' ', 'g'), '\\b\\d+(?:\\.\\d+)?\\b', '<n>', 'g'), '[a-z][a-z0-9_-]{{2,}}')),
+      lambda w: w NOT IN ({stop}) AND NOT starts_with(w, 'http')) AS tokens FROM o WHERE NOT fence AND fences % 2 = 0 AND NOT contains(line, '|') AND length(body) >= {X.COMPACTION_MIN_CHARS}),
+  i AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id, kind ORDER BY n) AS i FROM k WHERE kind IS NOT NULL),
+  near AS MATERIALIZED (SELECT a.doc_id, a.kind, a.i, len(a.tokens) AS size, list(len(list_intersect(a.tokens, b.tokens)) >= {X.AUDIT_MIN_SHARED} AND
+      len(list_intersect(a.tokens, b.tokens)) / greatest(1, least(len(a.tokens), len(b.tokens)))::DOUBLE >= {X.NEAR_DUPLICATE_OVERLAP} ORDER BY b.i) FILTER (b.i IS NOT NULL) AS near,
+      list(len(b.tokens) ORDER BY b.i) FILTER (b.i IS NOT NULL) AS sizes
+    FROM i a LEFT JOIN i b ON a.doc_id = b.doc_id AND a.kind = b.kind AND b.i < a.i GROUP BY ALL),
+  r(doc_id, kind, i, own, word) AS (SELECT DISTINCT doc_id, kind, 0::BIGINT, []::BIGINT[], []::BIGINT[] FROM i UNION ALL
+    SELECT r.doc_id, r.kind, n.i, CASE WHEN hit = 0 THEN list_append(own, n.i) ELSE own END,
+      CASE WHEN hit = 0 THEN list_append(word, n.i) WHEN n.size > n.sizes[word[hit]] THEN list_transform(range(1, len(word) + 1), lambda k: CASE WHEN k = hit THEN n.i ELSE word[k] END) ELSE word END
+    FROM r, near n, LATERAL (SELECT coalesce(list_position(list_transform(word, lambda h: n.near[h]), true), 0) AS hit) WHERE n.doc_id = r.doc_id AND n.kind = r.kind AND n.i = r.i + 1),
+  last AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id, kind ORDER BY i DESC) = 1),
+  kept AS (SELECT doc_id, kind, unnest(own) AS i, unnest(word) AS w FROM last),
+  new AS (SELECT i.doc_id, i.n, kept.i IS NULL AS gone, CASE WHEN kept.w <> kept.i THEN i.mark || w.body END AS wording FROM i LEFT JOIN kept USING (doc_id, kind, i) LEFT JOIN i w ON w.doc_id = i.doc_id AND w.kind = i.kind AND w.i = kept.w)
+ SELECT doc_id, (count(*) FILTER (coalesce(gone, false)))::INTEGER AS removed, sha256(string_agg(coalesce(wording, line), chr(10) ORDER BY n) FILTER (NOT coalesce(gone, false))) AS digest
+ FROM l LEFT JOIN new USING (doc_id, n) GROUP BY doc_id"""
+
+
+@query("compacted_lists", _lists_sql())
 def compacted_lists(spark, sf):
-    item = F.concat(F.lit("- Verify every total in "), F.col("source"), F.lit(" before the final report\n* verify EVERY total in "), F.col("source"),
-                    F.lit(" before the final report is signed off\n1. Plan the inventory of all sources\n"))
-    d = table(spark, sf, "documents").select("doc_id", F.concat(item, F.col("text")).alias("text"))
+    text = _listed("text", lambda c: F.col(c).cast("string"), lambda parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts]))
+    d = table(spark, sf, "documents").select("doc_id", text.alias("text"))
     return CP.compact_lists(d).select("doc_id", "removed", F.sha2("text", 256).alias("digest"))
 
 
