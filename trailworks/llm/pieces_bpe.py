@@ -14,7 +14,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from struct import unpack, unpack_from
+from struct import pack, unpack, unpack_from
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,11 @@ from .words import pieces, texts_of
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
-MEMORY, MEMORY_LENGTH = 300_000, 48
+#: Most segments remembered by a worker, and the longest one that is.
+MEMORY, MEMORY_LENGTH = 400_000, 48
+#: Segments of up to so many characters are merged by scanning a list.
+_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+_SHORT, _NEVER = 40, float("inf")
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -128,17 +132,25 @@ class PieceModel:
         self.unk = next((i for i, k in enumerate(self.kind) if k == UNKNOWN), 0)
         self.id = {p: i for i, p in enumerate(self.piece) if self.kind[i] in (NORMAL, USER, UNUSED)}
         self.cost = {p: -self.score[i] for p, i in self.id.items()}
+        self.size = [len(p.encode()) for p in self.piece]
         self.unused = {p for p, i in self.id.items() if self.kind[i] == UNUSED}
         self.byte = {int(p[3:5], 16): i for i, p in enumerate(self.piece) if self.kind[i] == BYTE}
         self.byte_of = {i: b for b, i in self.byte.items()}
         fixed = sorted((p for p, i in self.id.items() if self.kind[i] == USER), key=len, reverse=True)
         self.fixed = re.compile("|".join(map(re.escape, fixed))) if fixed else None
         reaching = any(SPACE in p.lstrip(SPACE) for p in self.id)
-        self.segments = None if reaching or fixed else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
+        # where no piece joins letters to anything else, segments also end between the two
+        bodies = [p.lstrip(SPACE) for p in self.id]
+        apart = all(re.fullmatch(f"[{_LETTERS}]*|[^{_LETTERS}]*", b) for b in bodies)
+        pattern = f"{SPACE}*[{_LETTERS}]+|{SPACE}*[^{SPACE}{_LETTERS}]+|{SPACE}+" if apart else f"{SPACE}*[^{SPACE}]+|{SPACE}+"
+        self.segments = None if reaching or fixed else re.compile(pattern).findall
         self.plain = not self.map.units and not self.squeeze and self.escape and not self.suffix and not fixed
         self.joined = [p.replace(SPACE, " ").encode() if k in (NORMAL, USER, UNUSED) else bytes([self.byte_of[i]]) if k == BYTE
                        else self.unknown_text.encode() if k == UNKNOWN else b"\xff" for i, (p, k) in enumerate(zip(self.piece, self.kind))]
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.known: dict[str, bytes] = {}
+        self.is_byte = np.array([k == BYTE for k in self.kind])
+        self.byte_at = np.array([self.byte_of.get(i, 0) for i in range(len(self.piece))], np.int64)
+        self.width = np.array([0 if k == BYTE else n for n, k in zip(self.size, self.kind)], np.int64)
 
     # -- normalisation --------------------------------------------------------------------------
 
@@ -197,6 +209,23 @@ class PieceModel:
 
     # -- encoding -------------------------------------------------------------------------------
 
+    def _merged_short(self, symbols: list[str]) -> list[str]:
+        """The same for a few symbols: the costs of all adjacent pairs are kept in a list and scanned."""
+        find = self.cost.get
+        costs = [find(a + b, _NEVER) for a, b in zip(symbols, symbols[1:])]
+        while costs:
+            least = min(costs)
+            if least == _NEVER:
+                break
+            i = costs.index(least)
+            both = symbols[i] = symbols[i] + symbols.pop(i + 1)
+            del costs[i]
+            if i < len(costs):
+                costs[i] = find(both + symbols[i + 1], _NEVER)
+            if i:
+                costs[i - 1] = find(symbols[i - 1] + both, _NEVER)
+        return symbols
+
     def _merged(self, symbols: list[str], frozen: set[int]) -> list[str]:
         """Byte-pair merges, best score first and leftmost on ties; frozen symbols take no part."""
         n, find, cost = len(symbols), self.cost.get, None
@@ -245,13 +274,19 @@ class PieceModel:
             symbols.append(m[0])
             at = m.end()
         symbols += text[at:]
+        if len(symbols) <= _SHORT and not frozen and not self.unused:
+            merged = self._merged_short(symbols)
+        else:
+            merged = self._merged(symbols, frozen)
         out, sizes = [], []
-        for p in self._merged(symbols, frozen) if len(symbols) > 1 else symbols:
-            k, raw = self.id.get(p), p.encode()
+        for p in merged:
+            k = self.id.get(p)
             if k is not None:
                 out.append(k)
-                sizes.append(len(raw))
-            elif self.fallback:
+                sizes.append(self.size[k])
+                continue
+            raw = p.encode()
+            if self.fallback:
                 out += [self.byte[b] for b in raw]
                 sizes += [0] * (len(raw) - 1) + [len(raw)]
             elif out and out[-1] == self.unk:
@@ -261,18 +296,31 @@ class PieceModel:
                 sizes.append(len(raw))
         return out, sizes
 
-    def _remember(self, segments: list[str]) -> list[tuple[bytes, bytes]]:
-        known, out = self.known, []
-        for s in segments:
-            got = known.get(s)
-            if got is None:
-                ids, sizes = self._encode_segment(s)
-                got = (np.array(ids, "<u4").tobytes(), np.array(sizes, "<u4").tobytes())
-                if len(s) <= MEMORY_LENGTH:
-                    if len(known) >= MEMORY:
-                        known.clear()
-                    known[s] = got
-            out.append(got)
+    def _packed(self, segment: str) -> bytes:
+        ids, _ = self._encode_segment(segment)
+        return pack(f"<{len(ids)}I", *ids)
+
+    def _remember(self, segments: list[str]) -> list[bytes]:
+        known, every = self.known, set(segments)
+        if len(known) + len(every) > MEMORY:
+            known.clear()
+        fresh = {s: self._packed(s) for s in every.difference(known)}
+        known.update(fresh)
+        out = list(map(known.__getitem__, segments))
+        for s in fresh:
+            if len(s) > MEMORY_LENGTH:
+                del known[s]
+        return out
+
+    def _sizes(self, ids: np.ndarray) -> np.ndarray:
+        """Normalised byte lengths of ids made with byte fallback: a character's bytes count at its last."""
+        out = self.width[ids]
+        at = np.flatnonzero(self.is_byte[ids])
+        if len(at):
+            b = self.byte_at[ids[at]]
+            lead = (b < 128) | (b >= 192)
+            n = 1 + (b >= 192) + (b >= 224) + (b >= 240)
+            out[at[lead] + n[lead] - 1] = n[lead]
         return out
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -288,14 +336,14 @@ class PieceModel:
         else:
             raw, source = self.normalise(text)
             normal = raw.decode("utf-8", "replace")
-        if self.segments:
+        if self.segments and self.fallback:
             parts = self.segments(normal)
             try:
                 got = list(map(self.known.__getitem__, parts))
             except KeyError:
                 got = self._remember(parts)
-            ids = np.frombuffer(b"".join([a for a, _ in got]), "<u4")
-            sizes = np.frombuffer(b"".join([b for _, b in got]), "<u4").astype(np.int64)
+            ids = np.frombuffer(b"".join(got), "<u4")
+            sizes = self._sizes(ids)
         else:
             a, b = self._encode_segment(normal)
             ids, sizes = np.array(a, "<u4"), np.array(b, np.int64)
