@@ -249,22 +249,42 @@ def _labels(g: Graph, spans: list[list[Span]]) -> np.ndarray:
 
 
 def train(docs: DataFrame, limit: int = MAX_TRAINING_ROWS) -> Field:
-    """The field learned from at most ``limit`` documents that hold a digit or an at sign."""
+    """The field learned from at most ``limit`` documents that hold a digit or an at sign.
+
+    Documents are chosen by their hashed ids; graphs are made where the texts are, and only the graphs
+    (features, labels, edges) of the sample go to the one task that learns.
+    """
+    def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                g = graph(row)
+                y = _labels(g, [pattern_spans(texts_of(row)[0])])
+                out.append([row.column(0)[0].as_py(), *(x.ravel().tolist() for x in (g.features, y, g.chain, g.skip))])
+            cols = list(zip(*out)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.list_(pa.int64())) for c in cols[1:])],
+                                             names=["ord", "features", "labels", "chain", "skip"])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted(((k, t) for b in batches for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())))
-        batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([t for _, t in rows], pa.string())], names=["k", "text"])
+        rows = sorted(tuple(r.values()) for b in batches for r in b.to_pylist())
         graphs = []
-        for part in pieces(batch):
-            g = graph(part)
-            graphs.append((g, _labels(g, [pattern_spans(t) for t in texts_of(part)])))
+        for _, features, y, chain, skip in rows:
+            y = np.array(y, np.int64)
+            none = np.zeros(len(y), np.int64)
+            graphs.append((Graph(none, none, none, np.array(features, np.int64).reshape(len(y), -1) if len(y) else np.zeros((0, 1), np.int64),
+                                 np.array(chain, np.int64).reshape(-1, 2), np.array(skip, np.int64).reshape(-1, 2)), y))
         field = learn(graphs)
         yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([field.unary.ravel(), field.chain.ravel(), field.skip.ravel()]).tobytes()], pa.binary())], names=["w"])
 
-    sample = (
-        docs.where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("doc_id", F.length("text")).alias("k"), "text")
-        .orderBy("k", "text").limit(limit)
+    docs = docs.select("doc_id", "text").where("doc_id is not null")
+    chosen = (
+        docs.where(F.col("text").rlike("[0-9@]")).select("doc_id").distinct().withColumn("ord", F.xxhash64("doc_id"))
+        .orderBy("ord", "doc_id").limit(limit)
     )
-    found = sample.repartition(1).mapInArrow(work, "w binary").first()
+    made = docs.join(F.broadcast(chosen), "doc_id").select("ord", "text").mapInArrow(
+        prepare, "ord long, features array<long>, labels array<long>, chain array<long>, skip array<long>")
+    found = made.repartition(1).mapInArrow(work, "w binary").first()
     flat = np.frombuffer(found.w) if found else np.zeros(DIM * LABELS + 2 * LABELS ** 2)
     a, b = DIM * LABELS, DIM * LABELS + LABELS ** 2
     return Field(flat[:a].reshape(DIM, LABELS), flat[a:b].reshape(LABELS, LABELS), flat[b:].reshape(LABELS, LABELS))
