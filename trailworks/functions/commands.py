@@ -57,32 +57,13 @@ def bash_action(low: Column, written: Column) -> Column:
     ``low``: ``plain_command`` of it, ``written``: P5 of it.
     """
     first = F.regexp_extract(low, r"(?U)^\s*(\S+)", 1)
-    start = r"(?U)(^|[;&|]\s*)"
     writes = F.size(written) > 0
-    sheet = low.rlike(r"(?U)\b(openpyxl|xlrd|xlwt|xlwings|xlsxwriter)\b")
-    return first_match([
-        ("search_text", low.rlike(start + r"(rg|grep|find)\b")),
-        ("read_file", first.isin("cat", "less", "more", "head", "tail", "nl")
-         | low.rlike(start + r"sed\s+-n\b")),
-        ("write_spreadsheet", sheet & writes),
-        ("read_spreadsheet", sheet),
-        ("extract_pdf", low.rlike(r"(?U)\b(pdfplumber|pypdf|pdfminer|fitz\b|pikepdf|camelot)\b")),
-        ("write_json", low.rlike(r"(?U)\bjson\.(dump|dumps)\b")),
-        ("read_json", low.rlike(r"(?U)\bjson\.(load|loads)\b")),
-        ("read_dataframe", low.rlike(r"(?U)\bpd\.read_\w+\b")),
-        ("write_dataframe",
-         low.rlike(r"(?U)\bpd\.to_\w+\b|\.to_csv\(|\.to_excel\(|\.to_json\(|\.to_parquet\(")),
-        ("edit_file", low.contains("apply_patch")
-         | low.rlike(r"(?sU)(^|[;&|]\s*)(python|python3)\b.*\b(write_text|write_bytes|open\()")),
-        ("write_file", writes),
-        ("run_test", low.rlike(
-            start + r"(pytest|python\s+-m\s+pytest|npm\s+test|pnpm\s+test|yarn\s+test|cargo\s+test|go\s+test)\b")),
-        ("inspect_state", low.rlike(start + r"(git\s+diff|git\s+status|git\s+show)\b")),
-        ("inspect_failure", contains_any(low, ("traceback", "failed", "error", "assert"))),
-        ("generate_plot", low.rlike(r"(?U)\b(plt\.\w+|sns\.\w+|\.plot\(|\.scatter\(|\.bar\(|\.hist\()")),
-        ("http_request", low.rlike(r"(?U)\b(requests\.\w+|urllib\.request|httpx\.\w+|curl\b)")),
-        ("parse_html", low.rlike(r"(?U)\b(bs4|\.select\(|\.find_all\(|lxml|html\.parser)")),
-    ], "other_command")
+    # what a label asks for besides its pattern, or instead of it
+    also = {"write_spreadsheet": lambda hit: hit & writes, "write_file": lambda _: writes,
+            "read_file": lambda hit: hit | first.isin(*X.READ_COMMANDS), "edit_file": lambda hit: hit | low.contains(X.PATCH_COMMAND),
+            "inspect_failure": lambda _: contains_any(low, X.FAILURE_WORDS)}
+    rules = [(label, also.get(label, lambda hit: hit)(low.rlike(pattern) if pattern else None)) for label, pattern in X.ACTION_PATTERNS]
+    return first_match(rules, "other_command")
 
 
 def tool_action(tool: Column, low: Column, written: Column) -> Column:
@@ -138,11 +119,8 @@ def event_error_type(message: Column) -> Column:
 def command_shape(text: Column) -> Column:
     """The command with task-specific values replaced."""
     v = strip(F.coalesce(text, F.lit("")))
-    v = F.regexp_replace(
-        v, r"(?i)(['\"])[^'\"]+\.(?:xlsx?|csv|tsv|jsonl?|pdf|docx?|py|txt|ya?ml|xml)\1", "<artifact>")
-    v = F.regexp_replace(v, r"(?U)(?:^|[\s=(])(/[^\s'\")]+)", " <path>")
-    v = F.regexp_replace(v, r"(?U)\b[A-Z]{2,}[A-Z0-9_-]*\d{3,}\b", "<id>")
-    v = F.regexp_replace(v, r"(?U)\b\d+(?:\.\d+)?\b", "<num>")
+    for pattern, mark in X.COMMAND_SHAPE_PATTERNS:
+        v = F.regexp_replace(v, pattern, mark)
     return F.substring(strip(squeeze(v)), 1, 320)
 
 
@@ -154,8 +132,8 @@ def call_text(command: Column, description: Column) -> Column:
 def attempt_shape(tool: Column, command: Column, description: Column, message: Column) -> Column:
     """What counts as the same failed attempt."""
     v = F.lower(call_text(command, description))
-    v = F.regexp_replace(v, r"(?U)[/\\][\w./\\-]+", "<path>")
-    v = F.regexp_replace(v, r"(?U)\b\d+(?:\.\d+)?\b", "<num>")
+    for pattern, mark in X.ATTEMPT_SHAPE_PATTERNS:
+        v = F.regexp_replace(v, pattern, mark)
     return F.struct(
         F.lower(tool).alias("tool"),
         F.substring(squeeze(v), 1, 240).alias("command"),

@@ -196,6 +196,44 @@ MIN_LEXICAL = 0.2
 BM25_K1 = 1.2
 BM25_B = 0.75
 
+# --- Fixed values: action families of shell commands, first match wins --------------------
+COMMAND_START = r"(?U)(^|[;&|]\s*)"
+READ_COMMANDS = ("cat", "less", "more", "head", "tail", "nl")
+PATCH_COMMAND = "apply_patch"
+FAILURE_WORDS = ("traceback", "failed", "error", "assert")
+SPREADSHEET_PATTERN = r"(?U)\b(openpyxl|xlrd|xlwt|xlwings|xlsxwriter)\b"
+ACTION_PATTERNS = (
+    ("search_text", COMMAND_START + r"(rg|grep|find)\b"),
+    ("read_file", COMMAND_START + r"sed\s+-n\b"),
+    ("write_spreadsheet", SPREADSHEET_PATTERN),
+    ("read_spreadsheet", SPREADSHEET_PATTERN),
+    ("extract_pdf", r"(?U)\b(pdfplumber|pypdf|pdfminer|fitz\b|pikepdf|camelot)\b"),
+    ("write_json", r"(?U)\bjson\.(dump|dumps)\b"),
+    ("read_json", r"(?U)\bjson\.(load|loads)\b"),
+    ("read_dataframe", r"(?U)\bpd\.read_\w+\b"),
+    ("write_dataframe", r"(?U)\bpd\.to_\w+\b|\.to_csv\(|\.to_excel\(|\.to_json\(|\.to_parquet\("),
+    ("edit_file", r"(?sU)(^|[;&|]\s*)(python|python3)\b.*\b(write_text|write_bytes|open\()"),
+    ("write_file", None),
+    ("run_test", COMMAND_START + r"(pytest|python\s+-m\s+pytest|npm\s+test|pnpm\s+test|yarn\s+test|cargo\s+test|go\s+test)\b"),
+    ("inspect_state", COMMAND_START + r"(git\s+diff|git\s+status|git\s+show)\b"),
+    ("inspect_failure", None),
+    ("generate_plot", r"(?U)\b(plt\.\w+|sns\.\w+|\.plot\(|\.scatter\(|\.bar\(|\.hist\()"),
+    ("http_request", r"(?U)\b(requests\.\w+|urllib\.request|httpx\.\w+|curl\b)"),
+    ("parse_html", r"(?U)\b(bs4|\.select\(|\.find_all\(|lxml|html\.parser)"),
+)
+
+# --- Fixed values: what stands for task-specific parts of a command ------------------------
+COMMAND_SHAPE_PATTERNS = (
+    (r"(?i)(['\"])[^'\"]+\.(?:xlsx?|csv|tsv|jsonl?|pdf|docx?|py|txt|ya?ml|xml)\1", "<artifact>"),
+    (r"(?U)(?:^|[\s=(])(/[^\s'\")]+)", " <path>"),
+    (r"(?U)\b[A-Z]{2,}[A-Z0-9_-]*\d{3,}\b", "<id>"),
+    (r"(?U)\b\d+(?:\.\d+)?\b", "<num>"),
+)
+ATTEMPT_SHAPE_PATTERNS = (
+    (r"(?U)[/\\][\w./\\-]+", "<path>"),
+    (r"(?U)\b\d+(?:\.\d+)?\b", "<num>"),
+)
+
 # --- Fixed values: list items that may be compacted --------------------------------------
 LIST_ITEM = r"^(\s*(?:[-*+]\s+|\d+[.)]\s+|[-*+]\s+\[[ xX]\]\s+))(.*\S)\s*$"
 COMPACTION_MIN_CHARS = 24
