@@ -234,6 +234,34 @@ ATTEMPT_SHAPE_PATTERNS = (
     (r"(?U)\b\d+(?:\.\d+)?\b", "<num>"),
 )
 
+# --- Fixed values: what stands for instance literals in texts ------------------------------
+PARAMETER_PATTERNS = (
+    (r"(?U)[/\\][\w./\\-]+", "<path>"),
+    (r"(?iU)(?<![\w$])\$?[a-z]{1,3}\$?\d+(?!\w)", "<cell>"),
+    (r"(?U)\b\d+(?:\.\d+)?\b", "<num>"),
+)
+CLUSTER_PATTERNS = (
+    (r"(?U)[/\\][\w./\\-]+", "<path>"),
+    (r"(?U)\b[\w.-]+\.(xlsx|xls|csv|json|pdf|png|jpg|xml|ya?ml|py|txt)\b", "<$1>"),
+)
+EVIDENCE_PATTERNS = (
+    (r"(?U)(?:[A-Za-z]:)?(?:/|\\)(?:[^\s/\\]+(?:/|\\))+[^\s]*", "<path>"),
+    (r"(?U)\b\d{4,}(?:\.\d+)?\b", "<value>"),
+    (r"(?U)\b[A-Fa-f0-9]{24,}\b", "<token>"),
+)
+COMPACTION_PATTERNS = (
+    (r"[`*_~]", " "),
+    (r"(?U)\b\d+(?:\.\d+)?\b", "<n>"),
+)
+
+# --- Fixed values: names, paths and tokens in texts ----------------------------------------
+TEST_NAME_PATTERN = r"(?mU)^def\s+(test_[a-zA-Z0-9_]+)\s*\("
+OUTPUT_PATH_PATTERN = r"(?U)(?<![\w.-])(/[^\s`'\"<>]+(?:\.[A-Za-z0-9_-]+)?)"
+RETRIEVAL_TOKEN = r"[a-z0-9_]+|[\u3400-\u9fff]"
+AUDIT_TOKEN = r"[a-z][a-z0-9-]{2,}"
+POLICY_TOKEN = r"[a-z][a-z0-9_-]{2,}"
+SECTION_TOKEN = r"(?i)[a-z0-9][a-z0-9_-]{2,}"
+
 # --- Fixed values: list items that may be compacted --------------------------------------
 LIST_ITEM = r"^(\s*(?:[-*+]\s+|\d+[.)]\s+|[-*+]\s+\[[ xX]\]\s+))(.*\S)\s*$"
 COMPACTION_MIN_CHARS = 24

@@ -17,6 +17,12 @@ def redact(text: Column) -> Column:
     return F.regexp_replace(v, X.EXPECTED_VALUE_PATTERN, X.REDACTED_EXPECTED)
 
 
+def _marked(text: Column, patterns) -> Column:
+    for pattern, mark in patterns:
+        text = F.regexp_replace(text, pattern, mark)
+    return text
+
+
 def redaction(text: Column) -> Column:
     """P16 as a struct of the cleaned text and whether anything changed."""
     clean = redact(text)
@@ -66,19 +72,13 @@ def memory_fields(reflection: Column) -> Column:
 def parameterize(text: Column) -> Column:
     """Reflection text with paths, cells and numbers replaced."""
     v = redact(text)
-    v = F.regexp_replace(v, r"(?U)[/\\][\w./\\-]+", "<path>")
-    v = F.regexp_replace(v, r"(?iU)(?<![\w$])\$?[a-z]{1,3}\$?\d+(?!\w)", "<cell>")
-    v = F.regexp_replace(v, r"(?U)\b\d+(?:\.\d+)?\b", "<num>")
-    return F.substring(strip(squeeze(v)), 1, 600)
+    return F.substring(strip(squeeze(_marked(v, X.PARAMETER_PATTERNS))), 1, 600)
 
 
 def cluster_text(text: Column) -> Column:
     """P20: caseless text with paths and file names masked."""
     v = strip(fold_case(F.coalesce(text, F.lit(""))))
-    v = F.regexp_replace(v, r"(?U)[/\\][\w./\\-]+", "<path>")
-    v = F.regexp_replace(
-        v, r"(?U)\b[\w.-]+\.(xlsx|xls|csv|json|pdf|png|jpg|xml|ya?ml|py|txt)\b", "<$1>")
-    return F.substring(squeeze(v), 1, 320)
+    return F.substring(squeeze(_marked(v, X.CLUSTER_PATTERNS)), 1, 320)
 
 
 def fingerprint(intent: Column, obstacle: Column) -> Column:
@@ -93,11 +93,7 @@ def embedding_text(intent: Column, obstacle: Column) -> Column:
 
 def evidence_text(text: Column, limit: int = 900) -> Column:
     """Bounded evidence without instance literals."""
-    v = F.regexp_replace(F.coalesce(text, F.lit("")),
-                         r"(?U)(?:[A-Za-z]:)?(?:/|\\)(?:[^\s/\\]+(?:/|\\))+[^\s]*", "<path>")
-    v = F.regexp_replace(v, r"(?U)\b\d{4,}(?:\.\d+)?\b", "<value>")
-    v = F.regexp_replace(v, r"(?U)\b[A-Fa-f0-9]{24,}\b", "<token>")
-    return F.substring(strip(squeeze(v)), 1, limit)
+    return F.substring(strip(squeeze(_marked(F.coalesce(text, F.lit("")), X.EVIDENCE_PATTERNS))), 1, limit)
 
 
 def compact_step(source: Column, message: Column, tool: Column,
@@ -135,12 +131,12 @@ def usage(step_text: Column) -> Column:
 
 def test_names(text: Column) -> Column:
     """Test function names in a verifier script."""
-    return extract_all(text, r"(?mU)^def\s+(test_[a-zA-Z0-9_]+)\s*\(", 1)
+    return extract_all(text, X.TEST_NAME_PATTERN, 1)
 
 
 def output_artifacts(instruction: Column) -> Column:
     """Absolute paths an instruction mentions, ordered distinct."""
-    raw = extract_all(instruction, r"(?U)(?<![\w.-])(/[^\s`'\"<>]+(?:\.[A-Za-z0-9_-]+)?)", 1)
+    raw = extract_all(instruction, X.OUTPUT_PATH_PATTERN, 1)
     return F.array_distinct(F.transform(raw, lambda p: F.regexp_replace(p, r"[.,;:)]+$", "")))
 
 
@@ -160,7 +156,7 @@ def constraint_lines(instruction: Column) -> Column:
 
 def retrieval_tokens(text: Column) -> Column:
     """Words and CJK characters, CJK bigrams appended, stop words dropped."""
-    words = extract_all(fold_case(F.coalesce(text, F.lit(""))), r"[a-z0-9_]+|[\u3400-\u9fff]")
+    words = extract_all(fold_case(F.coalesce(text, F.lit(""))), X.RETRIEVAL_TOKEN)
     han = F.filter(words, lambda w: w.rlike(r"^[\u3400-\u9fff]$"))
     pairs = F.transform(
         F.filter(F.sequence(F.lit(1), F.greatest(F.size(han) - 1, F.lit(1))), lambda i: i < F.size(han)),
@@ -174,7 +170,7 @@ def _token_set(text: Column, pattern: str, stop=()) -> Column:
 
 
 def audit_tokens(text: Column) -> Column:
-    return _token_set(fold_case(F.coalesce(text, F.lit(""))), r"[a-z][a-z0-9-]{2,}", X.AUDIT_STOP_WORDS)
+    return _token_set(fold_case(F.coalesce(text, F.lit(""))), X.AUDIT_TOKEN, X.AUDIT_STOP_WORDS)
 
 
 def distinctive_tokens(command: Column) -> Column:
@@ -182,18 +178,17 @@ def distinctive_tokens(command: Column) -> Column:
 
 
 def policy_tokens(*parts: Column) -> Column:
-    return _token_set(fold_case(F.concat_ws(" ", *parts)), r"[a-z][a-z0-9_-]{2,}")
+    return _token_set(fold_case(F.concat_ws(" ", *parts)), X.POLICY_TOKEN)
 
 
 def compaction_tokens(text: Column) -> Column:
-    v = F.regexp_replace(fold_case(F.coalesce(text, F.lit(""))), r"[`*_~]", " ")
-    v = F.regexp_replace(v, r"(?U)\b\d+(?:\.\d+)?\b", "<n>")
-    words = _token_set(v, r"[a-z][a-z0-9_-]{2,}", X.COMPACTION_STOP_WORDS)
+    v = _marked(fold_case(F.coalesce(text, F.lit(""))), X.COMPACTION_PATTERNS)
+    words = _token_set(v, X.POLICY_TOKEN, X.COMPACTION_STOP_WORDS)
     return F.filter(words, lambda w: ~w.startswith("http"))
 
 
 def section_tokens(text: Column) -> Column:
-    words = F.transform(extract_all(F.coalesce(text, F.lit("")), r"(?i)[a-z0-9][a-z0-9_-]{2,}"), fold_case)
+    words = F.transform(extract_all(F.coalesce(text, F.lit("")), X.SECTION_TOKEN), fold_case)
     return F.filter(F.array_distinct(words), lambda w: ~w.isin(*X.SECTION_STOP_WORDS))
 
 
