@@ -339,22 +339,23 @@ st AS (SELECT v, task_name, arg_max(verifier_passed, attempt_number) AS fin, gre
 ss AS (SELECT v, count(*) AS n, count(*) FILTER (fin) AS ok, avg(r) AS m FROM st GROUP BY 1),
 seen AS (SELECT h.policy_id, count(DISTINCT task_name) AS ob, count(DISTINCT task_name) FILTER (attempt_number = 1 AND attempt_number >= first_number) AS ad FROM hits h JOIN pol USING (policy_id) GROUP BY 1),
 has AS (SELECT DISTINCT policy_id FROM obs WHERE task_name IN (SELECT task_name FROM attempts)),
-rows_ AS (SELECT policy_id, first_number, coalesce(ob, 0) AS observed_tasks, coalesce(n, 0) AS subsequent_tasks, coalesce(ad, 0) AS adopted_tasks, coalesce(fo, 0) AS first_attempt_occurrence, coalesce(ls, 0) AS later_successful_occurrence, coalesce(oa, 0) AS origin_attempts,
-   coalesce(ofs, 0) AS origin_final_successes, coalesce(ok, 0) AS subsequent_final_successes, round(om, 3) AS origin_retry_mean, round(m, 3) AS subsequent_retry_mean, m - om AS delta,
+rows_ AS (SELECT policy_id, status AS policy_status, first_number, coalesce(ob, 0) AS observed_tasks, coalesce(n, 0) AS subsequent_tasks, coalesce(ad, 0) AS adopted_tasks, coalesce(fo, 0) AS first_attempt_occurrence, coalesce(ls, 0) AS later_successful_occurrence, coalesce(oa, 0) AS origin_attempts,
+   coalesce(ofs, 0) AS origin_final_successes, coalesce(ok, 0) AS subsequent_final_successes, round(om, 3) AS origin_retry_mean, round(m, 3) AS subsequent_retry_mean, round_even(m - om, 3) AS retry_delta,
+   CASE WHEN has.policy_id IS NULL OR first_number IS NULL OR NOT (has_substeps OR seen.policy_id IS NOT NULL) THEN 'low' WHEN ls > 0 AND imp > 0 AND fo = 0 THEN 'high' WHEN fo > 0 AND ls = 0 THEN 'medium' ELSE 'low' END AS label_confidence,
    CASE WHEN has.policy_id IS NULL OR first_number IS NULL OR NOT (has_substeps OR seen.policy_id IS NOT NULL) THEN 'ambiguous' WHEN ls > 0 AND imp > 0 AND fo = 0 THEN 'exploration-induced' WHEN fo > 0 AND ls = 0 THEN 'spontaneous' ELSE 'ambiguous' END AS heuristic_label
   FROM pol LEFT JOIN oo USING (policy_id) LEFT JOIN seen USING (policy_id) LEFT JOIN has USING (policy_id) LEFT JOIN ss ON v = first_number)"""
 
 
-@query("policy_audit", f"WITH {AUDIT_SQL} SELECT * EXCLUDE (delta) FROM rows_")
+@query("policy_audit", f"WITH {AUDIT_SQL} SELECT * FROM rows_")
 def policy_audit(spark, sf):
-    return _audit(spark, sf).drop("policy_status", "label_confidence", "retry_delta")
+    return _audit(spark, sf)
 
 
 @query("policy_audit_summary", f"""WITH {AUDIT_SQL}, l AS (SELECT unnest(['spontaneous', 'exploration-induced', 'task-specific', 'ambiguous']) AS heuristic_label)
  SELECT heuristic_label, count(policy_id) AS n, round(avg(CASE WHEN adopted_tasks > 0 THEN 1 WHEN policy_id IS NOT NULL THEN 0 END), 3) AS adoption_rate,
-  round(CASE WHEN sum(subsequent_tasks) > 0 THEN sum(subsequent_final_successes) / sum(subsequent_tasks)::DOUBLE END, 3) AS subsequent_success_rate FROM l LEFT JOIN rows_ USING (heuristic_label) GROUP BY 1""")
+  round(CASE WHEN sum(subsequent_tasks) > 0 THEN sum(subsequent_final_successes) / sum(subsequent_tasks)::DOUBLE END, 3) AS subsequent_success_rate, round_even(avg(retry_delta), 3) AS retry_delta_mean FROM l LEFT JOIN rows_ USING (heuristic_label) GROUP BY 1""")
 def policy_audit_summary(spark, sf):
-    return AU.audit_summary(_audit(spark, sf)).drop("retry_delta_mean")
+    return AU.audit_summary(_audit(spark, sf))
 
 
 @query("policy_ranking", "SELECT 'policy-' || p_partkey AS policy_id, row_number() OVER (ORDER BY p_size <= 40, 'policy-' || p_partkey)::INTEGER AS candidate_rank FROM part ORDER BY 2 LIMIT 30")
