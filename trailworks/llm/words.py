@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes handled at once; the work arrays take about 60 bytes for each. A longer text is one piece.
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 20
 
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
