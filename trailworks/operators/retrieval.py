@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import fixed as X
 from ..functions import text as T
 from ..functions.lists import strip
-from ..functions.sequence import first_rows
 from ..functions.staging import staged
 from ..session import cut_lineage
 from .overlap import candidate_pairs
