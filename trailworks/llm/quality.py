@@ -29,7 +29,6 @@ _UPPER[65:91] = 1
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = 1
 _DIGIT[48:58] = 1
 _SYMBOL[33:48] = _SYMBOL[58:65] = _SYMBOL[91:97] = _SYMBOL[123:127] = 1
-_FAMILIES = 4
 #: How far back a word counts as repeated, apart from the word just before.
 _NEAR = (2, 3, 4)
 
