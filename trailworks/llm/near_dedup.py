@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tables import components, stored
-from .words import ints, mix, pieces, shingles, window_hash, window_sums, words_of
+from .words import mix, pieces, shingles, window_hash, window_sums, words_of
 
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
@@ -186,7 +186,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     """
     sig = stored(signatures(docs, size), "signatures")
     live = sig.where("n > 0 and id is not null")
-    classes = live.groupBy("p1", "p2", "n").agg(F.min("id").alias("rep"))
+    # written, so that the join has two plain sides and adaptive execution can split a hot class
+    classes = stored(live.groupBy("p1", "p2", "n").agg(F.min("id").alias("rep")), "class_keys")
     member = stored(live.join(classes, ["p1", "p2", "n"]).select("id", "rep", "n", "bands", *SKETCH), "classes")
     reps = member.where("id = rep").drop("id")
 
