@@ -8,7 +8,6 @@ Hashes are 64 bits: a polynomial in a random table of the bytes, finished by a m
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,20 +32,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-@cache
-def _powers(base: int, log_size: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        p = np.ones(1 << log_size, np.uint64)
-        for k in range(log_size):       # p[2^k : 2^(k+1)] = p[:2^k] * b^(2^k)
-            p[1 << k: 2 << k] = p[:1 << k] * _U(pow(b, 1 << k, 1 << 64))
-        out.append(p)
-    return out[0], out[1]
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i for i up to n, at least."""
-    return _powers(base, max(12, int(n).bit_length()))
+    """base^i and base^-i for i up to n, at least; a worker keeps the longest tables asked for."""
+    if base not in _POWERS or len(_POWERS[base][0]) <= n:
+        log_size, made = max(12, int(n).bit_length()), []
+        for b in (base, pow(base, -1, 1 << 64)):
+            p = np.ones(1 << log_size, np.uint64)
+            for k in range(log_size):       # p[2^k : 2^(k+1)] = p[:2^k] * b^(2^k)
+                p[1 << k: 2 << k] = p[:1 << k] * _U(pow(b, 1 << k, 1 << 64))
+            made.append(p)
+        _POWERS[base] = made[0], made[1]
+    return _POWERS[base]
 
 
 class Words:
