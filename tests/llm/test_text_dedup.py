@@ -142,3 +142,51 @@ def test_no_item_matches_unrelated_text(spark):
     bench = spark.createDataFrame([(k, prose(rng, 30)) for k in range(20)], "item_id long, text string")
     assert contaminated(frame(spark, [prose(rng, 200) for _ in range(50)]), bench).count() == 0
     assert Counter(r.doc_id for r in without_items(frame(spark, ["x", "x"]), bench).collect()) == {0: 1, 1: 1}
+
+
+def brute_any_size(text, item):
+    """The best window of n - k to n + k words: (edits, first word, words), or None."""
+    w, a = words(lowered(text)), words(lowered(item))
+    k, best = allowed(len(a)), None
+    for s in range(len(w)):
+        last = list(range(len(a) + 1))
+        for i, x in enumerate(w[s:s + len(a) + k], 1):
+            now = [i]
+            for j, y in enumerate(a, 1):
+                now.append(min(last[j] + 1, now[-1] + 1, last[j - 1] + (x != y)))
+            last = now
+            if i >= len(a) - k and last[-1] <= k and (best is None or (last[-1], s, i) < best):
+                best = (last[-1], s, i)
+    return best
+
+
+def one_kind(rng, text, k, kind):
+    w = text.split()
+    for at in sorted(rng.sample(range(len(w)), k), reverse=True):
+        w[at:at + 1] = {"deleted": [], "inserted": [w[at], prose(rng, 1)], "replaced": [prose(rng, 1)]}[kind]
+    return " ".join(w)
+
+
+def test_passages_with_more_or_fewer_words_than_the_item(spark, tmp_path):
+    import corpus_pipeline
+    from trailworks.llm.queries import QUERIES
+
+    rng = random.Random(7)
+    items = [(k, prose(rng, n, 4000)) for k, n in enumerate((5, 9, 15, 20, 30, 30, 40, 50, 59, 100))]
+    texts = []
+    for _, x in items:
+        n = len(x.split())
+        texts += [" ".join(x.split()[allowed(n):]), " ".join(x.split()[:-allowed(n)])]      # whole documents, shorter than the item
+        for kind in ("deleted", "inserted", "replaced"):
+            for k in (1, allowed(n), allowed(n) + 1):
+                passage = one_kind(rng, x, k, kind)
+                texts += [passage, prose(rng, 30, 4000) + " " + passage + " " + prose(rng, 20, 4000)]
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = {(d, i): b for d, t in enumerate(texts) for i, x in items if (b := brute_any_size(t, x))}
+    got = {(r.doc_id, r.item_id): (r.edits, r.first_word, r.n_words) for r in QUERIES["op3_decontamination"](spark, str(tmp_path)).collect()}
+    assert len(want) > 130 and set(got) <= set(want)
+    assert len(got) >= 0.98 * len(want)
+    assert sum(got[k] == want[k] for k in got) >= 0.95 * len(got)
+    left = corpus_pipeline.drop_contaminated(spark, frame(spark, texts), str(tmp_path)).collect()
+    assert {r.doc_id for r in left} == set(range(len(texts))) - {d for d, _ in got}

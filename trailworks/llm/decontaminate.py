@@ -1,17 +1,17 @@
 """Benchmark decontamination: CGK random-walk embedding, bit-sampling LSH, exact edit verification.
 
-Texts and items are sequences of lower-cased (A-Z) words. A document holds an item if a window of the
-item's size is within ``edits`` word edits of it (insertion, deletion, replacement), one for every
-five words of the item.
+Texts and items are sequences of lower-cased (A-Z) words. A document holds an item if a window of it
+is within k word edits of the item (insertion, deletion, replacement), one for every five of its n
+words. Such a window has n - k to n + k words; on demand only windows of n words count.
 
 1. Which windows are looked at: a window within k edits of an item of n words shares at least
-   n - q + 1 - k q of its q-word shingles, so windows with fewer shared shingles are passed over.
-   That bound loses nothing.
+   n - q + 1 - k q of its q-word shingles, so starts whose next n + k words (or as many as the
+   document has) share fewer are passed over. That bound loses nothing.
 2. Each remaining window, and each item, is embedded: a random walk reads the words one by one,
    writes the current one and moves on or stays by a random bit of the word, 3 n steps in all. Few
    edits give few differing steps. A sample of the steps is the bucket key; ``WALKS`` independent
    walks with ``SAMPLES`` samples each are drawn.
-3. Windows that share a bucket with an item of their size are checked by the exact edit distance.
+3. Windows that share a bucket with an item are checked by the exact edit distance, with a free end.
 
 Items are handed to the tasks in blocks of bounded size; a document is in one task as a whole, so
 nothing is shuffled.
@@ -37,7 +37,9 @@ WALKS, SAMPLES = 24, 2
 BLOCK_BYTES = 16 << 20
 #: Windows embedded at once.
 _WINDOWS = 1 << 11
-_PAD = np.uint64(0x7F4A7C15F39CC060)
+#: Words times walks embedded at once.
+_CELLS = 1 << 22
+_PAD, _FRONT = np.uint64(0x7F4A7C15F39CC060), np.uint64(0x94D049BB133111EB)
 
 
 def allowed(n: int) -> int:
@@ -52,21 +54,27 @@ def shingle_rule(n: int) -> tuple[int, int]:
     return 1, 1
 
 
-def walks(windows: np.ndarray) -> np.ndarray:
-    """Bucket keys (WALKS x rows) of windows of equal size (rows x n words)."""
-    rows, n = windows.shape
+def walks(windows: np.ndarray, n: int) -> np.ndarray:
+    """Bucket keys (WALKS x rows) of items of n words, or of windows for them (rows x words, padded)."""
+    some = max(1, _CELLS // (WALKS * (windows.shape[1] + 1)))
+    return np.concatenate([_walks(windows[lo:lo + some], n) for lo in range(0, len(windows), some)], axis=1)
+
+
+def _walks(windows: np.ndarray, n: int) -> np.ndarray:
+    rows, width = windows.shape
     rng = np.random.default_rng(n)
     samples = min(SAMPLES, 3 * n)
     steps = np.stack([np.sort(rng.choice(3 * n, samples, replace=False)) for _ in range(WALKS)])
     wide = np.concatenate([windows, np.full((rows, 1), _PAD)], axis=1)
-    line = (np.arange(WALKS)[:, None] * rows + np.arange(rows)) * (n + 1)
+    pad = wide == _PAD
+    line = (np.arange(WALKS)[:, None] * rows + np.arange(rows)) * (width + 1)
     at, seen = line.copy(), np.empty((WALKS, samples, rows), np.int64)
     bits = None
     for step in range(int(steps.max()) + 1):
         if step % 64 == 0:      # a new random bit of each word for each of the next steps; the padding stays
             seed = mix(np.arange(WALKS, dtype=np.uint64) * np.uint64(4096) + np.uint64(step))
             bits = mix(wide[None] ^ seed[:, None, None])
-            bits[:, :, n] = 0
+            bits[:, pad] = 0
             bits = bits.ravel()
         for r, k in np.argwhere(steps == step):
             seen[r, k] = at[r]
@@ -78,17 +86,24 @@ def walks(windows: np.ndarray) -> np.ndarray:
     return keys
 
 
-def edit_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Edit distance of each row of x to the same row of y (both rows x n)."""
-    rows, n = x.shape
+def edit_distances(x: np.ndarray, y: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least edit distance of any first ``least`` or more words of each row of x to the same row of y, and how many words.
+
+    Of equally good numbers of words the smallest is given, so the padding of a row is never among them.
+    """
+    rows, n = y.shape
     last = np.broadcast_to(np.arange(n + 1), (rows, n + 1)).astype(np.int32)
     order = np.arange(n + 1, dtype=np.int32)
-    for i in range(n):
+    best, size = np.full(rows, np.iinfo(np.int32).max, np.int32), np.zeros(rows, np.int64)
+    for i in range(x.shape[1]):
         now = np.empty_like(last)
         now[:, 0] = i + 1
         now[:, 1:] = np.minimum(last[:, :-1] + (y != x[:, i:i + 1]), last[:, 1:] + 1)
         last = np.minimum.accumulate(now - order, axis=1) + order       # insertions run along the row
-    return last[:, -1]
+        if i + 1 >= least:
+            better = last[:, -1] < best
+            best[better], size[better] = last[better, -1], i + 1
+    return best, size
 
 
 @dataclass
@@ -96,6 +111,7 @@ class Size:
     """All items of one number of words."""
 
     n: int
+    slack: int
     q: int
     need: int
     words: np.ndarray
@@ -103,12 +119,12 @@ class Size:
     shingles: np.ndarray
     buckets: list
 
-    def matches(self, windows: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(window, item, edits) of all pairs in one bucket within the allowed edits."""
+    def matches(self, windows: np.ndarray, real: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(window, item, edits, words) of all pairs in one bucket within the allowed edits, counted in ``real``."""
         for lo in range(0, len(windows), _WINDOWS):
             some = windows[lo:lo + _WINDOWS]
             left, right = [], []
-            for mine, (keys, order) in zip(walks(some), self.buckets):
+            for mine, (keys, order) in zip(walks(some, self.n), self.buckets):
                 a, b = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
                 hit = np.flatnonzero(b > a)
                 count = (b - a)[hit]
@@ -117,15 +133,15 @@ class Size:
             pairs = np.unique(np.concatenate(left) * len(self.ids) + np.concatenate(right))
             for at in range(0, len(pairs), _WINDOWS):
                 x, y = np.divmod(pairs[at:at + _WINDOWS], len(self.ids))
-                d = edit_distances(some[x], self.words[y])
+                d, size = edit_distances(real[lo + x], self.words[y], self.n - self.slack)
                 good = d <= allowed(self.n)
-                yield from zip((x[good] + lo).tolist(), self.ids[y[good]].tolist(), d[good].tolist())
+                yield from zip((x[good] + lo).tolist(), self.ids[y[good]].tolist(), d[good].tolist(), size[good].tolist())
 
 
 class Items:
     """The benchmark side: items by size, their shingles and their buckets."""
 
-    def __init__(self, rows: list[tuple[int, str]]):
+    def __init__(self, rows: list[tuple[int, str]], any_size: bool):
         batch = pa.RecordBatch.from_arrays([pa.array([t for _, t in rows], pa.string())], names=["text"])
         w = words_of(batch, lower=True)
         h = w.hashes()
@@ -142,10 +158,10 @@ class Items:
             # distinct shingles are counted; an item that repeats some may share fewer
             need = max(1, need - max(n - q + 1 - len(x) for x in own))
             buckets = []
-            for keys in walks(words):
+            for keys in walks(words, n):
                 order = np.argsort(keys, kind="stable")
                 buckets.append((keys[order], order))
-            self.sizes.append(Size(n, q, need, words, np.array([i for i, _ in members], np.int64), made, buckets))
+            self.sizes.append(Size(n, allowed(n) if any_size else 0, q, need, words, np.array([i for i, _ in members], np.int64), made, buckets))
         # shingle -> the sizes that have it, as one sorted table for each shingle size
         self.tables = {}
         for q in {s.q for s in self.sizes}:
@@ -179,16 +195,34 @@ class Items:
             start = self._starts(w, pos, s) if len(pos) >= s.need else pos[:0]
             if not len(start):
                 continue
-            windows = h[start[:, None] + np.arange(s.n)]
-            for x, item, d in s.matches(windows):
-                row = int(w.doc[start[x]])
-                best = (d, int(start[x] - w.first[row]), s.n)
-                if found.get((row, item), best) >= best:
-                    found[row, item] = best
+            # a match that lacks the item's first words may begin its document: there windows with as many words put before
+            # it are walked too, as in the middle of a document by the windows that begin earlier
+            row = w.doc[start]
+            lead = row[start == w.first[row]]
+            start = np.concatenate([start, (w.first[lead][:, None] - np.arange(1, s.slack + 1)).ravel()])
+            row = np.concatenate([row, np.repeat(lead, s.slack)])
+            for lo in range(0, len(start), _WINDOWS):
+                some, of = start[lo:lo + _WINDOWS], row[lo:lo + _WINDOWS]
+                first, end = w.first[of], w.first[of + 1]
+                real = self._cut(h, np.maximum(some, first), first, end, s)
+                for x, item, d, size in s.matches(self._cut(h, some, first, end, s), real):
+                    best = (d, max(int(some[x] - first[x]), 0), size)
+                    if found.get((int(of[x]), item), best) >= best:
+                        found[int(of[x]), item] = best
         return found
 
+    @staticmethod
+    def _cut(h: np.ndarray, start: np.ndarray, first: np.ndarray, end: np.ndarray, s: Size) -> np.ndarray:
+        """Windows of s.n + s.slack words from each start, filled up outside of their documents."""
+        at = start[:, None] + np.arange(s.n + s.slack)
+        windows = np.where(at < end[:, None], h[np.clip(at, 0, len(h) - 1)], _PAD)
+        return np.where(at < first[:, None], _FRONT, windows)
+
     def _starts(self, w, pos: np.ndarray, s: Size) -> np.ndarray:
-        """Starts of windows of s.n words of one document that hold s.need distinct shingles of items of their size."""
+        """Starts of windows of s.n + s.slack words that hold s.need distinct shingles of items of size s.n.
+
+        Windows end with their document; s.n - s.slack words at least must be left.
+        """
         pos = np.sort(pos)
         gram = self.grams[s.q][pos]
         order = np.lexsort((pos, gram))
@@ -196,7 +230,7 @@ class Items:
         same = gram[order][1:] == gram[order][:-1]
         last[order[1:][same]] = pos[order[:-1][same]]
         # a hit is the first of its kind in the windows that start after the one before it
-        begin = np.maximum(np.maximum(last + 1, pos - (s.n - s.q)), 0)
+        begin = np.maximum(np.maximum(last + 1, pos - (s.n + s.slack - s.q)), w.first[w.doc[pos]])
         edge = np.concatenate([begin, pos + 1])
         step = np.concatenate([np.ones(len(pos), np.int64), np.full(len(pos), -1)])
         order = np.argsort(edge, kind="stable")
@@ -204,32 +238,32 @@ class Items:
         enough = np.flatnonzero((held[:-1] >= s.need) & (edge[1:] > edge[:-1]))
         n = edge[enough + 1] - edge[enough]
         start = np.repeat(edge[enough], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        start = start[start + s.n <= len(w.start)]
-        return start[w.doc[start] == w.doc[start + s.n - 1]]
+        return start[start + s.n - s.slack <= w.first[w.doc[start] + 1]]
 
 
 _LAST: list = []
 
 
-def _items(spread) -> Items:
+def _items(spread, any_size: bool) -> Items:
     """The items of a broadcast, made once in a worker process."""
-    rows = spread.value
-    if not _LAST or _LAST[0] != rows:
-        _LAST[:] = [rows, Items(rows)]
+    key = (any_size, spread.value)
+    if not _LAST or _LAST[0] != key:
+        _LAST[:] = [key, Items(spread.value, any_size)]
     return _LAST[1]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, any_size: bool = False) -> DataFrame:
     """Rows (doc_id, item_id, edits, first_word, n_words): the best window of each item in each document.
 
     Edits count words; ``first_word`` counts from 0. Null, empty and blank texts and items match
-    nothing, as do rows with a null item_id. A window must be whole: a document shorter than an item
-    does not hold it. Rows without a doc_id are searched and returned with a null; rows that repeat a
+    nothing, as do rows with a null item_id. With ``any_size`` windows of k words less to k words more
+    than the item are looked at, for k allowed edits, also where a document is shorter than the item;
+    else only windows of just the item's size. Rows without a doc_id are searched and returned with a null; rows that repeat a
     doc_id are searched each and give one row for each item. Further columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     kinds = "doc_id long, item_id long, edits int, first_word long, n_words int"
-    found = [_one_block(docs, rows, kinds) for rows in _blocks(benchmark, block_bytes)]
+    found = [_one_block(docs, rows, kinds, any_size) for rows in _blocks(benchmark, block_bytes)]
     if len(found) == 1:
         return found[0]
     out = docs.sparkSession.createDataFrame([], kinds)
@@ -239,14 +273,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK
     return out.groupBy("doc_id", "item_id").agg(best.alias("t")).select("doc_id", "item_id", "t.*")
 
 
-def without_items(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def without_items(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, any_size: bool = False) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no item. Nothing is shuffled."""
     kinds = docs.schema
     for rows in _blocks(benchmark, block_bytes):
         spread = docs.sparkSession.sparkContext.broadcast(rows)
 
         def work(batches: Iterator[pa.RecordBatch], spread=spread) -> Iterator[pa.RecordBatch]:
-            items = _items(spread)
+            items = _items(spread, any_size)
             for batch in batches:
                 for part in pieces(batch):
                     keep = np.ones(part.num_rows, bool)
@@ -267,11 +301,11 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int,
         yield sorted((r[0], r[1]) for r in some.collect())
 
 
-def _one_block(docs: DataFrame, rows: list[tuple[int, str]], kinds: str) -> DataFrame:
+def _one_block(docs: DataFrame, rows: list[tuple[int, str]], kinds: str, any_size: bool) -> DataFrame:
     spread = docs.sparkSession.sparkContext.broadcast(rows)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = _items(spread)
+        items = _items(spread, any_size)
         for batch in batches:
             for part in pieces(batch):
                 found = sorted(items.find(part).items())
