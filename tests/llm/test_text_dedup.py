@@ -4,9 +4,10 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 from samples import clashing, edited, frame, lowered, prose, words
 
-from trailworks.llm.decontaminate import allowed, contaminated, without_items
+from trailworks.llm.decontaminate import allowed, contaminated, walks, without_items
 from trailworks.llm.near_dedup import near_duplicates
 from trailworks.llm.substring_dedup import substring_dedup
 
@@ -190,3 +191,17 @@ def test_passages_with_more_or_fewer_words_than_the_item(spark, tmp_path):
     assert sum(got[k] == want[k] for k in got) >= 0.95 * len(got)
     left = corpus_pipeline.drop_contaminated(spark, frame(spark, texts), str(tmp_path)).collect()
     assert {r.doc_id for r in left} == set(range(len(texts))) - {d for d, _ in got}
+
+
+def test_buckets_keep_unrelated_texts_apart():
+    rng = np.random.default_rng(8)
+    for n in (15, 20, 36, 50, 60, 100):
+        k = allowed(n)
+        items = rng.integers(0, 1 << 62, (200, n)).astype(np.uint64)
+        other = rng.integers(0, 1 << 62, (200, n + k)).astype(np.uint64)
+        near = other.copy()
+        for row, item in zip(near, items):      # all the allowed edits, each a deletion
+            row[:n - k] = np.delete(item, rng.choice(n, k, replace=False))
+        keys = walks(items, n)
+        assert (keys == walks(other, n)).any(0).mean() < 0.02
+        assert (keys == walks(near, n)).any(0).mean() >= 0.95

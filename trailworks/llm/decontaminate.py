@@ -8,9 +8,9 @@ words. Such a window has n - k to n + k words; on demand only windows of n words
    n - q + 1 - k q of its q-word shingles, so starts whose next n + k words (or as many as the
    document has) share fewer are passed over. That bound loses nothing.
 2. Each remaining window, and each item, is embedded: a random walk reads the words one by one,
-   writes the current one and moves on or stays by a random bit of the word, 3 n steps in all. Few
-   edits give few differing steps. A sample of the steps is the bucket key; ``WALKS`` independent
-   walks with ``SAMPLES`` samples each are drawn.
+   writes the current one and moves on or stays by a random bit of the word, 2 (n - k) steps in all,
+   which both texts normally fill. Few edits give few differing steps. A sample of the steps is the
+   bucket key; ``WALKS`` independent walks with ``SAMPLES`` samples each are drawn.
 3. Windows that share a bucket with an item are checked by the exact edit distance, with a free end.
 
 Items are handed to the tasks in blocks of bounded size; a document is in one task as a whole, so
@@ -32,7 +32,7 @@ from .words import mix, pieces, shingles, words_of
 
 #: One edit for so many words of an item.
 WORDS_PER_EDIT = 5
-WALKS, SAMPLES = 24, 2
+WALKS, SAMPLES = 96, 1
 #: Most bytes of items handed to the tasks at once; larger benchmarks take several passes.
 BLOCK_BYTES = 16 << 20
 #: Windows embedded at once.
@@ -63,8 +63,9 @@ def walks(windows: np.ndarray, n: int) -> np.ndarray:
 def _walks(windows: np.ndarray, n: int) -> np.ndarray:
     rows, width = windows.shape
     rng = np.random.default_rng(n)
-    samples = min(SAMPLES, 3 * n)
-    steps = np.stack([np.sort(rng.choice(3 * n, samples, replace=False)) for _ in range(WALKS)])
+    inside = 2 * (n - allowed(n))       # a walk takes about two steps a word; later ones read padding
+    samples = min(SAMPLES, inside)
+    steps = np.stack([np.sort(rng.choice(inside, samples, replace=False)) for _ in range(WALKS)])
     wide = np.concatenate([windows, np.full((rows, 1), _PAD)], axis=1)
     pad = wide == _PAD
     line = (np.arange(WALKS)[:, None] * rows + np.arange(rows)) * (width + 1)
