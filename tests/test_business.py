@@ -112,3 +112,25 @@ def test_packet_fields(spark):
     assert [(x.item_description, x.quantity, x.unit_price) for x in items] == [("Steel beam (long)", "2.5", "19.99")]
     assert float(spark.createDataFrame([("total 5.00\nGrand total\n8.00\nProject total 3.00",)], "text string").select(
         packets.page_total(packets.lines_of(F.col("text"))).alias("v")).first().v) == 3.0
+
+
+def test_weighted_risk_of_a_null_key(spark, tmp_path):
+    import duckdb
+
+    from trailworks.plans import catalog
+
+    catalog.load()
+    r = random.Random(9)
+    spark.createDataFrame([(k, (1, 2, None)[k % 3]) for k in range(60)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(r.randrange(60), r.choice("ANR"), float(r.randrange(1, 50))) for _ in range(2000)],
+                          "l_suppkey long, l_returnflag string, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = catalog.JOBS["weighted_risk"](spark, str(tmp_path))
+    con = duckdb.connect()
+    for t in ("supplier", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({catalog.SQL['weighted_risk']})").fetchall()
+    by_key = lambda rows: sorted(map(tuple, rows), key=lambda x: (x[0] is None, x[0]))
+    got = by_key(got.collect())
+    assert len(got) == 3 and got[2][0] is None and None not in got[2][1:]
+    assert [x[0] for x in got] == [x[0] for x in by_key(want)]
+    assert all(x[1:] == pytest.approx(y[1:], abs=2e-6) for x, y in zip(got, by_key(want)))

@@ -4,7 +4,7 @@ A plain window puts a whole key into one task. Here the order of a key is cut in
 chunks (a column derived from the order column, such as ``step_idx div 4096``). The
 window runs inside a chunk, one small row per chunk carries totals or border values,
 and a second window over those rows supplies what precedes the chunk. Results are
-exact. Key columns must not be null.
+exact. Key columns must not be null, but for ``ordered_numbers``.
 """
 
 from __future__ import annotations
@@ -59,11 +59,19 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], out: str, chunk:
     )
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys match each other; the keys come from ``left``."""
+    other = {k: f"_other{i}" for i, k in enumerate(keys)}
+    both = [F.col(k).eqNullSafe(F.col(o)) for k, o in other.items()]
+    return left.join(right.withColumnsRenamed(other), both, how).drop(*other.values())
+
+
 def ordered_numbers(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
     """Row number per key along any order, without a chunk column.
 
     A range partitioning by key and order gives even pieces whatever the values look like; the piece
-    is the chunk. Rows that tie in the order are numbered in any order, as by a window.
+    is the chunk. Rows that tie in the order are numbered in any order, as by a window. Null keys are
+    keys like others.
     """
     ranged = df.repartitionByRange(*keys, *order).withColumn("_piece", F.spark_partition_id())
     inside = Window.partitionBy("_piece", *keys).orderBy(*order)
@@ -73,7 +81,7 @@ def ordered_numbers(df: DataFrame, keys: list[str], order: list[str], out: str)
         run.groupBy(*keys, "_piece").agg(F.count(F.lit(1)).alias("_total"))
         .withColumn("_base", F.coalesce(F.sum("_total").over(before), F.lit(0))).drop("_total")
     )
-    return run.join(base, [*keys, "_piece"]).withColumn(out, F.col("_run") + F.col("_base")).drop("_piece", "_run", "_base")
+    return join_same(run, base, [*keys, "_piece"]).withColumn(out, F.col("_run") + F.col("_base")).drop("_piece", "_run", "_base")
 
 
 def neighbour(df: DataFrame, keys: list[str], order: str, value: Column, out: str,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ...functions.sequence import ordered_numbers
+from ...functions.sequence import join_same, ordered_numbers
 
 
 def scenario_lookup(requests: DataFrame, table: DataFrame, label: str, scenarios: list[str]) -> DataFrame:
@@ -31,7 +31,7 @@ def risk_statistics(df: DataFrame, keys: list[str], value: str, weight: str) ->
         F.coalesce(F.try_divide(F.sum(F.col(value) * F.col(weight)), w), F.lit(0.0)).alias("weighted_mean"))
     names = {"p25": 0.25, "median_value": 0.5, "p75": 0.75}
     known = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_value"))
-    placed = ordered_numbers(known, keys, ["_value"], "_place").join(plain.select(*keys, "_n"), keys)
+    placed = join_same(ordered_numbers(known, keys, ["_value"], "_place"), plain.select(*keys, "_n"), keys)
     spot = lambda q: F.lit(q) * (F.col("_n") - 1)
     near = [(F.col("_place") == F.floor(spot(q)) + 1) | (F.col("_place") == F.ceil(spot(q)) + 1) for q in names.values()]
     picked = placed.filter(near[0] | near[1] | near[2])
@@ -43,5 +43,5 @@ def risk_statistics(df: DataFrame, keys: list[str], value: str, weight: str) ->
         return low + (high - low) * share
 
     parts = picked.groupBy(*keys).agg(*[quartile(q).alias(n) for n, q in names.items()])
-    return plain.join(parts, keys, "left").select(
+    return join_same(plain, parts, keys, "left").select(
         *keys, "min_value", "max_value", "median_value", "mean_value", "p25", "p75", "weighted_mean")
