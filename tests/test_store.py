@@ -193,3 +193,20 @@ def test_workflow_estimate_counts_versions_without_file_changes(spark):
     updates = spark.createDataFrame([("v2",), ("v2",), ("v3",)], "version string")
     row = P.workflow_estimate(updates, versions, files).first()
     assert (row.workflow_update_records, row.workflow_only_version_estimate) == (3, 1)
+
+
+def test_streamed_store_takes_rows_with_null_and_negative_ids(spark, tmp_path):
+    import duckdb
+
+    from trailworks.plans import catalog
+
+    catalog.load()
+    rows = [(i, i % 7, float(i)) for i in range(40)] + [(-5, 1, 0.5), (-3, 20, 1.5), (-9, 20, 2.5), (None, 2, 3.5), (None, 21, None)]
+    for name, some in (("a", rows), ("b", [x for x in rows if x[0] is not None and x[0] < 0])):
+        sf = tmp_path / name
+        spark.createDataFrame(some, "event_id long, user_id long, value double").repartition(3).write.parquet(f"{sf}/events.parquet")
+        got = catalog.JOBS["streamed_store"](spark, str(sf)).select("memory_id", "value", "pos").collect()
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet/*.parquet'")
+        assert {tuple(r) for r in got} == set(con.execute(catalog.SQL["streamed_store"]).fetchall())
+        assert len(got) == len({x[1] for x in some})

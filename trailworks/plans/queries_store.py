@@ -557,22 +557,27 @@ def evidence_filters(spark, sf):
 
 # --- streaming (ST2) ------------------------------------------------------------------------
 
-STREAM_FILES = 4
+STREAM_PARTS = 4
 
 
 @query("streamed_store", """SELECT 'm-' || left(sha256('task-' || user_id), 20) AS memory_id, arg_max(value, event_id) AS value, max(event_id) AS pos FROM events GROUP BY 1""")
 def streamed_store(spark, sf):
-    """The event table as a stream of several files, one per micro-batch, merged into a store by content id."""
+    """The event table as a stream of several micro-batches, merged into a store by content id.
+
+    Later batches win, so the parts follow event_id; rows with a null one, which never win, are in the first.
+    """
     static = table(spark, sf, "events")
-    top = static.agg(F.max("event_id")).first()[0] or 0
+    low, top = static.agg(F.min("event_id"), F.max("event_id")).first()
+    share = (F.col("event_id").cast("double") - F.lit(float(low or 0))) * STREAM_PARTS / (float(top or 0) - float(low or 0) + 1)
+    part = F.coalesce(F.least(F.lit(STREAM_PARTS - 1), F.floor(share)), F.lit(0))
     folder = shared_folder(spark, "store")
-    for k in range(STREAM_FILES):      # one after the other: a stream takes files by their age
-        part = static.filter(F.least(F.lit(STREAM_FILES - 1), F.floor(F.col("event_id") * STREAM_FILES / (top + 1))) == k)
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/events")
-    src = spark.readStream.schema(static.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/events")
-    rec = src.select(F.concat(F.lit("m-"), F.substring(F.sha2(F.concat(F.lit("task-"), F.col("user_id").cast("string")), 256), 1, 20)).alias("memory_id"), "value",
-                     F.col("event_id").alias("pos"), F.lit("memory").alias("representation"))
-    q = ST.merge_stream(rec, f"{folder}/table", f"{folder}/offsets", M.MEMORY_PROMOTED)
-    q.awaitTermination()
-    last = q.lastProgress["batchId"] if q.lastProgress else 0
+    last = 0
+    for k in range(STREAM_PARTS):      # each run of the stream takes all files of a part as one micro-batch
+        static.filter(part == k).write.mode("append").parquet(f"{folder}/events")
+        src = spark.readStream.schema(static.schema).parquet(f"{folder}/events")
+        rec = src.select(F.concat(F.lit("m-"), F.substring(F.sha2(F.concat(F.lit("task-"), F.col("user_id").cast("string")), 256), 1, 20)).alias("memory_id"), "value",
+                         F.col("event_id").alias("pos"), F.lit("memory").alias("representation"))
+        q = ST.merge_stream(rec, f"{folder}/table", f"{folder}/offsets", M.MEMORY_PROMOTED)
+        q.awaitTermination()
+        last = q.lastProgress["batchId"] if q.lastProgress else last
     return spark.read.parquet(f"{folder}/table/version={last}").select("memory_id", "value", "pos")
