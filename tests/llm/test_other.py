@@ -110,6 +110,22 @@ def test_shuffle_is_fair_and_written_whole(spark, tmp_path):
     assert {r["count"] for r in back.groupBy("shard").count().collect()} == {50}
 
 
+def test_the_report_is_read_from_shards_of_whole_documents(spark, tmp_path, monkeypatch):
+    from trailworks.llm import sharding
+
+    monkeypatch.setattr(sharding, "shared_path", lambda spark, name: f"{tmp_path}/{name}", raising=False)
+    monkeypatch.setattr(sharding, "BUCKET_BYTES", 4000)      # some twenty buckets
+    docs = frame(spark, [None, ""] + [prose(random.Random(k), 100) for k in range(150)])
+    report = sharding.shard_report(docs).collect()
+    back = spark.read.parquet(f"{tmp_path}/shards")
+    assert sorted(map(repr, map(tuple, back.select(docs.columns).collect()))) == sorted(map(repr, map(tuple, docs.collect())))
+    text = {(r.shard, r.slot): (r.doc_id, r.text) for r in back.collect()}
+    assert len(text) == len(report) == 152
+    for r in report:
+        doc_id, raw = text[r.shard, r.slot]
+        assert (r.doc_id, r["size"], r.text_crc32) == (doc_id, len((raw or "").encode()) + 16, zlib.crc32((raw or "").encode()))
+
+
 def brute_top(rows, k, every):
     out = {}
     good = [(i, [int(np.floor(1024 * float(np.float32(x)))) for x in v]) for i, v in rows]

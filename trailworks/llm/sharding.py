@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import shared_path
+
 SHARDS, SEED = 40, 2024
 #: What a bucket may hold on average. Buckets are loaded whole; hashes spread them evenly.
 BUCKET_BYTES, BUCKET_ROWS = 32 << 20, 20_000
@@ -56,8 +58,10 @@ def shuffled(rows: DataFrame, keys: list[str], shards: int = SHARDS, seed: int =
         return table.append_column("_place", pa.array(np.arange(len(table))))
 
     made = dealt.select("_row", "_bucket").schema.add("_place", "long")
-    mixed = dealt.groupBy("_bucket").applyInArrow(work, made)
-    placed = mixed.join(before, "_bucket").withColumn("_place", F.col("_place") + F.col("_before"))
+    # ranges of buckets, so that the rows come out along their places and need not be dealt out again to be written
+    mixed = dealt.repartitionByRange("_bucket").groupBy("_bucket").applyInArrow(work, made)
+    # one narrow row for each bucket: sent to the tasks, so that the rows are not dealt out again
+    placed = mixed.join(F.broadcast(before), "_bucket").withColumn("_place", F.col("_place") + F.col("_before"))
     # shard s holds the places from floor(s * total / shards) on
     return (
         placed.withColumn("shard", F.expr(f"int(((_place + 1) * {shards}L - 1) div {max(total, 1)}L)"))
@@ -66,22 +70,29 @@ def shuffled(rows: DataFrame, keys: list[str], shards: int = SHARDS, seed: int =
     )
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED) -> None:
-    """Write whole documents, a folder for each shard; its files, and the rows in them, follow the slots."""
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED, keys: list[str] | None = None) -> None:
+    """Write whole documents, a folder for each shard; its files, and the rows in them, follow the slots.
+
+    ``keys`` are those of ``shuffled``, all columns if not given.
+    """
     size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16), F.count(F.lit(1))).first()
     mean = max(1, (size[0] or 0) // max(1, size[1]))
-    rows = shuffled(docs, docs.columns, shards, seed, max(1, min(BUCKET_ROWS, BUCKET_BYTES // mean)))
-    rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    rows = shuffled(docs, keys or docs.columns, shards, seed, max(1, min(BUCKET_ROWS, BUCKET_BYTES // mean)))
+    rows.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def shard_report(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """Rows (doc_id, size, text_crc32, law, shard, slot, grown_shard), one for each document.
 
     The law is ``rows``: counts of shards differ by one at most. Size is the bytes of the text plus
-    16, null texts count as empty. Only ids and digests travel, not the texts.
+    16, null texts count as empty. The whole documents are written to shards in the shared folder; the
+    report is read from those.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    return shuffled(rows, ["doc_id", "size", "text_crc32"], shards, seed).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    size, crc = F.octet_length(text).cast("long") + 16, F.crc32(text.cast("binary"))
+    path = shared_path(docs.sparkSession, "shards")
+    # the texts travel once, as rows; digests of them scatter and order the rows
+    keyed = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "_size": size, "_crc32": crc})
+    write_shards(keyed, path, shards, seed, ["doc_id", "_size", "_crc32"])
+    return docs.sparkSession.read.schema("doc_id long, text string, slot long, shard int").parquet(path).select(
+        "doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
