@@ -1,6 +1,7 @@
 """Near duplicates, repeated substrings and benchmark passages against brute force."""
 
 import hashlib
+import math
 import random
 from collections import Counter
 
@@ -8,7 +9,7 @@ import numpy as np
 from samples import clashing, edited, frame, lowered, prose, words
 
 from trailworks.llm.decontaminate import allowed, contaminated, walks, without_items
-from trailworks.llm.near_dedup import near_duplicates
+from trailworks.llm.near_dedup import BANDS, ROWS, SAMPLES, SCREEN, SKETCH_BITS, near_duplicates
 from trailworks.llm.substring_dedup import substring_dedup
 
 
@@ -205,3 +206,14 @@ def test_buckets_keep_unrelated_texts_apart():
         keys = walks(items, n)
         assert (keys == walks(other, n)).any(0).mean() < 0.02
         assert (keys == walks(near, n)).any(0).mean() >= 0.95
+
+
+def test_the_screen_misses_fewer_pairs_than_the_bands():
+    bits, similar = np.arange(SKETCH_BITS + 1), 0.8
+    estimate = 1 + SKETCH_BITS / (4 * SAMPLES) * np.log(np.maximum(1e-9, 1 - 2 * bits / SKETCH_BITS))
+    odd, missed = (bits == 0).astype(float), 0.0
+    for differ in range(SAMPLES + 1):       # samples that differ; each flips two random bits of the difference
+        missed += math.comb(SAMPLES, differ) * (1 - similar) ** differ * similar ** (SAMPLES - differ) * odd[estimate < SCREEN].sum()
+        for _ in range(2):
+            odd = np.append(0, (odd * (SKETCH_BITS - bits) / SKETCH_BITS)[:-1]) + np.append((odd * bits / SKETCH_BITS)[1:], 0)
+    assert missed < 0.01 * (1 - similar ** ROWS) ** (BANDS)

@@ -12,9 +12,9 @@
 
 The screen has three tests: sizes too far apart; the parity bitmap of the full sets, whose differing
 bits are a lower bound of the shingles that differ (both lose nothing); and the estimate from the odd
-sketch of the samples, rejected under 0.6, which at a similarity of 0.8 is five standard deviations off.
-With 32 bands of 4 samples, a pair at similarity 0.8 shares no bucket with a probability of 4.6e-8. No
-bucket, group or number of partners is capped.
+sketch of the samples, rejected under 0.5, which happens to a pair at similarity 0.8 with a probability
+of 1.0e-10. With 32 bands of 4 samples, such a pair shares no bucket with a probability of 4.7e-8; it is
+missed with at most the sum, 4.8e-8. No bucket, group or number of partners is capped.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ SKETCH_WORDS = 8
 SKETCH_BITS = 64 * SKETCH_WORDS
 #: Longs of the parity bitmap of the full set.
 PARITY_WORDS = 16
-SCREEN = 0.6
+SCREEN = 0.5
 
 SKETCH = [f"s{k}" for k in range(SKETCH_WORDS)] + [f"f{k}" for k in range(PARITY_WORDS)]
 
