@@ -97,6 +97,18 @@ def test_message_passing_is_exact_on_a_chain():
     assert np.allclose(field.marginals(g), want, atol=5e-3)
 
 
+def test_evidence_travels_along_all_repeats_of_a_word():
+    n = 60
+    field = Field(np.array([[0.0] * 5, [0, 0, 0, 4.0, 0]]), np.zeros((5, 5)), 8 * np.eye(5))
+    g = Graph(np.zeros(n, int), np.arange(n), np.arange(n) + 1, np.array([[1]] + [[0]] * (n - 1)), np.zeros((0, 2), int), np.stack([np.arange(n - 1), np.arange(1, n)], 1))
+    want = [np.exp(field.unary[1]) / np.exp(field.unary[1]).sum()]      # nothing comes back from the others
+    step = np.exp(field.skip) / np.exp(field.skip).sum(1)
+    for _ in range(n - 1):
+        want.append(want[-1] @ step)
+    assert np.allclose(field.marginals(g), want, atol=5e-3)
+    assert (field.marginals(g).argmax(1) == 3).all()
+
+
 def test_training_without_any_entity(spark):
     field = train(frame(spark, ["no data", None]))
     assert personal_data(frame(spark, ["a 1 b 22"]), field).first().spans == ""

@@ -31,6 +31,7 @@ MAX_TRAINING_ROWS = 2000
 MAX_TRAINING_NODES = 30_000
 CERTAIN = 0.95
 DIM = 1 << 13
+#: Rounds of message passing besides two for each step of the longest path of the graph; convergence ends them before.
 ROUNDS = 15
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -161,6 +162,14 @@ def graph(part: pa.RecordBatch) -> Graph:
                  np.stack([step, step + 1], 1), np.array(skip, np.int64).reshape(-1, 2))
 
 
+def _longest(edges: np.ndarray, nodes: int) -> int:
+    """Edges of the longest path; each edge leads to a later node."""
+    depth = [0] * nodes
+    for a, b in edges[np.argsort(edges[:, 1], kind="stable")].tolist():
+        depth[b] = max(depth[b], depth[a] + 1)
+    return max(depth, default=0)
+
+
 @dataclass
 class Field:
     """Weights of the random field: features x labels, and label pairs of chain and skip edges."""
@@ -179,7 +188,7 @@ class Field:
             pair = np.concatenate([pair, pair.transpose(0, 2, 1)])
             back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
             sent = np.zeros((len(source), LABELS))
-            for _ in range(ROUNDS):
+            for _ in range(ROUNDS + 2 * _longest(edges, len(own))):
                 belief = own.copy()
                 np.add.at(belief, target, sent)
                 x = (belief[source] - sent[back])[:, :, None] + pair
@@ -188,7 +197,7 @@ class Field:
                 new -= new.max(1, keepdims=True)
                 moved = np.abs(new - sent).max()
                 sent = 0.5 * sent + 0.5 * new
-                if moved < 1e-3:
+                if moved < 1e-5:
                     break
             own = own.copy()
             np.add.at(own, target, sent)
