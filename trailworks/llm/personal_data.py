@@ -31,7 +31,7 @@ MAX_TRAINING_ROWS = 2000
 MAX_TRAINING_NODES = 30_000
 CERTAIN = 0.95
 DIM = 1 << 13
-#: Rounds of message passing besides two for each step of the longest path of the graph; convergence ends them before.
+#: Rounds of message passing besides four for each edge of the longest path of the graph; convergence ends them before.
 ROUNDS = 15
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -188,7 +188,7 @@ class Field:
             pair = np.concatenate([pair, pair.transpose(0, 2, 1)])
             back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
             sent = np.zeros((len(source), LABELS))
-            for _ in range(ROUNDS + 2 * _longest(edges, len(own))):
+            for _ in range(ROUNDS + 4 * _longest(edges, len(own))):
                 belief = own.copy()
                 np.add.at(belief, target, sent)
                 x = (belief[source] - sent[back])[:, :, None] + pair
