@@ -39,3 +39,15 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_entry(spark):
     assert E.entry(spark).count() > 0
+
+
+def test_evidence_sample_at_its_own_sizes(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * REPLACE (CASE WHEN user_id % 2 = 0 THEN user_id ELSE user_id % 9 END AS user_id) FROM '{SF}/events.parquet') TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    df = E.queries()["evidence_sample_full"](spark, str(tmp_path))
+    got = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    cur = con.execute(E.oracle_sql()["evidence_sample_full"])
+    want = rows_of([d[0] for d in cur.description], cur.fetchall())
+    assert got == want
+    assert len(got[1]) < con.execute("SELECT count(*) FROM events").fetchone()[0]      # some tasks are longer than the budget

@@ -443,24 +443,34 @@ def evidence_steps(spark, sf):
     return d.select("task_name", "step", action.alias("action"), code.alias("code"))
 
 
-@query("evidence_sample", f"""WITH {V.EVENTS_SQL},
+def _sample_sql(budget: int, head: int, tail: int) -> str:
+    return f"""WITH {V.EVENTS_SQL},
 s AS (SELECT task_name, row_number() OVER (PARTITION BY task_name ORDER BY ts, event_id) AS step, count(*) OVER (PARTITION BY task_name) AS n,
    CASE event_type WHEN 'purchase' THEN 'write' WHEN 'signup' THEN 'assistant_text' ELSE 'read' END AS action,
    CASE WHEN event_type = 'error' THEN {V._sql_pick(V.ERRORS)} ELSE 'step ' || k END AS code FROM ev),
-f AS (SELECT *, step <= 4 OR step > n - 6 AS is_end, action = 'write' OR regexp_matches(lower(code), 'traceback|error|failed|exception|assertionerror') AS crit FROM s),
+f AS (SELECT *, step <= {head} OR step > n - {tail} AS is_end, action = 'write' OR regexp_matches(lower(code), 'traceback|error|failed|exception|assertionerror') AS crit FROM s),
 g AS (SELECT *, count(*) FILTER (NOT is_end AND NOT crit) OVER w AS free_rank, count(*) FILTER (NOT is_end AND crit) OVER w AS crit_rank,
    count(*) FILTER (is_end) OVER p AS ends, count(*) FILTER (crit AND NOT is_end) OVER p AS crits
    FROM f WINDOW w AS (PARTITION BY task_name ORDER BY step), p AS (PARTITION BY task_name)),
-slots AS (SELECT task_name, n, ends, crits, unnest(range(1, 41)) AS s FROM (SELECT DISTINCT task_name, n, ends, crits FROM g)),
-picks AS (SELECT task_name, s * (n - ends - crits) // (40 - ends - crits + 1) AS free_pick FROM slots WHERE 40 - ends - crits > 0 AND s <= 40 - ends - crits),
-cpicks AS (SELECT task_name, s * crits // (40 - ends + 1) AS crit_pick FROM slots WHERE ends + crits > 40 AND s <= 40 - ends)
-SELECT task_name, step, action, code FROM g WHERE n <= 40 OR is_end OR (crit AND 40 - ends - crits >= 0)
+slots AS (SELECT task_name, n, ends, crits, unnest(range(1, {budget + 1})) AS s FROM (SELECT DISTINCT task_name, n, ends, crits FROM g)),
+picks AS (SELECT task_name, s * (n - ends - crits) // ({budget} - ends - crits + 1) AS free_pick FROM slots WHERE {budget} - ends - crits > 0 AND s <= {budget} - ends - crits),
+cpicks AS (SELECT task_name, s * crits // ({budget} - ends + 1) AS crit_pick FROM slots WHERE ends + crits > {budget} AND s <= {budget} - ends)
+SELECT task_name, step, action, code FROM g WHERE n <= {budget} OR is_end OR (crit AND {budget} - ends - crits >= 0)
   OR (crit AND EXISTS (SELECT 1 FROM cpicks c WHERE c.task_name = g.task_name AND c.crit_pick = g.crit_rank - 1))
-  OR (NOT crit AND EXISTS (SELECT 1 FROM picks c WHERE c.task_name = g.task_name AND c.free_pick = g.free_rank - 1))""")
+  OR (NOT crit AND EXISTS (SELECT 1 FROM picks c WHERE c.task_name = g.task_name AND c.free_pick = g.free_rank - 1))"""
+
+
+@query("evidence_sample", _sample_sql(40, 4, 6))
 def evidence_sample(spark, sf):
     return S.select_steps(evidence_steps(spark, sf), ["task_name"], budget=40, head=4, tail=6)
 
 
+@query("evidence_sample_full", _sample_sql(120, 8, 24))
+def evidence_sample_full(spark, sf):
+    """The operator's own sizes."""
+    return S.select_steps(evidence_steps(spark, sf), ["task_name"])
+
+
 @query("causal_steps", f"""WITH {V.STEPS_SQL},
 c AS (SELECT {A}, step_idx, tool_name AS action, coalesce(a_command, a_path) AS code FROM steps WHERE regexp_matches(lower(tool_name), 'write|edit|create|save|bash'))
 SELECT {A}, 's' || step_idx AS id, action, step_idx AS step FROM c QUALIFY row_number() OVER (PARTITION BY {A} ORDER BY step_idx DESC) <= 10""")
