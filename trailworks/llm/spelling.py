@@ -72,7 +72,9 @@ def signatures(words: DataFrame, parts: int = PARTS, segments: int = SEGMENTS) -
     share a key that is not ``longer`` for both.
     """
     letters, *projected = _parts(F.col("word"), parts)
-    d = words.withColumn("letters", letters)
+    # few bytes of words give many signatures: deal them to as many tasks as a shuffle has
+    tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = words.repartition(tasks, "word").withColumn("letters", letters)
     d = d.select("word", "n", *(p.alias(f"p{q}") for q, p in enumerate(projected)))
     m = F.length("word")
     keys = []
