@@ -161,7 +161,9 @@ def retrieval_tokens(text: Column) -> Column:
     pairs = F.transform(
         F.filter(F.sequence(F.lit(1), F.greatest(F.size(han) - 1, F.lit(1))), lambda i: i < F.size(han)),
         lambda i: F.concat(F.element_at(han, i), F.element_at(han, i + 1)))
-    return F.filter(F.concat(words, pairs), lambda w: ~w.isin(*X.RETRIEVAL_STOP_WORDS))
+    # most texts have no such characters; the words are then found once
+    all_words = F.when(text.rlike(r"[\u3400-\u9fff]"), F.concat(words, pairs)).otherwise(words)
+    return F.filter(all_words, lambda w: ~w.isin(*X.RETRIEVAL_STOP_WORDS))
 
 
 def _token_set(text: Column, pattern: str, stop=()) -> Column:

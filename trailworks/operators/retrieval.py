@@ -14,9 +14,6 @@ from ..functions.staging import staged
 from ..session import cut_lineage
 from .overlap import candidate_pairs
 
-BLOCK = 512
-
-
 def cosine(a: Column, b: Column) -> Column:
     """R2: cosine clamped to [-1, 1]; null for missing, empty, zero or unequal vectors."""
     num = lambda v: F.transform(v, lambda x: x.cast("double"))
@@ -28,39 +25,140 @@ def cosine(a: Column, b: Column) -> Column:
                   F.greatest(F.lit(-1.0), F.least(F.lit(1.0), score)))
 
 
-def _unit_rows(vectors: pd.Series) -> np.ndarray:
-    m = np.stack(vectors.map(lambda v: np.asarray(v, dtype=np.float64)).to_list())
+def _unit_rows(vectors) -> np.ndarray:
+    m = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
     n = np.linalg.norm(m, axis=1, keepdims=True)
     n[n == 0] = np.inf
     return m / n
 
 
-def similar_pairs(queries: DataFrame, records: DataFrame, floor: float, query_blocks: int,
-                  record_blocks: int) -> DataFrame:
-    """Pairs with cosine >= floor, by block products spread over the cluster.
+#: The most vectors that the space is divided by, and vectors in a block.
+PIVOTS, BLOCK = 256, 1024
+
+
+def _pivots(vectors: DataFrame, count: int) -> dict[int, np.ndarray]:
+    """Up to ``count`` unit vectors for each length of vector, far from each other.
+
+    They come from a sample of four times as many rows; the choice is bounded and only decides the blocks.
+    """
+    turn = Window.partitionBy("dim").orderBy(F.xxhash64("vec"))
+    rows = vectors.dropDuplicates(["dim", "vec"]).withColumn("_turn", F.row_number().over(turn)).where(F.col("_turn") <= 4 * count).select("dim", "vec").collect()
+    return {dim: _far_apart(_unit_rows([r.vec for r in rows if r.dim == dim]), count) for dim in {r.dim for r in rows}}
+
+
+def _far_apart(unit: np.ndarray, count: int) -> np.ndarray:
+    """Farthest-first choice: each next row is the one least similar to all rows chosen."""
+    chosen, nearest = [0], unit @ unit[0]
+    while len(chosen) < min(count, len(unit)):
+        chosen.append(int(nearest.argmin()))
+        nearest = np.maximum(nearest, unit @ unit[chosen[-1]])
+    return unit[chosen]
+
+
+def vector_blocks(vectors: DataFrame, pivots: dict[int, np.ndarray], size: int = BLOCK) -> DataFrame:
+    """(id, unit, dim, pivot, chunk) from (id, vec): unit vectors with their nearest pivot and a slice of about ``size``.
+
+    Null, empty and zero vectors, and those with a component that is null or not finite, have no cosine and
+    are left out.
+    """
+    kind = vectors.schema["id"].dataType.simpleString()
+
+    def assign(batches):
+        for d in batches:
+            for dim, part in d.groupby("dim"):
+                unit = _unit_rows(part["vec"])
+                ok = (unit != 0).any(1)
+                if not ok.any():
+                    continue
+                near = (unit @ pivots[dim].T).argmax(1) if dim in pivots else np.full(len(part), -1)
+                yield pd.DataFrame({"id": part["id"].to_numpy()[ok], "unit": list(unit[ok]), "dim": part["dim"].to_numpy()[ok], "pivot": near[ok].astype("int32")})
+
+    placed = _clean(vectors).mapInPandas(assign, f"id {kind}, unit array<double>, dim int, pivot int")
+    placed = cut_lineage(placed)
+    chunks = placed.groupBy("dim", "pivot").agg(F.ceil(F.count(F.lit(1)) / size).alias("_chunks"))
+    return placed.join(chunks, ["dim", "pivot"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("_chunks")).cast("int")).drop("_chunks")
+
+
+def _clean(vectors: DataFrame) -> DataFrame:
+    vec = F.col("vec").cast("array<double>")
+    whole = (F.size(vec) > 0) & ~F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return vectors.where(F.coalesce(whole, F.lit(False))).select("id", vec.alias("vec"), F.size("vec").alias("dim"))
+
 
-    Each block holds a bounded number of vectors and only passing pairs leave it.
-    ``queries``: query_id, q_vec. ``records``: record_id, r_vec. The floor is lowered by
-    a hair here; callers apply the exact test to the survivors.
+def block_cones(blocks: DataFrame) -> DataFrame:
+    """(dim, pivot, chunk, centre, radius): the cone (unit centre and largest angle to it) that holds a block."""
+    def cone(d: pd.DataFrame) -> pd.DataFrame:
+        unit = np.stack(d["unit"].to_list())
+        centre = unit.mean(0)
+        centre = centre / (np.linalg.norm(centre) or 1.0)
+        radius = float(np.arccos(np.clip(unit @ centre, -1, 1)).max())
+        return pd.DataFrame({"dim": d["dim"].iloc[:1], "pivot": d["pivot"].iloc[:1], "chunk": d["chunk"].iloc[:1], "centre": [list(centre)], "radius": [radius]})
+
+    return blocks.groupBy("dim", "pivot", "chunk").applyInPandas(cone, "dim int, pivot int, chunk int, centre array<double>, radius double")
+
+
+def block_pairs(queries: DataFrame, records: DataFrame, pivots: dict[int, np.ndarray], floor: float) -> DataFrame:
+    """(dim, q_pivot, q_chunk, pivot, chunk): the pairs of blocks that may hold vectors with cosine >= floor.
+
+    Two cones whose centres are further apart than both radii and the floor's angle hold no such pair. Query
+    cones meet the cones of whole pivots first, so that only blocks of pivots within reach are joined.
+    """
+    reach = float(np.arccos(np.clip(floor, -1, 1))) + 1e-6
+    far = {(r.dim, r.pivot): r.far for r in records.groupBy("dim", "pivot").agg(F.max(_angle_to(pivots)).alias("far")).collect()}
+
+    def meet(batches):
+        for d in batches:
+            out = []
+            for r in d.itertuples():
+                known = [p for (dim, p) in far if dim == r.dim]
+                for p in known:
+                    apart = np.arccos(np.clip(float(np.dot(r.centre, pivots[r.dim][p])), -1, 1)) if p >= 0 else 0.0
+                    if apart - r.radius - far[r.dim, p] <= reach:
+                        out.append((r.dim, r.pivot, r.chunk, r.centre, r.radius, p))
+            if out:
+                yield pd.DataFrame(out, columns=["dim", "q_pivot", "q_chunk", "q_centre", "q_radius", "pivot"])
+
+    near = block_cones(queries).mapInPandas(meet, "dim int, q_pivot int, q_chunk int, q_centre array<double>, q_radius double, pivot int")
+    dot = F.aggregate(F.zip_with("q_centre", "centre", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    apart = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot)))
+    return near.join(block_cones(records), ["dim", "pivot"]).where(apart - F.col("q_radius") - F.col("radius") <= reach).select(
+        "dim", "q_pivot", "q_chunk", "pivot", "chunk")
+
+
+def _angle_to(pivots: dict[int, np.ndarray]) -> Column:
+    """Angle between a unit vector and its pivot; a half turn where there is no pivot."""
+    @F.pandas_udf("double")
+    def angle(unit: pd.Series, dim: pd.Series, pivot: pd.Series) -> pd.Series:
+        return pd.Series([float(np.arccos(np.clip(np.dot(u, pivots[d][p]), -1, 1))) if p >= 0 else np.pi for u, d, p in zip(unit, dim, pivot, strict=True)])
+    return angle("unit", "dim", "pivot")
+
+
+def similar_pairs(queries: DataFrame, records: DataFrame, floor: float, pivots: int | None = None, size: int = BLOCK) -> DataFrame:
+    """R2: (query_id, record_id, semantic) of the pairs with cosine >= floor.
+
+    ``queries``: query_id, q_vec. ``records``: record_id, r_vec. Both are cut into blocks around common
+    pivots (by default as many as the records fill blocks, at most ``PIVOTS``); only pairs of blocks that can
+    reach the floor are multiplied, each in a task of its own, and only passing pairs leave it.
     """
-    q = queries.filter(F.size("q_vec") > 0).withColumn("dim", F.size("q_vec")).withColumn(
-        "qb", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks))).withColumn(
-        "rb", F.explode(F.sequence(F.lit(0), F.lit(record_blocks - 1))))
-    r = records.filter(F.size("r_vec") > 0).withColumn("dim", F.size("r_vec")).withColumn(
-        "rb", F.pmod(F.xxhash64("record_id"), F.lit(record_blocks)).cast("int")).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
-    keys = ["qb", "rb", "dim"]
-
-    def product(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": left["query_id"].iloc[:0], "record_id": right["record_id"].iloc[:0]})
-        dots = _unit_rows(left["q_vec"]) @ _unit_rows(right["r_vec"]).T
-        i, j = np.nonzero(dots >= floor - 1e-6)
-        return pd.DataFrame({"query_id": left["query_id"].to_numpy()[i], "record_id": right["record_id"].to_numpy()[j]})
+    clean = _clean(records.select(F.col("record_id").alias("id"), F.col("r_vec").alias("vec")))
+    chosen = _pivots(clean, pivots or min(PIVOTS, -(-clean.count() // size) or 1))
+    q = cut_lineage(vector_blocks(queries.select(F.col("query_id").alias("id"), F.col("q_vec").alias("vec")), chosen, size))
+    r = cut_lineage(vector_blocks(records.select(F.col("record_id").alias("id"), F.col("r_vec").alias("vec")), chosen, size))
+    pairs = cut_lineage(block_pairs(q, r, chosen, floor))
+    keys = ["dim", "q_pivot", "q_chunk", "pivot", "chunk"]
+    left = q.withColumnsRenamed({"pivot": "q_pivot", "chunk": "q_chunk"}).join(pairs, keys[:3])
+    right = r.join(pairs, ["dim", "pivot", "chunk"])
+
+    def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"query_id": a["id"].iloc[:0], "record_id": b["id"].iloc[:0], "semantic": np.zeros(0)})
+        dots = np.clip(np.stack(a["unit"].to_list()) @ np.stack(b["unit"].to_list()).T, -1, 1)
+        i, j = np.nonzero(dots >= floor)
+        return pd.DataFrame({"query_id": a["id"].to_numpy()[i], "record_id": b["id"].to_numpy()[j], "semantic": dots[i, j]})
 
     schema = (f"query_id {queries.schema['query_id'].dataType.simpleString()}, "
-              f"record_id {records.schema['record_id'].dataType.simpleString()}")
-    return q.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInPandas(product, schema)
+              f"record_id {records.schema['record_id'].dataType.simpleString()}, semantic double")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(product, schema)
 
 
 def index_records(records: DataFrame) -> DataFrame:
@@ -70,19 +168,17 @@ def index_records(records: DataFrame) -> DataFrame:
     return terms.groupBy("record_id", "token").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
-def search(records: DataFrame, queries: DataFrame, limit: int = 10, **counts) -> DataFrame:
+def search(records: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
     """Top matches per query, scores with six places; see ``scored_matches``."""
-    return scored_matches(records, queries, limit, **counts).select(
+    return scored_matches(records, queries, limit).select(
         "query_id", "record_id", "rank", *[F.bround(c, 6).alias(c) for c in (
             "score", "semantic_score", "lexical_score", "lexical_coverage")], "match_mode")
 
 
-def scored_matches(records: DataFrame, queries: DataFrame, limit: int = 10,
-                   query_count: int | None = None, record_count: int | None = None,
-                   index: DataFrame | None = None) -> DataFrame:
-    """Top matches per query with full scores.
+def scored_matches(records: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
+    """Top matches per query with full scores, for records that are searched once.
 
-    ``index`` is a stored result of ``index_records``; without one it is built and written once.
+    ``search_index`` keeps an index for records that are searched again.
 
     ``records`` (already filtered by outcome, because the filter changes the statistics):
     record_id, text, r_vec (nullable array). ``queries``: query_id, query, q_vec (nullable).
@@ -90,7 +186,7 @@ def scored_matches(records: DataFrame, queries: DataFrame, limit: int = 10,
     the similarity floor; scores are computed for those pairs only, and no pair outside
     them can pass the gates.
     """
-    postings = index if index is not None else cut_lineage(index_records(records))
+    postings = cut_lineage(index_records(records))
     qs = queries.select("query_id", T.retrieval_tokens(F.col("query")).alias("q_tokens")).filter(F.size("q_tokens") > 0)
     # Every record keeps one row with an empty token, so texts without tokens still count.
     stats = postings.filter(F.col("token") == "").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
@@ -103,11 +199,9 @@ def scored_matches(records: DataFrame, queries: DataFrame, limit: int = 10,
     lexical = candidate_pairs(unique, ["query_id"], need, postings.select("record_id", "token"), ["record_id"])
     pairs = lexical
     if "r_vec" in records.columns and "q_vec" in queries.columns:
-        nq = query_count if query_count is not None else queries.count()
-        nr = record_count if record_count is not None else records.count()
-        semantic = similar_pairs(queries.select("query_id", "q_vec"), records.select("record_id", "r_vec"),
-                                 X.MIN_SEMANTIC, max(1, -(-nq // BLOCK)), max(1, -(-nr // (8 * BLOCK))))
-        pairs = lexical.unionByName(semantic.join(qs.select("query_id"), "query_id", "left_semi")).distinct()
+        # callers apply the exact test; the floor is lowered by a hair here
+        semantic = similar_pairs(queries.select("query_id", "q_vec"), records.select("record_id", "r_vec"), X.MIN_SEMANTIC - 1e-9)
+        pairs = lexical.unionByName(semantic.select("query_id", "record_id").join(qs.select("query_id"), "query_id", "left_semi")).distinct()
 
     terms = qs.select("query_id", F.explode("q_tokens").alias("token")).groupBy("query_id", "token").agg(
         F.count(F.lit(1)).alias("qtf"))

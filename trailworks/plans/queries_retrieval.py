@@ -8,6 +8,8 @@ from ..functions import fixed as X
 from ..functions import text as T
 from ..operators import clustering as CL
 from ..operators import retrieval as RT
+from ..operators import search_index as IX
+from ..session import shared_folder
 from .catalog import query
 from .views import table
 
@@ -46,22 +48,44 @@ def _records(spark, sf, vectors: bool):
     return d
 
 
+def _index(spark, records):
+    """A new index in the shared folder."""
+    index = IX.create_index(spark, shared_folder(spark, "index"))
+    IX.add_records(index, records)
+    return index
+
+
 @query("lexical_search", f"""WITH docs AS (SELECT * FROM documents), {BM25_SQL},
  f AS (SELECT item_id AS query_id, doc_id AS record_id, raw / (raw + 2.0) AS lex, matched / n_terms::DOUBLE AS cov, 0.25 * raw / (raw + 2.0) AS sc_ FROM sc JOIN qs USING (item_id)
    WHERE raw / (raw + 2.0) >= 0.2 AND matched / n_terms::DOUBLE >= 0.5 AND matched >= CASE WHEN n_terms <= 2 THEN 1 ELSE 2 END)
  SELECT query_id, record_id, row_number() OVER (PARTITION BY query_id ORDER BY round(sc_, 9) DESC, record_id)::INTEGER AS rank, round(sc_, 5) AS score, round(cov, 6) AS lexical_coverage, 'lexical_exact' AS match_mode
  FROM f {RANK}""")
 def lexical_search(spark, sf):
-    d = RT.scored_matches(_records(spark, sf, False), _queries(spark, sf, False), 10)
+    d = IX.lexical_search(_index(spark, _records(spark, sf, False)), _queries(spark, sf, False), 10)
     return d.select("query_id", "record_id", "rank", F.round("score", 5).alias("score"), F.round("lexical_coverage", 6).alias("lexical_coverage"), "match_mode")
 
 
+# An index of half of the records takes the others, takes new texts for some, and gives some up: as if built from what is left.
+@query("updated_search", f"""WITH docs AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text || ' revised ' || source ELSE text END AS text FROM documents WHERE lang <> 'fr'), {BM25_SQL},
+ f AS (SELECT item_id AS query_id, doc_id AS record_id, raw / (raw + 2.0) AS lex, matched / n_terms::DOUBLE AS cov, 0.25 * raw / (raw + 2.0) AS sc_ FROM sc JOIN qs USING (item_id)
+   WHERE raw / (raw + 2.0) >= 0.2 AND matched / n_terms::DOUBLE >= 0.5 AND matched >= CASE WHEN n_terms <= 2 THEN 1 ELSE 2 END)
+ SELECT query_id, record_id, round(sc_, 5) AS score, round(lex, 5) AS lexical_score, round(cov, 6) AS lexical_coverage FROM f {RANK}""")
+def updated_search(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("record_id"), "text", "lang", "source")
+    index = _index(spark, d.where("record_id % 2 = 0"))
+    IX.add_records(index, d.where("record_id % 2 = 1"))
+    IX.add_records(index, d.where("record_id % 5 = 0").withColumn("text", F.concat("text", F.lit(" revised "), "source")))
+    IX.remove_records(index, d.where("lang = 'fr'"))
+    found = IX.lexical_search(IX.open_index(spark, index.folder), _queries(spark, sf, False), 10)
+    return found.select("query_id", "record_id", F.round("score", 5).alias("score"), F.round("lexical_score", 5).alias("lexical_score"), F.round("lexical_coverage", 6).alias("lexical_coverage"))
+
+
 @query("filtered_lexical_search", f"""WITH docs AS (SELECT * FROM documents WHERE lang = 'en'), {BM25_SQL},
  f AS (SELECT item_id AS query_id, doc_id AS record_id, 0.25 * raw / (raw + 2.0) AS sc_ FROM sc JOIN qs USING (item_id)
    WHERE raw / (raw + 2.0) >= 0.2 AND matched / n_terms::DOUBLE >= 0.5 AND matched >= CASE WHEN n_terms <= 2 THEN 1 ELSE 2 END)
  SELECT query_id, record_id, round(sc_, 5) AS score FROM f {RANK}""")
 def filtered_lexical_search(spark, sf):
-    d = RT.scored_matches(_records(spark, sf, False).filter("lang = 'en'"), _queries(spark, sf, False), 10)
+    d = IX.lexical_search(_index(spark, _records(spark, sf, False).filter("lang = 'en'")), _queries(spark, sf, False), 10)
     return d.select("query_id", "record_id", F.round("score", 5).alias("score"))
 
 
@@ -75,7 +99,9 @@ def filtered_lexical_search(spark, sf):
    WHERE coalesce(sem >= 0.38 AND sc_ >= 0.34, false) OR (lex >= 0.2 AND cov >= 0.5 AND matched >= CASE WHEN n_terms <= 2 THEN 1 ELSE 2 END))
  SELECT query_id, record_id, round(sc_, 5) AS score, round(sem, 5) AS semantic_score, CASE WHEN hyb THEN 'hybrid' ELSE 'lexical_exact' END AS match_mode FROM f {RANK}""")
 def hybrid_search(spark, sf):
-    d = RT.scored_matches(_records(spark, sf, True), _queries(spark, sf, True), 10)
+    records, q = _records(spark, sf, True), _queries(spark, sf, True)
+    near = RT.similar_pairs(q.select("query_id", "q_vec"), records.select("record_id", "r_vec"), X.MIN_SEMANTIC - 1e-9)
+    d = IX.hybrid_search(_index(spark, records), q, records, near, 10)
     return d.select("query_id", "record_id", F.round("score", 5).alias("score"), F.round("semantic_score", 5).alias("semantic_score"), "match_mode")
 
 
@@ -153,9 +179,6 @@ def vector_clusters(spark, sf):
  SELECT a.vec_id AS query_id, b.vec_id AS record_id FROM v a JOIN v b ON list_cosine_similarity(a.e, b.e) >= 0.38""")
 def semantic_pairs(spark, sf):
     e = table(spark, sf, "embeddings")
-    n = e.count()
     q = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_vec"))
     r = e.select(F.col("vec_id").alias("record_id"), F.col("embedding").alias("r_vec"))
-    d = RT.similar_pairs(q, r, X.MIN_SEMANTIC, -(-n // RT.BLOCK), -(-n // (2 * RT.BLOCK)))
-    d = d.join(q, "query_id").join(r, "record_id")
-    return d.filter(RT.cosine(F.col("q_vec"), F.col("r_vec")) >= X.MIN_SEMANTIC).select("query_id", "record_id")
+    return RT.similar_pairs(q, r, X.MIN_SEMANTIC).select("query_id", "record_id")
