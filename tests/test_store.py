@@ -14,6 +14,7 @@ from trailworks.operators import policies as P
 from trailworks.operators import retrieval as RT
 from trailworks.operators import retry as R
 from trailworks.streaming import jobs as ST
+from trailworks.streaming.store import read_store
 
 
 def _hash(record):
@@ -170,7 +171,7 @@ def test_streams_merge_and_join(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(src))
         q = ST.merge_stream(spark.readStream.schema(schema).parquet(str(src)), str(tmp_path / "store"), str(tmp_path / "ck"), "memory_residual")
         q.awaitTermination()
-    got = {x.memory_id: (x.representation, x.lesson) for x in spark.read.parquet(str(tmp_path / "store" / "version=1")).collect()}
+    got = {x.memory_id: (x.representation, x.lesson) for x in read_store(spark, str(tmp_path / "store")).collect()}
     assert got == {"m1": ("memory_residual", "b"), "m2": ("memory", "a"), "m3": ("memory", "b")}
     members = "capability_id string, task_name string, evidence_label string"
     for rows in ([("c", "t1", "verified_success"), ("c", "t2", "tool_recovery")], [("c", "t1", "verified_success"), ("c", "t3", "unresolved_failure")]):
@@ -183,7 +184,7 @@ def test_streams_merge_and_join(spark, tmp_path):
              {"type": "user", "message": {"content": [{"type": "tool_result", "tool_use_id": "t1", "content": "out", "is_error": False}]}}]
     (logs / "claude-code.txt").write_text("\n".join(json.dumps(x) for x in lines))
     ST.ingest_calls(ST.read_log_stream(spark, str(tmp_path / "logs")), str(tmp_path / "calls"), str(tmp_path / "ck3")).awaitTermination()
-    row = spark.read.parquet(str(tmp_path / "calls")).first()
+    row = read_store(spark, str(tmp_path / "calls")).first()
     assert (row.tool_name, row.result_text, row.is_error) == ("Bash", "out", False)
 
 

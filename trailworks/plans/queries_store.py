@@ -14,6 +14,7 @@ from ..operators import splits as SP
 from ..operators import trajectory as TR
 from ..session import cut_lineage, shared_folder
 from ..streaming import jobs as ST
+from ..streaming.store import read_store
 from . import evidence as EV
 from . import views as V
 from .catalog import query
@@ -557,7 +558,7 @@ def evidence_filters(spark, sf):
 
 # --- streaming (ST2) ------------------------------------------------------------------------
 
-STREAM_PARTS = 4
+STREAM_PARTS, STREAM_BUCKETS = 4, 8
 
 
 @query("streamed_store", """SELECT 'm-' || left(sha256('task-' || user_id), 20) AS memory_id, arg_max(value, event_id) AS value, max(event_id) AS pos FROM events GROUP BY 1""")
@@ -571,13 +572,10 @@ def streamed_store(spark, sf):
     share = (F.col("event_id").cast("double") - F.lit(float(low or 0))) * STREAM_PARTS / (float(top or 0) - float(low or 0) + 1)
     part = F.coalesce(F.least(F.lit(STREAM_PARTS - 1), F.floor(share)), F.lit(0))
     folder = shared_folder(spark, "store")
-    last = 0
     for k in range(STREAM_PARTS):      # each run of the stream takes all files of a part as one micro-batch
         static.filter(part == k).write.mode("append").parquet(f"{folder}/events")
         src = spark.readStream.schema(static.schema).parquet(f"{folder}/events")
         rec = src.select(F.concat(F.lit("m-"), F.substring(F.sha2(F.concat(F.lit("task-"), F.col("user_id").cast("string")), 256), 1, 20)).alias("memory_id"), "value",
                          F.col("event_id").alias("pos"), F.lit("memory").alias("representation"))
-        q = ST.merge_stream(rec, f"{folder}/table", f"{folder}/offsets", M.MEMORY_PROMOTED)
-        q.awaitTermination()
-        last = q.lastProgress["batchId"] if q.lastProgress else last
-    return spark.read.parquet(f"{folder}/table/version={last}").select("memory_id", "value", "pos")
+        ST.merge_stream(rec, f"{folder}/table", f"{folder}/offsets", M.MEMORY_PROMOTED, STREAM_BUCKETS).awaitTermination()
+    return read_store(spark, f"{folder}/table").select("memory_id", "value", "pos")

@@ -2,72 +2,132 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.memory import last_per_id, merge_store
 from ..sources.trajectories import log_lines
+from .store import BUCKETS, RETAIN, apply_batch
 
 
 def read_log_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
-    """ST1 source: new log files as lines with their trial and arrival time."""
-    return (
-        spark.readStream.option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", "true").text(path)
-        .select("value", F.regexp_replace("_metadata.file_path", r"/(agent|sessions)/[^/]+$", "").alias("trial_path"),
-                F.col("_metadata.file_modification_time").alias("arrived"))
-    )
-
-
-def stream_calls(lines: DataFrame) -> DataFrame:
-    """Tool calls of a line stream."""
-    d = log_lines(lines).filter((F.col("e.type") == "assistant") & F.col("is_list"))
-    return d.select("trial_path", "arrived", F.explode("blocks").alias("b")).filter(F.col("b.type") == "tool_use").select(
-        "trial_path", F.col("b.id").alias("tool_use_id"), F.col("b.name").alias("tool_name"), F.col("b.input").alias("args"),
-        F.col("arrived").alias("called_at"))
+    """ST1 source: new log files as lines (trial_path, arrived, line_no, value). A file is read whole, so its
+    lines keep their numbers."""
+    files = spark.readStream.option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", "true").option("wholetext", "true").text(path)
+    return files.select(
+        F.regexp_replace("_metadata.file_path", r"/(agent|sessions)/[^/]+$", "").alias("trial_path"),
+        F.col("_metadata.file_modification_time").alias("arrived"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value"))
+
+
+def call_events(lines: DataFrame) -> DataFrame:
+    """Calls and results of a line stream: (trial_path, tool_use_id, arrived, line_no, block, is_call, name, body, wrong)."""
+    d = log_lines(lines)
+    blocks = d.filter("is_list").select("trial_path", "arrived", F.col("line_no").cast("long").alias("line_no"), F.col("e.type").alias("kind"), F.posexplode("blocks").alias("block", "b"))
+    call = (F.col("kind") == "assistant") & (F.col("b.type") == "tool_use")
+    nested = blocks.filter(call | ((F.col("kind") == "user") & (F.col("b.type") == "tool_result"))).select(
+        "trial_path", F.when(call, F.col("b.id")).otherwise(F.col("b.tool_use_id")).alias("tool_use_id"), "arrived", "line_no", "block", call.alias("is_call"),
+        F.when(call, F.coalesce("b.name", F.lit(""))).alias("name"),
+        F.when(call, F.to_json("b.input")).otherwise(F.substring(F.coalesce("b.content", F.lit("")), 1, 2000)).alias("body"),
+        F.coalesce("b.is_error", F.lit(False)).alias("wrong"))
+    plain = d.filter(F.col("e.type") == "tool_result").select(
+        "trial_path", F.col("e.tool_use_id").alias("tool_use_id"), "arrived", F.col("line_no").cast("long").alias("line_no"), F.lit(0).alias("block"), F.lit(False).alias("is_call"),
+        F.lit(None).cast("string").alias("name"), F.substring("body", 1, 2000).alias("body"), F.coalesce("e.is_error", F.lit(False)).alias("wrong"))
+    return nested.unionByName(plain).filter(F.length("tool_use_id") > 0)
+
+
+def owners(events: list[list]) -> dict[tuple[int, int], list]:
+    """Each call's place and the last result that belongs to it, or None. ``events``: [line, block, is_call, ...].
+
+    A result belongs to the nearest call before it; results before the first call belong to none.
+    """
+    found: dict[tuple[int, int], list] = {}
+    last = None
+    for e in sorted(events, key=lambda e: (e[0], e[1])):
+        if e[2]:
+            last = (e[0], e[1])
+            found[last] = [e, None]
+        elif last:
+            found[last][1] = e
+    return found
 
 
-def stream_results(lines: DataFrame) -> DataFrame:
-    """Tool results of a line stream."""
-    d = log_lines(lines).filter((F.col("e.type") == "user") & F.col("is_list"))
-    return d.select("trial_path", "arrived", F.explode("blocks").alias("b")).filter(F.col("b.type") == "tool_result").select(
-        "trial_path", F.col("b.tool_use_id").alias("tool_use_id"), F.substring(F.coalesce("b.content", F.lit("")), 1, 2000).alias("result_text"),
-        F.coalesce("b.is_error", F.lit(False)).alias("is_error"), F.col("arrived").alias("answered_at"))
+_CALLS = ("trial_path string, tool_use_id string, line_no long, block int, tool_name string, args_json string, result_text string, "
+          "is_error boolean, answered boolean")
 
 
 def joined_calls(lines: DataFrame, wait: str = "1 hour") -> DataFrame:
-    """ST1: calls with their result; both sides are kept for ``wait`` after arrival, then a call
-    leaves without a result. State is bounded by the watermark."""
-    calls = stream_calls(lines).withWatermark("called_at", wait).alias("c")
-    results = stream_results(lines).withWatermark("answered_at", wait).alias("r")
-    on = ((F.col("c.trial_path") == F.col("r.trial_path")) & (F.col("c.tool_use_id") == F.col("r.tool_use_id"))
-          & (F.col("r.answered_at") >= F.col("c.called_at"))
-          & (F.col("r.answered_at") <= F.col("c.called_at") + F.expr(f"interval {wait}")))
-    return calls.join(results, on, "left").select(
-        "c.trial_path", "c.tool_use_id", "c.tool_name", "c.args", "c.called_at", "r.result_text", "r.is_error")
+    """ST1: calls with their result, in update mode: a row for each call whose answer is new or has changed.
 
+    The events of a (trial, tool id) are state until ``wait`` after the last of them arrived. A line that is
+    delivered twice counts once, and lines may come in any order while they are waited for. When the wait
+    is over, calls without a result leave unanswered, and later lines of the id are late and dropped.
+    """
+    spark = lines.sparkSession
+    wait_ms = int(spark.sql(f"SELECT CAST(INTERVAL {wait} AS INTERVAL SECOND)").first()[0].total_seconds() * 1000)
+
+    def rows(key: tuple, found: dict, places) -> pd.DataFrame:
+        out = []
+        for at in places:
+            call, result = found[at]
+            out.append((*key, at[0], at[1], call[3], call[4], result[4] if result else "", bool(result and result[5]) if result else None, result is not None))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in _CALLS.split(", ")])
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = json.loads(state.get[0]) if state.exists else {"events": [], "told": {}, "until": 0}
+        if state.hasTimedOut:
+            found = owners(held["events"])
+            open_calls = [at for at, (_, result) in found.items() if result is None]
+            state.remove()
+            if open_calls:
+                yield rows(key, found, open_calls)
+            return
+        events = {(e[0], e[1], e[2]): e for e in held["events"]}
+        until = held["until"]
+        for d in batches:
+            for r in d.itertuples(index=False):
+                e = [int(r.line_no), int(r.block), bool(r.is_call), r.name, r.body, bool(r.wrong)]
+                events.setdefault((e[0], e[1], e[2]), e)
+                until = max(until, int(r.arrived.timestamp() * 1000) + wait_ms)
+        found = owners(list(events.values()))
+        answers = {f"{at[0]}:{at[1]}": [result[0], result[1]] for at, (_, result) in found.items() if result}
+        fresh = [at for at in found if (k := f"{at[0]}:{at[1]}") in answers and held["told"].get(k) != answers[k]]
+        state.update((json.dumps({"events": list(events.values()), "told": answers, "until": until}),))
+        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
+        if fresh:
+            yield rows(key, found, fresh)
+
+    calls = call_events(lines).withWatermark("arrived", wait).groupBy("trial_path", "tool_use_id").applyInPandasWithState(
+        step, _CALLS, "held string", "update", GroupStateTimeout.EventTimeTimeout)
+    return calls.withColumn("args", F.from_json("args_json", "map<string,string>")).drop("args_json")
+
+
+def ingest_calls(lines: DataFrame, store: str, checkpoint: str, wait: str = "1 hour", buckets: int = BUCKETS) -> StreamingQuery:
+    """ST1 sink: keep the last row of each call in a store (see ``store.read_store``) until the files present are done."""
+    place = F.concat_ws(":", "trial_path", "tool_use_id", F.col("line_no").cast("string"), F.col("block").cast("string"))
+
+    def merge(old: DataFrame, new: DataFrame) -> DataFrame:
+        return old.join(new.select("call_id"), "call_id", "left_anti").unionByName(new)
 
-def ingest_calls(lines: DataFrame, out: str, checkpoint: str, wait: str = "1 hour") -> StreamingQuery:
-    """ST1 sink: append tool calls as Parquet until the files present are done."""
-    return joined_calls(lines, wait).writeStream.format("parquet").option("path", out).option(
-        "checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    def step(batch: DataFrame, batch_id: int) -> None:
+        apply_batch(store, batch_id, batch.withColumn("call_id", place), "call_id", merge, buckets)
+
+    return joined_calls(lines, wait).writeStream.foreachBatch(step).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def merge_stream(records: DataFrame, store: str, checkpoint: str, promoted: str) -> StreamingQuery:
-    """ST2: upsert each micro-batch into a versioned store.
+def merge_stream(records: DataFrame, store: str, checkpoint: str, promoted: str, buckets: int = BUCKETS, retain: int = RETAIN) -> StreamingQuery:
+    """ST2: upsert each micro-batch into a versioned store of ``buckets`` buckets.
 
-    Version ``v`` of the store is a folder written from version ``v - 1`` and micro-batch
-    ``v``. A repeated micro-batch rewrites the same folder, and content ids make the merge
+    Micro-batch ``v`` gives version ``v`` and rewrites only the buckets of its ids; content ids make the merge
     idempotent, so a lost executor or driver only repeats work. ``records``: memory_id, ..., pos.
     """
-    spark = records.sparkSession
-
     def step(batch: DataFrame, batch_id: int) -> None:
-        new = last_per_id(batch, "pos")
-        if batch_id > 0:
-            old = spark.read.parquet(f"{store}/version={batch_id - 1}")
-            new = merge_store(old, new, promoted)
-        new.write.mode("overwrite").parquet(f"{store}/version={batch_id}")
+        apply_batch(store, batch_id, last_per_id(batch, "pos"), "memory_id", lambda old, new: merge_store(old, new, promoted), buckets, retain)
 
     return records.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
