@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     from . import (queries_business, queries_logs, queries_retrieval, queries_store,  # noqa: F401
-                   queries_text, queries_trajectory)
+                   queries_text, queries_trajectory, queries_trials)
