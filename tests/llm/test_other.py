@@ -5,13 +5,15 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
+import sentencepiece
 from samples import clashing, edited, frame, prose
 
 import corpus_pipeline
 from trailworks.llm.quality import Ftrl, accepted, held_out, quality_scores, train, training_rows
 from trailworks.llm.sharding import fisher_yates, shard_report, shuffled, write_shards
-from trailworks.llm.tables import components
+from trailworks.llm.tables import components, stored
 from trailworks.llm.topk import Slices, exact_top_k
 
 SF = "/root/testdata/sf0.01"
@@ -178,9 +180,11 @@ def test_pipeline_stages(spark):
         before = after
     assert kept["quality"] > kept["near_duplicates"] > kept["decontamination"] == kept["personal_data"]
     last = corpus_pipeline.STAGES[-1][1](spark, before, SF)
-    assert {r.doc_id for r in last.collect()} == kept["personal_data"]
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want = {r.doc_id: library.encode(r.text or "", add_bos=True, add_eos=True) for r in before.collect()}
+    assert {r.doc_id: r.ids for r in last.collect()} == want
     rows = corpus_pipeline.run(spark, SF).collect()
-    assert {r.doc_id for r in rows} == kept["personal_data"]
+    assert {r.doc_id: (r.n_tokens, r.ids) for r in rows} == {k: (len(v), v) for k, v in want.items()}
 
 
 def test_pipeline_on_odd_rows(spark):
@@ -192,3 +196,20 @@ def test_pipeline_on_odd_rows(spark):
         out = stage(spark, out, SF)
         assert out.columns == docs.columns
     assert {r.doc_id: r.text for r in out.collect()} == {0: None, 1: "", 2: text, None: "call [PHONE] or [EMAIL]"}
+
+
+def test_pipeline_keeps_one_of_repeated_rows(spark):
+    rng = random.Random(10)
+    a, b, c = (prose(rng, 40) for _ in range(3))
+    rows = [(1, a)] * 50 + [(2, a)] * 3 + [(3, b), (3, b), (3, c), (4, None), (4, None), (5, ""), (5, ""), (None, a), (None, a)]
+    out = corpus_pipeline.keep_one_of_each(spark, frame(spark, rows), SF).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in out) == sorted([(1, a), (3, b), (3, c), (4, ""), (5, ""), (0, a), (0, a)])
+
+
+def test_pipeline_on_empty_tables_and_clashing_names(spark):
+    for docs in (frame(spark, []), clashing(spark.read.parquet(f"{SF}/documents.parquet"))):
+        out = docs
+        for name, stage in corpus_pipeline.STAGES:
+            out = stored(stage(spark, out, SF), "stage")
+            assert out.columns == (docs.columns if name != "encoding" else ["doc_id", "n_tokens", "ids"])
+        assert out.isEmpty() == docs.isEmpty()

@@ -459,6 +459,16 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
         work, "doc_id long, ids array<int>, begins array<long>, ends array<long>")
 
 
+def token_rows(docs: DataFrame, path: str) -> DataFrame:
+    """Rows (doc_id, n_tokens, ids), one for each row of ``docs``: what a model is trained on.
+
+    ``ids`` hold the begin and end ids, and ``n_tokens`` counts all of them. See ``encoded`` for odd rows.
+    """
+    own = model(path)
+    ids = F.concat(F.array(F.lit(int(own.bos))), "ids", F.array(F.lit(int(own.eos))))
+    return encoded(docs, path).select("doc_id", F.size(ids).cast("long").alias("n_tokens"), ids.alias("ids"))
+
+
 def decoded(rows: DataFrame, path: str) -> DataFrame:
     """Rows (doc_id, text) from (doc_id, ids); null ids give an empty text."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
