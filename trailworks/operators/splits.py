@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed as X
 from ..functions.commands import is_public_action
 from ..functions.sequence import numbered, ordered_numbers
+from .trajectory import ATTEMPT
 
 
 def missing_names(split: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -46,12 +47,25 @@ def split_report(instances: DataFrame, split: DataFrame, train_ratio: float = 0.
 
 def epoch_batches(tasks: DataFrame, keys: list[str], seed: int, epoch: int, batch_size: int) -> DataFrame:
     """K8: deterministic shuffle by hash, cut into batches."""
-    h = F.xxhash64(F.lit(seed + epoch), F.col("task_name"))
-    d = tasks.withColumn("_h", h)
-    ranked = numbered(d, keys, ["_h", "task_name"], "position", F.shiftright("_h", 54))
+    d = tasks.withColumn("_h", F.sha2(F.concat(F.lit(f"{seed + epoch}:"), "task_name"), 256))
+    ranked = numbered(d, keys, ["_h", "task_name"], "position", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"))
     return ranked.withColumn("batch_index", F.ceil(F.col("position") / batch_size).cast("long")).drop("_h")
 
 
+def discovery(candidates: DataFrame, attempts: DataFrame, prior: DataFrame | None = None, include_failures: bool = True) -> DataFrame:
+    """K9: the candidates that enter clustering in an ablation variant.
+
+    Without failures only passing attempts are looked at, and nothing earlier. With them, candidates of
+    earlier batches (``prior``, same columns) join those whose id is new.
+    """
+    if not include_failures:
+        passed = attempts.filter("verifier_passed").select(*ATTEMPT)
+        return evidence_filter(candidates.join(passed, ATTEMPT, "left_semi"), False)
+    if prior is not None:
+        candidates = candidates.unionByName(prior.join(candidates.select("candidate_id"), "candidate_id", "left_anti"))
+    return evidence_filter(candidates)
+
+
 def evidence_filter(candidates: DataFrame, include_failures: bool = True) -> DataFrame:
     """K9: evidence that may enter clustering; ``substep_action`` is null for spans and reflections."""
     public = F.col("substep_action").isNull() | is_public_action(F.col("substep_action"))

@@ -853,9 +853,9 @@ def _pages(spark, sf):
     k = F.col("doc_id")
     s = lambda c: c.cast("string")
     head = F.concat(
-        F.lit("Claim Code: CLM-2o24-"), s(k % 50), F.lit("\nDate: 1/2/2020\nTransaction Date: "), s(k % 28 + 1), F.lit("/"), s(k % 12 + 1), F.lit("/2023\nAdvance 9,999.99\nTotal Claim $"), s(k % 900 + 1),
+        F.lit("Claim Code: CLM-2o24-"), s(k % 50), F.lit("\nDate: "), s(k % 27 + 1), F.lit("/"), s(k % 11 + 1), F.lit("/2020\nTransaction Date: "), s(k % 28 + 1), F.lit("/"), s(k % 12 + 1), F.lit("/2023\nAdvance 9,999.99\nTotal Claim $"), s(k % 900 + 1),
         F.lit(".25\nTip 3.00\n"), F.when(k % 2 == 0, "CREDIT NOTE").otherwise("Purchase  Receipt"), F.lit("\nReference: REF-A"), s(k % 40), F.lit("-"), s(k % 7),
-        F.lit("\nGrand Total "), s(k % 70 + 10), F.lit(".50\nCredit Amount\n"), s(k % 30 + 5), F.lit(".75\nBricks red 12 $"), s(k % 20 + 3), F.lit(".50\nBricks red 12 $"), s(k % 20 + 3), F.lit(".50\n"))
+        F.lit("\nGrand Total "), s(k % 70 + 10), F.lit(".50\nCredit Amount\n"), s(k % 30 + 5), F.lit(".75\nBricks red 12 $"), s(k % 20 + 3), F.lit(".50\nBricks red 12 $"), s(k % 20 + 3), F.lit(".50\nSteel, rod-A: "), s(k % 9 + 1), F.lit(".50 $"), s(k % 50 + 1), F.lit(".00\n"))
     return table(spark, sf, "documents").select(
         k.alias("doc_id"), F.lpad(s(k), 12, "0").alias("path"), F.col("source").alias("case_id"), F.concat(head, F.col("text")).alias("text"))
 
@@ -867,29 +867,41 @@ def claim_fields(spark, sf):
 
 
 SETTLE_SQL = """e AS (SELECT source AS case_id, lpad(doc_id::VARCHAR, 12, '0') AS path, CASE WHEN doc_id % 2 = 0 THEN 'credit' ELSE 'purchase' END AS document_type, 'REF-A' || (doc_id % 40) || '-' || lpad((doc_id % 7)::VARCHAR, 3, '0') AS document_ref,
-   '2020-02-01' AS event_date, CASE WHEN doc_id % 2 = 0 THEN (doc_id % 30 + 5) + 0.75 ELSE (doc_id % 70 + 10) + 0.5 END AS amount FROM documents
+   make_date(2020, (doc_id % 11 + 1)::INTEGER, (doc_id % 27 + 1)::INTEGER) AS event_date, CASE WHEN doc_id % 2 = 0 THEN (doc_id % 30 + 5) + 0.75 ELSE (doc_id % 70 + 10) + 0.5 END AS amount FROM documents
    QUALIFY row_number() OVER (PARTITION BY document_ref ORDER BY path) = 1)"""
 
 
-@query("settlement_events", f"WITH {SETTLE_SQL} SELECT case_id, path, document_type, document_ref, amount::DOUBLE AS amount FROM e")
+@query("settlement_events", f"WITH {SETTLE_SQL} SELECT case_id, path, document_type, document_ref, event_date, amount::DOUBLE AS amount FROM e")
 def settlement_events(spark, sf):
-    return packets.settlement_events(_pages(spark, sf)).select("case_id", "path", "document_type", "document_ref", D("amount").alias("amount"))
+    return packets.settlement_events(_pages(spark, sf)).select("case_id", "path", "document_type", "document_ref", "event_date", D("amount").alias("amount"))
 
 
 @query("settlement_summary", f"""WITH {SETTLE_SQL} SELECT case_id, coalesce(sum(amount) FILTER (document_type = 'purchase'), 0)::DOUBLE AS purchase_total, coalesce(sum(amount) FILTER (document_type = 'credit'), 0)::DOUBLE AS credit_total,
-  (coalesce(sum(amount) FILTER (document_type = 'purchase'), 0) - coalesce(sum(amount) FILTER (document_type = 'credit'), 0))::DOUBLE AS net_amount FROM e GROUP BY 1""")
+  (coalesce(sum(amount) FILTER (document_type = 'purchase'), 0) - coalesce(sum(amount) FILTER (document_type = 'credit'), 0))::DOUBLE AS net_amount, max(event_date) AS latest_date FROM e GROUP BY 1""")
 def settlement_summary(spark, sf):
-    return packets.settlement_summary(packets.settlement_events(_pages(spark, sf))).select("case_id", *[D(c).alias(c) for c in ("purchase_total", "credit_total", "net_amount")])
-
-
-@query("line_items", """SELECT doc_id, 'Bricks red' AS item_description, '12' AS quantity, (doc_id % 20 + 3) || '.50' AS unit_price FROM documents""")
+    return packets.settlement_summary(packets.settlement_events(_pages(spark, sf))).select("case_id", *[D(c).alias(c) for c in ("purchase_total", "credit_total", "net_amount")], "latest_date")
+
+
+# The items of the header, and the priced lines of the text itself: digits before a price, words before those.
+@query("line_items", rf"""WITH l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM (SELECT doc_id, string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]') AS lines FROM documents WHERE text LIKE '%$%')),
+  p AS (SELECT *, regexp_extract_all(line, '\$?\s*(\d+(?:\.\d{{2}})?)', 1)[-1] AS price FROM l WHERE line LIKE '%$%' AND NOT regexp_matches(line, '{packets.ITEM_SKIP}')),
+  h AS (SELECT *, replace(substring(line, 1, length(line) - length(price) - length(string_split(line, price)[-1])), '$', ' ') AS prefix FROM p WHERE price IS NOT NULL),
+  q AS (SELECT *, regexp_extract_all(prefix, '\b\d+(?:\.\d+)?\b')[-1] AS qty FROM h),
+  i AS (SELECT *, regexp_replace(trim(regexp_replace(regexp_replace(substring(prefix, 1, length(prefix) - length(qty) - length(string_split(prefix, qty)[-1])), '[^A-Za-z0-9\s\-()]', ' ', 'g'), '\s+', ' ', 'g')), '^[ -]+|[ -]+$', '', 'g') AS item_description FROM q WHERE qty IS NOT NULL),
+  o AS (SELECT doc_id, item_description, CASE WHEN contains(qty, '.') THEN regexp_replace(regexp_replace(qty, '(\.\d*?)0+$', '\1'), '\.$', '') ELSE qty END AS quantity, price::DECIMAL(18,2)::VARCHAR AS unit_price FROM i WHERE item_description <> ''
+    QUALIFY row_number() OVER (PARTITION BY doc_id, lower(item_description), quantity, unit_price ORDER BY pos) = 1)
+  SELECT doc_id, 'Bricks red' AS item_description, '12' AS quantity, (doc_id % 20 + 3) || '.50' AS unit_price FROM documents
+  UNION ALL SELECT doc_id, 'Steel rod-A', (doc_id % 9 + 1) || '.5', (doc_id % 50 + 1) || '.00' FROM documents
+  UNION ALL SELECT * FROM o""")
 def line_items(spark, sf):
-    return packets.line_items(_pages(spark, sf), ["doc_id"]).filter(F.col("item_description") == "Bricks red").select("doc_id", "item_description", "quantity", "unit_price")
+    return packets.line_items(_pages(spark, sf), ["doc_id"]).select("doc_id", "item_description", "quantity", "unit_price")
 
 
-@query("project_summary", """SELECT source AS project_code, min(lpad(doc_id::VARCHAR, 12, '0')) AS path FROM documents GROUP BY 1""")
+@query("project_summary", """WITH f AS (SELECT source AS project_code, min(doc_id) AS k FROM documents GROUP BY 1)
+  SELECT project_code, lpad(k::VARCHAR, 12, '0') AS path, make_date(2020, (k % 11 + 1)::INTEGER, (k % 27 + 1)::INTEGER) AS project_date, (k % 900 + 1) + 0.25::DOUBLE AS total_amount FROM f""")
 def project_summary(spark, sf):
-    return packets.project_summary(_pages(spark, sf).withColumnRenamed("case_id", "project_code")).select("project_code", "path")
+    d = packets.project_summary(_pages(spark, sf).withColumnRenamed("case_id", "project_code"))
+    return d.select("project_code", "path", "project_date", D("total_amount").alias("total_amount"))
 
 
 def _codes(spark, sf):

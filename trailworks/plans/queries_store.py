@@ -301,23 +301,27 @@ def _shapes(spark, sf):
     shapes = table(spark, sf, "part").select(
         F.concat(F.lit("policy-"), F.col("p_partkey").cast("string")).alias("policy_id"), F.lit(0).alias("pos"),
         F.concat(F.lit("python load tool report"), (F.col("p_partkey") % 100).cast("string"), F.lit(" openpyxl "), F.lower("p_name"), F.lit(" results")).alias("command_shape"))
-    texts = V._event_base(spark, sf).filter(F.col("event_type") == "view").select(
-        F.concat_ws(":", "task_name", F.col("attempt_number").cast("string"), F.col("event_id").cast("string")).alias("attempt_id"),
+    texts = V._event_base(spark, sf).select(
+        "event_type", "k", F.concat_ws(":", "task_name", F.col("attempt_number").cast("string"), F.col("event_id").cast("string")).alias("attempt_id"),
         F.concat(F.lit("cat report"), F.col("k").cast("string"), F.lit(" with openpyxl for results "), F.when(F.col("k") % 2 == 0, "small bolt").otherwise("other")).alias("text"))
     return shapes, texts
 
 
 @query("policy_occurrences", """WITH p AS (SELECT 'policy-' || p_partkey AS policy_id, list_distinct(list_filter(regexp_extract_all('load tool report' || (p_partkey % 100) || ' openpyxl ' || lower(p_name) || ' results', '[a-z][a-z0-9-]{2,}'), lambda w: w NOT IN ('when'))) AS toks FROM part),
- b AS (SELECT 'task-' || user_id || ':' || (CAST(floor(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) / 7.0) AS INTEGER) + 1) || ':' || event_id AS attempt_id, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INTEGER) AS k FROM events WHERE event_type = 'view'),
+ b AS (SELECT 'task-' || user_id || ':' || (CAST(floor(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) / 7.0) AS INTEGER) + 1) || ':' || event_id AS attempt_id, event_type, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INTEGER) AS k FROM events),
  t AS (SELECT attempt_id, list_distinct(regexp_extract_all('cat report' || k || ' openpyxl for results ' || CASE WHEN k % 2 = 0 THEN 'small bolt' ELSE 'other' END, '[a-z][a-z0-9-]{2,}')) AS words FROM b),
  pt AS (SELECT policy_id, len(toks) AS n, unnest(toks) AS token FROM p), tt AS (SELECT attempt_id, unnest(words) AS token FROM t),
- s AS (SELECT policy_id, attempt_id, count(*) AS shared, any_value(n) AS n FROM pt JOIN tt USING (token) GROUP BY 1, 2)
- SELECT policy_id, count(*) AS attempts FROM s WHERE shared >= 3 AND shared / n::DOUBLE >= 0.3 GROUP BY 1""")
+ s AS (SELECT policy_id, attempt_id, count(*) AS shared, any_value(n) AS n FROM pt JOIN tt USING (token) GROUP BY 1, 2),
+ e AS (SELECT policy_id, attempt_id FROM b JOIN p ON policy_id = 'policy-' || k WHERE event_type = 'purchase'),
+ a AS (SELECT policy_id, attempt_id, 'explicit_policy_use' AS signal FROM e
+   UNION ALL SELECT policy_id, attempt_id, 'command_shape_overlap_' || format('{:.2f}', round_even(shared / n::DOUBLE, 2)) FROM s ANTI JOIN e USING (policy_id, attempt_id) WHERE shared >= 3 AND shared / n::DOUBLE >= 0.3)
+ SELECT policy_id, signal, count(*) AS attempts, min(attempt_id) AS first_attempt, max(attempt_id) AS last_attempt FROM a GROUP BY 1, 2""")
 def policy_occurrences(spark, sf):
+    """Where each policy occurs, by signal. Purchases name a policy, some that their words share as well."""
     shapes, texts = _shapes(spark, sf)
-    none = texts.filter("false").select("attempt_id", F.lit("").alias("name"))
-    d = AU.occurrences(_policies(spark, sf), shapes, texts, none)
-    return d.groupBy("policy_id").agg(F.count(F.lit(1)).alias("attempts"))
+    used = texts.filter("event_type = 'purchase'").select("attempt_id", F.concat(F.lit("POLICY-"), F.col("k").cast("string")).alias("name"))
+    d = AU.occurrences(_policies(spark, sf), shapes, texts.select("attempt_id", "text"), used)
+    return d.groupBy("policy_id", "signal").agg(F.count(F.lit(1)).alias("attempts"), F.min("attempt_id").alias("first_attempt"), F.max("attempt_id").alias("last_attempt"))
 
 
 def _audit(spark, sf):
@@ -540,20 +544,25 @@ def split_report(spark, sf):
     return SP.split_report(c.select("category", "task_id"), test.unionByName(train))
 
 
-@query("epoch_batches", """SELECT c_mktsegment AS family, count(*) AS tasks, ceil(count(*) / 3.0)::BIGINT AS batches, (count(*) - 3 * (ceil(count(*) / 3.0) - 1))::BIGINT AS last_batch FROM customer GROUP BY 1""")
+@query("epoch_batches", """SELECT c_mktsegment AS family, c_name AS task_name, row_number() OVER w AS position, ceil(row_number() OVER w / 3)::BIGINT AS batch_index FROM customer
+  WINDOW w AS (PARTITION BY c_mktsegment ORDER BY sha256('43:' || c_name), c_name)""")
 def epoch_batches(spark, sf):
     c = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("family"), F.col("c_name").alias("task_name"))
     d = SP.epoch_batches(c, ["family"], 42, 1, 3)
-    per = d.groupBy("family", "batch_index").agg(F.count(F.lit(1)).alias("n"))
-    return per.groupBy("family").agg(F.sum("n").alias("tasks"), F.max("batch_index").alias("batches"), F.max_by("n", "batch_index").alias("last_batch"))
+    return d.select("family", "task_name", F.col("position").cast("long").alias("position"), "batch_index")
 
 
-@query("evidence_filters", W(CANDIDATES_SQL, body="""SELECT evidence_label, count(*) AS n, count(*) FILTER (evidence_label = 'verified_success') AS success_only FROM span_candidates GROUP BY 1"""))
+@query("evidence_filters", W(CANDIDATES_SQL, V.ATTEMPTS_SQL, body="""SELECT 'full' AS variant, task_name, attempt_number, first_step, evidence_label FROM span_candidates
+  UNION ALL SELECT 'success_only', task_name, attempt_number, first_step, evidence_label FROM span_candidates
+  WHERE evidence_label = 'verified_success' AND (task_name, attempt_number) IN (SELECT (task_name, attempt_number) FROM attempts WHERE verifier_passed)"""))
 def evidence_filters(spark, sf):
-    c = TR.span_candidates(V.calls(spark, sf), V.attempts(spark, sf)).withColumn("substep_action", F.lit(None).cast("string"))
-    everything = SP.evidence_filter(c).groupBy("evidence_label").agg(F.count(F.lit(1)).alias("n"))
-    strict = SP.evidence_filter(c, include_failures=False).groupBy("evidence_label").agg(F.count(F.lit(1)).alias("success_only"))
-    return everything.join(strict, "evidence_label", "left").select("evidence_label", "n", F.coalesce("success_only", F.lit(0)).alias("success_only"))
+    """The candidates of each variant. What comes from first and second attempts is also there from an earlier batch."""
+    attempts = V.attempts(spark, sf)
+    c = cut_lineage(TR.span_candidates(V.calls(spark, sf), attempts).withColumn("substep_action", F.lit(None).cast("string")))
+    new, prior = c.filter("attempt_number > 1"), c.filter("attempt_number <= 2")
+    full = SP.discovery(new, attempts, prior).withColumn("variant", F.lit("full"))
+    strict = SP.discovery(c, attempts, include_failures=False).withColumn("variant", F.lit("success_only"))
+    return full.unionByName(strict).select("variant", "task_name", "attempt_number", "first_step", "evidence_label")
 
 
 # --- streaming (ST2) ------------------------------------------------------------------------

@@ -410,17 +410,17 @@ def all_candidates(spark, sf):
 
 KINDS_SQL = V.merge_ctes(CANDIDATES_SQL, UNIQUE_SQL, LINKS_SQL, f"""
 kinds AS (
-  SELECT candidate_kind, evidence_source, evidence_label, task_name FROM span_candidates
-  UNION ALL SELECT 'recovery_candidate', 'reflection', CASE WHEN retry_outcome = 'success' THEN 'verified_success' ELSE 'unresolved_failure' END, task_name FROM links
-  UNION ALL SELECT CASE WHEN kind = 'workflow' THEN 'workflow' ELSE 'atomic_substep' END, 'trajectory', 'verified_success', task_name FROM unique_subs
-  UNION ALL SELECT 'recovery_candidate', 'trajectory', 'unresolved_failure', task_name FROM attempts WHERE NOT verifier_passed)""")
+  SELECT candidate_kind, evidence_source, evidence_label, {A} FROM span_candidates
+  UNION ALL SELECT 'recovery_candidate', 'reflection', CASE WHEN retry_outcome = 'success' THEN 'verified_success' ELSE 'unresolved_failure' END, {A} FROM links
+  UNION ALL SELECT CASE WHEN kind = 'workflow' THEN 'workflow' ELSE 'atomic_substep' END, 'trajectory', 'verified_success', {A} FROM unique_subs
+  UNION ALL SELECT 'recovery_candidate', 'trajectory', 'unresolved_failure', {A} FROM attempts WHERE NOT verifier_passed)""")
 
 
 @query("candidate_union", f"""WITH {KINDS_SQL}
-SELECT candidate_kind, evidence_source, evidence_label, count(*) AS candidates, count(DISTINCT task_name) AS tasks FROM kinds GROUP BY ALL""")
+SELECT candidate_kind, evidence_source, evidence_label, {A}, count(*) AS candidates FROM kinds GROUP BY ALL""")
 def candidate_union(spark, sf):
-    return all_candidates(spark, sf).groupBy("candidate_kind", "evidence_source", "evidence_label").agg(
-        F.count(F.lit(1)).alias("candidates"), F.count_distinct("task_name").alias("tasks"))
+    """Candidates of each attempt and kind."""
+    return all_candidates(spark, sf).groupBy("candidate_kind", "evidence_source", "evidence_label", *TR.ATTEMPT).agg(F.count(F.lit(1)).alias("candidates"))
 
 
 # --- evidence steps -------------------------------------------------------------------------
