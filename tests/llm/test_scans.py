@@ -3,11 +3,14 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
+import pyarrow as pa
 from samples import clashing, frame, prose
 
-from trailworks.llm.personal_data import KINDS, Field, Graph, learn, luhn, pattern_spans, personal_data, redacted, train
+from trailworks.llm import personal_data as personal
+from trailworks.llm.personal_data import KINDS, Field, Graph, graph, learn, luhn, pattern_spans, personal_data, redacted, train
 from trailworks.llm.secrets import BASE_RULES, MORE_RULES, candidates, find_secrets, secret_report, trigram_query
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -109,6 +112,26 @@ def test_evidence_travels_along_all_repeats_of_a_word():
     assert (field.marginals(g).argmax(1) == 3).all()
 
 
+def test_long_numeric_texts_take_seconds():
+    text = " ".join(str(10**9 + 7919 * k % 10**9) for k in range(100_000))       # 1.1 MB of ten-digit numbers
+    field = Field(np.random.default_rng(0).normal(size=(1 << 13, 5)), 0.1 * np.eye(5), 0.1 * np.eye(5))
+    start = time.process_time()
+    g = graph(pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], names=["doc_id", "text"]))
+    assert len(g.row) == 100_000 and g.features.nbytes <= 28 * 100_000
+    assert time.process_time() - start < 6
+
+
+def test_messages_in_parts_equal_messages_at_once(monkeypatch):
+    rng = np.random.default_rng(5)
+    field = Field(rng.normal(size=(50, 5)), rng.normal(size=(5, 5)), rng.normal(size=(5, 5)))
+    n = 200
+    g = Graph(np.zeros(n, int), np.arange(n), np.arange(n) + 1, rng.integers(0, 50, (n, 3)), np.stack([np.arange(n - 1), np.arange(1, n)], 1)[rng.random(n - 1) < 0.6],
+              np.array([[k, k + 7] for k in range(0, 190, 9)]))
+    whole = field.marginals(g)
+    monkeypatch.setattr(personal, "_MESSAGES", 17)
+    assert np.array_equal(field.marginals(g), whole)
+
+
 def test_training_without_any_entity(spark):
     field = train(frame(spark, ["no data", None]))
     assert personal_data(frame(spark, ["a 1 b 22"]), field).first().spans == ""

@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,8 @@ CERTAIN = 0.95
 DIM = 1 << 13
 #: Rounds of message passing besides four for each edge of the longest path of the graph; convergence ends them before.
 ROUNDS = 15
+#: Messages that are computed at once.
+_MESSAGES = 1 << 15
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -108,6 +112,7 @@ class Graph:
     skip: np.ndarray
 
 
+@lru_cache(maxsize=1 << 16)
 def _code(*parts) -> int:
     return int.from_bytes(hashlib.blake2b(repr(parts).encode(), digest_size=4).digest(), "little") % DIM
 
@@ -116,14 +121,19 @@ def _size(n: int) -> int:
     return next((k for k, top in enumerate((0, 1, 2, 3, 4, 7, 11, 15, 19)) if n <= top), 9)
 
 
+_LETTERS = str.maketrans("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZbcdefghijklmnopqrstuvwxyz", "0" * 10 + "A" * 26 + "a" * 25)
+_REPEATED = re.compile(r"(.)\1+")
+_NUMBER = re.compile("[0-9]+")
+
+
 def _features(word: str, before: str, after: str) -> list[int]:
     digits, dots, dashes = (sum(map(word.count, s)) for s in ("0123456789", ".", "-"))
     letters = sum(c.isalpha() for c in word)
-    shape = re.sub(r"(.)\1+", r"\1", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", word))))[:24]
+    shape = _REPEATED.sub(r"\1", word.translate(_LETTERS))[:24]
     return [_code(k, v) for k, v in enumerate((
         None, shape, shape[:3], shape[-3:], (_size(digits), _size(letters)), (dots, _size(digits)), (dashes, _size(digits)), "@" in word,
         ("@" in word, "." in word.partition("@")[2]), word[:1] if not word[:1].isalnum() else "", word[-1:] if not word[-1:].isalnum() else "",
-        re.sub("[0-9]+", "0", before.lower())[:16], re.sub("[0-9]+", "0", after.lower())[:16],
+        _NUMBER.sub("0", before.lower())[:16], _NUMBER.sub("0", after.lower())[:16],
         (bool(_DIGIT.search(before)), bool(_DIGIT.search(after)), before[:1] == "+")))]
 
 
@@ -144,21 +154,21 @@ def graph(part: pa.RecordBatch) -> Graph:
     base = places[w.offsets[w.doc[nodes]]] if len(nodes) else places[:0]
     raw = w.raw.tobytes()
     word = lambda k: raw[w.start[k]:w.end[k]].decode("utf-8", "replace")
-    made, skip = [], []
+    made, skip = array("H"), array("q")
     last: dict[tuple[int, str], int] = {}
     for number, k in enumerate(nodes.tolist()):
         row, own = int(w.doc[k]), word(k)
         before = word(k - 1) if k > w.first[row] else ""
         after = word(k + 1) if k + 1 < w.first[row + 1] else ""
-        made.append(_features(own, before, after))
+        made.extend(_features(own, before, after))
         key = _same(own)
         if key is not None:
             if (row, key) in last:
-                skip.append((last[row, key], number))
+                skip.extend((last[row, key], number))
             last[row, key] = number
     step = np.flatnonzero((np.diff(nodes) == 1) & (np.diff(w.doc[nodes]) == 0))
     return Graph(w.doc[nodes], places[w.start[nodes]] - base, places[w.end[nodes]] - base,
-                 np.array(made, np.int64).reshape(len(nodes), -1) if made else np.zeros((0, 1), np.int64),
+                 np.array(made).reshape(len(nodes), -1) if made else np.zeros((0, 1), np.uint16),
                  np.stack([step, step + 1], 1), np.array(skip, np.int64).reshape(-1, 2))
 
 
@@ -180,20 +190,26 @@ class Field:
 
     def marginals(self, g: Graph) -> np.ndarray:
         """Label probabilities of all nodes by loopy sum-product with damping."""
-        own = self.unary[g.features].sum(1) if len(g.row) else np.zeros((0, LABELS))
+        own = np.zeros((len(g.row), LABELS))
+        for k in range(g.features.shape[1] if len(g.row) else 0):
+            own += self.unary[g.features[:, k]]
         edges = np.concatenate([g.chain, g.skip])
         if len(edges):
-            pair = np.concatenate([np.broadcast_to(self.chain, (len(g.chain), LABELS, LABELS)), np.broadcast_to(self.skip, (len(g.skip), LABELS, LABELS))])
             source, target = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
-            pair = np.concatenate([pair, pair.transpose(0, 2, 1)])
             back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
+            # runs of messages with one pair table: chain and skip edges forward, then backward
+            ends = np.cumsum([0, len(g.chain), len(g.skip), len(g.chain), len(g.skip)])
+            parts = [(at, min(at + _MESSAGES, to), table) for table, start, to in zip((self.chain, self.skip, self.chain.T, self.skip.T), ends, ends[1:])
+                     for at in range(start, to, _MESSAGES)]
             sent = np.zeros((len(source), LABELS))
             for _ in range(ROUNDS + 4 * _longest(edges, len(own))):
                 belief = own.copy()
                 np.add.at(belief, target, sent)
-                x = (belief[source] - sent[back])[:, :, None] + pair
-                top = x.max(1)
-                new = top + np.log(np.exp(x - top[:, None, :]).sum(1))
+                new = np.empty_like(sent)
+                for at, to, table in parts:
+                    x = (belief[source[at:to]] - sent[back[at:to]])[:, :, None] + table
+                    top = x.max(1)
+                    new[at:to] = top + np.log(np.exp(x - top[:, None, :]).sum(1))
                 new -= new.max(1, keepdims=True)
                 moved = np.abs(new - sent).max()
                 sent = 0.5 * sent + 0.5 * new
