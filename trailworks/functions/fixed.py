@@ -184,6 +184,8 @@ CRITICAL_ACTIONS = (
     "delete", "move", "copy", "test", "pytest", "tool_result_error",
 )
 CRITICAL_TEXT = ("traceback", "error", "failed", "exception", "assertionerror")
+MAX_FEEDBACK = 25
+MAX_CAUSAL_STEPS = 10
 CAUSAL_ACTIONS = ("write", "edit", "create", "save", "bash", "tool_result_error")
 
 # --- Fixed values: retrieval weights and gates ------------------------------------------

@@ -131,18 +131,43 @@ def causal_steps(compact: DataFrame, n: int = 10) -> DataFrame:
         T.redact(F.substring("code", 1, 1000)).alias("detail"), "step")
 
 
-def evidence_packets(attempts: DataFrame, compact: DataFrame, feedback: DataFrame) -> DataFrame:
-    """One bounded packet per failed attempt.
-
-    ``feedback``: attempt keys, pos, name, status, message.
+def evidence_packets(attempts: DataFrame, compact: DataFrame, feedback: DataFrame, contracts: DataFrame | None = None,
+                     raw: DataFrame | None = None) -> DataFrame:
+    """One bounded, redacted packet for each failed attempt.
+
+    ``attempts``: attempt keys, verifier_passed, reward, exception_info. ``compact``: attempt keys, step,
+    action, code, the steps selected for evidence (``sampling.select_steps``). ``feedback``: attempt keys, pos,
+    name, status, message. ``contracts``: task_family, task_name, objective, constraints. ``raw``: attempt keys,
+    text of the trajectory, of which an excerpt stands in where there are no steps.
     """
-    steps = causal_steps(compact).groupBy(*ATTEMPT).agg(
-        F.array_sort(F.collect_list(F.struct("step", "id", "action", "detail"))).alias("causal_candidates"))
-    items = first_rows(feedback, ATTEMPT, ["pos"], 25).groupBy(*ATTEMPT).agg(
-        F.array_sort(F.collect_list(F.struct(
-            "pos", "name", "status", F.substring(T.redact(F.col("message")), 1, 1000).alias("message"),
-            T.redaction(F.col("message"))["redacted"].alias("redacted")))).alias("verifier_feedback"))
-    return (
-        attempts.filter(~F.col("verifier_passed")).select(*ATTEMPT, "reward")
-        .join(items, ATTEMPT, "left").join(steps, ATTEMPT, "left")
-    )
+    short = lambda column, n: T.redact(F.substring(column, 1, n))
+    step = compact.select(*ATTEMPT, F.struct("step", F.concat(F.lit("s"), F.col("step").cast("string")).alias("id"), F.coalesce("action", F.lit("agent_action")).alias("action"),
+                                             short(F.coalesce("code", F.lit("")), 1000).alias("detail")).alias("s"))
+    steps = step.groupBy(*ATTEMPT).agg(F.array_sort(F.collect_list("s")).alias("trajectory_steps"))
+    acts = F.filter("trajectory_steps", lambda x: contains_any(F.lower(x["action"]), X.CAUSAL_ACTIONS))
+    entry = F.struct("pos", F.coalesce(non_empty(F.col("name")), F.lit("verifier")).alias("name"), F.coalesce(non_empty(F.col("status")), F.lit("unknown")).alias("status"),
+                     F.substring(T.redact(F.col("message")), 1, 1000).alias("message"), T.redaction(F.col("message"))["redacted"].alias("redacted"))
+    items = first_rows(feedback, ATTEMPT, ["pos"], X.MAX_FEEDBACK).groupBy(*ATTEMPT).agg(F.array_sort(F.collect_list(entry)).alias("verifier_feedback"))
+    failed = feedback.filter(F.lower("status") == "failed").groupBy(*ATTEMPT, "name").agg(F.min("pos").alias("pos"))
+    failed = first_rows(failed, ATTEMPT, ["pos"], X.MAX_FEEDBACK).groupBy(*ATTEMPT).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]).alias("failed_verifier_checks"))
+    d = attempts.filter(~F.col("verifier_passed")).select(
+        *ATTEMPT, F.coalesce(F.col("reward").cast("double"), F.lit(0.0)).alias("reward"),
+        non_empty(F.substring(T.redact(F.col("exception_info")), 1, 2000)).alias("exception"))
+    for other in (items, failed, steps):
+        d = d.join(other, ATTEMPT, "left")
+    if contracts is not None:
+        d = d.join(contracts.select("task_family", "task_name", short(F.coalesce("objective", F.lit("")), 2000).alias("objective"), F.transform(
+            F.slice("constraints", 1, 10), lambda c: short(c, 500)).alias("constraints")), ["task_family", "task_name"], "left")
+    else:
+        d = d.withColumn("objective", F.lit("")).withColumn("constraints", F.array().cast("array<string>"))
+    d = d.join(raw.select(*ATTEMPT, excerpt(F.col("text")).alias("_raw")), ATTEMPT, "left") if raw is not None else d.withColumn("_raw", F.lit(None).cast("string"))
+    none = lambda c: F.coalesce(c, F.array().cast(d.schema[c].dataType))
+    bare = lambda a: F.transform(a, lambda x: F.struct(x["id"].alias("id"), x["action"].alias("action"), x["detail"].alias("detail")))
+    return d.select(
+        *ATTEMPT, "reward", "exception", F.coalesce("objective", F.lit("")).alias("objective"), none("constraints").alias("constraints"),
+        none("failed_verifier_checks").alias("failed_verifier_checks"),
+        F.transform(none("verifier_feedback"), lambda x: F.struct(x["name"].alias("name"), x["status"].alias("status"), x["message"].alias("message"), x["redacted"].alias("redacted"))).alias("verifier_feedback"),
+        bare(none("trajectory_steps")).alias("trajectory_steps"),
+        F.coalesce(bare(F.slice(acts, F.greatest(F.size(acts) - X.MAX_CAUSAL_STEPS, F.lit(0)) + 1, F.lit(X.MAX_CAUSAL_STEPS))), F.array().cast("array<struct<id:string,action:string,detail:string>>")).alias("causal_candidates"),
+        F.when(F.col("trajectory_steps").isNotNull(), "").otherwise(F.coalesce("_raw", F.lit("(no trajectory available)"))).alias("fallback_trajectory"))

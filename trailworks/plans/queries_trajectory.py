@@ -481,6 +481,41 @@ def causal_steps(spark, sf):
     return R.causal_steps(d).select(*TR.ATTEMPT, "id", "action", "step")
 
 
+# A packet's lists are compared as digests of their entries joined in order.
+@query("evidence_packets", f"""WITH {V.merge_ctes(V.STEPS_SQL, V.ATTEMPTS_SQL)},
+c AS (SELECT {A}, step_idx, tool_name AS action, CASE WHEN k % 3 = 0 THEN 'write [redacted path] for ' || k ELSE 'run ' || k END AS detail FROM steps WHERE tool_name IS NOT NULL AND attempt_number % 4 <> 0),
+s AS (SELECT {A}, string_agg('s' || step_idx || '=' || action || '=' || detail, ';' ORDER BY step_idx) AS steps, count(*) AS n FROM c GROUP BY ALL),
+u AS (SELECT * FROM c WHERE regexp_matches(lower(action), 'write|edit|create|save|bash|tool_result_error') QUALIFY row_number() OVER (PARTITION BY {A} ORDER BY step_idx DESC) <= 10),
+z AS (SELECT {A}, string_agg('s' || step_idx || '=' || action || '=' || detail, ';' ORDER BY step_idx) AS causal FROM u GROUP BY ALL),
+e AS (SELECT {A}, step_idx, CASE WHEN k % 7 = 0 THEN 'verifier' ELSE 'check-' || (k % 5) END AS name, CASE WHEN k % 2 = 0 THEN 'failed' ELSE 'passed' END AS status,
+  CASE WHEN k % 3 = 0 THEN '[redacted credential] in [redacted path]' ELSE 'note ' || k END AS message, k % 3 = 0 AS redacted FROM steps WHERE event_type IN ('error', 'view')),
+f AS (SELECT {A}, string_agg(name || '=' || status || '=' || message || '=' || redacted, ';' ORDER BY step_idx) AS feedback FROM (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY {A} ORDER BY step_idx) <= 25) GROUP BY ALL),
+g AS (SELECT {A}, string_agg(name, ';' ORDER BY first) AS failed FROM (SELECT {A}, CASE WHEN name = 'verifier' THEN '' ELSE name END AS name, min(step_idx) AS first FROM e WHERE status = 'failed' GROUP BY ALL) GROUP BY ALL)
+SELECT a.task_family, a.task_name, a.attempt_number, CASE WHEN verifier_passed THEN 1.0 ELSE 0.0 END::DOUBLE AS reward, CASE WHEN a.attempt_number % 3 = 0 THEN 'crash in [redacted path]' END AS exception,
+  'Reconcile ' || a.task_name || ' with [redacted path]' AS objective, 'must keep ' || a.task_name || ';only once' AS constraints, coalesce(failed, '') AS failed_checks, sha256(coalesce(feedback, '')) AS feedback,
+  sha256(coalesce(steps, '')) AS steps, coalesce(n, 0) AS n_steps, sha256(coalesce(causal, '')) AS causal,
+  sha256(CASE WHEN steps IS NOT NULL THEN '' WHEN a.attempt_number % 8 = 0 THEN '(no trajectory available)' ELSE left(r, 2000) || chr(10) || chr(10) || '# ... [middle snipped] ...' || chr(10) || chr(10) || right(r, 2000) END) AS fallback
+FROM (SELECT *, repeat('log of ' || task_name || '; ', 400) AS r FROM attempts WHERE NOT verifier_passed) a LEFT JOIN s USING ({A}) LEFT JOIN z USING ({A}) LEFT JOIN f USING ({A}) LEFT JOIN g USING ({A})""")
+def evidence_packets(spark, sf):
+    a, steps = V.attempts(spark, sf), V.steps(spark, sf)
+    k, n = F.col("k"), F.col("attempt_number")
+    a = a.withColumn("exception_info", F.when(n % 3 == 0, "crash in /srv/run/in.csv"))
+    compact = steps.where(F.col("tool_name").isNotNull() & (n % 4 != 0)).select(*TR.ATTEMPT, F.col("step_idx").alias("step"), F.col("tool_name").alias("action"), F.when(
+        k % 3 == 0, F.concat(F.lit("write /srv/out/a.csv for "), k.cast("string"))).otherwise(F.concat(F.lit("run "), k.cast("string"))).alias("code"))
+    feedback = steps.where(F.col("event_type").isin("error", "view")).select(
+        *TR.ATTEMPT, F.col("step_idx").alias("pos"), F.when(k % 7 == 0, "").otherwise(F.concat(F.lit("check-"), (k % 5).cast("string"))).alias("name"),
+        F.when(k % 2 == 0, "failed").otherwise("passed").alias("status"), F.when(k % 3 == 0, "password=abc in /srv/a/b.csv").otherwise(F.concat(F.lit("note "), k.cast("string"))).alias("message"))
+    tasks = a.select("task_family", "task_name").distinct()
+    contracts = tasks.select("*", F.concat(F.lit("Reconcile "), "task_name", F.lit(" with /srv/run/ledger.csv")).alias("objective"),
+                             F.array(F.concat(F.lit("must keep "), "task_name"), F.lit("only once")).alias("constraints"))
+    raw = a.where(n % 8 != 0).select(*TR.ATTEMPT, F.repeat(F.concat(F.lit("log of "), "task_name", F.lit("; ")), 400).alias("text"))
+    d = R.evidence_packets(a, compact, feedback, contracts, raw)
+    joined = lambda c, *names: F.array_join(F.transform(c, lambda x: F.concat_ws("=", *(x[i].cast("string") for i in names))), ";")
+    return d.select(*TR.ATTEMPT, "reward", "exception", "objective", F.array_join("constraints", ";").alias("constraints"), F.array_join("failed_verifier_checks", ";").alias("failed_checks"),
+                    F.sha2(joined("verifier_feedback", "name", "status", "message", "redacted"), 256).alias("feedback"), F.sha2(joined("trajectory_steps", "id", "action", "detail"), 256).alias("steps"),
+                    F.size("trajectory_steps").cast("long").alias("n_steps"), F.sha2(joined("causal_candidates", "id", "action", "detail"), 256).alias("causal"), F.sha2("fallback_trajectory", 256).alias("fallback"))
+
+
 @query("step_usage", f"""WITH {V.STEPS_SQL}
 SELECT {A}, step_idx, list_distinct(regexp_extract_all(t, '(?i)scripts/(?:experimental|capabilities)/([a-z0-9_.-]+\\.py)', 1))[1] AS script,
   list_distinct(regexp_extract_all(t, '(?i)references/(?:policies/)?([a-z0-9][a-z0-9-]+)\\.md', 1))[1] AS policy, len(regexp_extract_all(t, '(?i)mcp__experience_memory__(?:search_memories|get_memory)')) AS memory_queries
