@@ -26,6 +26,7 @@ def test_running_sum_numbering_and_neighbours(spark):
     got = {(r.k, r.i): r.s for r in S.running_sum(df, ["k"], "i", F.col("v"), "s", chunk).collect()}
     excl = {(r.k, r.i): r.s for r in S.running_sum(df, ["k"], "i", F.col("v"), "s", chunk, inclusive=False).collect()}
     num = {(r.k, r.i): r.n for r in S.numbered(df, ["k"], ["i"], "n", chunk).collect()}
+    assert num == {(r.k, r.i): r.n for r in S.numbered(df, ["k"], ["i"], "n", chunk, many=True).collect()}
     prev = {(r.k, r.i): r.p for r in S.neighbour(df, ["k"], "i", F.col("v"), "p", chunk).collect()}
     nxt = {(r.k, r.i): r.p for r in S.neighbour(df, ["k"], "i", F.col("v"), "p", chunk, following=True).collect()}
     near = {(r.k, r.i): r.p for r in S.following_within(df, ["k"], "i", F.col("v"), "p", 3, size=7).collect()}
@@ -57,3 +58,17 @@ def test_candidate_pairs_keep_every_pair_that_shares_enough(spark):
         for b, u in right.items():
             if len(set(t) & set(u)) >= -(-len(t) * 6 // 10):
                 assert (a, b) in got
+
+
+def test_no_piece_holds_many_chunks_of_a_hot_key(spark):
+    """One key with a chunk for each row: its chunk rows are spread, and only one row a piece meets the key's window."""
+    df = spark.range(4000).selectExpr("'hot' AS k", "id AS i")
+    got = S.numbered(df, ["k"], ["i"], "n", F.col("i"), many=True)
+    assert got.where("n <> i + 1").count() == 0
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")        # small pieces would be joined
+    try:
+        totals = df.select("k", F.col("i").alias("_chunk"), F.lit(1).alias("_total"))
+        per_piece = totals.repartitionByRange("k", "_chunk").groupBy(F.spark_partition_id()).count()
+        assert per_piece.agg(F.max("count")).first()[0] < 4000 / 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

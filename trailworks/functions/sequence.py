@@ -41,16 +41,31 @@ def running_sum(df: DataFrame, keys: list[str], order: str, value: Column, out:
     )
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], out: str, chunk: Column) -> DataFrame:
-    """Row number per key; ``chunk`` must not decrease along ``order``."""
+def _preceding(totals: DataFrame, keys: list[str], many: bool) -> DataFrame:
+    """(keys, _chunk, _base): the sum of ``_total`` over the earlier chunks of a key.
+
+    With ``many`` the chunk rows themselves are cut into even pieces of their order, and only one row for
+    each piece and key goes through a window over the key.
+    """
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    if not many:
+        return totals.withColumn("_base", F.coalesce(F.sum("_total").over(before), F.lit(0))).drop("_total")
+    ranged = totals.repartitionByRange(*keys, "_chunk").withColumn("_piece", F.spark_partition_id())
+    inside = Window.partitionBy("_piece", *keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    run = cut_lineage(ranged.withColumn("_run", F.coalesce(F.sum("_total").over(inside), F.lit(0))))
+    pieces = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    sums = run.groupBy(*keys, "_piece").agg(F.sum("_total").alias("_sum")).withColumn("_earlier", F.coalesce(F.sum("_sum").over(pieces), F.lit(0))).drop("_sum")
+    return run.join(sums, [*keys, "_piece"]).select(*keys, "_chunk", (F.col("_run") + F.col("_earlier")).alias("_base"))
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], out: str, chunk: Column, many: bool = False) -> DataFrame:
+    """Row number per key; ``chunk`` must not decrease along ``order``.
+
+    ``many``: a key may have so many chunks that one task should not see a row of each.
+    """
     data = df.withColumn("_chunk", chunk)
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    base = (
-        data.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_total"))
-        .withColumn("_base", F.coalesce(F.sum("_total").over(before), F.lit(0)))
-        .drop("_total")
-    )
+    base = _preceding(data.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_total")), keys, many)
     return (
         data.withColumn("_run", F.row_number().over(inside))
         .join(base, [*keys, "_chunk"])

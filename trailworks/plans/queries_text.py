@@ -176,7 +176,7 @@ def compacted_lists(spark, sf):
 def log_chunks(spark, sf):
     d = table(spark, sf, "documents").select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "value"))
     # Position of a line in the log of its source: document first, line second.
-    d = d.withColumn("line_no", F.col("doc_id") * 1000000 + F.col("pos"))
+    d = d.withColumn("line_no", F.col("doc_id") * (1 << 24) + F.col("pos"))
     return S.compact_log(d).select("source", F.col("chunk").cast("long").alias("chunk"), "lines", F.sha2("text", 256).alias("digest"))
 
 

@@ -230,7 +230,7 @@ def compact_log(lines: DataFrame) -> DataFrame:
     d = lines.withColumn("line", clean).filter(
         (F.length("line") > 0) & ~F.col("line").rlike(X.CAST_EVENT_PATTERN) & ~F.col("line").rlike(X.PROGRESS_PATTERN)
         & ~((hashes >= 20) & F.col("line").contains("%")))
-    d = numbered(d, ["source"], ["line_no"], "n", F.floor(F.col("line_no") / 4096))
+    d = numbered(d, ["source"], ["line_no"], "n", F.floor(F.col("line_no") / 4096), many=True)
     d = d.withColumn("chunk", F.floor((F.col("n") - 1) / X.LOG_CHUNK_LINES))
     items = F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"])
     return d.groupBy("source", "chunk").agg(F.array_join(items, "\n").alias("text"), F.count(F.lit(1)).alias("lines"))
