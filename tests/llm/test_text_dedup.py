@@ -3,12 +3,16 @@
 import hashlib
 import math
 import random
+import time
+import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 from samples import clashing, edited, frame, lowered, prose, words
 
-from trailworks.llm.decontaminate import allowed, contaminated, walks, without_items
+from trailworks.llm.decontaminate import Items, allowed, best_window, contaminated, walks, without_items
 from trailworks.llm.near_dedup import BANDS, ROWS, SAMPLES, SCREEN, SKETCH_BITS, near_duplicates
 from trailworks.llm.substring_dedup import substring_dedup
 
@@ -208,6 +212,61 @@ def test_buckets_keep_unrelated_texts_apart():
         assert (keys == walks(near, n)).any(0).mean() >= 0.95
 
 
+def test_buckets_keep_passages_of_the_documents_apart():
+    """Frequent words do not fill the buckets, and passages with all the allowed edits share one with their item."""
+    texts = [w for (t,) in duckdb.sql("SELECT lower(text) FROM '/root/testdata/sf0.01/documents.parquet' WHERE lang = 'en'").fetchall() if t and len(w := t.split()) > 200]
+    code = lambda w: np.array([zlib.crc32(x.encode()) for x in w], np.uint64)
+    rng = np.random.default_rng(2)
+    for n in (10, 16, 20, 23, 36, 60, 100):
+        k = allowed(n)
+        items = np.stack([code(texts[i][20:20 + n]) for i in rng.choice(len(texts), 300)])
+        other = np.stack([code(texts[i][60:60 + n + k]) for i in rng.choice(len(texts), 300)])
+        keys = walks(items, n)
+        assert (keys == walks(other, n)).any(0).mean() < 0.05, n
+        for kind in ("deleted", "inserted", "replaced"):
+            near = other.copy()
+            for row, item in zip(near, items):
+                at = np.sort(rng.choice(n, k, replace=False))
+                new = rng.integers(1 << 40, 1 << 62, k).astype(np.uint64)
+                made = np.delete(item, at) if kind == "deleted" else np.insert(item, at, new) if kind == "inserted" else item.copy()
+                if kind == "replaced":
+                    made[at] = new
+                row[:len(made)] = made
+            assert (keys == walks(near, n)).any(0).mean() >= 0.95, (n, kind)
+
+
+def test_best_window_equals_trying_every_window():
+    rng = random.Random(11)
+    for _ in range(300):
+        text, item = (np.array([rng.randrange(4) for _ in range(rng.randrange(1, n))], np.uint64) for n in (30, 9))
+        every = [(distance(text[a:b].tolist(), item.tolist()), a, b - a) for a in range(len(text) + 1) for b in range(a, len(text) + 1)]
+        assert best_window(text, item) == min(every)
+
+
+def test_long_items_take_seconds(spark):
+    rng = random.Random(12)
+    sizes = (257, 400, 700, 1500, 5000)
+    items = [(k, prose(rng, n, 4000)) for k, n in enumerate(sizes)]
+    texts, want = [prose(rng, 12_000, 4000)], set()
+    for k, x in items:
+        n = len(x.split())
+        for kind in ("deleted", "inserted", "replaced"):
+            for edits in (0, allowed(n) // 3, allowed(n)):
+                want.add((len(texts), k))
+                texts.append(prose(rng, 40, 4000) + " " + one_kind(rng, x, edits, kind) + " " + prose(rng, 700, 4000))
+        want |= {(len(texts), k), (len(texts) + 1, k)}
+        texts += [" ".join(x.split()[allowed(n):]), " ".join(x.split()[:-allowed(n)])]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    start = time.process_time()
+    found = Items(items, True).find(batch)
+    assert time.process_time() - start < 120        # 56 documents, 11 of them with 5,000 words of an item
+    assert set(found) <= want and len(found) >= 0.98 * len(want)
+    for (row, k), (edits, first, size) in found.items():
+        assert edits <= allowed(sizes[k]) and first + size <= len(texts[row].split())
+    got = {(r.doc_id, r.item_id) for r in contaminated(frame(spark, texts[:14]), spark.createDataFrame(items, "item_id long, text string"), any_size=True).collect()}
+    assert got == {x for x in found if x[0] < 14}
+
+
 def test_the_screen_misses_fewer_pairs_than_the_bands():
     bits, similar = np.arange(SKETCH_BITS + 1), 0.8
     estimate = 1 + SKETCH_BITS / (4 * SAMPLES) * np.log(np.maximum(1e-9, 1 - 2 * bits / SKETCH_BITS))

@@ -10,9 +10,15 @@ words. Such a window has n - k to n + k words; on demand only windows of n words
 2. Each remaining window, and each item, is embedded: a random walk reads the words one by one,
    writes the current one and moves on or stays by a random bit of the word, 2 (n - k) steps in all,
    which both texts normally fill. Few edits give few differing steps. A sample of the steps is the
-   bucket key; ``WALKS`` independent walks with ``SAMPLES`` samples each are drawn.
+   bucket key; ``WALKS`` independent walks with ``SAMPLES`` samples each are drawn. The samples of a walk
+   are ``GAP`` steps apart: near enough to lie between the same two edits, and words enough that
+   frequent ones do not fill a bucket.
 3. Windows that share a bucket with an item are checked by the exact edit distance, with a free end.
 
+Items of more than ``LONG`` words have thousands of windows around a match, nearly alike. Of their windows
+in a row every k/8-th is embedded, which shifts a match by a sixteenth of the allowed edits, and one
+alignment with both ends free checks all of them.
+
 Items are handed to the tasks in blocks of bounded size; a document is in one task as a whole, so
 nothing is shuffled.
 """
@@ -32,13 +38,15 @@ from .words import mix, pieces, shingles, words_of
 
 #: One edit for so many words of an item.
 WORDS_PER_EDIT = 5
-WALKS, SAMPLES = 96, 1
+WALKS, SAMPLES, GAP = 128, 3, 3
+#: Items of more words are looked for with fewer windows and one alignment for many.
+LONG = 256
 #: Most bytes of items handed to the tasks at once; larger benchmarks take several passes.
 BLOCK_BYTES = 16 << 20
-#: Windows embedded at once.
-_WINDOWS = 1 << 11
-#: Words times walks embedded at once.
-_CELLS = 1 << 22
+#: Windows, and words of windows, worked on at once.
+_WINDOWS, _WORDS = 1 << 11, 1 << 18
+#: Walks times windows embedded at once.
+_CELLS = 1 << 18
 _PAD, _FRONT = np.uint64(0x7F4A7C15F39CC060), np.uint64(0x94D049BB133111EB)
 
 
@@ -56,7 +64,7 @@ def shingle_rule(n: int) -> tuple[int, int]:
 
 def walks(windows: np.ndarray, n: int) -> np.ndarray:
     """Bucket keys (WALKS x rows) of items of n words, or of windows for them (rows x words, padded)."""
-    some = max(1, _CELLS // (WALKS * (windows.shape[1] + 1)))
+    some = max(1, _CELLS // WALKS)
     return np.concatenate([_walks(windows[lo:lo + some], n) for lo in range(0, len(windows), some)], axis=1)
 
 
@@ -64,26 +72,25 @@ def _walks(windows: np.ndarray, n: int) -> np.ndarray:
     rows, width = windows.shape
     rng = np.random.default_rng(n)
     inside = 2 * (n - allowed(n))       # a walk takes about two steps a word; later ones read padding
-    samples = min(SAMPLES, inside)
-    steps = np.stack([np.sort(rng.choice(inside, samples, replace=False)) for _ in range(WALKS)])
-    wide = np.concatenate([windows, np.full((rows, 1), _PAD)], axis=1)
-    pad = wide == _PAD
-    line = (np.arange(WALKS)[:, None] * rows + np.arange(rows)) * (width + 1)
-    at, seen = line.copy(), np.empty((WALKS, samples, rows), np.int64)
-    bits = None
-    for step in range(int(steps.max()) + 1):
-        if step % 64 == 0:      # a new random bit of each word for each of the next steps; the padding stays
-            seed = mix(np.arange(WALKS, dtype=np.uint64) * np.uint64(4096) + np.uint64(step))
-            bits = mix(wide[None] ^ seed[:, None, None])
-            bits[:, pad] = 0
-            bits = bits.ravel()
-        for r, k in np.argwhere(steps == step):
-            seen[r, k] = at[r]
-        at += ((bits[at] >> np.uint64(step % 64)) & np.uint64(1)).view(np.int64)
-    words = wide[np.arange(rows), seen - line[:, None, :]]
-    keys = np.broadcast_to(np.arange(WALKS, dtype=np.uint64)[:, None], (WALKS, rows))
-    for k in range(samples):
-        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + words[:, k])
+    first = rng.integers(0, max(1, inside - GAP * (SAMPLES - 1)), WALKS)
+    due = defaultdict(list)
+    for r, step in enumerate(first.tolist()):
+        for k in range(SAMPLES):
+            due[step + GAP * k].append((r, k))
+    words = np.concatenate([windows, np.full((rows, 1), _PAD)], axis=1).ravel()
+    base = np.arange(rows) * (width + 1)
+    own = np.arange(WALKS, dtype=np.uint64)
+    at, seen = np.zeros((WALKS, rows), np.int64), np.empty((WALKS, SAMPLES, rows), np.uint64)
+    for step in range(max(due) + 1):
+        now = words[at + base]
+        for r, k in due.get(step, ()):
+            seen[r, k] = now[r]
+        # a random bit of the word for each walk and step; the padding stays
+        bit = mix(now ^ mix((own << np.uint64(40)) + np.uint64(step))[:, None]) >> np.uint64(63)
+        at += np.where(now == _PAD, np.uint64(0), bit).view(np.int64)
+    keys = np.broadcast_to(own[:, None], (WALKS, rows))
+    for k in range(SAMPLES):
+        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + seen[:, k])
     return keys
 
 
@@ -107,6 +114,23 @@ def edit_distances(x: np.ndarray, y: np.ndarray, least: int) -> tuple[np.ndarray
     return best, size
 
 
+def best_window(text: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
+    """(edits, first word, words) of the window of ``text`` nearest to ``item``, the first and shortest on ties.
+
+    One alignment with both ends of the text free. A cell is edits and start in one number, so the smaller
+    number is the better cell; a row of cells is one array operation.
+    """
+    edit, order = np.int64(1 << 32), np.arange(len(text) + 1, dtype=np.int64)
+    last = order.copy()
+    for word in item:
+        now = last + edit
+        now[1:] = np.minimum(now[1:], last[:-1] + np.where(text == word, np.int64(0), edit))
+        last = np.minimum.accumulate(now - order * edit) + order * edit       # insertions run along the text
+    end = int(last.argmin())
+    edits, start = divmod(int(last[end]), 1 << 32)
+    return edits, start, end - start
+
+
 @dataclass
 class Size:
     """All items of one number of words."""
@@ -120,23 +144,30 @@ class Size:
     shingles: np.ndarray
     buckets: list
 
+    def bucket_pairs(self, windows: np.ndarray) -> np.ndarray:
+        """window * items + item of all pairs that share a bucket."""
+        left, right = [], []
+        for mine, (keys, order) in zip(walks(windows, self.n), self.buckets):
+            a, b = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
+            hit = np.flatnonzero(b > a)
+            count = (b - a)[hit]
+            left.append(np.repeat(hit, count))
+            right.append(order[np.repeat(a[hit], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)])
+        return np.unique(np.concatenate(left) * len(self.ids) + np.concatenate(right))
+
+    @property
+    def together(self) -> int:
+        """Windows worked on at once."""
+        return max(1, min(_WINDOWS, _WORDS // (self.n + self.slack)))
+
     def matches(self, windows: np.ndarray, real: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(window, item, edits, words) of all pairs in one bucket within the allowed edits, counted in ``real``."""
-        for lo in range(0, len(windows), _WINDOWS):
-            some = windows[lo:lo + _WINDOWS]
-            left, right = [], []
-            for mine, (keys, order) in zip(walks(some, self.n), self.buckets):
-                a, b = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
-                hit = np.flatnonzero(b > a)
-                count = (b - a)[hit]
-                left.append(np.repeat(hit, count))
-                right.append(order[np.repeat(a[hit], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)])
-            pairs = np.unique(np.concatenate(left) * len(self.ids) + np.concatenate(right))
-            for at in range(0, len(pairs), _WINDOWS):
-                x, y = np.divmod(pairs[at:at + _WINDOWS], len(self.ids))
-                d, size = edit_distances(real[lo + x], self.words[y], self.n - self.slack)
-                good = d <= allowed(self.n)
-                yield from zip((x[good] + lo).tolist(), self.ids[y[good]].tolist(), d[good].tolist(), size[good].tolist())
+        pairs = self.bucket_pairs(windows)
+        for at in range(0, len(pairs), self.together):
+            x, y = np.divmod(pairs[at:at + self.together], len(self.ids))
+            d, size = edit_distances(real[x], self.words[y], self.n - self.slack)
+            good = d <= allowed(self.n)
+            yield from zip(x[good].tolist(), self.ids[y[good]].tolist(), d[good].tolist(), size[good].tolist())
 
 
 class Items:
@@ -196,14 +227,17 @@ class Items:
             start = self._starts(w, pos, s) if len(pos) >= s.need else pos[:0]
             if not len(start):
                 continue
+            if s.slack and s.n > LONG:
+                self._find_long(w, h, start, s, found)
+                continue
             # a match that lacks the item's first words may begin its document: there windows with as many words put before
             # it are walked too, as in the middle of a document by the windows that begin earlier
             row = w.doc[start]
             lead = row[start == w.first[row]]
             start = np.concatenate([start, (w.first[lead][:, None] - np.arange(1, s.slack + 1)).ravel()])
             row = np.concatenate([row, np.repeat(lead, s.slack)])
-            for lo in range(0, len(start), _WINDOWS):
-                some, of = start[lo:lo + _WINDOWS], row[lo:lo + _WINDOWS]
+            for lo in range(0, len(start), s.together):
+                some, of = start[lo:lo + s.together], row[lo:lo + s.together]
                 first, end = w.first[of], w.first[of + 1]
                 real = self._cut(h, np.maximum(some, first), first, end, s)
                 for x, item, d, size in s.matches(self._cut(h, some, first, end, s), real):
@@ -212,6 +246,31 @@ class Items:
                         found[int(of[x]), item] = best
         return found
 
+    def _find_long(self, w, h: np.ndarray, start: np.ndarray, s: Size, found: dict) -> None:
+        """Items of many words: starts in a row are sampled for the buckets and aligned together."""
+        step = max(1, s.slack // 8)
+        row = w.doc[start]
+        cut = np.flatnonzero((np.diff(start) > step) | (np.diff(row) != 0)) + 1
+        for run in np.split(start, cut):
+            # a run is taken in parts as long as an item, so that an alignment is bounded by the item
+            for lo in range(0, len(run), s.n):
+                part = run[lo:lo + s.n]
+                of = int(w.doc[part[0]])
+                first, end = int(w.first[of]), int(w.first[of + 1])
+                some = np.unique(np.append(part[::step], part[-1]))
+                if part[0] == first:
+                    some = np.concatenate([first - np.arange(step, s.slack + 1, step), some])
+                items = set()
+                for at in range(0, len(some), s.together):
+                    windows = self._cut(h, some[at:at + s.together], np.full(1, first), np.full(1, end), s)
+                    items |= set((s.bucket_pairs(windows) % len(s.ids)).tolist())
+                text = h[part[0]:min(end, int(part[-1]) + s.n + s.slack)]
+                for k in sorted(items):
+                    edits, at, size = best_window(text, s.words[k])
+                    best = (edits, int(part[0]) - first + at, size)
+                    if edits <= allowed(s.n) and size >= s.n - s.slack and found.get((of, int(s.ids[k])), best) >= best:
+                        found[of, int(s.ids[k])] = best
+
     @staticmethod
     def _cut(h: np.ndarray, start: np.ndarray, first: np.ndarray, end: np.ndarray, s: Size) -> np.ndarray:
         """Windows of s.n + s.slack words from each start, filled up outside of their documents."""
