@@ -57,7 +57,7 @@ def test_changed_index_equals_one_built_anew(spark, monkeypatch):
     # an addition that failed before its commit is not seen and may be run again
     version = index.next_version()
     index.write(spark.createDataFrame([(5000, 1, 3)], "record_id long, block long, dl long"), "records", version)
-    assert index.table("records").where("record_id = 5000").count() == 0 and index.next_version() == version + 1
+    assert index.snapshot().table("records").where("record_id = 5000").count() == 0 and index.next_version() == version + 1
 
 
 def test_blocks_that_can_not_reach_the_best_are_not_read(spark, monkeypatch):

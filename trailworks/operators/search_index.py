@@ -29,11 +29,39 @@ from ..session import cut_lineage
 from .retrieval import cosine
 
 BLOCK = 64
+_MATCH = "rank int, score double, semantic_score double, lexical_score double, lexical_coverage double, match_mode string"
 _CHANGE = "version long, kind string, n long, dl long"
 _SCHEMAS = {"blocks": "token string, block long, max_tf long, min_dl long", "terms": "token string, df long, max_tf long, min_dl long",
             "records": "record_id {id}, block long, dl long", "removed": "record_id {id}"}
 
 
+@dataclass(frozen=True)
+class Snapshot:
+    """The committed versions of an index, its records and their tokens, and the kinds of its changes."""
+
+    index: SearchIndex
+    versions: list[int]
+    n: int
+    tokens: int
+    kinds: set[str]
+
+    def table(self, name: str) -> DataFrame:
+        """The committed rows of one of the tables."""
+        return self.index._raw(name).where(F.col("version").isin(self.versions))
+
+    @property
+    def average(self) -> float:
+        """Mean number of tokens of a record, one at least."""
+        return max(1.0, self.tokens / self.n) if self.n else 1.0
+
+    def live(self, rows: DataFrame) -> DataFrame:
+        """Rows (version, record_id, ...) that no later removal masks."""
+        if "remove" not in self.kinds:
+            return rows
+        gone = self.table("removed").groupBy("record_id").agg(F.max("version").alias("_gone"))
+        return rows.join(gone, "record_id", "left").where("_gone is null or _gone <= version").drop("_gone")
+
+
 @dataclass(frozen=True)
 class SearchIndex:
     """An open index: where it is, the name of its postings table in this session, and what is committed."""
@@ -44,9 +72,10 @@ class SearchIndex:
     id_type: str
     buckets: int
 
-    def table(self, name: str) -> DataFrame:
-        """The committed rows of one of the tables."""
-        return self._raw(name).join(F.broadcast(self.commits().select("version")), "version")
+    def snapshot(self) -> Snapshot:
+        """What is committed now; the commits are read once."""
+        rows = self.commits().collect()
+        return Snapshot(self, [r.version for r in rows], sum(r.n for r in rows), sum(r.dl for r in rows), {r.kind for r in rows})
 
     def _raw(self, name: str) -> DataFrame:
         if name == "postings":
@@ -99,7 +128,7 @@ def add_records(index: SearchIndex, records: DataFrame) -> None:
     # texts are cut into tokens once; everything else reads the result
     tokens = cut_lineage(rows.select("record_id", T.retrieval_tokens(F.col("text")).alias("tokens")).select(
         "record_id", "tokens", F.size("tokens").cast("long").alias("dl")))
-    if not index.commits().isEmpty():
+    if index.snapshot().kinds:
         remove_records(index, tokens.select("record_id"))
     version = index.next_version()
     # records of similar length share blocks; there are at most 64 classes of length
@@ -123,29 +152,22 @@ def add_records(index: SearchIndex, records: DataFrame) -> None:
     index.commit(version, "add", tokens.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl")))
 
 
-def _live(index: SearchIndex, rows: DataFrame) -> DataFrame:
-    """Rows (version, record_id, ...) that no later removal masks."""
-    if index.commits().where("kind = 'remove'").isEmpty():
-        return rows
-    gone = index.table("removed").groupBy("record_id").agg(F.max("version").alias("_gone"))
-    return rows.join(gone, "record_id", "left").where("_gone is null or _gone <= version").drop("_gone")
-
-
 def remove_records(index: SearchIndex, ids: DataFrame) -> None:
     """Take the records of ``ids`` (record_id) out; ids that the index does not have are ignored."""
-    gone = _live(index, index.table("records")).join(ids.select("record_id").distinct(), "record_id", "left_semi")
+    now = index.snapshot()
+    gone = now.live(now.table("records")).join(ids.select("record_id").distinct(), "record_id", "left_semi")
     gone = cut_lineage(gone.select("record_id", "block", "dl", F.col("version").alias("_of")))
     if gone.isEmpty():
         return
     version = index.next_version()
     index.write(gone.select("record_id"), "removed", version)
-    held = index.table("postings").join(gone.select("record_id", F.col("_of").alias("version")), ["record_id", "version"], "left_semi")
+    held = now.table("postings").join(gone.select("record_id", F.col("_of").alias("version")), ["record_id", "version"], "left_semi")
     index.write(held.groupBy("token").agg((-F.count(F.lit(1))).alias("df"), F.lit(None).cast("long").alias("max_tf"), F.lit(None).cast("long").alias("min_dl")), "terms", version)
     index.commit(version, "remove", gone.agg((-F.count(F.lit(1))).alias("n"), (-F.sum("dl")).alias("dl")))
 
 
-def _gain(weight: Column, tf: Column, dl: Column) -> Column:
-    length = X.BM25_K1 * ((1 - X.BM25_B) + X.BM25_B * dl / F.greatest(F.lit(1.0), F.col("avgdl")))
+def _gain(weight: Column, tf: Column, dl: Column, average: float) -> Column:
+    length = X.BM25_K1 * ((1 - X.BM25_B) + X.BM25_B * dl / average)
     return weight * tf * (X.BM25_K1 + 1) / (tf + length)
 
 
@@ -157,70 +179,61 @@ def _required(n_terms: Column) -> Column:
     return F.when(n_terms <= 2, 1).otherwise(2)
 
 
-def _weights(index: SearchIndex, queries: DataFrame) -> DataFrame:
-    """(query_id, token, weight, most, prefix, share, tail, n_terms, avgdl) of the query tokens that the index has.
+def _weights(now: Snapshot, queries: DataFrame) -> DataFrame:
+    """(query_id, token, weight, prefix, share, tail, n_terms) of the query tokens that the index has.
 
     A match holds ``need`` of the n distinct tokens of its query, so of the n - need + share rarest ones at
-    least ``share``: those are the prefix. ``most`` bounds what a token adds, ``tail`` what all tokens after
-    the prefix add together.
+    least ``share``: those are the prefix. ``tail`` bounds what all tokens after the prefix add together.
     """
     q = queries.select("query_id", T.retrieval_tokens(F.col("query")).alias("q")).where(F.size("q") > 0)
     q = q.select("query_id", "q", F.size(F.array_distinct("q")).alias("n_terms")).select("query_id", "n_terms", F.explode("q").alias("token"))
     q = q.groupBy("query_id", "n_terms", "token").agg(F.count(F.lit(1)).alias("qtf"))
-    stats = index.commits().agg(F.sum("n").alias("n"), (F.sum("dl") / F.nullif(F.sum("n"), F.lit(0))).alias("avgdl"))
-    if index.commits().isEmpty():
-        q = q.limit(0)
-        terms = index.spark.createDataFrame([], _SCHEMAS["terms"])
-    else:
-        terms = index.table("terms")
-    df = terms.join(q.select("token").distinct(), "token", "left_semi").groupBy("token").agg(
+    df = now.table("terms").join(q.select("token").distinct(), "token", "left_semi").groupBy("token").agg(
         F.sum("df").alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl")).where("df > 0")
     # tokens that no record has can not be shared, but count in the prefix
-    d = q.join(df, "token", "left").join(F.broadcast(stats))
+    d = q.join(df, "token", "left")
     order = Window.partitionBy("query_id").orderBy(F.coalesce("df", F.lit(0)), "token")
     need = F.greatest(F.ceil(F.col("n_terms") * X.MIN_COVERAGE), _required(F.col("n_terms")))
     share = F.greatest(F.lit(1), F.ceil(need / 2))
     d = d.withColumn("share", share).withColumn("prefix", F.row_number().over(order) <= F.col("n_terms") - need + share).where("df is not null")
-    d = d.withColumn("weight", F.col("qtf") * F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    d = d.withColumn("most", _gain(F.col("weight"), F.col("max_tf"), F.col("min_dl")))
-    tail = F.coalesce(F.sum(F.when(~F.col("prefix"), F.col("most"))).over(Window.partitionBy("query_id")), F.lit(0.0))
-    return d.withColumn("tail", tail).select("query_id", "token", "weight", "prefix", "share", "tail", "n_terms", "avgdl")
+    d = d.withColumn("weight", F.col("qtf") * F.log(1 + (now.n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    most = F.when(~F.col("prefix"), _gain(F.col("weight"), F.col("max_tf"), F.col("min_dl"), now.average))
+    tail = F.coalesce(F.sum(most).over(Window.partitionBy("query_id")), F.lit(0.0))
+    return d.withColumn("tail", tail).select("query_id", "token", "weight", "prefix", "share", "tail", "n_terms")
 
 
-def candidate_blocks(index: SearchIndex, weights: DataFrame) -> DataFrame:
+def candidate_blocks(now: Snapshot, weights: DataFrame) -> DataFrame:
     """(query_id, block, bound): blocks that may hold a match, and the most a score there can be."""
-    if index.commits().where("kind = 'add'").isEmpty():
-        return weights.select("query_id", F.lit(0).cast("long").alias("block"), F.lit(0.0).alias("bound")).limit(0)
-    seen = weights.where("prefix").join(index.table("blocks"), "token")
+    seen = weights.where("prefix").join(now.table("blocks"), "token")
     d = seen.groupBy("query_id", "block", "share", "tail").agg(
-        F.sum(_gain(F.col("weight"), F.col("max_tf"), F.col("min_dl"))).alias("most"), F.count(F.lit(1)).alias("held"))
+        F.sum(_gain(F.col("weight"), F.col("max_tf"), F.col("min_dl"), now.average)).alias("most"), F.count(F.lit(1)).alias("held"))
     bound = _lexical(F.col("most") + F.col("tail"))
     return d.where((F.col("held") >= F.col("share")) & (bound >= X.MIN_LEXICAL - 1e-9)).select("query_id", "block", bound.alias("bound"))
 
 
-def _held(index: SearchIndex, asked: DataFrame) -> DataFrame:
+def _held(now: Snapshot, asked: DataFrame) -> DataFrame:
     """The postings of (token, block) of ``asked``. What is asked goes to the buckets and into a hash table there,
     so the postings are streamed past it: neither shuffled nor sorted."""
-    return asked.hint("shuffle_hash").join(index.table("postings"), ["token", "block"])
+    return asked.hint("shuffle_hash").join(now.table("postings"), ["token", "block"])
 
 
-def shortlist(index: SearchIndex, weights: DataFrame, blocks: DataFrame) -> DataFrame:
+def shortlist(now: Snapshot, weights: DataFrame, blocks: DataFrame) -> DataFrame:
     """(query_id, block, ids): the records of ``blocks`` (query_id, block) that hold enough of the prefix to be a match."""
-    held = _held(index, blocks.select("query_id", "block").join(weights.where("prefix"), "query_id"))
+    held = _held(now, blocks.select("query_id", "block").join(weights.where("prefix"), "query_id"))
     d = held.groupBy("query_id", "block", "record_id", "version", "share", "tail").agg(
-        F.sum(_gain(F.col("weight"), F.col("tf"), F.col("dl"))).alias("most"), F.count(F.lit(1)).alias("held"))
+        F.sum(_gain(F.col("weight"), F.col("tf"), F.col("dl"), now.average)).alias("most"), F.count(F.lit(1)).alias("held"))
     d = d.where((F.col("held") >= F.col("share")) & (_lexical(F.col("most") + F.col("tail")) >= X.MIN_LEXICAL - 1e-9))
     # as many ids as a block has records at most
     return d.groupBy("query_id", "block").agg(F.collect_set("record_id").alias("ids"))
 
 
-def scores(index: SearchIndex, weights: DataFrame, wanted: DataFrame) -> DataFrame:
+def scores(now: Snapshot, weights: DataFrame, wanted: DataFrame) -> DataFrame:
     """(query_id, record_id, n_terms, lexical, coverage, matched) of the records ``wanted`` (query_id, block, ids)
     that hold a token of the query."""
-    held = _held(index, wanted.join(weights, "query_id")).where(F.array_contains("ids", F.col("record_id")))
+    held = _held(now, wanted.join(weights, "query_id")).where(F.array_contains("ids", F.col("record_id")))
     d = held.groupBy("query_id", "record_id", "version", "n_terms").agg(
-        F.sum(_gain(F.col("weight"), F.col("tf"), F.col("dl"))).alias("raw"), F.count(F.lit(1)).alias("matched"))
-    return _live(index, d).select("query_id", "record_id", "n_terms", _lexical(F.col("raw")).alias("lexical"),
+        F.sum(_gain(F.col("weight"), F.col("tf"), F.col("dl"), now.average)).alias("raw"), F.count(F.lit(1)).alias("matched"))
+    return now.live(d).select("query_id", "record_id", "n_terms", _lexical(F.col("raw")).alias("lexical"),
                                   (F.col("matched") / F.col("n_terms")).alias("coverage"), "matched")
 
 
@@ -240,13 +253,16 @@ def lexical_search(index: SearchIndex, queries: DataFrame, limit: int = 10) -> D
     The blocks of highest bound are scored first; the ``limit``-th best match there is a threshold, and of
     the other blocks only those whose bound reaches it are read.
     """
-    weights = cut_lineage(_weights(index, queries))
-    blocks = cut_lineage(candidate_blocks(index, weights))
+    now = index.snapshot()
+    if not now.kinds:
+        return index.spark.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, record_id {index.id_type}, {_MATCH}")
+    weights = cut_lineage(_weights(now, queries))
+    blocks = cut_lineage(candidate_blocks(now, weights))
     order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
     turn = blocks.withColumn("_turn", F.row_number().over(order))
 
     def matches(some: DataFrame) -> DataFrame:
-        d = scores(index, weights, shortlist(index, weights, some))
+        d = scores(now, weights, shortlist(now, weights, some))
         return d.where(_passes(d)).withColumn("score", X.LEXICAL_WEIGHT * F.col("lexical"))
 
     first = cut_lineage(_top(matches(turn.where(F.col("_turn") <= limit)), limit))
@@ -265,12 +281,15 @@ def hybrid_search(index: SearchIndex, queries: DataFrame, vectors: DataFrame, se
     ``queries``: query_id, query, q_vec. ``vectors``: record_id, r_vec. ``semantic``: query_id, record_id,
     the pairs that reach the similarity floor (``retrieval.similar_pairs``).
     """
-    weights = cut_lineage(_weights(index, queries))
-    places = _live(index, index.table("records")).select("record_id", "block")
+    now = index.snapshot()
+    if not now.kinds:
+        return index.spark.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, record_id {index.id_type}, {_MATCH}")
+    weights = cut_lineage(_weights(now, queries))
+    places = now.live(now.table("records")).select("record_id", "block")
     near = semantic.select("query_id", "record_id").join(places, "record_id")
-    listed = shortlist(index, weights, candidate_blocks(index, weights)).unionByName(
+    listed = shortlist(now, weights, candidate_blocks(now, weights)).unionByName(
         near.groupBy("query_id", "block").agg(F.collect_set("record_id").alias("ids")))
-    words = scores(index, weights, listed.groupBy("query_id", "block").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids")))
+    words = scores(now, weights, listed.groupBy("query_id", "block").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids")))
     both = words.join(near.select("query_id", "record_id", F.lit(True).alias("near")), ["query_id", "record_id"], "full")
     d = both.drop("n_terms").join(queries.select("query_id", "q_vec", F.size(F.array_distinct(T.retrieval_tokens(F.col("query")))).alias("n_terms")), "query_id")
     d = d.where("n_terms > 0").fillna({"lexical": 0.0, "coverage": 0.0, "matched": 0})
