@@ -50,7 +50,8 @@ def _preceding(totals: DataFrame, keys: list[str], many: bool) -> DataFrame:
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     if not many:
         return totals.withColumn("_base", F.coalesce(F.sum("_total").over(before), F.lit(0))).drop("_total")
-    ranged = totals.repartitionByRange(*keys, "_chunk").withColumn("_piece", F.spark_partition_id())
+    # the range partitioning reads its input twice
+    ranged = cut_lineage(totals).repartitionByRange(*keys, "_chunk").withColumn("_piece", F.spark_partition_id())
     inside = Window.partitionBy("_piece", *keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     run = cut_lineage(ranged.withColumn("_run", F.coalesce(F.sum("_total").over(inside), F.lit(0))))
     pieces = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)

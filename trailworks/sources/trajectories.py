@@ -14,6 +14,7 @@ from ..functions import fixed as X
 from ..functions.errors import result_text
 from ..functions.lists import non_empty, strip
 from ..functions.sequence import numbered
+from ..session import cut_lineage
 
 # File layout of a trial.
 STEP_FILE = "agent/trajectory.json"
@@ -230,6 +231,8 @@ def compact_log(lines: DataFrame) -> DataFrame:
     d = lines.withColumn("line", clean).filter(
         (F.length("line") > 0) & ~F.col("line").rlike(X.CAST_EVENT_PATTERN) & ~F.col("line").rlike(X.PROGRESS_PATTERN)
         & ~((hashes >= 20) & F.col("line").contains("%")))
+    # the patterns run once; the lines are counted and then joined with their numbers
+    d = cut_lineage(d.select("source", "line_no", "line"))
     d = numbered(d, ["source"], ["line_no"], "n", F.floor(F.col("line_no") / 4096), many=True)
     d = d.withColumn("chunk", F.floor((F.col("n") - 1) / X.LOG_CHUNK_LINES))
     items = F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"])
