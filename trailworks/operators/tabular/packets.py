@@ -14,22 +14,27 @@ from ...functions.staging import staged
 
 # --- Fixed values: patterns of the packet families ----------------------------------------
 MONEY = r"(?iU)(?:[$€£]|RM|MYR)?\s*(\d{1,3}(?:[,\s]\d{3})*\.\d{2}|\d+\.\d{2})"
-_DAY = r"([0-3]?\d[/\-][01]?\d[/\-]\d{2,4}|\d{4}-\d{2}-\d{2})"
 CLAIM_DATES = (
-    (r"(?i)TRANSACTION\s*DATE[:\s]*" + _DAY, 50, True), (r"(?i)PURCHASE\s*DATE[:\s]*" + _DAY, 40, True),
-    (r"(?i)DATE[:\s]*" + _DAY, 10, True), (r"\b(20\d{2}-\d{2}-\d{2})\b", 5, True),
+    (r"(?i)TRANSACTION\s*DATE[:\s]*([0-3]?\d[/\-][01]?\d[/\-]\d{2,4}|\d{4}-\d{2}-\d{2})", 50, True), (r"(?i)PURCHASE\s*DATE[:\s]*([0-3]?\d[/\-][01]?\d[/\-]\d{2,4}|\d{4}-\d{2}-\d{2})", 40, True),
+    (r"(?i)DATE[:\s]*([0-3]?\d[/\-][01]?\d[/\-]\d{2,4}|\d{4}-\d{2}-\d{2})", 10, True), (r"\b(20\d{2}-\d{2}-\d{2})\b", 5, True),
     (r"\b([0-3]?\d-[01]?\d-20\d{2})\b", 5, True), (r"\b([01]?\d/[0-3]?\d/20\d{2})\b", 4, False),
 )
 SETTLEMENT_DATES = (
-    (r"(?i)ISSUE\s*DATE[:\s]*" + _DAY, 50, True), (r"(?i)DATE[:\s]*" + _DAY, 20, True),
+    (r"(?i)ISSUE\s*DATE[:\s]*([0-3]?\d[/\-][01]?\d[/\-]\d{2,4}|\d{4}-\d{2}-\d{2})", 50, True), (r"(?i)DATE[:\s]*([0-3]?\d[/\-][01]?\d[/\-]\d{2,4}|\d{4}-\d{2}-\d{2})", 20, True),
     (r"\b(20\d{2}-\d{2}-\d{2})\b", 5, True), (r"\b([0-3]?\d-[01]?\d-20\d{2})\b", 5, True),
     (r"\b([01]?\d/[0-3]?\d/20\d{2})\b", 4, False),
 )
 GENERIC_DATES = (r"(20\d{2}[-/]\d{2}[-/]\d{2})", r"(\d{1,2}[-/]\d{1,2}[-/]\d{2,4})")
 CLAIM_AMOUNTS = (r"REIMBURSABLE\s+TOTAL", r"TOTAL\s+CLAIM", r"AMOUNT\s+CLAIMED", r"TOTAL\s+DUE")
 CLAIM_EXCLUDES = (r"ADVANCE", r"CASH\s+PAID", r"TIP", r"TAX")
-CLAIM_CODES = tuple(rf"(?i){k}(?:\s*:\s*|\s+)([A-Z0-9\-]+)" for k in (r"CLAIM\s*CODE", r"CLAIM\s*REF", r"EXPENSE\s*CODE"))
-SETTLEMENT_CODES = tuple(rf"(?i){k}(?:\s*:\s*|\s+)([A-Z0-9\-]+)" for k in (r"CREDIT\s*NO", r"RECEIPT\s*NO", r"REFERENCE"))
+CLAIM_CODES = (
+    r"(?i)CLAIM\s*CODE(?:\s*:\s*|\s+)([A-Z0-9\-]+)", r"(?i)CLAIM\s*REF(?:\s*:\s*|\s+)([A-Z0-9\-]+)",
+    r"(?i)EXPENSE\s*CODE(?:\s*:\s*|\s+)([A-Z0-9\-]+)",
+)
+SETTLEMENT_CODES = (
+    r"(?i)CREDIT\s*NO(?:\s*:\s*|\s+)([A-Z0-9\-]+)", r"(?i)RECEIPT\s*NO(?:\s*:\s*|\s+)([A-Z0-9\-]+)",
+    r"(?i)REFERENCE(?:\s*:\s*|\s+)([A-Z0-9\-]+)",
+)
 PURCHASE_WORDS = (r"(?i)PURCHASE\s+RECEIPT", r"(?i)TAX\s+INVOICE", r"(?i)STORE\s+RECEIPT")
 CREDIT_WORDS = (r"(?i)CREDIT\s+NOTE", r"(?i)REFUND\s+ADJUSTMENT", r"(?i)CREDIT\s+MEMO")
 PURCHASE_AMOUNTS = (r"GRAND\s+TOTAL", r"TOTAL\s+DUE", r"AMOUNT\s+DUE")

@@ -146,6 +146,7 @@ steps AS (
          CASE WHEN event_type = 'error' THEN {_sql_pick(ERRORS)} WHEN event_type = 'signup' THEN '' ELSE 'ok' END AS result_text
   FROM ev)"""
 
+# Fixed values, as in functions/fixed.py and in DuckDB's syntax: file endings and commands that write files.
 EXT = "|".join(("xlsx", "xls", "csv", "tsv", "json", "jsonl", "yaml", "yml", "py", "sh", "md", "txt", "docx", "doc", "pdf",
                 "html", "xml", "png", "jpg", "jpeg", "svg", "sql", "db", "sqlite", "parquet", "pkl", "pickle", "h5", "pt",
                 "onnx", "toml", "cfg", "ini", "log"))
@@ -160,6 +161,7 @@ def sql_paths(expr: str) -> str:
     return sql_distinct(f"regexp_extract_all({expr}, '(?i)[\\w\\-./]+\\.(?:{EXT})\\b')")
 
 
+# Fixed values, as above.
 _WRITES = (
     r"""(?i)open\(\s*[''"][^''"]+\.[\w]+[''"]\s*,\s*[''"][^''"]*[wax+][^''"]*[''"]""",
     r"""(?i)\.(?:save|write_text|write_bytes|to_csv|to_json|to_excel|to_parquet|to_pickle|to_markdown)\(\s*[''"][^''"]+\.[\w]+[''"]""",
