@@ -106,3 +106,21 @@ def test_odd_vectors_have_no_pairs(spark):
     assert {(x.query_id, x.record_id) for x in RT.similar_pairs(q, r, 0.38).collect()} == {(6, 6), (7, 7), (7, 8)}
     assert RT.similar_pairs(q, r.limit(0), 0.38).count() == 0
     assert RT.similar_pairs(q.where("query_id = 1"), r, 0.38).count() == 0
+
+
+def test_text_ids_empty_changes_and_vectors(spark):
+    index = IX.create_index(spark, shared_folder(spark, "index"), "string", buckets=4)
+    record = "record_id string, text string"
+    IX.add_records(index, spark.createDataFrame([], record))
+    IX.remove_records(index, spark.createDataFrame([("none",)], "record_id string"))
+    q = spark.createDataFrame([(1, "timezone meeting schedule", [0.0, 1.0]), (2, "prepare a candidate employment document", [0.0, 1.0])], "query_id int, query string, q_vec array<double>")
+    assert IX.lexical_search(index, q).count() == 0
+    rows = [("schedule", "Validate timezone constraints and persist the corrected meeting schedule.", [1.0, 0.0]), ("offer", "Inspect every document part and remove all template markers.", [0.0, 1.0]), ("plain", "", None)]
+    records = spark.createDataFrame(rows, "record_id string, text string, r_vec array<double>")
+    near = RT.similar_pairs(q, records, 0.38)
+    assert IX.hybrid_search(IX.create_index(spark, shared_folder(spark, "index"), "string"), q, records, near).count() == 0
+    IX.add_records(index, records)
+    assert [(r.query_id, r.record_id) for r in IX.lexical_search(index, q).collect()] == [(1, "schedule")]
+    got = {(r.query_id, r.record_id): (r.match_mode, round(r.semantic_score, 6)) for r in IX.hybrid_search(index, q, records, near).collect()}
+    want = {(r.query_id, r.record_id): (r.match_mode, round(r.semantic_score, 6)) for r in RT.scored_matches(records, q).collect()}
+    assert got == want == {(1, "schedule"): ("lexical_exact", 0.0), (1, "offer"): ("hybrid", 1.0), (2, "offer"): ("hybrid", 1.0)}
