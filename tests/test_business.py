@@ -93,6 +93,26 @@ def test_name_matching_finds_every_close_name(spark):
             assert n not in got
 
 
+def test_near_names_meet_in_blocks(spark):
+    """All pairs at the cutoff, without a join that meets names by their common letter pairs."""
+    r = random.Random(7)
+    words = ["red", "old", "bolt", "ring", "brand", "12", "7", "small", "economy"]
+    sides = [sorted({" ".join(r.choices(words, k=4)) for _ in range(150)}) for _ in range(2)]
+    left, right = (spark.createDataFrame([(x,) for x in side], "norm string") for side in sides)
+    d = screening.near_names(left, right, 85.0)
+    assert "Join" not in d._jdf.queryExecution().executedPlan().toString()
+    turned = lambda x: " ".join(sorted(x.split()))
+    want = {}
+    for a in sides[0]:
+        for b in sides[1]:
+            both = [200 * screening._lcs(f(a), f(b)) / (len(a) + len(b)) for f in (str, turned)]
+            if max(both) >= 85:
+                want[a, b] = both
+    got = {(x.norm, x.candidate): [x.plain, x.sorted] for x in d.collect()}
+    assert got.keys() == want.keys() and len(want) > 50
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 def test_list_compaction_keeps_the_fuller_wording(spark):
     text = ("# T\n- Verify every total before the final report\n```\n- Verify every total before the final report\n```\n1. verify every total before the final report is signed\n"
             "- | Verify every total before the final report\n- Verify it\n- Plan the inventory of all known sources")

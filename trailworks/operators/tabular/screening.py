@@ -6,11 +6,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from ...functions.lists import squeeze, strip
 from ...functions.sequence import first_rows
-from ...functions.staging import staged
 from ...session import cut_lineage
 from .holdings import is_stock
 
@@ -22,6 +20,8 @@ NAME_WORDS = (
 CUTOFF = 85.0
 #: Names of a block when all are compared; the other side has four times as many.
 NAME_BLOCK = 512
+#: The most tasks that pairs of blocks are dealt to.
+NAME_TASKS = 1024
 LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
 
 
@@ -32,10 +32,6 @@ def normal_name(text: Column) -> Column:
     return strip(squeeze(F.regexp_replace(v, r"[^a-z0-9]+", " ")))
 
 
-def sorted_words(text: Column) -> Column:
-    return F.array_join(F.array_sort(F.split(text, " ")), " ")
-
-
 def _lcs(a: str, b: str) -> int:
     """Length of the longest common subsequence, one row of the table per letter as bits of a number."""
     where: dict[str, int] = {}
@@ -49,24 +45,44 @@ def _lcs(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
-@F.pandas_udf(IntegerType())
-def common_letters(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([_lcs(x, y) for x, y in zip(a, b)], dtype="int32")
+def _letter_pairs(name: str) -> list[str]:
+    """Letter pairs of each padded word, in any word order."""
+    return [x[i:i + 2] for x in (f" {w} " for w in name.split(" ")) for i in range(len(x) - 1)]
+
+
+def _bags(left: list[list[str]], right: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Two lists of bags as rows of ones, copies numbered: the product of two rows is what the bags share."""
+    place: dict[tuple[str, int], int] = {}
+
+    def columns(bag: list[str]) -> list[int]:
+        copies: dict[str, int] = {}
+        out = []
+        for x in bag:
+            k = copies[x] = copies.get(x, 0) + 1
+            out.append(place.setdefault((x, k), len(place)))
+        return out
 
+    sides = [[columns(bag) for bag in side] for side in (left, right)]
+    rows = []
+    for side in sides:
+        m = np.zeros((len(side), len(place)), np.float32)
+        for i, at in enumerate(side):
+            m[i, at] = 1
+        rows.append(m)
+    return rows[0], rows[1]
 
-def _ratio(common: Column, a: str, b: str) -> Column:
-    return 200.0 * common / (F.length(a) + F.length(b))
 
+def _name_blocks(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """norm, l, r and candidate, l, r: every block (l) of the one side meets every block (r) of the other.
 
-def _with_grams(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Blocking keys: letter pairs of each padded word, copies numbered, any word order."""
-    words = F.transform(F.split(column, " "), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
-    grams = F.flatten(F.transform(words, lambda w: F.transform(
-        F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2)))))
-    d = staged(df, _grams=F.array_sort(grams))
-    # The copy number makes the list a set, so that shared counts are multiset counts.
-    return d.withColumn(out, F.transform("_grams", lambda g, i: F.concat(
-        g, (i - F.array_position(F.col("_grams"), g)).cast("string")))).drop("_grams")
+    Names are short and comparing them is not, so the pairs of blocks are dealt by their number, not by their size.
+    """
+    nl, nr = max(1, -(-left.count() // NAME_BLOCK)), max(1, -(-right.count() // (4 * NAME_BLOCK)))
+    number = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    tasks = min(nl * nr, NAME_TASKS)
+    return (left.select("norm", number("norm", nl).alias("l"), every(nr).alias("r")).repartition(tasks, "l", "r"),
+            right.select("candidate", every(nl).alias("l"), number("candidate", nr).alias("r")).repartition(tasks, "l", "r"))
 
 
 def alias_index(labels: DataFrame) -> DataFrame:
@@ -89,25 +105,37 @@ def lost_pairs(cutoff: float) -> float:
 def near_names(asked: DataFrame, index: DataFrame, cutoff: float) -> DataFrame:
     """norm, candidate, plain, sorted: all pairs with either similarity at the cutoff or above.
 
-    Exact by a join on the rarest letter pairs (see ``overlap``); the cutoff must leave a common one.
+    Distinct names meet in blocks. The letters and the letter pairs that two names share, counted for a
+    whole block by one product, bound their common letters in either word order, so only pairs that both
+    bounds let through are compared. A join on letter pairs would meet nearly as many pairs one by one,
+    because half of a name's pairs may differ and none of them is rare. The cutoff must leave a common one.
     """
-    from ..overlap import candidate_pairs
-
     if lost_pairs(cutoff) >= 1:
         raise ValueError("no letter pair is sure to be shared at this cutoff; use nearest_names")
-    left, right = asked.select("norm").distinct(), index.select(F.col("norm").alias("candidate")).distinct()
-    need = F.length("norm") + 1 - F.floor(F.length("norm") * lost_pairs(cutoff) + 1e-9)
-    known = _with_grams(right, "candidate", "tokens").select("candidate", F.explode("tokens").alias("token"))
-    pairs = candidate_pairs(_with_grams(left, "norm", "tokens"), ["norm"], need.cast("int"), known, ["candidate"])
-    # Letters are deleted or inserted only. That bounds the lengths, and replacing as well can not take
-    # more edits, so the built-in distance, which stops beyond the bound, leaves few pairs to Python.
-    most = F.floor((F.length("norm") + F.length("candidate")) * (100.0 - cutoff) / 100.0 + 1e-9).cast("int")
-    d = pairs.withColumn("_max", most).filter(F.abs(F.length("norm") - F.length("candidate")) <= F.col("_max"))
-    d = staged(d, s_norm=sorted_words(F.col("norm")), s_candidate=sorted_words(F.col("candidate")))
-    d = d.filter(F.expr("levenshtein(norm, candidate, _max) >= 0 or levenshtein(s_norm, s_candidate, _max) >= 0"))
-    d = d.withColumn("plain", _ratio(common_letters("norm", "candidate"), "norm", "candidate")).withColumn(
-        "sorted", _ratio(common_letters("s_norm", "s_candidate"), "norm", "candidate")).select("norm", "candidate", "plain", "sorted")
-    return d.filter((F.col("plain") >= cutoff) | (F.col("sorted") >= cutoff))
+    left, right = _name_blocks(asked.select("norm").distinct(), index.select(F.col("norm").alias("candidate")).distinct())
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        ours, theirs = a["norm"].tolist(), b["candidate"].tolist()
+        if not ours or not theirs:
+            return pd.DataFrame({"norm": [], "candidate": [], "plain": [], "sorted": []})
+        sizes = np.add.outer(np.array([len(x) for x in ours]), np.array([len(x) for x in theirs]))
+        least = np.ceil(cutoff * sizes / 200.0 - 1e-9)      # common letters of a pair at the cutoff
+        x, y = _bags([list(n) for n in ours], [list(n) for n in theirs])
+        open_ = (x @ y.T >= least) & (sizes > 0)
+        # each letter that is not common costs the name that has it two pairs, the other name one
+        x, y = _bags([_letter_pairs(n) for n in ours], [_letter_pairs(n) for n in theirs])
+        open_ &= x @ y.T >= 3 * least + 1 - sizes
+        turned = [" ".join(sorted(n.split(" "))) for n in ours], [" ".join(sorted(n.split(" "))) for n in theirs]
+        rows = []
+        for i, j in zip(*np.nonzero(open_)):
+            size = sizes[i, j]
+            plain, by_words = 200.0 * _lcs(ours[i], theirs[j]) / size, 200.0 * _lcs(turned[0][i], turned[1][j]) / size
+            if plain >= cutoff or by_words >= cutoff:
+                rows.append((ours[i], theirs[j], plain, by_words))
+        return pd.DataFrame(rows, columns=["norm", "candidate", "plain", "sorted"])
+
+    return left.groupBy("l", "r").cogroup(right.groupBy("l", "r")).applyInPandas(
+        compare, "norm string, candidate string, plain double, sorted double")
 
 
 def nearest_names(asked: DataFrame, index: DataFrame) -> DataFrame:
@@ -117,13 +145,7 @@ def nearest_names(asked: DataFrame, index: DataFrame) -> DataFrame:
     similarity from above, so partners are tried from the highest bound down until it falls below
     the best one found. Ties go to the smaller candidate.
     """
-    left = asked.select("norm").distinct()
-    right = index.select(F.col("norm").alias("candidate")).distinct()
-    nl, nr = max(1, -(-left.count() // NAME_BLOCK)), max(1, -(-right.count() // (4 * NAME_BLOCK)))
-    number = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = left.select("norm", number("norm", nl).alias("l"), every(nr).alias("r"))
-    right = right.select("candidate", every(nl).alias("l"), number("candidate", nr).alias("r"))
+    left, right = _name_blocks(asked.select("norm").distinct(), index.select(F.col("norm").alias("candidate")).distinct())
 
     def letters(names: pd.Series) -> np.ndarray:
         return np.array([[x.count(c) for c in LETTERS] for x in names], np.int16).reshape(len(names), len(LETTERS))
