@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from trailworks.functions import text as T
+from trailworks.operators import audit as AU
 from trailworks.operators import clustering as CL
 from trailworks.operators import memory as M
 from trailworks.operators import policies as P
@@ -211,3 +212,29 @@ def test_streamed_store_takes_rows_with_null_and_negative_ids(spark, tmp_path):
         con.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet/*.parquet'")
         assert {tuple(r) for r in got} == set(con.execute(catalog.SQL["streamed_store"]).fetchall())
         assert len(got) == len({x[1] for x in some})
+
+
+def test_occurrences_are_summed_without_pairs(spark):
+    """Sums equal those of the rows; many policies and attempts of few shapes and texts never meet one by one."""
+    def both(n, m):
+        policies = spark.createDataFrame([(f"p-{i}", f"rule-{i}") for i in range(n)], "policy_id string, slug string")
+        shapes = spark.createDataFrame([(f"p-{i}", k, f"load report{(i + k) % 3} openpyxl results small") for i in range(n) for k in range(1 + i % 2)],
+                                       "policy_id string, pos int, command_shape string")
+        texts = [(f"a{j:05d}", f"openpyxl results report{j % 4}") for j in range(m)] + [("a00001", "openpyxl results report2"), (None, "openpyxl results report1")]
+        used = spark.createDataFrame([(f"a{j:05d}", ("P-" if j % 2 else "rule-") + str(j % 7)) for j in range(0, m, 3)] + [("a00000", "p-1"), ("zz", "p-2")], "attempt_id string, name string")
+        args = policies, shapes, spark.createDataFrame(texts, "attempt_id string, text string"), used
+        return AU.occurrences(*args), AU.occurrences(*args, summed=True)
+
+    pairs, sums = both(9, 60)
+    want = pairs.groupBy("policy_id", "signal").agg(F.count(F.lit(1)), F.min("attempt_id"), F.max("attempt_id"))
+    assert sorted(map(tuple, sums.collect())) == sorted(map(tuple, want.collect())) and sums.count() > 9
+    _, sums = both(3000, 4000)
+    assert sums.agg(F.sum("attempts")).first()[0] > 2_500_000
+    from trailworks.operators import overlap
+    most, join = [], overlap.candidate_pairs
+    AU.candidate_pairs = lambda *a: most.append(join(*a)) or most[-1]
+    try:
+        both(3000, 4000)
+    finally:
+        AU.candidate_pairs = join
+    assert max(d.count() for d in most) <= 12
