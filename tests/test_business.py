@@ -154,3 +154,14 @@ def test_weighted_risk_of_a_null_key(spark, tmp_path):
     assert len(got) == 3 and got[2][0] is None and None not in got[2][1:]
     assert [x[0] for x in got] == [x[0] for x in by_key(want)]
     assert all(x[1:] == pytest.approx(y[1:], abs=2e-6) for x, y in zip(got, by_key(want)))
+
+
+def test_plans_of_a_batch_are_kept_as_numbers():
+    import numpy as np
+    import pandas as pd
+
+    fold = carryover._fold(12.0, 50.0, 10.0, False).func
+    got = fold(pd.Series([np.array([30.0, 80.0]), np.array([])]), pd.Series([0.0, 5.0]))
+    assert list(got.columns) == ["days", "capacity", "start", "end"]
+    assert all(isinstance(x, np.ndarray) and x.dtype != object for c in got.columns for x in got[c])
+    assert got["days"][0].tolist() == [4, 5] and got["start"][0].tolist() == [0.0, -18.0] and got["end"][0].tolist() == [-18.0, 2.0] and len(got["end"][1]) == 0

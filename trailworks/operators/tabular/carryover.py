@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from array import array
 from decimal import ROUND_HALF_EVEN, Decimal
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 WORK_DAYS = (4, 5, 6)
 
@@ -26,22 +27,25 @@ def plan_days(weeks: DataFrame, keys: list[str], rate: float, quiet_demand: floa
     made = _fold(rate, quiet_demand, overtime_per_day, rounded)
     first = r(F.col("initial") - F.get("w", 0)["demand"]).cast("double")
     d = items.select(*keys, "w", made(F.transform("w", lambda x: x["demand"].cast("double")), first).alias("s"))
-    row = F.transform(F.arrays_zip("w", "s"), lambda x: F.struct(
-        x["w"]["week"].alias("week"), x["s"]["days"].alias("days"), x["w"]["demand"].cast("double").alias("demand"), x["s"]["capacity"].alias("capacity"),
-        r(F.greatest(F.lit(0.0), x["s"]["start"])).alias("start_queue"), x["s"]["end"].alias("end_queue"),
-        r(overtime_per_day * F.greatest(F.lit(0), x["s"]["days"] - WORK_DAYS[0])).cast("double").alias("overtime")))
+    row = F.transform(F.arrays_zip("w", "s.days", "s.capacity", "s.start", "s.end"), lambda x: F.struct(
+        x["w"]["week"].alias("week"), x["days"].alias("days"), x["w"]["demand"].cast("double").alias("demand"), x["capacity"].alias("capacity"),
+        r(F.greatest(F.lit(0.0), x["start"])).alias("start_queue"), x["end"].alias("end_queue"),
+        r(overtime_per_day * F.greatest(F.lit(0), x["days"] - WORK_DAYS[0])).cast("double").alias("overtime")))
     return d.select(*keys, F.inline(row))
 
 
 def _fold(rate: float, quiet_demand: float, overtime_per_day: float, rounded: bool):
-    """The queue of one plan, week after week: a list per plan in, a list of the same length out."""
+    """The queue of one plan, week after week: a list per plan in, lists of the same length out.
+
+    A batch holds thousands of plans, so results are kept as plain numbers, 28 bytes a week, not as objects.
+    """
     low, mid, high = WORK_DAYS
 
     def r(x: float) -> float:
         return float(Decimal(repr(x)).quantize(Decimal("0.01"), ROUND_HALF_EVEN)) if rounded else x
 
-    def plan(demands, start: float) -> list[dict]:
-        out = []
+    def plan(demands, start: float) -> list[np.ndarray]:
+        out = array("i"), array("d"), array("d"), array("d")
         for demand in demands:
             if start > 0.01:
                 days = mid if start + demand - rate * mid <= 0.0 else high
@@ -49,13 +53,16 @@ def _fold(rate: float, quiet_demand: float, overtime_per_day: float, rounded: bo
                 days = low if demand <= quiet_demand else mid
             capacity = r(rate * days)
             end = r(start + demand - capacity)
-            out.append({"days": days, "capacity": capacity, "start": start, "end": end})
+            for column, x in zip(out, (days, capacity, start, end), strict=True):
+                column.append(x)
             start = end
-        return out
+        return [np.array(column) for column in out]
+
+    names = ("days", "capacity", "start", "end")
 
-    @F.pandas_udf(ArrayType(StructType([StructField("days", IntegerType()), StructField("capacity", DoubleType()),
-                                        StructField("start", DoubleType()), StructField("end", DoubleType())])))
-    def fold(demands: pd.Series, start: pd.Series) -> pd.Series:
-        return pd.Series([plan(d.tolist(), s) for d, s in zip(demands, start)])
+    @F.pandas_udf("days array<int>, capacity array<double>, start array<double>, end array<double>")
+    def fold(demands: pd.Series, start: pd.Series) -> pd.DataFrame:
+        made = [plan(d.tolist(), s) for d, s in zip(demands, start)]
+        return pd.DataFrame({name: pd.Series([m[k] for m in made], dtype=object) for k, name in enumerate(names)})
 
     return fold
