@@ -238,3 +238,19 @@ def test_occurrences_are_summed_without_pairs(spark):
     finally:
         AU.candidate_pairs = join
     assert max(d.count() for d in most) <= 12
+
+
+def test_rounds_of_clustering_keep_one_plan(spark, monkeypatch):
+    """Ten rounds: what was placed is read from one table, and the clusters are those of a single round."""
+    r = np.random.default_rng(3)
+    base = r.normal(size=(12, 8))
+    points = [("f", "workflow", hashlib.sha256(str(i).encode()).hexdigest(), [float(x) for x in v / np.linalg.norm(v)])
+              for i, v in enumerate(base[r.integers(0, 12, 100)] + r.normal(scale=0.2, size=(100, 8)))]
+    d = spark.createDataFrame(points, "task_family string, candidate_kind string, fingerprint string, vector array<float>")
+    groups = lambda x: {frozenset(q.m) for q in x.groupBy("cluster").agg(F.collect_list("fingerprint").alias("m")).collect()}
+    want = groups(CL.cluster_points(d))
+    monkeypatch.setattr(CL, "BLOCK_ROWS", 10)
+    placed = CL.cluster_points(d)
+    plan = placed._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("Relation") == 1
+    assert groups(placed) == want and placed.count() == 100

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..functions import text as T
-from ..session import cut_lineage
+from ..session import cut_lineage, shared_folder
 
 POOL = ["task_family", "candidate_kind"]
 BLOCK_ROWS = 2048      # vectors of one pool that are placed in one round
@@ -118,7 +118,7 @@ def cluster_points(candidates: DataFrame, threshold: float = X.CLUSTER_SIMILARIT
     """
     points = cut_lineage(distinct_points(candidates))
     last = points.agg(F.max("block")).first()[0]
-    placed = None
+    placed, folder = None, shared_folder(points.sparkSession, "clusters")
     # Cluster numbers of round r start at r * BLOCK_ROWS: later rounds sort behind earlier ones.
     for block in range(0, int(last) + 1 if last is not None else 0):
         batch = points.filter(F.col("block") == block)
@@ -130,9 +130,11 @@ def cluster_points(candidates: DataFrame, threshold: float = X.CLUSTER_SIMILARIT
                   f"vector {points.schema['vector'].dataType.simpleString()}, block long, cluster long")
         done = joined.select(*POOL, "fingerprint", "copies", "vector", "block", "open").groupBy(*POOL).applyInPandas(
             _place(threshold, block * BLOCK_ROWS), schema)
-        # each round writes its own block only; what was placed before is read, not written again
-        done = cut_lineage(done) if int(last) > 0 else done
-        placed = done if placed is None else placed.unionByName(done)
+        if int(last) == 0:
+            return done
+        # each round adds its block to one table, so that its plan and its tasks do not grow with the rounds before
+        done.write.mode("append").parquet(folder)
+        placed = points.sparkSession.read.schema(done.schema).parquet(folder)
     if placed is None:
         return points.withColumn("cluster", F.lit(0).cast("long"))
     return placed
