@@ -254,3 +254,19 @@ def test_rounds_of_clustering_keep_one_plan(spark, monkeypatch):
     plan = placed._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" not in plan and plan.count("Relation") == 1
     assert groups(placed) == want and placed.count() == 100
+
+
+def test_vectors_travel_in_tiles(spark):
+    """All blocks meet, but a vector is sent once for each tile of the other side, not for each block."""
+    r = np.random.default_rng(4)
+    v = r.normal(size=(400, 3))
+    rows = spark.createDataFrame([(i, [float(x) for x in y]) for i, y in enumerate(v)], "record_id long, r_vec array<double>")
+    pairs = RT.similar_pairs(rows.withColumnsRenamed({"record_id": "query_id", "r_vec": "q_vec"}), rows, 0.2, size=4)
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(unit @ unit.T >= 0.2))}
+    got = [(x.query_id, x.record_id) for x in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    plan = pairs._jdf.queryExecution().optimizedPlan()
+    sent = [plan.children().apply(k) for k in range(2)] if plan.children().size() == 2 else []
+    dataset = spark._jvm.org.apache.spark.sql.classic.Dataset
+    assert sent and all(dataset.ofRows(spark._jsparkSession, side).count() <= 400 * RT.TILES[1] for side in sent)

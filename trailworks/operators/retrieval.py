@@ -34,6 +34,8 @@ def _unit_rows(vectors) -> np.ndarray:
 
 #: The most vectors that the space is divided by, and vectors in a block.
 PIVOTS, BLOCK = 256, 1024
+#: The least and the most tiles of a side (so often is a vector sent), and blocks in a tile where neither binds.
+TILES, TILE_BLOCKS = (8, 32), 16
 
 
 def _pivots(vectors: DataFrame, count: int) -> dict[int, np.ndarray]:
@@ -85,13 +87,23 @@ def _clean(vectors: DataFrame) -> DataFrame:
     return vectors.where(F.coalesce(whole, F.lit(False))).select("id", vec.alias("vec"), F.size("vec").alias("dim"))
 
 
+def _reach(floor: float) -> float:
+    """The largest angle of two vectors with cosine >= floor, and a hair."""
+    return float(np.arccos(np.clip(floor, -1, 1))) + 1e-6
+
+
+def _cone(unit: np.ndarray) -> tuple[np.ndarray, float]:
+    """Unit centre of unit vectors and the largest angle to it."""
+    centre = unit.mean(0)
+    centre = centre / (np.linalg.norm(centre) or 1.0)
+    return centre, float(np.arccos(np.clip(unit @ centre, -1, 1)).max())
+
+
 def block_cones(blocks: DataFrame) -> DataFrame:
     """(dim, pivot, chunk, centre, radius): the cone (unit centre and largest angle to it) that holds a block."""
     def cone(d: pd.DataFrame) -> pd.DataFrame:
         unit = np.stack(d["unit"].to_list())
-        centre = unit.mean(0)
-        centre = centre / (np.linalg.norm(centre) or 1.0)
-        radius = float(np.arccos(np.clip(unit @ centre, -1, 1)).max())
+        centre, radius = _cone(unit)
         return pd.DataFrame({"dim": d["dim"].iloc[:1], "pivot": d["pivot"].iloc[:1], "chunk": d["chunk"].iloc[:1], "centre": [list(centre)], "radius": [radius]})
 
     return blocks.groupBy("dim", "pivot", "chunk").applyInPandas(cone, "dim int, pivot int, chunk int, centre array<double>, radius double")
@@ -103,7 +115,7 @@ def block_pairs(queries: DataFrame, records: DataFrame, pivots: dict[int, np.nda
     Two cones whose centres are further apart than both radii and the floor's angle hold no such pair. Query
     cones meet the cones of whole pivots first, so that only blocks of pivots within reach are joined.
     """
-    reach = float(np.arccos(np.clip(floor, -1, 1))) + 1e-6
+    reach = _reach(floor)
     far = {(r.dim, r.pivot): r.far for r in records.groupBy("dim", "pivot").agg(F.max(_angle_to(pivots)).alias("far")).collect()}
 
     def meet(batches):
@@ -138,23 +150,45 @@ def similar_pairs(queries: DataFrame, records: DataFrame, floor: float, pivots:
 
     ``queries``: query_id, q_vec. ``records``: record_id, r_vec. Both are cut into blocks around common
     pivots (by default as many as the records fill blocks, at most ``PIVOTS``); only pairs of blocks that can
-    reach the floor are multiplied, each in a task of its own, and only passing pairs leave it.
+    reach the floor are multiplied, those of two tiles in one task, and only passing pairs leave it.
     """
     clean = _clean(records.select(F.col("record_id").alias("id"), F.col("r_vec").alias("vec")))
     chosen = _pivots(clean, pivots or min(PIVOTS, -(-clean.count() // size) or 1))
     q = cut_lineage(vector_blocks(queries.select(F.col("query_id").alias("id"), F.col("q_vec").alias("vec")), chosen, size))
     r = cut_lineage(vector_blocks(records.select(F.col("record_id").alias("id"), F.col("r_vec").alias("vec")), chosen, size))
     pairs = cut_lineage(block_pairs(q, r, chosen, floor))
-    keys = ["dim", "q_pivot", "q_chunk", "pivot", "chunk"]
-    left = q.withColumnsRenamed({"pivot": "q_pivot", "chunk": "q_chunk"}).join(pairs, keys[:3])
-    right = r.join(pairs, ["dim", "pivot", "chunk"])
+    # blocks travel in tiles: a vector goes once to each tile of the other side that it may meet, not to each block
+    number = lambda cols, n: F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
+    counts = [d.count() for d in (q, r)]
+    tiles = [max(1, min(TILES[1], max(-(-n // (TILE_BLOCKS * size)), min(TILES[0], -(-n // size))))) for n in counts]
+    pairs = pairs.withColumn("q_tile", number(["q_pivot", "q_chunk"], tiles[0])).withColumn("tile", number(["pivot", "chunk"], tiles[1]))
+    keys = ["dim", "q_tile", "tile"]
+    tasks = min(tiles[0] * tiles[1], 1024)
+    meets = lambda *side: pairs.select(*(F.col(c).alias(c) for c in (*side, *keys))).distinct()
+    left = q.withColumnsRenamed({"pivot": "q_pivot", "chunk": "q_chunk"}).join(
+        meets("q_pivot", "q_chunk"), ["dim", "q_pivot", "q_chunk"]).repartition(tasks, *keys)
+    right = r.join(meets("pivot", "chunk"), ["dim", "pivot", "chunk"]).repartition(tasks, *keys)
+    reach = _reach(floor)
+
+    def blocks(d: pd.DataFrame, pivot: str, chunk: str) -> list[tuple]:
+        made = []
+        for _, part in d.groupby([pivot, chunk]):
+            unit = np.stack(part["unit"].to_list())
+            made.append((part["id"].to_numpy(), unit, *_cone(unit)))
+        return made
 
     def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"query_id": a["id"].iloc[:0], "record_id": b["id"].iloc[:0], "semantic": np.zeros(0)})
-        dots = np.clip(np.stack(a["unit"].to_list()) @ np.stack(b["unit"].to_list()).T, -1, 1)
-        i, j = np.nonzero(dots >= floor)
-        return pd.DataFrame({"query_id": a["id"].to_numpy()[i], "record_id": b["id"].to_numpy()[j], "semantic": dots[i, j]})
+        found = [(a["id"].to_numpy()[:0], b["id"].to_numpy()[:0], np.zeros(0))]
+        theirs = blocks(b, "pivot", "chunk")
+        for q_id, q_unit, q_centre, q_radius in blocks(a, "q_pivot", "q_chunk"):
+            for r_id, r_unit, centre, radius in theirs:
+                if np.arccos(np.clip(q_centre @ centre, -1, 1)) - q_radius - radius > reach:
+                    continue
+                dots = np.clip(q_unit @ r_unit.T, -1, 1)
+                i, j = np.nonzero(dots >= floor)
+                found.append((q_id[i], r_id[j], dots[i, j]))
+        q_ids, r_ids, dots = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pd.DataFrame({"query_id": q_ids, "record_id": r_ids, "semantic": dots})
 
     schema = (f"query_id {queries.schema['query_id'].dataType.simpleString()}, "
               f"record_id {records.schema['record_id'].dataType.simpleString()}, semantic double")
