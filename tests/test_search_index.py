@@ -124,3 +124,15 @@ def test_text_ids_empty_changes_and_vectors(spark):
     got = {(r.query_id, r.record_id): (r.match_mode, round(r.semantic_score, 6)) for r in IX.hybrid_search(index, q, records, near).collect()}
     want = {(r.query_id, r.record_id): (r.match_mode, round(r.semantic_score, 6)) for r in RT.scored_matches(records, q).collect()}
     assert got == want == {(1, "schedule"): ("lexical_exact", 0.0), (1, "offer"): ("hybrid", 1.0), (2, "offer"): ("hybrid", 1.0)}
+
+
+def test_postings_are_bucketed_and_ordered_without_comparing_text(spark):
+    rng = random.Random(5)
+    index = IX.create_index(spark, shared_folder(spark, "index"), buckets=2)
+    IX.add_records(index, spark.createDataFrame([(k, " ".join(f"word{rng.randrange(40)}" for _ in range(60))) for k in range(300)], RECORD))
+    plan = spark.sql(f"DESCRIBE EXTENDED {index.postings_name}").collect()
+    assert not any(r.col_name == "Sort Columns" and "token" in r.data_type for r in plan)
+    rows = index._raw("postings").select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"), IX._together().alias("place")).collect()
+    for file in {r.file for r in rows}:
+        places = [r.place for r in sorted(rows, key=lambda r: r.at) if r.file == file]
+        assert places == sorted(places)

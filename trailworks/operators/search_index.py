@@ -4,6 +4,7 @@ An index is a folder of Parquet tables.
 
 ``postings``  (version, token, block, record_id, tf, dl), bucketed by (token, block): a search shuffles its own
               small rows to the buckets and never the postings, and a common token is spread over its blocks.
+              Rows of a token and block lie together; one number orders them, so that no text is compared.
 ``blocks``    (version, token, block, max_tf, min_dl): the most that a token can add to a score inside a block.
 ``terms``     (version, token, df, max_tf, min_dl): document frequencies as differences, negative for what went.
 ``records``   (version, record_id, block, dl), ``removed`` (version, record_id), and ``commits``
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..functions import text as T
+from ..functions.staging import staged
 from ..session import cut_lineage
 from .retrieval import cosine
 
@@ -114,7 +116,7 @@ def open_index(spark: SparkSession, folder: str) -> SearchIndex:
     id_type, buckets = spark.read.parquet(f"{folder}/settings").first()
     name = f"postings_{uuid.uuid4().hex}"
     spark.sql(f"CREATE TABLE {name} (version BIGINT, token STRING, block BIGINT, record_id {id_type}, tf BIGINT, dl BIGINT) USING parquet "
-              f"CLUSTERED BY (token, block) SORTED BY (token, block) INTO {buckets} BUCKETS LOCATION '{folder}/postings'")
+              f"CLUSTERED BY (token, block) INTO {buckets} BUCKETS LOCATION '{folder}/postings'")
     return SearchIndex(spark, folder, name, id_type, buckets)
 
 
@@ -140,18 +142,24 @@ def add_records(index: SearchIndex, records: DataFrame) -> None:
     index.write(tokens.select("record_id", "block", "dl"), "records", version)
     # one shuffle to the buckets; the counts are made where the rows are written
     terms = tokens.select("record_id", "block", "dl", F.explode("tokens").alias("token")).repartition(index.buckets, "token", "block").groupBy(
-        "token", "block", "record_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    postings = terms.select(F.lit(version).cast("long").alias("version"), "token", "block", "record_id", "tf", "dl")
-    (postings.write.format("parquet").mode("append").bucketBy(index.buckets, "token", "block").sortBy("token", "block")
+        "token", "block", "record_id", "dl").agg(F.count(F.lit(1)).alias("tf")).sortWithinPartitions(_together())
+    # behind a generator the order is kept; the writer's own order begins with the bucket, which is the same for a whole task
+    postings = staged(terms, version=F.lit(version).cast("long")).select("version", "token", "block", "record_id", "tf", "dl")
+    (postings.write.format("parquet").mode("append").bucketBy(index.buckets, "token", "block")
      .option("path", f"{index.folder}/postings").saveAsTable(index.postings_name))
     stored = index._raw("postings").where(F.col("version") == version)
     index.write(stored.groupBy("token", "block").agg(F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.count(F.lit(1)).alias("n"))
-                .sortWithinPartitions("token", "block"), "blocks", version)
+                .sortWithinPartitions(_together()), "blocks", version)
     per_block = index.spark.read.parquet(f"{index.folder}/blocks/version={version}")
     index.write(per_block.groupBy("token").agg(F.sum("n").alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl")), "terms", version)
     index.commit(version, "add", tokens.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl")))
 
 
+def _together() -> Column:
+    """One number that orders rows by the hash of their token and then of their block."""
+    return F.hash("token").cast("long") * (1 << 32) + F.hash("block")
+
+
 def remove_records(index: SearchIndex, ids: DataFrame) -> None:
     """Take the records of ``ids`` (record_id) out; ids that the index does not have are ignored."""
     now = index.snapshot()
