@@ -168,3 +168,32 @@ def test_staged_and_direct_trials_load(spark, tmp_path):
     compact = [(x.step, x.action, x.code) for x in S.compact_stream(lines).orderBy("step").collect()]
     assert [c[1] for c in compact] == ["assistant_text", "Bash", "tool_result", "tool_result_error"]
     assert json.loads(compact[1][2]) == {"function_name": "Bash", "arguments": {"command": "pwd"}}
+
+
+def test_operations_of_both_sides_are_made_once(spark):
+    rng = random.Random(6)
+    commands = [f"python run_{k}.py --n {k}" for k in range(6)]
+    rows = [("f", f"t{t}", n, i, "run", rng.random() < 0.7, rng.choice(commands)) for t in range(4) for n in range(1, 5) for i in range(rng.choice([3, 70]))]
+    events = spark.createDataFrame(rows, "task_family string, task_name string, attempt_number int, step_idx int, signature_token string, success boolean, raw_text string")
+    links = spark.createDataFrame([("f", f"t{t}", n, rng.choice(["success", "failure"]) if n < 4 else "missing") for t in range(3) for n in (1, 3, 4)],
+                                  "task_family string, task_name string, attempt_number int, retry_outcome string")
+    d = R.retry_changes(events, links)
+    # the patterns have run before; the plan that meets the two sides does not repeat them
+    assert "regexp_replace" not in d._jdf.queryExecution().optimizedPlan().toString().lower()
+
+    made = {(r.task_name, r.attempt_number, r.pos): r.operation for r in R.operations(events).collect()}
+    asked = {(r.task_name, r.attempt_number) for r in links.collect() if r.retry_outcome != "missing"}
+    want = []
+    for task, n in asked:
+        sides = []
+        for m in (n, n + 1):
+            seen, side = {}, {}
+            for pos in range(1, 61):
+                if op := made.get((task, m, pos)):
+                    seen[op] = seen.get(op, 0) + 1
+                    side[op, seen[op]] = pos
+            sides.append(side)
+        for change, keys in (("retained", sides[0].keys() & sides[1].keys()), ("removed", sides[0].keys() - sides[1].keys()), ("added", sides[1].keys() - sides[0].keys())):
+            at = sorted((sides[1].get(k, sides[0].get(k)), k[0]) for k in keys)
+            want += [(task, n, change, rank, op) for rank, (_, op) in enumerate(at[:30], 1)]
+    assert sorted((r.task_name, r.attempt_number, r.change, r["rank"], r.operation) for r in d.collect()) == sorted(want)

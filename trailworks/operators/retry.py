@@ -10,6 +10,8 @@ from ..functions import fixed as X
 from ..functions import text as T
 from ..functions.lists import contains_any, non_empty, strip
 from ..functions.sequence import first_rows
+from ..functions.staging import staged
+from ..session import cut_lineage
 from .trajectory import ATTEMPT, last_failures
 
 MAX_OPERATIONS = 60
@@ -30,12 +32,13 @@ def retry_links(attempts: DataFrame) -> DataFrame:
 
 def operations(events: DataFrame) -> DataFrame:
     """The first 60 parameterized operations of each attempt, in order."""
-    shape = C.command_shape(F.col("raw_text"))
+    first = first_rows(events.select(*ATTEMPT, "step_idx", "signature_token", "success", "raw_text"), ATTEMPT, ["step_idx"], MAX_OPERATIONS)
+    # the patterns run once for each operation that is kept
+    first = staged(first, _shape=C.command_shape(F.col("raw_text")))
     detail = F.concat(F.col("signature_token"), F.lit(" ["),
                       F.when(F.col("success"), "succeeded").otherwise("failed"), F.lit("]"),
-                      F.when(F.length(shape) > 0, F.concat(F.lit(" "), shape)).otherwise(""))
-    first = first_rows(events.select(*ATTEMPT, "step_idx", F.substring(detail, 1, 500).alias("operation")),
-                       ATTEMPT, ["step_idx"], MAX_OPERATIONS)
+                      F.when(F.length("_shape") > 0, F.concat(F.lit(" "), "_shape")).otherwise(""))
+    first = first.select(*ATTEMPT, "step_idx", F.substring(detail, 1, 500).alias("operation"))
     w = Window.partitionBy(*ATTEMPT)
     return first.select(
         *ATTEMPT, "operation",
@@ -49,8 +52,10 @@ def retry_changes(events: DataFrame, links: DataFrame) -> DataFrame:
     The k-th copy of an operation matches the k-th copy on the other side, so what has no
     partner is added or removed; at most 60 operations per attempt take part.
     """
-    ops = operations(events)
-    pairs = links.filter(F.col("retry_outcome") != "missing").select(*ATTEMPT)
+    pairs = cut_lineage(links.filter(F.col("retry_outcome") != "missing").select(*ATTEMPT))
+    sides = pairs.unionByName(pairs.withColumn("attempt_number", F.col("attempt_number") + 1)).distinct()
+    # both sides read the same operations, so they are made once, for the attempts that are on a side
+    ops = cut_lineage(operations(events.join(sides, ATTEMPT, "left_semi")))
     src = ops.join(pairs, ATTEMPT, "left_semi").withColumnRenamed("pos", "source_pos")
     ret = ops.withColumn("attempt_number", F.col("attempt_number") - 1).join(
         pairs, ATTEMPT, "left_semi").withColumnRenamed("pos", "retry_pos")
