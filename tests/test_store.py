@@ -270,3 +270,31 @@ def test_vectors_travel_in_tiles(spark):
     sent = [plan.children().apply(k) for k in range(2)] if plan.children().size() == 2 else []
     dataset = spark._jvm.org.apache.spark.sql.classic.Dataset
     assert sent and all(dataset.ofRows(spark._jsparkSession, side).count() <= 400 * RT.TILES[1] for side in sent)
+
+
+def test_a_vector_is_made_for_each_text_and_weighs_its_copies(spark, monkeypatch):
+    from pyspark.ml.feature import IDF, HashingTF
+    from pyspark.ml.functions import vector_to_array
+
+    from trailworks.plans import evidence as EV
+
+    rows = [("f", "workflow", f"read sheet {'abc'[i % 3]}", f"file {'xy'[i % 2]} missing") for i in range(30)] + [(None, "workflow", "of no family", "none")]
+    d = spark.createDataFrame([(f"c{i}", f"t{i % 5}", "verified_success", *r) for i, r in enumerate(rows)],
+                              "candidate_id string, task_name string, evidence_label string, task_family string, candidate_kind string, intent string, obstacle string")
+    texts = d.withColumn("text", T.embedding_text(d.intent, d.obstacle))
+    tf = HashingTF(inputCol="tokens", outputCol="tf", numFeatures=64).transform(texts.withColumn("tokens", T.retrieval_tokens(texts.text)))
+    plain = IDF(inputCol="tf", outputCol="idf").fit(tf).transform(tf).select("text", vector_to_array("tf").alias("tf"), vector_to_array("idf").alias("idf")).collect()
+    want = {}
+    for r in plain:
+        v = np.array(r.tf) + np.array(r.idf)
+        want[r.text] = v / np.sqrt((v * v).sum())
+    some = texts.groupBy("text").count()
+    for got in (RT.hashed_vectors(texts, "text", 64), RT.hashed_vectors(some, "text", 64, copies="count")):
+        for r in got.collect():
+            assert np.allclose(r.vector, want[r.text], atol=1e-6)
+
+    seen, made = [], RT.hashed_vectors
+    monkeypatch.setattr(RT, "hashed_vectors", lambda x, *a, **b: seen.append(x.count()) or made(x, *a, **b))
+    clusters, members = EV.cluster(d)
+    assert seen == [7] and members.count() == 30
+    assert sum(r.members for r in clusters.collect()) == 30

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..functions import text as T
+from ..functions.staging import staged
 from ..session import cut_lineage, shared_folder
 
 POOL = ["task_family", "candidate_kind"]
@@ -22,14 +23,22 @@ def check_kinds(candidates: DataFrame) -> DataFrame:
                              | F.col("candidate_kind").isNull())
 
 
+def keyed(candidates: DataFrame) -> DataFrame:
+    """Candidates with their ``fingerprint`` and the ``embedded`` text; both come from the same masked texts, which are made once."""
+    d = staged(candidates, _masked=F.struct(T.cluster_text(F.col("intent")).alias("intent"), T.cluster_text(F.col("obstacle")).alias("obstacle")))
+    return d.withColumns({"fingerprint": T.masked_fingerprint(F.col("_masked.intent"), F.col("_masked.obstacle")),
+                          "embedded": T.masked_embedding_text(F.col("_masked.intent"), F.col("_masked.obstacle"))}).drop("_masked")
+
+
 def distinct_points(candidates: DataFrame) -> DataFrame:
     """Exact copies collapsed with their count: twins always share a cluster.
 
-    ``candidates``: POOL, fingerprint, vector. Blocks number the points of a pool in
-    fingerprint order, ``BLOCK_ROWS`` at a time.
+    ``candidates``: POOL, fingerprint, vector (or embedded, the text that a vector is made of later).
+    Blocks number the points of a pool in fingerprint order, ``BLOCK_ROWS`` at a time.
     """
+    value = "vector" if "vector" in candidates.columns else "embedded"
     points = candidates.groupBy(*POOL, "fingerprint").agg(
-        F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector"))
+        F.count(F.lit(1)).alias("copies"), F.first(value).alias(value))
     from ..functions.sequence import numbered
     # The fingerprint is hexadecimal, so its first digits cut a pool into even ranges.
     ranked = numbered(points, POOL, ["fingerprint"], "_n", F.substring("fingerprint", 1, 3))
@@ -116,7 +125,11 @@ def cluster_points(candidates: DataFrame, threshold: float = X.CLUSTER_SIMILARIT
     comparing the block with everything placed before is distributed, only the block itself
     is walked in order. A pool of up to ``BLOCK_ROWS`` distinct points needs one round.
     """
-    points = cut_lineage(distinct_points(candidates))
+    return place_points(cut_lineage(distinct_points(candidates)), threshold)
+
+
+def place_points(points: DataFrame, threshold: float = X.CLUSTER_SIMILARITY) -> DataFrame:
+    """C1 for distinct points (POOL, fingerprint, copies, vector, block), which are read once for each block."""
     last = points.agg(F.max("block")).first()[0]
     placed, folder = None, shared_folder(points.sparkSession, "clusters")
     # Cluster numbers of round r start at r * BLOCK_ROWS: later rounds sort behind earlier ones.
@@ -165,10 +178,21 @@ def representatives(placed: DataFrame) -> DataFrame:
         F.max("mean_similarity").alias("mean_similarity"))
 
 
-def group_candidates(candidates: DataFrame, threshold: float = X.CLUSTER_SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(clusters, members). ``candidates``: candidate columns and ``vector``."""
-    d = candidates.withColumn("fingerprint", T.fingerprint(F.col("intent"), F.col("obstacle")))
-    placed = cut_lineage(cluster_points(d.select(*POOL, "fingerprint", "vector"), threshold))
+def group_candidates(candidates: DataFrame, threshold: float = X.CLUSTER_SIMILARITY, vectorize=None) -> tuple[DataFrame, DataFrame]:
+    """(clusters, members). ``candidates``: candidate columns and ``vector``.
+
+    With ``vectorize`` candidates have no vector but are ``keyed``: it gets each distinct text once
+    (embedded, copies) and adds ``vector``. A vector is then made and kept for each point, not for each candidate.
+    """
+    if vectorize is None:
+        d = candidates.withColumn("fingerprint", T.fingerprint(F.col("intent"), F.col("obstacle")))
+        points = distinct_points(d.select(*POOL, "fingerprint", "vector"))
+    else:
+        d = candidates
+        points = cut_lineage(distinct_points(d.select(*POOL, "fingerprint", "embedded")))
+        vectors = vectorize(d.groupBy("embedded").agg(F.count(F.lit(1)).alias("copies"))).select("embedded", "vector")
+        points = points.join(vectors, "embedded").select(*POOL, "fingerprint", "copies", "vector", "block")
+    placed = cut_lineage(place_points(cut_lineage(points), threshold))
     reps = representatives(placed)
     texts = d.groupBy(*POOL, "fingerprint").agg(F.min_by("intent", "candidate_id").alias("intent"),
                                                 F.min_by("obstacle", "candidate_id").alias("obstacle"))

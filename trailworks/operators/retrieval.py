@@ -321,18 +321,28 @@ def rank_sections(secs: DataFrame, queries: DataFrame, limit: int = 4) -> DataFr
         "doc_id", "rank", "section_id", "heading", "score")
 
 
-def hashed_vectors(texts: DataFrame, text_column: str, dims: int = 1024, vectorizer=None) -> DataFrame:
-    """Unit vectors of text, from a user-supplied ``pandas_udf`` or hashed TF-IDF (weights above zero)."""
+def hashed_vectors(texts: DataFrame, text_column: str, dims: int = 1024, vectorizer=None, copies: str | None = None) -> DataFrame:
+    """Unit vectors of text, from a user-supplied ``pandas_udf`` or hashed TF-IDF (weights above zero).
+
+    ``copies``: a column with the number of texts that a row stands for; document frequencies count them all.
+    """
     if vectorizer is not None:
         return texts.withColumn("vector", vectorizer(F.col(text_column)))
-    from pyspark.ml.feature import IDF, HashingTF
+    from pyspark.ml.feature import HashingTF
     from pyspark.ml.functions import vector_to_array
 
+    n = F.lit(1) if copies is None else F.col(copies)
     d = texts.withColumn("_tokens", T.retrieval_tokens(F.col(text_column)))
-    d = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=dims).transform(d)
-    d = IDF(inputCol="_tf", outputCol="_idf").fit(d).transform(d)
+    d = HashingTF(inputCol="_tokens", outputCol="_vector", numFeatures=dims).transform(d)
+    d = staged(d, _tf=vector_to_array("_vector"))
+    # one row: the number of texts with each of the ``dims`` hashes
+    places = F.filter(F.transform("_tf", lambda x, i: F.when(x > 0, i)), lambda i: i.isNotNull())
+    found = d.select(n.alias("n"), F.explode(places).alias("place")).groupBy("place").agg(F.sum("n").alias("n"))
+    found = found.agg(F.map_from_entries(F.collect_list(F.struct("place", "n"))).alias("found")).crossJoin(texts.agg(F.sum(n).alias("all")))
+    weights = found.select(F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.log((F.col("all") + 1.0) / (F.coalesce(F.col("found")[i], F.lit(0)) + 1.0))).alias("_weights"))
+    d = d.crossJoin(F.broadcast(weights)).withColumn("_idf", F.zip_with("_tf", "_weights", lambda x, w: x * w))
     # Counts are added to the weighted counts: a token that every text has still counts a little.
-    d = staged(d, _sum=F.zip_with(vector_to_array("_tf"), vector_to_array("_idf"), lambda x, y: x + y))
+    d = staged(d, _sum=F.zip_with("_tf", "_idf", lambda x, y: x + y))
     d = staged(d, _size=F.greatest(F.sqrt(F.aggregate("_sum", F.lit(0.0), lambda s, x: s + x * x)), F.lit(1e-12)))
     return d.withColumn("vector", F.transform("_sum", lambda x: (x / F.col("_size")).cast("float"))).drop(
-        "_tokens", "_tf", "_idf", "_sum", "_size")
+        "_tokens", "_vector", "_tf", "_weights", "_idf", "_sum", "_size")

@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..operators import clustering as CL
 from ..operators import memory as M
 from ..operators import retrieval as RT
@@ -44,10 +43,9 @@ def extract(steps: DataFrame, attempts: DataFrame, min_cost: int = 2) -> Evidenc
 def cluster(candidates: DataFrame, vectorizer=None, threshold: float = 0.75, min_occurrences: int = 3,
             assessments: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Publishable clusters and the members of every cluster."""
-    # Candidates are read by the weighting pass, the clustering and the gate: write them once.
-    texts = cut_lineage(candidates).withColumn("_text", T.embedding_text(F.col("intent"), F.col("obstacle")))
-    vectors = RT.hashed_vectors(texts, "_text", vectorizer=vectorizer).drop("_text")
-    clusters, members = CL.group_candidates(cut_lineage(vectors), threshold)
+    # Candidates are read for the points, their texts and the gate: write them once.
+    texts = cut_lineage(CL.keyed(candidates.select("candidate_id", "task_name", "evidence_label", *CL.POOL, "intent", "obstacle")))
+    clusters, members = CL.group_candidates(texts, threshold, lambda d: RT.hashed_vectors(d, "embedded", vectorizer=vectorizer, copies="copies"))
     gate = CL.cluster_support(members, min_occurrences).filter("publishable")
     return CL.quality_gate(clusters.join(gate, "capability_id"), assessments), members
 
