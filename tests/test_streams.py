@@ -95,3 +95,27 @@ def test_streamed_calls_follow_the_rule_in_any_order_of_arrival(spark, tmp_path)
     got = [(r.trial_path, r.tool_use_id, r.line_no, r.block, r.result_text, r.is_error, r.answered) for r in got.collect()]
     assert sorted(got) == plain_calls(lines)
     assert {r[6] for r in got} == {True, False}
+
+
+def test_ids_share_a_state_but_not_their_wait(spark, tmp_path):
+    schema, start = "trial_path string, line_no long, value string, arrived long", 1_700_000_000
+
+    def arrive(rows, groups=1, name="one"):
+        folder = tmp_path / name
+        d = spark.createDataFrame([(t, no, json.dumps({"type": kind, "message": {"content": [b]}}), start + at) for t, no, kind, b, at in rows], schema)
+        d = d.selectExpr("trial_path", "line_no", "value", "timestamp_seconds(arrived) AS arrived")
+        d.write.mode("append").parquet(str(folder / "in"))
+        q = ST.ingest_calls(spark.readStream.schema(d.schema).parquet(str(folder / "in")), str(folder / "store"), str(folder / "ck"), "1 hour", 2, groups)
+        q.awaitTermination()
+        return {(r.trial_path, r.tool_use_id): (r.answered, r.result_text) for r in read_store(spark, str(folder / "store")).collect()}, q.recentProgress[-1].stateOperators[0].numRowsTotal
+
+    call = lambda key: {"type": "tool_use", "id": key, "name": "Bash", "input": {}}
+    said = lambda key, text: {"type": "tool_result", "tool_use_id": key, "content": text}
+    assert arrive([("a", 0, "assistant", call("x"), 0), (None, 0, "assistant", call("x"), 0), (None, 1, "user", said("x", "nowhere"), 0)])[0] == {(None, "x"): (True, "nowhere")}
+    got, _ = arrive([("a", 1, "assistant", call("y"), 7201)])
+    assert got == {(None, "x"): (True, "nowhere"), ("a", "x"): (False, "")}       # y is still waited for
+    got, states = arrive([("a", 2, "user", said("y", "in time"), 7202), ("a", 3, "user", said("x", "late"), 0)])
+    assert got == {(None, "x"): (True, "nowhere"), ("a", "x"): (False, ""), ("a", "y"): (True, "in time")} and states == 1
+    # many ids pay for few states
+    got, states = arrive([("b", i, "assistant", call(f"k{i}"), 0) for i in range(100)] + [("b", 100 + i, "user", said(f"k{i}", f"r{i}"), 0) for i in range(100)], 4, "many")
+    assert got == {("b", f"k{i}"): (True, f"r{i}") for i in range(100)} and states <= 4

@@ -15,6 +15,8 @@ from ..operators.memory import last_per_id, merge_store
 from ..sources.trajectories import log_lines
 from .store import BUCKETS, RETAIN, apply_batch
 
+STATE_GROUPS = 1024     # states that the ids of a stream are dealt to
+
 
 def read_log_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
     """ST1 source: new log files as lines (trial_path, arrived, line_no, value). A file is read whole, so its
@@ -61,53 +63,59 @@ _CALLS = ("trial_path string, tool_use_id string, line_no long, block int, tool_
           "is_error boolean, answered boolean")
 
 
-def joined_calls(lines: DataFrame, wait: str = "1 hour") -> DataFrame:
+def joined_calls(lines: DataFrame, wait: str = "1 hour", groups: int = STATE_GROUPS) -> DataFrame:
     """ST1: calls with their result, in update mode: a row for each call whose answer is new or has changed.
 
     The events of a (trial, tool id) are state until ``wait`` after the last of them arrived. A line that is
     delivered twice counts once, and lines may come in any order while they are waited for. When the wait
     is over, calls without a result leave unanswered, and later lines of the id are late and dropped.
+
+    Ids are dealt by hash to at most ``groups`` groups, each with one state, so that a micro-batch pays for a group
+    and not for each id. ``groups`` must stay the same for a checkpoint.
     """
     spark = lines.sparkSession
     wait_ms = int(spark.sql(f"SELECT CAST(INTERVAL {wait} AS INTERVAL SECOND)").first()[0].total_seconds() * 1000)
 
-    def rows(key: tuple, found: dict, places) -> pd.DataFrame:
-        out = []
-        for at in places:
-            call, result = found[at]
-            out.append((*key, at[0], at[1], call[3], call[4], result[4] if result else "", bool(result and result[5]) if result else None, result is not None))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in _CALLS.split(", ")])
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else {"events": [], "told": {}, "until": 0}
-        if state.hasTimedOut:
-            found = owners(held["events"])
-            open_calls = [at for at, (_, result) in found.items() if result is None]
-            state.remove()
-            if open_calls:
-                yield rows(key, found, open_calls)
-            return
-        events = {(e[0], e[1], e[2]): e for e in held["events"]}
-        until = held["until"]
-        for d in batches:
+    def step(_, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now, held, touched = state.getCurrentWatermarkMs(), {}, set()
+        for trial, tool, events, told, until in json.loads(state.get[0]) if state.exists else ():
+            held[trial, tool] = ({(e[0], e[1], e[2]): e for e in events}, told, until)
+        for d in () if state.hasTimedOut else batches:
             for r in d.itertuples(index=False):
+                key = (r.trial_path, r.tool_use_id)
+                events, told, until = held.get(key, ({}, {}, 0))
                 e = [int(r.line_no), int(r.block), bool(r.is_call), r.name, r.body, bool(r.wrong)]
                 events.setdefault((e[0], e[1], e[2]), e)
-                until = max(until, int(r.arrived.timestamp() * 1000) + wait_ms)
-        found = owners(list(events.values()))
-        answers = {f"{at[0]}:{at[1]}": [result[0], result[1]] for at, (_, result) in found.items() if result}
-        fresh = [at for at in found if (k := f"{at[0]}:{at[1]}") in answers and held["told"].get(k) != answers[k]]
-        state.update((json.dumps({"events": list(events.values()), "told": answers, "until": until}),))
-        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
-        if fresh:
-            yield rows(key, found, fresh)
-
-    calls = call_events(lines).withWatermark("arrived", wait).groupBy("trial_path", "tool_use_id").applyInPandasWithState(
+                held[key] = (events, told, max(until, int(r.arrived.timestamp() * 1000) + wait_ms))
+                touched.add(key)
+        out, kept = [], []
+        for key, (events, told, until) in held.items():
+            over = key not in touched and until < now
+            if over or key in touched:
+                found = owners(list(events.values()))
+                answers = {f"{at[0]}:{at[1]}": [result[0], result[1]] for at, (_, result) in found.items() if result}
+                for at, (call, result) in found.items():
+                    k = f"{at[0]}:{at[1]}"
+                    if result is None if over else k in answers and told.get(k) != answers[k]:
+                        out.append((*key, at[0], at[1], call[3], call[4], result[4] if result else "", bool(result[5]) if result else None, result is not None))
+                told = answers
+            if not over:
+                kept.append((*key, list(events.values()), told, until))
+        if kept:
+            state.update((json.dumps(kept),))
+            state.setTimeoutTimestamp(max(min(k[-1] for k in kept), now + 1))
+        else:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in _CALLS.split(", ")])
+
+    events = call_events(lines).withWatermark("arrived", wait)
+    calls = events.withColumn("state_group", F.pmod(F.xxhash64("trial_path", "tool_use_id"), F.lit(groups))).groupBy("state_group").applyInPandasWithState(
         step, _CALLS, "held string", "update", GroupStateTimeout.EventTimeTimeout)
     return calls.withColumn("args", F.from_json("args_json", "map<string,string>")).drop("args_json")
 
 
-def ingest_calls(lines: DataFrame, store: str, checkpoint: str, wait: str = "1 hour", buckets: int = BUCKETS) -> StreamingQuery:
+def ingest_calls(lines: DataFrame, store: str, checkpoint: str, wait: str = "1 hour", buckets: int = BUCKETS, groups: int = STATE_GROUPS) -> StreamingQuery:
     """ST1 sink: keep the last row of each call in a store (see ``store.read_store``) until the files present are done."""
     place = F.concat_ws(":", "trial_path", "tool_use_id", F.col("line_no").cast("string"), F.col("block").cast("string"))
 
@@ -117,7 +125,7 @@ def ingest_calls(lines: DataFrame, store: str, checkpoint: str, wait: str = "1 h
     def step(batch: DataFrame, batch_id: int) -> None:
         apply_batch(store, batch_id, batch.withColumn("call_id", place), "call_id", merge, buckets)
 
-    return joined_calls(lines, wait).writeStream.foreachBatch(step).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return joined_calls(lines, wait, groups).writeStream.foreachBatch(step).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def merge_stream(records: DataFrame, store: str, checkpoint: str, promoted: str, buckets: int = BUCKETS, retain: int = RETAIN) -> StreamingQuery:
