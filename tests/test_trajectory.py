@@ -197,3 +197,42 @@ def test_operations_of_both_sides_are_made_once(spark):
             at = sorted((sides[1].get(k, sides[0].get(k)), k[0]) for k in keys)
             want += [(task, n, change, rank, op) for rank, (_, op) in enumerate(at[:30], 1)]
     assert sorted((r.task_name, r.attempt_number, r.change, r["rank"], r.operation) for r in d.collect()) == sorted(want)
+
+
+def test_trial_files_are_listed_and_read_in_tasks(spark, tmp_path, monkeypatch):
+    from trailworks.sources import files as FI
+
+    def put(path, data):
+        at = tmp_path / path
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_bytes(data)
+
+    step = {"source": "agent", "message": "é"}
+    put("a/x/agent/trajectory.json", json.dumps({"steps": [step]}, ensure_ascii=False).encode("utf-16"))
+    put("b/agent/trajectory.json", b"\xef\xbb\xbf" + json.dumps([{"steps": [step]}, {"steps": [step, step]}]).encode())
+    put("c/agent/trajectory.json", b"{broken")
+    put("d/agent/trajectory.json", b" \n")
+    put("_e/agent/trajectory.json", json.dumps({"steps": [step]}).encode())
+    put("f/agent/.trajectory.json", json.dumps({"steps": [step]}).encode())
+    put("g+%20 h/agent/trajectory.json", json.dumps({"steps": [step]}).encode())
+    put("l/agent/claude-code.txt", b"one\r\ntwo\n\nfour\r")
+    put("m/sessions/agent.log", b"".join(b"line %d\n" % i for i in range(1000)) + b"last")
+    put("n/sessions/agent.log", b"")
+    put("claude-code.txt", b"no trial")
+    root = str(tmp_path)
+    found = S.step_files(spark, root)
+    assert found.inputFiles() == [] and S.log_files(spark, root).inputFiles() == []      # no list on the driver
+    got = sorted((r.trial_path.removeprefix(root), r.step_idx or 0, r.message) for r in found.collect())
+    assert got == [("/a/x", 1, "é"), ("/b", 1, "é"), ("/b", 1, "é"), ("/b", 2, "é"), ("/c", 0, ""), ("/g+%20 h", 1, "é")]
+    monkeypatch.setattr(FI, "PIECE", 64)        # workers are forked with the value of the module; pieces are tested here
+    with (tmp_path / "m/sessions/agent.log").open("rb") as f:
+        pieces = list(FI._pieces(f, False))
+    assert len(pieces) > 100 and all(p.endswith(b"\n") for p in pieces[:-1]) and b"".join(pieces) == (tmp_path / "m/sessions/agent.log").read_bytes()
+    cut = [(str(tmp_path / "m/sessions/agent.log"), "agent.log", i, bytearray(p)) for i, p in enumerate(pieces)]
+    cut = spark.createDataFrame(cut, "path string, name string, piece int, content binary")
+    for lines in (S.log_files(spark, root).unionByName(S.log_files(spark, root, cut).withColumn("trial_path", F.lit(root + "/cut"))),):
+        by = {}
+        for r in lines.collect():
+            by.setdefault(r.trial_path.removeprefix(root), []).append((r.line_no, r.value))
+    assert sorted(by["/l"]) == [(1, "one"), (2, "two"), (3, ""), (4, "four")] and set(by) == {"/l", "/m", "/cut"}
+    assert sorted(by["/m"]) == sorted(by["/cut"]) == [*((i + 1, f"line {i}") for i in range(1000)), (1001, "last")]

@@ -1,6 +1,7 @@
 """Trajectory files to tables.
 
-Paths are read with file metadata; every row keeps ``trial_path``, the folder of its trial.
+Files come as rows with their path; every row keeps ``trial_path``, the folder of its trial. Readers take ``files``
+(see ``trial_files``) where several of them share one reading.
 """
 
 from __future__ import annotations
@@ -15,37 +16,42 @@ from ..functions.errors import result_text
 from ..functions.lists import non_empty, strip
 from ..functions.sequence import numbered
 from ..session import cut_lineage
+from .files import read_files
 
 # File layout of a trial.
 STEP_FILE = "agent/trajectory.json"
 LOG_FILES = ("agent/claude-code.txt", "agent/claude_code.txt", "sessions/agent.log")
 REFLECTION_GLOB = "reflection_attempt_*.md"
-
-
-def _path() -> Column:
-    """Readable path without the scheme."""
-    return F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), r"^file:/+", "/")
+FILES = ("attempt_manifest.json", "trajectory.json", "result.json", "reward.txt", REFLECTION_GLOB)
 
 
 def _trial(path: Column, tail: str) -> Column:
     return F.regexp_replace(path, "/" + tail + "$", "")
 
 
-def _read(spark: SparkSession, root: str, pattern: str, **options):
-    return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).options(**options)
+def trial_files(spark: SparkSession, root: str, *names: str) -> DataFrame:
+    """(path, name, piece, content) of the files of a trial tree, of all kinds or of ``names``; listed and read once."""
+    logs = tuple(p.rsplit("/", 1)[1] for p in LOG_FILES)
+    names = names or (*FILES, *logs)
+    d = read_files(spark, root, tuple(n for n in names if n not in logs), tuple(n for n in names if n in logs))
+    return cut_lineage(d.withColumn("name", F.substring_index("path", "/", -1)))
 
 
-def _json(spark, root, pattern, schema) -> DataFrame:
-    return _read(spark, root, pattern, multiLine=True, mode="PERMISSIVE").schema(schema).json(root).withColumn("path", _path())
+def _json(files: DataFrame, name: str, schema: T.StructType) -> DataFrame:
+    """Documents of one name: a row each, or one for each item if the document is a list. Empty files have none."""
+    text = F.col("content").cast("string")
+    items = F.when(F.ltrim(F.regexp_replace(F.substring(text, 1, 100), r"\s+", " ")).startswith("["), F.from_json(text, T.ArrayType(schema))).otherwise(F.array(F.from_json(text, schema)))
+    d = files.filter((F.col("name") == name) & (F.length(strip(text)) > 0))
+    return d.select("path", F.explode_outer(items).alias("_item")).select(*[F.col("_item")[c].alias(c) for c in schema.names], "path")
 
 
-def _text(spark, root, pattern, whole=False) -> DataFrame:
-    return _read(spark, root, pattern, wholetext=whole).text(root).withColumn("path", _path())
+def _text(files: DataFrame, pattern: str) -> DataFrame:
+    return files.filter(F.col("name").like(pattern)).select(F.col("content").cast("string").alias("value"), "path")
 
 
-def manifests(spark: SparkSession, root: str) -> DataFrame:
+def manifests(spark: SparkSession, root: str, files: DataFrame | None = None) -> DataFrame:
     """Attempts listed in staged manifests."""
-    d = _json(spark, root, "attempt_manifest.json", SC.MANIFEST)
+    d = _json(files if files is not None else trial_files(spark, root, "attempt_manifest.json"), "attempt_manifest.json", SC.MANIFEST)
     folder = _trial(F.col("path"), r"attempt_manifest\.json")
     d = d.select(folder.alias("task_path"), F.coalesce(non_empty(F.col("task_name")), F.regexp_extract(folder, r"([^/]+)$", 1))
                  .alias("task_name"), F.explode("attempts").alias("a"))
@@ -58,9 +64,9 @@ def manifests(spark: SparkSession, root: str) -> DataFrame:
         F.col("a.exception_info").alias("exception_info"), F.col("a.reflection_files").alias("listed_files"))
 
 
-def step_files(spark: SparkSession, root: str) -> DataFrame:
+def step_files(spark: SparkSession, root: str, files: DataFrame | None = None) -> DataFrame:
     """Steps of trajectory documents, indexed from 1."""
-    d = _json(spark, root, "trajectory.json", SC.TRAJECTORY)
+    d = _json(files if files is not None else trial_files(spark, root, "trajectory.json"), "trajectory.json", SC.TRAJECTORY)
     d = d.filter(F.col("path").endswith(STEP_FILE)).select(
         _trial(F.col("path"), r"agent/trajectory\.json").alias("trial_path"), F.posexplode_outer("steps").alias("pos", "s"))
     meta = F.col("s.extra.tool_result_metadata")
@@ -128,26 +134,26 @@ def log_steps(lines: DataFrame) -> DataFrame:
                     F.coalesce("result_text", F.lit("")).alias("result_text"), "is_error")
 
 
-def log_files(spark: SparkSession, root: str) -> DataFrame:
+def log_files(spark: SparkSession, root: str, files: DataFrame | None = None) -> DataFrame:
     """S3: the first existing stream log of each trial, line by line.
 
-    Large logs are split; lines are numbered by split offset and by reading order inside it.
+    Large logs come in pieces; lines are numbered by piece and by their order inside it.
     """
-    names = "{" + ",".join(p.rsplit("/", 1)[1] for p in LOG_FILES) + "}"
-    d = _read(spark, root, names).text(root).select(
-        "value", _path().alias("path"), F.col("_metadata.file_block_start").alias("_split"),
-        F.monotonically_increasing_id().alias("_at"))
+    files = files if files is not None else trial_files(spark, root, *(p.rsplit("/", 1)[1] for p in LOG_FILES))
     rank = F.coalesce(*[F.when(F.col("path").endswith("/" + p), F.lit(i)) for i, p in enumerate(LOG_FILES)])
-    d = d.withColumn("_rank", rank).filter(F.col("_rank").isNotNull()).withColumn(
+    d = files.withColumn("_rank", rank).filter(F.col("_rank").isNotNull()).withColumn(
         "trial_path", F.regexp_replace("path", r"/(agent|sessions)/[^/]+$", ""))
     best = d.groupBy("trial_path").agg(F.min("_rank").alias("_rank"))
     d = d.join(best, ["trial_path", "_rank"], "left_semi")
-    return numbered(d, ["trial_path"], ["_at"], "line_no", F.col("_split")).select("trial_path", "line_no", "value")
+    # the end of the last line begins no other
+    rows = F.split(F.regexp_replace(F.col("content").cast("string"), r"(?:\r\n|\r|\n)\z", ""), r"\r\n|\r|\n")
+    d = d.filter(F.length("content") > 0).select("trial_path", "piece", F.posexplode(rows).alias("_at", "value"))
+    return numbered(d, ["trial_path"], ["_at"], "line_no", F.col("piece")).select("trial_path", "line_no", "value")
 
 
-def reflections(spark: SparkSession, root: str) -> DataFrame:
+def reflections(spark: SparkSession, root: str, files: DataFrame | None = None) -> DataFrame:
     """Reflection sidecars of a trial, sorted by name, joined by a blank line."""
-    d = _text(spark, root, REFLECTION_GLOB, whole=True).select(
+    d = _text(files if files is not None else trial_files(spark, root, REFLECTION_GLOB), r"reflection\_attempt\_%.md").select(
         F.regexp_replace("path", r"/[^/]+$", "").alias("trial_path"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name"),
         strip(F.col("value")).alias("text"))
     return d
@@ -166,12 +172,13 @@ def joined_reflections(files: DataFrame, listed: DataFrame | None = None) -> Dat
         F.array_join(F.filter(F.transform(parts, lambda p: p["text"]), lambda t: F.length(t) > 0), "\n\n").alias("reflection"))
 
 
-def outcomes(spark: SparkSession, root: str) -> DataFrame:
+def outcomes(spark: SparkSession, root: str, files: DataFrame | None = None) -> DataFrame:
     """Reward of a direct trial: nested reward, flat reward, then the reward file."""
-    r = _json(spark, root, "result.json", SC.RESULT).select(
+    files = files if files is not None else trial_files(spark, root, "result.json", "reward.txt")
+    r = _json(files, "result.json", SC.RESULT).select(
         _trial(F.col("path"), r"result\.json").alias("trial_path"),
         F.coalesce("verifier_result.rewards.reward", "reward").alias("json_reward"))
-    t = _text(spark, root, "reward.txt", whole=True).select(
+    t = _text(files, "reward.txt").select(
         _trial(F.col("path"), r"verifier/reward\.txt").alias("trial_path"), strip(F.col("value")).try_cast("double").alias("file_reward"))
     return r.join(t, "trial_path", "full").select(
         "trial_path", F.coalesce("json_reward", "file_reward").alias("reward")).withColumn(
@@ -180,16 +187,17 @@ def outcomes(spark: SparkSession, root: str) -> DataFrame:
 
 def load_trials(spark: SparkSession, root: str, task_family: str = "") -> tuple[DataFrame, DataFrame]:
     """(attempts, steps) of a job folder; a trial counts if it has steps or a reflection."""
-    staged = manifests(spark, root)
-    docs = step_files(spark, root)
-    logs = log_steps(log_files(spark, root)).join(docs.select("trial_path").distinct(), "trial_path", "left_anti")
+    files = trial_files(spark, root)
+    staged = manifests(spark, root, files)
+    docs = step_files(spark, root, files)
+    logs = log_steps(log_files(spark, root, files)).join(docs.select("trial_path").distinct(), "trial_path", "left_anti")
     raw = docs.unionByName(logs)
     listed = staged.select("trial_path", F.explode("listed_files").alias("name")).filter(
         F.col("name").startswith("reflection_attempt_") & F.col("name").endswith(".md"))
-    refl = joined_reflections(reflections(spark, root), listed)
+    refl = joined_reflections(reflections(spark, root, files), listed)
     have = raw.select("trial_path").distinct().withColumn("has_steps", F.lit(True))
     direct = have.select("trial_path").unionByName(refl.select("trial_path")).distinct() \
-        .join(staged.select("trial_path"), "trial_path", "left_anti").join(outcomes(spark, root), "trial_path", "left") \
+        .join(staged.select("trial_path"), "trial_path", "left_anti").join(outcomes(spark, root, files), "trial_path", "left") \
         .withColumn("task_name", F.regexp_extract("trial_path", r"([^/]+)$", 1))
     cols = ["trial_path", "task_name", "attempt_number", "attempt_id", "verifier_passed", "reward"]
     trials = staged.select(*cols).unionByName(direct.select(
@@ -206,8 +214,9 @@ def load_trials(spark: SparkSession, root: str, task_family: str = "") -> tuple[
 
 def collect_results(spark: SparkSession, root: str) -> DataFrame:
     """One row per (task, trial); success needs no exception and a reward of at least 1."""
-    r = _json(spark, root, "result.json", SC.RESULT).withColumn("folder", _trial(F.col("path"), r"result\.json"))
-    c = _json(spark, root, "config.json", SC.struct(task=SC.struct(path=SC.S))).select(
+    files = trial_files(spark, root, "result.json", "config.json")
+    r = _json(files, "result.json", SC.RESULT).withColumn("folder", _trial(F.col("path"), r"result\.json"))
+    c = _json(files, "config.json", SC.struct(task=SC.struct(path=SC.S))).select(
         _trial(F.col("path"), r"config\.json").alias("folder"), F.col("task.path").alias("task_path"))
     name = F.regexp_extract(F.trim("task_path"), r"([^/]+)/*$", 1)
     nested = F.coalesce("verifier_result.rewards.reward", F.lit(0.0))
@@ -267,9 +276,7 @@ def compact_stream(lines: DataFrame) -> DataFrame:
 
 def missing_trajectories(spark: SparkSession, root: str) -> DataFrame:
     """Failed staged attempts without any raw file. Only file names are read, not contents."""
-    names = "{trajectory.json," + ",".join(p.rsplit("/", 1)[1] for p in LOG_FILES) + "}"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names) \
-        .load(root).select(F.regexp_replace("path", r"^file:/+", "/").alias("path"))
+    files = read_files(spark, root, ("trajectory.json", *(p.rsplit("/", 1)[1] for p in LOG_FILES)), content=False).select("path")
     raw = files.filter(F.col("path").rlike("/(?:" + "|".join((STEP_FILE, *LOG_FILES)).replace(".", r"\.") + ")$")).select(
         F.regexp_replace("path", r"/(agent|sessions)/[^/]+$", "").alias("trial_path")).distinct()
     return manifests(spark, root).filter(~F.col("verifier_passed")).join(raw, "trial_path", "left_anti").select(
