@@ -1,6 +1,7 @@
 """Catalog queries against their SQL twins. TRAILWORKS_ALL=1 runs every query."""
 
 import os
+from collections import Counter
 
 import duckdb
 import pytest
@@ -51,3 +52,18 @@ def test_evidence_sample_at_its_own_sizes(spark, tmp_path):
     want = rows_of([d[0] for d in cur.description], cur.fetchall())
     assert got == want
     assert len(got[1]) < con.execute("SELECT count(*) FROM events").fetchone()[0]      # some tasks are longer than the budget
+
+
+def test_retry_changes_query_has_all_changes(spark, tmp_path):
+    # one user: a failed week of 100 operations and one of 150
+    con = duckdb.connect()
+    con.execute(f"""COPY (SELECT i AS event_id, TIMESTAMP '2024-01-01' + to_days(CAST(7 * w AS INTEGER)) + to_seconds(i) AS ts, 1::BIGINT AS user_id,
+          CASE WHEN i % 3 = 0 OR i = n THEN 'error' ELSE 'view' END AS event_type, 1.0::DOUBLE AS value, '{{"k": ' || (i * (w + 2) % 60) || '}}' AS props
+        FROM (VALUES (0, 100), (1, 150)) t(w, n), range(1, 151) r(i) WHERE i <= n) TO '{tmp_path}/events.parquet' (FORMAT parquet)""")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    df = E.queries()["retry_changes"](spark, str(tmp_path))
+    got = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    cur = con.execute(E.oracle_sql()["retry_changes"])
+    assert got == rows_of([d[0] for d in cur.description], cur.fetchall())
+    kinds = Counter(x[got[0].index("change")] for x in got[1])
+    assert kinds["'retained'"] + kinds["'removed'"] == 100 and kinds["'retained'"] + kinds["'added'"] == 150 and min(kinds.values()) > 0

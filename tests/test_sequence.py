@@ -45,6 +45,22 @@ def test_running_sum_numbering_and_neighbours(spark):
     assert near == want_near
 
 
+def test_chunk_numbers_take_null_keys_and_orders(spark):
+    r = random.Random(4)
+    rows = [(k, i, r.choice(["x", "y", None])) for k in ("a", None) for i in (None, -20, -3, *range(60))] + [("b", 2, "x"), (None, 200, "x")]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, i long, v string")
+    for size in (7, 1000):      # with later chunks and without
+        d = S.chunk_numbers(df.withColumn("c", S.first_chunk_zero("i", size)), ["k"], "i", "c", {"n": [], "m": ["v"]})
+        assert dict(d.dtypes) == {"k": "string", "i": "bigint", "v": "string", "n": "int", "m": "int"}
+        got = {(x.k, x.i, x.v): (x.n, x.m) for x in d.collect()}
+        assert len(got) == len(rows)
+        for key in ("a", "b", None):
+            seq = sorted(((i, v) for k, i, v in rows if k == key), key=lambda x: -99 if x[0] is None else x[0])
+            for pos, (i, v) in enumerate(seq):
+                assert got[key, i, v] == (pos + 1, sum(x[1] == v for x in seq[:pos + 1]))
+
+
 def test_candidate_pairs_keep_every_pair_that_shares_enough(spark):
     r = random.Random(3)
     words = [f"w{i}" for i in range(14)]

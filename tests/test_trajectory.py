@@ -1,5 +1,6 @@
 """Step logs: spans, segments, sampling, retries and files."""
 
+import collections
 import json
 import random
 import re
@@ -199,6 +200,33 @@ def test_operations_of_both_sides_are_made_once(spark):
     assert sorted((r.task_name, r.attempt_number, r.change, r["rank"], r.operation) for r in d.collect()) == sorted(want)
 
 
+def test_changes_of_long_attempts_are_all_found(spark):
+    rng = random.Random(8)
+    shape = "task_family string, task_name string, attempt_number int, step_idx int, signature_token string, success boolean, raw_text string"
+    # more than one chunk of steps, an operation that is most of an attempt, and steps without a token
+    sides = {(t, n): [rng.choice(["read:*.csv"] * 100 + [f"run:{k}" for k in range(40)]) for _ in range(size)]
+             for (t, n), size in {("a", 1): 9000, ("a", 2): 5000, ("b", 1): 61, ("b", 2): 200, ("b", 3): 3}.items()}
+    sides["b", 1][60] = sides["b", 2][199] = None
+    rows = [("f", t, n, i, token, True, "") for (t, n), tokens in sides.items() for i, token in enumerate(tokens)]
+    rng.shuffle(rows)
+    links = spark.createDataFrame([("f", "a", 1, "failure"), ("f", "b", 1, "success"), ("f", "b", 2, "failure"), ("f", "b", 3, "missing")],
+                                  "task_family string, task_name string, attempt_number int, retry_outcome string")
+    d = R.retry_changes(spark.createDataFrame(rows, shape), links, max_operations=None, max_changes=None)
+    want = []
+    for task, n in (("a", 1), ("b", 1), ("b", 2)):
+        found = {"retained": [], "added": [], "removed": []}
+        for own, other, is_retry in ((n, n + 1, False), (n + 1, n, True)):
+            left = collections.Counter(x for x in sides[task, other] if x is not None)
+            for token in sides[task, own]:
+                met = left[token] > 0
+                left[token] -= met
+                if is_retry or not met:
+                    found["retained" if met else "added" if is_retry else "removed"].append(token)
+        want += [(task, n, change, rank, token and f"{token} [succeeded]") for change, tokens in found.items() for rank, token in enumerate(tokens, 1)]
+    assert sorted((r.task_name, r.attempt_number, r.change, r["rank"], str(r.operation)) for r in d.collect()) == sorted((*x[:4], str(x[4])) for x in want)
+    assert max(x[3] for x in want) > 4096 and dict(d.dtypes)["rank"] == "int"
+
+
 def test_trial_files_are_listed_and_read_in_tasks(spark, tmp_path, monkeypatch):
     from trailworks.sources import files as FI
 

@@ -4,7 +4,7 @@ A plain window puts a whole key into one task. Here the order of a key is cut in
 chunks (a column derived from the order column, such as ``step_idx div 4096``). The
 window runs inside a chunk, one small row per chunk carries totals or border values,
 and a second window over those rows supplies what precedes the chunk. Results are
-exact. Key columns must not be null, but for ``ordered_numbers``.
+exact. Key columns must not be null, but for ``ordered_numbers`` and ``chunk_numbers``.
 """
 
 from __future__ import annotations
@@ -100,6 +100,33 @@ def ordered_numbers(df: DataFrame, keys: list[str], order: list[str], out: str)
     return join_same(run, base, [*keys, "_piece"]).withColumn(out, F.col("_run") + F.col("_base")).drop("_piece", "_run", "_base")
 
 
+def first_chunk_zero(order: str, size: int = STEP_CHUNK) -> Column:
+    """Chunk of an order that starts near 0; what is null or negative comes first and is in chunk 0 too."""
+    return F.greatest(F.coalesce(step_chunk(order, size), F.lit(0)), F.lit(0))
+
+
+def chunk_numbers(df: DataFrame, keys: list[str], order: str, chunk: str, names: dict[str, list[str]]) -> DataFrame:
+    """Row numbers along one order, a column for each of ``names`` with the keys it has besides ``keys``.
+
+    ``chunk``: a column made by ``first_chunk_zero``; it is dropped. Rows dealt by keys and chunk are not dealt
+    anew. Null keys are keys like others. Chunk 0 has its numbers from the windows, so only keys with more pay for a join.
+    The result is written and can be read again.
+    """
+    for out, more in names.items():
+        df = df.withColumn(out, F.row_number().over(Window.partitionBy(*keys, chunk, *more).orderBy(order)))
+    run = cut_lineage(df)
+    later = run.filter(F.col(chunk) > 0)
+    if later.isEmpty():
+        return run.drop(chunk)
+    for out, more in names.items():
+        own = [*keys, *more]
+        before = Window.partitionBy(*own).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+        base = run.groupBy(*own, chunk).agg(F.count(F.lit(1)).alias("_total")).withColumn(
+            "_base", F.coalesce(F.sum("_total").over(before), F.lit(0))).drop("_total")
+        later = join_same(later, base, [*own, chunk]).withColumn(out, (F.col(out) + F.col("_base")).cast("int")).drop("_base")
+    return run.filter(F.col(chunk) == 0).unionByName(cut_lineage(later)).drop(chunk)
+
+
 def neighbour(df: DataFrame, keys: list[str], order: str, value: Column, out: str,
               chunk: Column | None = None, following: bool = False) -> DataFrame:
     """Value of the previous (or following) row of the same key, across chunk borders."""

@@ -9,7 +9,7 @@ from ..functions import commands as C
 from ..functions import fixed as X
 from ..functions import text as T
 from ..functions.lists import contains_any, non_empty, strip
-from ..functions.sequence import first_rows
+from ..functions.sequence import chunk_numbers, first_chunk_zero, first_rows
 from ..functions.staging import staged
 from ..session import cut_lineage
 from .trajectory import ATTEMPT, last_failures
@@ -30,43 +30,54 @@ def retry_links(attempts: DataFrame) -> DataFrame:
     ).withColumn("verified_by_retry", F.col("retry_outcome") == "success")
 
 
-def operations(events: DataFrame) -> DataFrame:
-    """The first 60 parameterized operations of each attempt, in order."""
-    first = first_rows(events.select(*ATTEMPT, "step_idx", "signature_token", "success", "raw_text"), ATTEMPT, ["step_idx"], MAX_OPERATIONS)
+def operations(events: DataFrame, max_operations: int | None = MAX_OPERATIONS) -> DataFrame:
+    """The first parameterized operations of each attempt, in order, written once; all of them if ``max_operations`` is None."""
+    rows = events.select(*ATTEMPT, "step_idx", "signature_token", "success", "raw_text")
+    if max_operations is None:
+        # one attempt may hold a large part of the rows, so its patterns and numbers are made in chunks
+        rows = rows.withColumn("_chunk", first_chunk_zero("step_idx")).repartition(*ATTEMPT, "_chunk")
+    else:
+        rows = first_rows(rows, ATTEMPT, ["step_idx"], max_operations)
     # the patterns run once for each operation that is kept
-    first = staged(first, _shape=C.command_shape(F.col("raw_text")))
+    rows = staged(rows, _shape=C.command_shape(F.col("raw_text")))
     detail = F.concat(F.col("signature_token"), F.lit(" ["),
                       F.when(F.col("success"), "succeeded").otherwise("failed"), F.lit("]"),
                       F.when(F.length("_shape") > 0, F.concat(F.lit(" "), "_shape")).otherwise(""))
-    first = first.select(*ATTEMPT, "step_idx", F.substring(detail, 1, 500).alias("operation"))
+    rows = rows.withColumn("operation", F.substring(detail, 1, 500)).drop("signature_token", "success", "raw_text", "_shape")
+    if max_operations is None:
+        return chunk_numbers(rows, ATTEMPT, "step_idx", "_chunk", {"pos": [], "copy": ["operation"]}).select(*ATTEMPT, "operation", "pos", "copy")
     w = Window.partitionBy(*ATTEMPT)
-    return first.select(
+    return cut_lineage(rows.select(
         *ATTEMPT, "operation",
         F.row_number().over(w.orderBy("step_idx")).alias("pos"),
-        F.row_number().over(Window.partitionBy(*ATTEMPT, "operation").orderBy("step_idx")).alias("copy"))
+        F.row_number().over(Window.partitionBy(*ATTEMPT, "operation").orderBy("step_idx")).alias("copy")))
 
 
-def retry_changes(events: DataFrame, links: DataFrame) -> DataFrame:
+def retry_changes(events: DataFrame, links: DataFrame, max_operations: int | None = MAX_OPERATIONS,
+                  max_changes: int | None = MAX_CHANGES) -> DataFrame:
     """Multiset difference of the operations of an attempt and its retry, long form.
 
     The k-th copy of an operation matches the k-th copy on the other side, so what has no
-    partner is added or removed; at most 60 operations per attempt take part.
+    partner is added or removed. ``max_operations`` of an attempt take part and ``max_changes``
+    of a kind are returned; None stands for all.
     """
     pairs = cut_lineage(links.filter(F.col("retry_outcome") != "missing").select(*ATTEMPT))
     sides = pairs.unionByName(pairs.withColumn("attempt_number", F.col("attempt_number") + 1)).distinct()
     # both sides read the same operations, so they are made once, for the attempts that are on a side
-    ops = cut_lineage(operations(events.join(sides, ATTEMPT, "left_semi")))
+    ops = operations(events.join(sides, ATTEMPT, "left_semi"), max_operations)
     src = ops.join(pairs, ATTEMPT, "left_semi").withColumnRenamed("pos", "source_pos")
     ret = ops.withColumn("attempt_number", F.col("attempt_number") - 1).join(
         pairs, ATTEMPT, "left_semi").withColumnRenamed("pos", "retry_pos")
     both = src.join(ret, [*ATTEMPT, "operation", "copy"], "full")
     kind = (F.when(F.col("source_pos").isNull(), "added")
             .when(F.col("retry_pos").isNull(), "removed").otherwise("retained"))
-    ranked = both.withColumn("change", kind).withColumn(
-        "pos", F.coalesce("retry_pos", "source_pos"))
-    w = Window.partitionBy(*ATTEMPT, "change").orderBy("pos")
-    return ranked.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= MAX_CHANGES).select(
-        *ATTEMPT, "change", "rank", "operation")
+    changes = both.select(*ATTEMPT, kind.alias("change"), F.coalesce("retry_pos", "source_pos").alias("pos"), "operation")
+    if max_changes is None:
+        ranked = chunk_numbers(changes.withColumn("_chunk", first_chunk_zero("pos")), ATTEMPT, "pos", "_chunk", {"rank": ["change"]})
+    else:
+        w = Window.partitionBy(*ATTEMPT, "change").orderBy("pos")
+        ranked = changes.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max_changes)
+    return ranked.select(*ATTEMPT, "change", "rank", "operation")
 
 
 def retry_transitions(events: DataFrame, links: DataFrame) -> DataFrame:

@@ -328,10 +328,11 @@ def retry_links(spark, sf):
     return R.retry_links(V.attempts(spark, sf)).select(*TR.ATTEMPT, "retry_outcome", "verified_by_retry")
 
 
-OPS_SQL = V.merge_ctes(EVENTS_SQL, LINKS_SQL, f"""
+def ops_sql(first_operations: str = "", first_changes: str = "") -> str:
+    """Operations of both sides and their changes; all of them, or those that the two clauses choose."""
+    return V.merge_ctes(EVENTS_SQL, LINKS_SQL, f"""
 ops0 AS (SELECT {A}, step_idx, left(signature_token || ' [' || CASE WHEN success THEN 'succeeded' ELSE 'failed' END || ']'
-     || CASE WHEN {SQL_CMD_SHAPE("raw_text")} <> '' THEN ' ' || {SQL_CMD_SHAPE("raw_text")} ELSE '' END, 500) AS operation FROM events_norm
-  QUALIFY row_number() OVER (PARTITION BY {A} ORDER BY step_idx) <= 60),
+     || CASE WHEN {SQL_CMD_SHAPE("raw_text")} <> '' THEN ' ' || {SQL_CMD_SHAPE("raw_text")} ELSE '' END, 500) AS operation FROM events_norm{first_operations}),
 ops AS (SELECT *, row_number() OVER (PARTITION BY {A} ORDER BY step_idx) AS pos,
      row_number() OVER (PARTITION BY {A}, operation ORDER BY step_idx) AS cpy FROM ops0),
 src AS (SELECT o.* FROM ops o JOIN links l USING ({A}) WHERE retry_outcome <> 'missing'),
@@ -341,17 +342,21 @@ both_sides AS (SELECT coalesce(s.task_family, r.task_family) AS task_family, coa
      coalesce(s.attempt_number, r.attempt_number) AS attempt_number, coalesce(s.operation, r.operation) AS operation,
      CASE WHEN s.pos IS NULL THEN 'added' WHEN r.pos IS NULL THEN 'removed' ELSE 'retained' END AS change, coalesce(r.pos, s.pos) AS pos
   FROM src s FULL JOIN ret r ON s.task_name = r.task_name AND s.attempt_number = r.attempt_number AND s.operation = r.operation AND s.cpy = r.cpy),
-changes AS (SELECT {A}, change, operation, row_number() OVER (PARTITION BY {A}, change ORDER BY pos) AS rank FROM both_sides
-  QUALIFY row_number() OVER (PARTITION BY {A}, change ORDER BY pos) <= 30)""")
+changes AS (SELECT {A}, change, operation, row_number() OVER (PARTITION BY {A}, change ORDER BY pos) AS rank FROM both_sides{first_changes})""")
 
 
-@query("retry_changes", f"WITH {OPS_SQL} SELECT * FROM changes")
+@query("retry_changes", f"WITH {ops_sql()} SELECT * FROM changes")
 def retry_changes(spark, sf):
     events = TR.normalized_events(V.calls(spark, sf))
-    return R.retry_changes(events, R.retry_links(V.attempts(spark, sf)))
+    return R.retry_changes(events, R.retry_links(V.attempts(spark, sf)), max_operations=None, max_changes=None)
 
 
-@query("retry_transitions", f"""WITH {OPS_SQL},
+BOUNDED_OPS_SQL = ops_sql(f"""
+  QUALIFY row_number() OVER (PARTITION BY {A} ORDER BY step_idx) <= 60""", f"""
+  QUALIFY row_number() OVER (PARTITION BY {A}, change ORDER BY pos) <= 30""")
+
+
+@query("retry_transitions", f"""WITH {BOUNDED_OPS_SQL},
 agg AS (SELECT {A}, string_agg(operation, ' | ' ORDER BY rank) FILTER (change = 'added') AS added,
    string_agg(operation, ' | ' ORDER BY rank) FILTER (change = 'removed') AS removed,
    string_agg(operation, ' | ' ORDER BY rank) FILTER (change = 'retained') AS retained FROM changes GROUP BY {A})
